@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 
 PATH_SCHEMA = "series STRING, run_no INT, excerpt STRING, path STRING, parent STRING, type STRING, digest BIGINT"
 
-#: Share of comparable excerpts whose values must agree for a rename; below 1 because single
-#: records of a run may come twice with a late correction.
-SAME_SHARE = 0.95
+#: Share of the excerpts that both runs hold with a value whose values must agree for a rename.
+SAME_SHARE = 1.0
 
 
 def raw_type(value: object) -> str | None:
