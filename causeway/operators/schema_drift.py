@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -242,6 +243,8 @@ def cast_value(value: object, kind: str) -> tuple[object, bool]:
     """The value as ``kind`` and whether the cast failed; null is no failure."""
     if value is None:
         return None, False
+    if isinstance(value, list) and len(value) == 1 and kind != "json":
+        value = value[0]
     if isinstance(value, dict) and kind != "json":
         value = next((value[m] for m in PLAIN_MEMBERS if isinstance(value.get(m), (str, int, float))), value)
     if kind == "json":
@@ -257,10 +260,8 @@ def cast_value(value: object, kind: str) -> tuple[object, bool]:
         return {"true": True, "1": True, "yes": True, "false": False, "0": False, "no": False}.get(text), text not in (
             "true", "1", "yes", "false", "0", "no",
         )
-    try:
-        return float(value), False
-    except (TypeError, ValueError):
-        return None, True
+    number = re.fullmatch(r"\s*([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)(?:\s*(?:s|sec|seconds))?\s*", str(value))
+    return (float(number[1]), False) if number else (None, True)
 
 
 def _lineage(pdf: pd.DataFrame) -> pd.DataFrame:
