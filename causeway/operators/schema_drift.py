@@ -2,13 +2,15 @@
 
 Lines are loaded as path-value maps with raw types: one entry per dotted path of a line, arrays
 of objects being passed through. Path-type statistics are aggregated per file (series and run);
-neighbouring runs of a series are compared on these small statistics only. Values are touched
+neighbouring runs of a series are compared on these small statistics only, series by series (a
+series has a bounded number of runs and fields, however many lines). Values are touched
 for one question alone, whether a field that went and a field that came are the same field under
 a new name: then the value digests of just these candidate paths are joined per excerpt.
 
 Scale: parsing is one pass without a shuffle; statistics combine map-side; the value comparison
 is keyed by (series, run, path, excerpt), which stays fine-grained when one series holds a third
-of all lines. Nothing is collected to the driver.
+of all lines. The comparison of the statistics is cut off by a checkpoint, so that the lines are parsed
+twice and no more. Nothing is collected to the driver.
 
 Defined results: null, blank and undecodable lines and lines that are no object count for
 nothing, lines with an ``error`` key neither; a field that is null or an empty array in all its
@@ -18,6 +20,7 @@ once; a run without a countable line has no fields; an empty table gives no chan
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import re
@@ -25,9 +28,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.sources.checkpoints import cut_lineage
+
 PATH_SCHEMA = "series STRING, run_no INT, excerpt STRING, path STRING, parent STRING, type STRING, digest BIGINT"
 
 #: Share of the excerpts that both runs hold with a value whose values must agree for a rename.
@@ -134,95 +139,91 @@ def path_statistics(lines: DataFrame) -> DataFrame:
     )
 
 
-def _outermost(changes: DataFrame) -> DataFrame:
-    """Without the changes below a reported field."""
-    steps = F.split("field_path", r"\.")
-    ups = F.transform(
-        F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.concat_ws(".", F.slice(steps, F.lit(1), n))
-    )
-    at = changes.withColumn("__up", F.when(F.size(steps) > 1, ups).otherwise(F.array().cast("array<string>")))
-    reported = (
-        changes.select("series", "run_no", F.col("field_path").alias("p"))
-        .unionByName(changes.select("series", "run_no", F.col("new_path").alias("p")))
-        .distinct()
-        .groupBy("series", "run_no")
-        .agg(F.collect_set("p").alias("__reported"))
-    )
-    return (
-        at.join(reported, ["series", "run_no"])
-        .where(~F.arrays_overlap("__up", "__reported"))
-        .drop("__up", "__reported")
-    )
+_STEP_SCHEMA = "series STRING, run_no INT, prev INT, old_path STRING, new_path STRING, change_kind STRING"
 
 
-def schema_changes(lines: DataFrame, same_share: float = SAME_SHARE) -> DataFrame:
-    """``series, run_no, field_path, change_kind, new_path`` of each change between neighbouring runs."""
-    stats = path_statistics(lines).select("series", "run_no", "path", "parent", F.nullif("types", F.lit("")).alias("types"))
-    runs = lines.where(F.col("series").isNotNull() & F.col("run_no").isNotNull()).select("series", "run_no").distinct()
-    steps = runs.withColumn("prev", F.lag("run_no").over(Window.partitionBy("series").orderBy("run_no")))
-    steps = steps.where(F.col("prev").isNotNull())
+def _compare_runs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Candidate changes of one series; its runs and paths are bounded by its schemas, not by its lines.
 
-    old = stats.join(steps.withColumnRenamed("run_no", "to_run"), (stats["run_no"] == F.col("prev")) & (stats["series"] == steps["series"])).select(
-        stats["series"], F.col("to_run").alias("run_no"), F.col("prev"), "path", "parent", F.col("types").alias("old_types"), F.lit(True).alias("was")
-    )
-    new = stats.join(steps, ["series", "run_no"]).select(
-        "series", "run_no", F.col("prev").alias("prev_n"), "path", F.col("parent").alias("parent_n"), F.col("types").alias("new_types"), F.lit(True).alias("is")
-    )
-    both = old.join(new, ["series", "run_no", "path"], "full_outer").select(
-        "series", "run_no", F.coalesce("prev", "prev_n").alias("prev"), "path", F.coalesce("parent", "parent_n").alias("parent"),
-        "old_types", "new_types", F.col("was").isNotNull().alias("was"), F.col("is").isNotNull().alias("is"),
-    )
-    differing = both.where(
-        ~F.col("was") | ~F.col("is") | (F.col("old_types") != F.col("new_types"))
-    )
+    ``maybe_renamed`` rows pair a field that went with one of the same parent and type that came.
+    """
+    series = pdf["series"].iloc[0]
+    fields: dict[int, dict[str, str]] = {}
+    for run_no, path, types in zip(pdf["run_no"], pdf["path"], pdf["types"]):
+        run = fields.setdefault(int(run_no), {})
+        if isinstance(path, str):
+            run[path] = types if isinstance(types, str) else ""
+    out = []
+    for prev, run_no in itertools.pairwise(sorted(fields)):
+        old, new = fields[prev], fields[run_no]
+        gone, came = [p for p in old if p not in new], [p for p in new if p not in old]
+        out += [(series, run_no, prev, p, p, "removed") for p in gone]
+        out += [(series, run_no, prev, p, p, "added") for p in came]
+        out += [
+            (series, run_no, prev, p, p, "retyped") for p in old if p in new and old[p] and new[p] and old[p] != new[p]
+        ]
+        out += [
+            (series, run_no, prev, o, n, "maybe_renamed")
+            for o in gone for n in came
+            if old[o] and old[o] == new[n] and o.rpartition(".")[0] == n.rpartition(".")[0]
+        ]
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _STEP_SCHEMA.split(", ")])
+
+
+def _settle(steps: pd.DataFrame, agreed: pd.DataFrame) -> pd.DataFrame:
+    """The changes of one series: renames one to one, best agreement first; nothing below a reported field."""
+    out = []
+    names = {(r.run_no, r.old_path, r.new_path): r.same for r in agreed.itertuples()}
+    for run_no, part in steps.groupby("run_no"):
+        moved: dict[str, str] = {}
+        for _, old, new in sorted((-same, o, n) for (r, o, n), same in names.items() if r == run_no):
+            if old not in moved and new not in moved.values():
+                moved[old] = new
+        taken = {*moved, *moved.values()}
+        rows = [(o, "renamed", n) for o, n in moved.items()]
+        rows += [
+            (r.old_path, r.change_kind, r.new_path)
+            for r in part.itertuples()
+            if r.change_kind == "retyped" or r.change_kind in ("added", "removed") and r.old_path not in taken
+        ]
+        reported = {p for o, _, n in rows for p in (o, n)}
+        above = lambda p: {p[:i] for i, c in enumerate(p) if c == "."}
+        out += [(steps["series"].iloc[0], run_no, o, k, n) for o, k, n in rows if not above(o) & reported]
+    return pd.DataFrame(out, columns=["series", "run_no", "field_path", "change_kind", "new_path"])
 
-    gone = differing.where(F.col("was") & ~F.col("is") & F.col("old_types").isNotNull())
-    came = differing.where(~F.col("was") & F.col("is") & F.col("new_types").isNotNull())
-    pairs = gone.select("series", "run_no", "prev", "parent", F.col("old_types").alias("types"), F.col("path").alias("old_path")).join(
-        came.select("series", "run_no", "parent", F.col("new_types").alias("types"), F.col("path").alias("new_path")),
-        ["series", "run_no", "parent", "types"],
-    )
 
+def schema_changes(lines: DataFrame, same_share: float = SAME_SHARE) -> DataFrame:
+    """``series, run_no, field_path, change_kind, new_path`` of each change between neighbouring runs."""
+    runs = lines.select("series", "run_no").where("series IS NOT NULL AND run_no IS NOT NULL").distinct()
+    fields = path_statistics(lines).select("series", "run_no", "path", "types")
+    fields = fields.unionByName(runs.select("series", "run_no"), allowMissingColumns=True)
+    steps = cut_lineage(fields.groupBy("series").applyInPandas(_compare_runs, _STEP_SCHEMA))
+
+    pair = ["series", "to_run", "old_path", "new_path"]
+    maybe = steps.where("change_kind = 'maybe_renamed'").withColumn("to_run", F.col("run_no"))
+    asked = maybe.select(*pair, F.col("prev").alias("run_no"), F.col("old_path").alias("path"), F.lit(True).alias("is_old")).unionByName(
+        maybe.select(*pair, "run_no", F.col("new_path").alias("path"), F.lit(False).alias("is_old"))
+    )
     values = load_paths(lines).where(F.col("digest").isNotNull() & F.col("excerpt").isNotNull())
-    before = values.select("series", F.col("run_no").alias("prev"), F.col("path").alias("old_path"), "excerpt", "digest")
-    after = values.select("series", "run_no", F.col("path").alias("new_path"), "excerpt", "digest")
-    pair = ["series", "run_no", "old_path", "new_path"]
-    left = (
-        before.join(pairs, ["series", "prev", "old_path"])
-        .groupBy(*pair, "excerpt")
-        .agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
-    )
-    right = (
-        after.join(pairs, ["series", "run_no", "new_path"])
+    side = lambda f, old: f(F.when(F.col("is_old") if old else ~F.col("is_old"), F.col("digest")))
+    agreed = (
+        values.join(asked, ["series", "run_no", "path"])
         .groupBy(*pair, "excerpt")
-        .agg(F.min("digest").alias("lo_n"), F.max("digest").alias("hi_n"))
-    )
-    agree = (
-        left.join(right, [*pair, "excerpt"])
-        .groupBy(*pair)
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("lo").between(F.col("lo_n"), F.col("hi_n")) & ((F.col("lo") == F.col("lo_n")) | (F.col("hi") == F.col("hi_n")))).alias("same"),
+            side(F.min, True).alias("old_lo"), side(F.max, True).alias("old_hi"),
+            side(F.min, False).alias("new_lo"), side(F.max, False).alias("new_hi"),
         )
+        .where("old_lo IS NOT NULL AND new_lo IS NOT NULL")
+        .groupBy(*pair)
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("old_lo = new_lo OR old_hi = new_hi")).alias("same"))
         .where(F.col("same") >= same_share * F.col("n"))
+        .select("series", F.col("to_run").alias("run_no"), "old_path", "new_path", "same")
     )
-    best = lambda c: F.row_number().over(Window.partitionBy("series", "run_no", c).orderBy(F.desc("same"), "old_path", "new_path"))
-    renamed = (
-        agree.withColumn("a", best("old_path")).where("a = 1").withColumn("b", best("new_path")).where("b = 1")
-        .select(*pair)
-    )
-
-    one_sided = differing.where(~F.col("was") | ~F.col("is"))
-    as_old = renamed.select("series", "run_no", F.col("old_path").alias("path"))
-    as_new = renamed.select("series", "run_no", F.col("new_path").alias("path"))
-    rest = one_sided.join(as_old.unionByName(as_new), ["series", "run_no", "path"], "left_anti").select(
-        "series", "run_no", F.col("path").alias("field_path"), F.when(F.col("was"), "removed").otherwise("added").alias("change_kind"), F.col("path").alias("new_path")
-    )
-    retyped = differing.where(F.col("was") & F.col("is")).select(
-        "series", "run_no", F.col("path").alias("field_path"), F.lit("retyped").alias("change_kind"), F.col("path").alias("new_path")
+    return (
+        steps.where("change_kind <> 'maybe_renamed'").groupBy("series")
+        .cogroup(agreed.groupBy("series"))
+        .applyInPandas(_settle, "series STRING, run_no INT, field_path STRING, change_kind STRING, new_path STRING")
     )
-    moved = renamed.select("series", "run_no", F.col("old_path").alias("field_path"), F.lit("renamed").alias("change_kind"), "new_path")
-    return _outermost(moved.unionByName(retyped).unionByName(rest))
 
 
 #: The consistent columns and their types; the first run of a series names its fields.
