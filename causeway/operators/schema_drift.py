@@ -217,11 +217,12 @@ def schema_changes(lines: DataFrame, same_share: float = SAME_SHARE) -> DataFram
         .groupBy(*pair)
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("old_lo = new_lo OR old_hi = new_hi")).alias("same"))
         .where(F.col("same") >= same_share * F.col("n"))
-        .select("series", F.col("to_run").alias("run_no"), "old_path", "new_path", "same")
+        .select("series", "to_run", "old_path", "new_path", "same")
+        .toDF("series_", "run_no", "old_path", "new_path", "same")
     )
     return (
         steps.where("change_kind <> 'maybe_renamed'").groupBy("series")
-        .cogroup(agreed.groupBy("series"))
+        .cogroup(agreed.groupBy("series_"))
         .applyInPandas(_settle, "series STRING, run_no INT, field_path STRING, change_kind STRING, new_path STRING")
     )
 
