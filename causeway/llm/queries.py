@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import bpe, mixing
+from causeway.llm import bpe, canonical, mixing
 from causeway.sources import read_table
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical.resolve_unlisted(read_table(spark, sf, "pair_results"), read_table(spark, sf, "concepts"))
+
+
+def p4_values(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical.value_report(read_table(spark, sf, "pair_results"), read_table(spark, sf, "concepts"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf, "documents"))
 
@@ -25,6 +33,8 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_values": p4_values,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_mix": p9_mix,
