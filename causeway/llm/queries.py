@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import bpe, canonical, mixing
+from causeway.llm import bpe, canonical, cutoff, mixing
 from causeway.sources import read_table
 
 
@@ -16,6 +16,19 @@ def p4_values(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.value_report(read_table(spark, sf, "pair_results"), read_table(spark, sf, "concepts"))
 
 
+def _labels(spark: SparkSession, sf: str) -> list[str]:
+    return [label for _, label, _, _ in canonical.read_entries(read_table(spark, sf, "concepts"))]
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    cut = cutoff.cut_values(read_table(spark, sf, "pair_results"), _labels(spark, sf))
+    return cut.where("evidence IS NOT NULL").select("row_id").distinct()
+
+
+def p6_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return cutoff.cut_report(read_table(spark, sf, "pair_results"), _labels(spark, sf))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf, "documents"))
 
@@ -35,6 +48,8 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p4_found": p4_found,
     "p4_values": p4_values,
+    "p6_found": p6_found,
+    "p6_sources": p6_sources,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_mix": p9_mix,
