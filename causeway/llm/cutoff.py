@@ -40,7 +40,7 @@ CONTINUED = (
     "z.b", "d.h", "bzw", "inkl", "vgl", "abb", "nr", "s.o", "u.a", "p.ex", "env", "p.ej", "aprox", "núm",
 )
 #: Last lines that close a text without punctuation.
-CLOSING_LINES = ("done", "end", "end of analysis", "end of answer", "finished", "the end", "fin", "ende", "none")
+CLOSING_LINES = ("done", "end", "end of analysis", "end of answer", "finished", "the end", "ende")
 
 _TERMINAL = r"""[.!?。！？…]["”’')\]»*_`]*\s*[\p{So}️‍]*$"""
 

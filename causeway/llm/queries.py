@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import bpe, canonical, cutoff, mixing
+from causeway.llm import bpe, canonical, cutoff, mixing, pairs
 from causeway.sources import read_table
 
 
@@ -16,6 +16,18 @@ def p4_values(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.value_report(read_table(spark, sf, "pair_results"), read_table(spark, sf, "concepts"))
 
 
+def _names(spark: SparkSession, sf: str) -> list[str]:
+    return [n for _, label, _, others in canonical.read_entries(read_table(spark, sf, "concepts")) for n in (label, *others)]
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.defects(read_table(spark, sf, "pair_results"), read_table(spark, sf, "excerpts"), _names(spark, sf))
+
+
+def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.defect_rates(read_table(spark, sf, "pair_results"), read_table(spark, sf, "excerpts"), _names(spark, sf))
+
+
 def _labels(spark: SparkSession, sf: str) -> list[str]:
     return [label for _, label, _, _ in canonical.read_entries(read_table(spark, sf, "concepts"))]
 
@@ -48,6 +60,8 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p4_found": p4_found,
     "p4_values": p4_values,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
     "p6_found": p6_found,
     "p6_sources": p6_sources,
     "p8_ids": p8_ids,
