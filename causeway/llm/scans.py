@@ -45,7 +45,7 @@ DOMINANCE = 8
 #: Channel: probability of one confusion. Unknown words: probability of one.
 CONFUSION, UNKNOWN = 1e-2, 1e-7
 #: A header recurs on at least so many pages, and this share of its report's pages.
-HEADER_LEAST, HEADER_SHARE = 2, 0.1
+HEADER_LEAST, HEADER_SHARE = 3, 0.1
 #: Lines at either edge of a page that may be header, footer or page number.
 EDGE_LINES = 4
 MAX_CACHED = 400_000
@@ -73,8 +73,8 @@ NUMBER_STYLES = (
 )
 _NUMBER_LINE = [(name, re.compile(rf"\s*(?:{p})\s*")) for name, p in NUMBER_STYLES]
 _NUMERIC = re.compile(r"[0-9lIOSBZ]*[0-9][0-9lIOSBZ]*")
-_PLAIN_NUMBER = re.compile(r"[-+±~]?[$€£]?\d+(?:[.,:/’']\d+)*\.?[%°a-z]?|\d+(?:st|nd|rd|th|er|e|o|a|\.)")
-_LIKE_NUMBER = re.compile(r"(?=.*\d)[0-9lIOSBZiozsbgqA|!@]+(?:[.,][0-9lIOSBZiozsbgqA|!@]+)*%?")
+_PLAIN_NUMBER = re.compile(r"[-+±~]?[$€£]?\d+(?:[.,:/’']\d+)*\.?[%°]?|\d+(?:st|nd|rd|th|er|e|o|a|\.)")
+_LIKE_NUMBER = re.compile(r"(?=.*\d)[0-9lIOSBZiozsbg|!@]+(?:[.,][0-9lIOSBZiozsbg|!@]+)*%?")
 _SECTION = re.compile(r"[A-Z]+\d*-\d+\b")
 _STRIP = " .,;:()[]{}\"'“”„«»‘’?…·•—–/|<>*_"
 _BROKEN = re.compile(rf"(\S*[^\W\d_])[{HYPHENS}]\s*$")
@@ -88,6 +88,11 @@ def skeleton(word: str) -> str:
     return plain.translate(CLASSES).translate(CLUSTERS)
 
 
+def header_word(word: str) -> str:
+    """Skeleton of a word of a header; there, a is confused with o as well."""
+    return skeleton(word).replace("a", "o")
+
+
 def header_key(line: str) -> str:
     """Skeletons of the words of a line, numbers at its ends left out."""
     words = []
@@ -95,7 +100,7 @@ def header_key(line: str) -> str:
         bare = w.strip(_STRIP)
         if not bare:
             continue
-        words.append("#" if _NUMERIC.fullmatch(bare) else skeleton(bare))
+        words.append("#" if _NUMERIC.fullmatch(bare) else header_word(bare))
     while words and words[0] == "#":
         words.pop(0)
     while words and words[-1] == "#":
@@ -188,11 +193,11 @@ def _count_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for w in words:
             bare[w] = w.strip(_STRIP)
         for w, n in words.items():
-            if bare[w] and not _PLAIN_NUMBER.fullmatch(bare[w]):
+            if bare[w] and not _PLAIN_NUMBER.fullmatch(bare[w]) and not _LIKE_NUMBER.fullmatch(bare[w]):
                 merged[bare[w], ""] += n
         for (a, b), n in pairs.items():
             a, b = bare.get(a), bare.get(b)
-            if a and b and not a[-1].isdigit() and not b[-1].isdigit():
+            if a and b and not _PLAIN_NUMBER.fullmatch(a) and not _PLAIN_NUMBER.fullmatch(b):
                 merged[a, b] += n
         words.clear()
         pairs.clear()
@@ -245,7 +250,7 @@ class Reader:
     def candidates(self, core: str) -> tuple[str, ...] | None:
         """None: read well. Else the words it may be, none if there is none."""
         low = core.lower()
-        if not low or low in self.lexicon or _PLAIN_NUMBER.fullmatch(low):
+        if not low or low in self.lexicon or _PLAIN_NUMBER.fullmatch(core):
             return None
         if not any(c.isalnum() for c in core):
             return None
@@ -312,7 +317,9 @@ class Reader:
             else:
                 core, words = found
                 if words:
-                    options = [(w, self._emit(core, w), w) for w in words] + [(None, math.log(UNKNOWN), None)]
+                    options = [(w, self._emit(core, w), w) for w in words]
+                    if core.isalpha():  # no word has digits or signs within
+                        options.append((None, math.log(UNKNOWN), None))
                 else:
                     options = [(None, 0.0, "")]
             for word, cost, mark in options:
@@ -339,9 +346,9 @@ class Reader:
         a, b = left.strip(_STRIP).lower(), right.strip(_STRIP).lower()
         if not a or not b or not right.strip(_STRIP)[:1].isalpha() and not right[:1].isdigit():
             return bool(a) and mark in "¬­" and not b, None, (False, False)
-        if b in ("and", "or", "und", "oder", "et", "ou", "y", "o"):
-            return False, None, (False, False)
         solid, dashed = self.lexicon.get(a + b, 0), self.lexicon.get(f"{a}-{b}", 0)
+        if not solid and b in ("and", "or", "und", "oder", "et", "ou", "y", "o"):
+            return False, None, (False, False)
         if not solid and not dashed:
             bones = skeleton(a + b)
             words = self.by_bones.get(bones, ())
@@ -353,10 +360,8 @@ class Reader:
                 word = max(dashes, key=lambda w: self.lexicon[w])
                 x, _, y = word.partition("-")
                 return False, word, (a != x, b != y)
-            if mark in "¬­":
-                return True, None, (False, False)
-            known = (a in self.lexicon) + (b in self.lexicon)
-            return known < 2 and right[:1].islower(), None, (False, False)
+            # compounds are seen whole somewhere; what is not is a broken name
+            return mark in "¬­" or right[:1].islower(), None, (False, False)
         return solid > dashed, None, (False, False)
 
     @staticmethod
@@ -457,7 +462,7 @@ def read_paragraph(reader: Reader, text: str, page: int | None, headers: set[str
     kinds: set[str] = set()
     tokens = text.split()
     # headers: the key's words among the text's words
-    bones = [skeleton(t.strip(_STRIP)) for t in tokens] if headers else []
+    bones = [header_word(t.strip(_STRIP)) for t in tokens] if headers else []
     spans: list[tuple[int, int]] = []
     if headers:
         full = [i for i, b in enumerate(bones) if b]
@@ -472,13 +477,12 @@ def read_paragraph(reader: Reader, text: str, page: int | None, headers: set[str
                 kinds.add("running_header")
                 spans.append((start, end))
     inside = {i for a, b in spans for i in range(a, b + 1)}
-    # page numbers: the number this page would print, in a style of the report
+    # page numbers: the number this page would print, in any style
     if page is not None:
-        for (style, delta), _ in numbers.items():
-            found = _printed(reader, tokens, style, page + delta, inside)
-            if found:
-                kinds.add("page_number")
-                inside |= set(found)
+        found = _printed(reader, tokens, page, {delta for _, delta in numbers}, {delta for style, delta in numbers if style == "bare"}, inside)
+        if found:
+            kinds.add("page_number")
+            inside |= set(found)
     rest = [t for i, t in enumerate(tokens) if i not in inside]
     fixed: list[str] = []
     i = 0
@@ -519,36 +523,52 @@ def read_paragraph(reader: Reader, text: str, page: int | None, headers: set[str
     return sorted(kinds), " ".join(fixed)
 
 
-def _printed(reader: Reader, tokens: list[str], style: str, number: int, taken: set[int]) -> list[int]:
-    """Positions of the page number as the report prints it, in running text; none if it may be part of a sentence."""
-    n = str(number)
-    same = lambda t: t.translate(AS_DIGIT) == n if t else False
+_INLINE = (
+    re.compile(rf"(?:[Pp]ag[ec]|[Ss]eite|[Pp]ágina) ({_D}) (?:of|0f|von|sur|de) {_D}"),
+    re.compile(rf"(?:p|pg|P|S|pág)\. ({_D})"),
+    re.compile(rf"({_D}) ?/ ?{_D}"),
+    re.compile(rf"({_D}) [|¦]"),
+    re.compile(rf"[-–—] ({_D})(?: [-–—])?"),
+    re.compile(rf"[\[(]({_D})[\])]"),
+    re.compile(rf"({_D}) (?:of|von|sur|de) {_D}"),
+    re.compile(rf"(?:[Pp]ag[ec]|[Ss]eite|[Pp]ágina) ({_D})"),
+)
+
+
+def _printed(reader: Reader, tokens: list[str], page: int, deltas: set[int], bare: set[int], taken: set[int]) -> list[int]:
+    """Positions of a page number that interrupts running text; none if it may be part of a sentence.
+
+    The number must be the one the report prints on this page; where the pages print none, it must come after the
+    actual number and stand between words that follow each other elsewhere.
+    """
+    wanted = {page + d for d in deltas}
+    line = " ".join(tokens)
+    if not any(c.isdigit() for c in line):
+        return []
+    starts, at = {}, 0
+    for i, t in enumerate(tokens):
+        starts[at] = i
+        at += len(t) + 1
+    starts[at] = len(tokens)
+
+    def interrupts(i: int, j: int) -> bool:
+        before, after = (tokens[i - 1] if i else ""), (tokens[j] if j < len(tokens) else "")
+        if (not before or before[-1] in ".!?") and (not after or after[:1].isupper()):
+            return bool(before or after)
+        a, b = before.strip(_STRIP).lower(), after.strip(_STRIP).lower()
+        return bool(a and b) and before[-1] not in ".!?" and (a, b) in reader.pairs
+
+    for pattern in _INLINE:
+        for m in pattern.finditer(line):
+            i, j = starts.get(m.start()), starts.get(m.end() + 1)
+            value = m[1].translate(AS_DIGIT)
+            if i is None or j is None or i in taken or not value.isdigit() or not any(c.isdigit() for c in m[1]):
+                continue
+            if int(value) in wanted or (not wanted and page <= int(value) <= page + 200 and interrupts(i, j)):
+                return list(range(i, j))
     for i, raw in enumerate(tokens):
-        if i in taken:
-            continue
-        after = tokens[i + 1] if i + 1 < len(tokens) else ""
-        last = tokens[i + 2] if i + 2 < len(tokens) else ""
-        if style == "page" and skeleton(raw) == "page".translate(CLASSES).translate(CLUSTERS) and same(after):
-            return list(range(i, min(i + 4, len(tokens)))) if skeleton(last) == skeleton("of") else [i, i + 1]
-        if style == "short" and raw in ("p.", "P.", "pg.", "S.") and same(after):
-            return [i, i + 1]
-        if style == "slash" and "/" in raw and same(raw.partition("/")[0]):
-            return [i]
-        if style == "of" and same(raw) and after in ("of", "von", "sur", "de"):
-            return [i, i + 1, i + 2]
-        if style == "bar" and same(raw) and after == "|":
-            return [i, i + 1]
-        if style == "dash" and raw in ("-", "—", "–") and same(after):
-            return [i, i + 1, i + 2] if last == raw else [i, i + 1]
-        if style == "box" and raw[:1] in "[(" and same(raw[1:-1]):
+        if i not in taken and raw[:1].isdigit() and raw.isdigit() and int(raw) - page in bare and interrupts(i, i + 1):
             return [i]
-        if style == "bare" and same(raw):
-            before = tokens[i - 1] if i else ""
-            if (not before or before[-1] in ".!?") and (not after or after[:1].isupper()) and (before or after):
-                return [i]
-            a, b = before.strip(_STRIP).lower(), after.strip(_STRIP).lower()
-            if a and b and before[-1] not in ".!?" and (a, b) in reader.pairs:
-                return [i]
     return []
 
 
