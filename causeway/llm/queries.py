@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import bpe, canonical, cutoff, mixing, pairs
+from causeway.llm import bpe, canonical, cutoff, mixing, pairs, scans
 from causeway.sources import read_table
 
 
@@ -41,6 +41,14 @@ def p6_sources(spark: SparkSession, sf: str) -> DataFrame:
     return cutoff.cut_report(read_table(spark, sf, "pair_results"), _labels(spark, sf))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.locate_noise(read_table(spark, sf, "page_text"), read_table(spark, sf, "paragraph_text"))
+
+
+def p7_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.repaired_texts(read_table(spark, sf, "page_text"), read_table(spark, sf, "paragraph_text"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf, "documents"))
 
@@ -64,6 +72,8 @@ QUERIES = {
     "p5_rates": p5_rates,
     "p6_found": p6_found,
     "p6_sources": p6_sources,
+    "p7_found": p7_found,
+    "p7_texts": p7_texts,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_mix": p9_mix,
