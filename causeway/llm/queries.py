@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import bpe, canonical, cutoff, mixing, pairs, scans
+from causeway.llm import bpe, canonical, cutoff, mixing, offence, pairs, scans
 from causeway.sources import read_table
 
 
@@ -65,6 +65,18 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.reached_shares(read_table(spark, sf, "documents"), read_table(spark, sf, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return offence.found(read_table(spark, sf, "documents"), read_table(spark, sf, "abuse_reviews"))
+
+
+def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return offence.scores(read_table(spark, sf, "documents"), read_table(spark, sf, "abuse_reviews"))
+
+
+def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return offence.source_rates(read_table(spark, sf, "documents"), read_table(spark, sf, "abuse_reviews"))
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_values": p4_values,
@@ -78,6 +90,9 @@ QUERIES = {
     "p8_decoded": p8_decoded,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 
 SQL = {
