@@ -72,12 +72,12 @@ NUMBER_STYLES = (
     ("roman", r"([ivxlc]{1,7})"),
 )
 _NUMBER_LINE = [(name, re.compile(rf"\s*(?:{p})\s*")) for name, p in NUMBER_STYLES]
+_MAYBE_NUMBER = re.compile(r"\d|^[ivxlc]+$|^[lIOSBZ]{1,4}\b|\b[lIOSBZ]{1,4}$")
 _NUMERIC = re.compile(r"[0-9lIOSBZ]*[0-9][0-9lIOSBZ]*")
 _PLAIN_NUMBER = re.compile(r"[-+±~]?[$€£]?\d+(?:[.,:/’']\d+)*\.?[%°]?|\d+(?:st|nd|rd|th|er|e|o|a|\.)")
 _LIKE_NUMBER = re.compile(r"(?=.*\d)[0-9lIOSBZiozsbg|!@]+(?:[.,][0-9lIOSBZiozsbg|!@]+)*%?")
 _SECTION = re.compile(r"[A-Z]+\d*-\d+\b")
 _STRIP = " .,;:()[]{}\"'“”„«»‘’?…·•—–/|<>*_"
-_BROKEN = re.compile(rf"(\S*[^\W\d_])[{HYPHENS}]\s*$")
 
 
 def skeleton(word: str) -> str:
@@ -88,19 +88,23 @@ def skeleton(word: str) -> str:
     return plain.translate(CLASSES).translate(CLUSTERS)
 
 
-def header_word(word: str) -> str:
-    """Skeleton of a word of a header; there, a is confused with o as well."""
-    return skeleton(word).replace("a", "o")
+_HEADER_WORDS: dict[str, str] = {}
+
+
+def header_word(raw: str) -> str:
+    """Skeleton of a token of a header, # for numbers, empty for signs; there, a is confused with o as well."""
+    got = _HEADER_WORDS.get(raw)
+    if got is None:
+        bare = raw.strip(_STRIP)
+        got = "#" if _NUMERIC.fullmatch(bare) else skeleton(bare).replace("a", "o")
+        if len(_HEADER_WORDS) < MAX_CACHED:
+            _HEADER_WORDS[raw] = got
+    return got
 
 
 def header_key(line: str) -> str:
     """Skeletons of the words of a line, numbers at its ends left out."""
-    words = []
-    for w in line.split():
-        bare = w.strip(_STRIP)
-        if not bare:
-            continue
-        words.append("#" if _NUMERIC.fullmatch(bare) else header_word(bare))
+    words = [b for w in line.split() if (b := header_word(w))]
     while words and words[0] == "#":
         words.pop(0)
     while words and words[-1] == "#":
@@ -110,7 +114,7 @@ def header_key(line: str) -> str:
 
 def number_style(line: str) -> tuple[str, int | None] | None:
     """Style and number of a line that is a page number alone."""
-    if len(line) > 24:
+    if len(line) > 24 or not _MAYBE_NUMBER.search(line):
         return None
     for name, pattern in _NUMBER_LINE:
         m = pattern.fullmatch(line)
@@ -136,9 +140,14 @@ def header_like(line: str) -> bool:
 
 def _edges(lines: list[str]) -> Iterator[tuple[list[tuple[int, str]]]]:
     """The non-blank lines from the top and from the bottom, outermost first."""
-    full = [(i, x) for i, raw in enumerate(lines) if (x := raw.strip())]
-    yield full[:EDGE_LINES]
-    yield full[::-1][:EDGE_LINES]
+    for order in (range(len(lines)), range(len(lines) - 1, -1, -1)):
+        edge = []
+        for i in order:
+            if x := lines[i].strip():
+                edge.append((i, x))
+                if len(edge) == EDGE_LINES:
+                    break
+        yield edge
 
 
 _EDGE_SCHEMA = "report_id STRING, kind STRING, key STRING, delta INT, pages BIGINT"
@@ -187,17 +196,20 @@ def _count_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     words: Counter = Counter()
     pairs: Counter = Counter()
 
+    def numeric(word: str) -> bool:
+        return not word.isalpha() and _PLAIN_NUMBER.fullmatch(word) is not None
+
     def flush() -> pd.DataFrame:
         merged: Counter = Counter()
         bare = {}
         for w in words:
             bare[w] = w.strip(_STRIP)
         for w, n in words.items():
-            if bare[w] and not _PLAIN_NUMBER.fullmatch(bare[w]) and not _LIKE_NUMBER.fullmatch(bare[w]):
+            if bare[w] and not numeric(bare[w]) and not _LIKE_NUMBER.fullmatch(bare[w]):
                 merged[bare[w], ""] += n
         for (a, b), n in pairs.items():
             a, b = bare.get(a), bare.get(b)
-            if a and b and not _PLAIN_NUMBER.fullmatch(a) and not _PLAIN_NUMBER.fullmatch(b):
+            if a and b and not numeric(a) and not numeric(b):
                 merged[a, b] += n
         words.clear()
         pairs.clear()
@@ -206,10 +218,9 @@ def _count_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for text in frame["text"]:
             if isinstance(text, str):
-                for line in text.lower().split("\n"):
-                    tokens = line.split()
-                    words.update(tokens)
-                    pairs.update(zip(tokens, tokens[1:]))
+                tokens = text.lower().split()
+                words.update(tokens)
+                pairs.update(zip(tokens, tokens[1:]))
         if len(pairs) > 250_000:
             yield flush()
     yield flush()
@@ -244,6 +255,7 @@ class Reader:
         for w in lexicon:
             self.by_bones.setdefault(skeleton(w), []).append(w)
         self.known: dict[str, tuple | None] = {}
+        self.well: set[str] = set()
 
     # -- tokens ---------------------------------------------------------------------------------
 
@@ -284,6 +296,8 @@ class Reader:
         got = None if found is None else (core, found)
         if len(self.known) < MAX_CACHED:
             self.known[raw] = got
+            if got is None:
+                self.well.add(raw)
         return got
 
     # -- Viterbi --------------------------------------------------------------------------------
@@ -335,9 +349,21 @@ class Reader:
 
     def misread(self, tokens: list[str]) -> dict[int, str]:
         """Positions of misread tokens and their correction (empty if unknown)."""
-        if all(self.token(t) is None for t in tokens):
-            return {}
-        return {i: w for i, w in enumerate(self.decode(tokens)) if w is not None}
+        well = self.well
+        odd = [i for i, t in enumerate(tokens) if t not in well and self.token(t) is not None]
+        out: dict[int, str] = {}
+        at = 0
+        while at < len(odd):
+            # a token that is read well has one option, so a line falls apart at such tokens
+            end = at
+            while end + 1 < len(odd) and odd[end + 1] == odd[end] + 1:
+                end += 1
+            first = max(0, odd[at] - 1)
+            for i, word in enumerate(self.decode(tokens[first : odd[end] + 2]), first):
+                if word is not None:
+                    out[i] = word
+            at = end + 1
+        return out
 
     # -- broken words ---------------------------------------------------------------------------
 
@@ -393,55 +419,60 @@ def edge_noise(lines: list[str], page: int | None, headers: set[str], numbers: d
     return out
 
 
-def read_page(reader: Reader, text: str, page: int | None, headers: set[str], numbers: dict) -> tuple[list[tuple[int, str]], str]:
+def read_page(
+    reader: Reader, text: str, page: int | None, headers: set[str], numbers: dict, want_text: bool = True
+) -> tuple[list[tuple[int, str]], str]:
     """((line number, noise) of a page), and its text as continuous paragraphs."""
-    lines = [x.rstrip("\r") for x in text.split("\n")]
+    lines = text.split("\n")
     edge = edge_noise(lines, page, headers, numbers)
     noise = {(i + 1, kind) for i, kind in edge.items()}
     body = [(i, x.split()) for i, x in enumerate(lines) if i not in edge]
+    well = reader.well
     paragraphs: list[list[str]] = [[]]
-    carry: tuple[str, bool, int, str | None] | None = None  # left half, joined, line, correction
+    carry: tuple[str, bool, str | None] | None = None  # left half, whether joined, correction
     for at, (i, tokens) in enumerate(body):
         if not tokens:
             if carry is None and paragraphs[-1]:
                 paragraphs.append([])
             continue
-        skip_first = False
+        left = tokens[-1]
+        ends_broken = left[-1] in HYPHENS and len(left) > 1 and left[-2].isalpha()
+        if carry is None and not ends_broken:
+            if all([t in well for t in tokens]):
+                if want_text:
+                    paragraphs[-1] += tokens
+                continue
+        checked = tokens
         if carry is not None:
-            left, joined, _, word = carry
+            before, joined, word = carry
             first = tokens[0]
             tail = first[len(first.rstrip(_STRIP)) :]
-            whole = (word + tail) if word else (left.rstrip(HYPHENS) + ("" if joined else "-") + first)
-            if paragraphs[-1]:
-                paragraphs[-1][-1] = whole
-            skip_first, carry = True, None
-        m = _BROKEN.search(lines[i])
-        checked = tokens[1:] if skip_first else tokens
-        if m:
-            following = next((t for _, t in body[at + 1 :] if t), None)
-            left = tokens[-1]
-            mark = left[-1]
-            if following:
-                is_break, word, (bad_left, bad_right) = reader.broken(left[:-1], mark, following[0])
+            if want_text:
+                whole = (_like(before.rstrip(HYPHENS), word) + tail) if word else (before.rstrip(HYPHENS) + ("" if joined else "-") + first)
+                if paragraphs[-1]:
+                    paragraphs[-1][-1] = whole
+            checked, carry = tokens[1:], None
+        if ends_broken:
+            ahead = next(((j, t) for j, t in body[at + 1 :] if t), None)
+            if ahead:
+                is_break, word, (bad_left, bad_right) = reader.broken(left[:-1], left[-1], ahead[1][0])
                 if bad_left:
                     noise.add((i + 1, "misread"))
                 if bad_right:
-                    noise.add((next(j for j, t in body[at + 1 :] if t) + 1, "misread"))
-                carry = (left, is_break, i, word)
+                    noise.add((ahead[0] + 1, "misread"))
+                carry = (left, is_break, word)
             else:
-                a = left[:-1].strip(_STRIP).lower()
-                is_break = mark in "¬­" or a not in reader.lexicon
+                is_break = left[-1] in "¬­" or left[:-1].strip(_STRIP).lower() not in reader.lexicon
             if is_break:
                 noise.add((i + 1, "hyphen_break"))
-            checked = checked[:-1] if checked else checked
-        fixed = list(checked)
-        for k, word in reader.misread(checked).items():
+            checked = checked[:-1]
+        wrong = reader.misread(checked)
+        if wrong:
             noise.add((i + 1, "misread"))
-            if word:
-                fixed[k] = _like(checked[k], word)
-        paragraphs[-1] += fixed
-        if m:
-            paragraphs[-1].append(tokens[-1])
+        if want_text:
+            paragraphs[-1] += [_like(t, wrong[k]) if wrong.get(k) else t for k, t in enumerate(checked)]
+            if ends_broken:
+                paragraphs[-1].append(left)
     return sorted(noise), "\n\n".join(" ".join(p) for p in paragraphs if p)
 
 
@@ -454,7 +485,13 @@ def _like(raw: str, word: str) -> str:
     return raw[:at] + word + raw[at + len(core) :]
 
 
-_INNER_BREAK = re.compile(rf"(?<!\S)(\S*[^\W\d_])([{HYPHENS}])\s+(\S+)|(?<!\S)(\S*[^\W\d_])([¬­])(?=[^\W\d_])(\S+)")
+_BROKEN = re.compile(r"[^\W\d_][-‐‑]\s(?!and |or |und |oder |et |ou |y )")
+
+
+def _maybe_broken(text: str) -> bool:
+    if "¬" in text or "­" in text:
+        return True
+    return ("- " in text or "‐" in text or "‑" in text or "-\n" in text) and _BROKEN.search(text) is not None
 
 
 def read_paragraph(reader: Reader, text: str, page: int | None, headers: set[str], numbers: dict) -> tuple[list[str], str]:
@@ -462,14 +499,15 @@ def read_paragraph(reader: Reader, text: str, page: int | None, headers: set[str
     kinds: set[str] = set()
     tokens = text.split()
     # headers: the key's words among the text's words
-    bones = [header_word(t.strip(_STRIP)) for t in tokens] if headers else []
     spans: list[tuple[int, int]] = []
     if headers:
-        full = [i for i, b in enumerate(bones) if b]
-        joined = " " + " ".join("#" if _NUMERIC.fullmatch(tokens[i].strip(_STRIP)) else bones[i] for i in full) + " "
+        known = _HEADER_WORDS
+        bones = [known[t] if t in known else header_word(t) for t in tokens]
+        joined = f" {' '.join([b for b in bones if b])} "
         for key in headers:
             at = joined.find(f" {key} ") if " " in key and len(key) >= 10 else -1
             if at >= 0:
+                full = [i for i, b in enumerate(bones) if b]
                 first = joined.count(" ", 0, at)
                 start, end = full[first], full[first + key.count(" ")]
                 if end + 1 < len(tokens) and re.fullmatch(r"(?:19|20)\d\d", tokens[end + 1].strip(_STRIP)):
@@ -483,10 +521,12 @@ def read_paragraph(reader: Reader, text: str, page: int | None, headers: set[str
         if found:
             kinds.add("page_number")
             inside |= set(found)
-    rest = [t for i, t in enumerate(tokens) if i not in inside]
+    rest = [t for i, t in enumerate(tokens) if i not in inside] if inside else tokens
     fixed: list[str] = []
     i = 0
     joined_at: set[int] = set()
+    if not _maybe_broken(text):
+        fixed, i = rest, len(rest)
     while i < len(rest):
         t = rest[i]
         core = t.rstrip()
@@ -535,16 +575,24 @@ _INLINE = (
 )
 
 
+_NUMBER_SIGNS = ("[", "(", "/", "|", "¦", "- ", "— ", "– ", "age ", "agc ", "eite ", "ágina ", "agina ", "p. ", "P. ", "S. ", "pg. ", "pág. ", " of ", " von ", " sur ")
+_MAYBE_INLINE = re.compile(
+    r"[\[(][0-9lIOSBZ]+[\])]|[0-9lIOSBZ] ?[/|¦]| [-–—] [0-9lIOSBZ]|(?:[Pp]ag[ec]|[Ss]eite|[Pp][áa]gina|\b[PpS]\.|pg\.|pág\.) [0-9lIOSBZ]|[0-9lIOSBZ] (?:of|von|sur|de) [0-9lIOSBZ]|^[-–—] [0-9lIOSBZ]"
+)
+
+
 def _printed(reader: Reader, tokens: list[str], page: int, deltas: set[int], bare: set[int], taken: set[int]) -> list[int]:
     """Positions of a page number that interrupts running text; none if it may be part of a sentence.
 
     The number must be the one the report prints on this page; where the pages print none, it must come after the
     actual number and stand between words that follow each other elsewhere.
     """
-    wanted = {page + d for d in deltas}
+    bare_here = [n for d in bare if (n := str(page + d)) in tokens]
     line = " ".join(tokens)
-    if not any(c.isdigit() for c in line):
+    signs = any([c in line for c in _NUMBER_SIGNS])
+    if not bare_here and not (signs and _MAYBE_INLINE.search(line)):
         return []
+    wanted = {page + d for d in deltas}
     starts, at = {}, 0
     for i, t in enumerate(tokens):
         starts[at] = i
@@ -567,7 +615,7 @@ def _printed(reader: Reader, tokens: list[str], page: int, deltas: set[int], bar
             if int(value) in wanted or (not wanted and page <= int(value) <= page + 200 and interrupts(i, j)):
                 return list(range(i, j))
     for i, raw in enumerate(tokens):
-        if i not in taken and raw[:1].isdigit() and raw.isdigit() and int(raw) - page in bare and interrupts(i, i + 1):
+        if i not in taken and raw in bare_here and interrupts(i, i + 1):
             return [i]
     return []
 
@@ -594,7 +642,7 @@ def _read_all(pages: DataFrame, paragraphs: DataFrame, want_text: bool) -> DataF
                 own = set(headers) if headers is not None else set()
                 styles = {(x["style"], x["delta"]): x["pages"] for x in numbers} if numbers is not None else {}
                 if table == "page_text":
-                    found, repaired = read_page(reader, text, page, own, styles)
+                    found, repaired = read_page(reader, text, page, own, styles, want_text)
                 else:
                     kinds, repaired = read_paragraph(reader, text, page, own, styles)
                     found = [(0, k) for k in kinds]
