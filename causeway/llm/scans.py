@@ -33,7 +33,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.sources.checkpoints import cut_lineage
@@ -76,6 +76,7 @@ _MAYBE_NUMBER = re.compile(r"\d|^[ivxlc]+$|^[lIOSBZ]{1,4}\b|\b[lIOSBZ]{1,4}$")
 _NUMERIC = re.compile(r"[0-9lIOSBZ]*[0-9][0-9lIOSBZ]*")
 _PLAIN_NUMBER = re.compile(r"[-+±~]?[$€£]?\d+(?:[.,:/’']\d+)*\.?[%°]?|\d+(?:st|nd|rd|th|er|e|o|a|\.)")
 _LIKE_NUMBER = re.compile(r"(?=.*\d)[0-9lIOSBZiozsbg|!@]+(?:[.,][0-9lIOSBZiozsbg|!@]+)*%?")
+_FOUR_LETTERS = re.compile(r"(?:[\W\d_]*[^\W\d_]){4}")
 _SECTION = re.compile(r"[A-Z]+\d*-\d+\b")
 _STRIP = " .,;:()[]{}\"'“”„«»‘’?…·•—–/|<>*_"
 
@@ -134,7 +135,7 @@ def header_like(line: str) -> bool:
         and (line[0].isupper() or line[0].isdigit() or not line[0].isalnum())
         and line[-1] not in ".;:," + HYPHENS
         and not _SECTION.match(line)
-        and sum(c.isalpha() for c in line) >= 4
+        and _FOUR_LETTERS.match(line) is not None
     )
 
 
@@ -183,9 +184,10 @@ def report_edges(pages: DataFrame) -> DataFrame:
         pages.select("report_id", "page", "text").mapInPandas(_edge_batches, _EDGE_SCHEMA)
         .groupBy("report_id", "kind", "key", "delta").agg(F.sum("pages").alias("pages"))
     )
-    totals = counted.where("kind = 'page'").select("report_id", F.col("pages").alias("all_pages"))
+    of_report = Window.partitionBy("report_id")
+    counted = counted.withColumn("all_pages", F.max(F.when(F.col("kind") == "page", F.col("pages"))).over(of_report))
     enough = F.col("pages") >= F.greatest(F.lit(HEADER_LEAST), HEADER_SHARE * F.col("all_pages"))
-    kept = counted.where("kind <> 'page'").join(totals, "report_id").where(enough & ((F.col("kind") == "number") | (F.length("key") >= 4)))
+    kept = counted.where(enough & ((F.col("kind") == "number") | ((F.col("kind") == "header") & (F.length("key") >= 4))))
     return kept.groupBy("report_id").agg(
         F.collect_list(F.when(F.col("kind") == "header", F.col("key"))).alias("headers"),
         F.collect_list(F.when(F.col("kind") == "number", F.struct(F.col("key").alias("style"), "delta", "pages"))).alias("numbers"),
@@ -193,35 +195,39 @@ def report_edges(pages: DataFrame) -> DataFrame:
 
 
 def _count_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words: Counter = Counter()
     pairs: Counter = Counter()
-
-    def numeric(word: str) -> bool:
-        return not word.isalpha() and _PLAIN_NUMBER.fullmatch(word) is not None
+    bare: dict[str, str] = {}
+
+    def plain(word: str) -> str:
+        """The word without punctuation; empty for numbers."""
+        got = bare.get(word)
+        if got is None:
+            got = word if word.isalpha() else word.strip(_STRIP)
+            if not got.isalpha() and (not got or _PLAIN_NUMBER.fullmatch(got) or _LIKE_NUMBER.fullmatch(got)):
+                got = ""
+            bare[word] = got
+        return got
 
     def flush() -> pd.DataFrame:
-        merged: Counter = Counter()
-        bare = {}
-        for w in words:
-            bare[w] = w.strip(_STRIP)
-        for w, n in words.items():
-            if bare[w] and not numeric(bare[w]) and not _LIKE_NUMBER.fullmatch(bare[w]):
-                merged[bare[w], ""] += n
+        merged: dict[tuple[str, str], int] = {}
         for (a, b), n in pairs.items():
-            a, b = bare.get(a), bare.get(b)
-            if a and b and not numeric(a) and not numeric(b):
-                merged[a, b] += n
-        words.clear()
+            a = plain(a)
+            if a:
+                merged[a, ""] = merged.get((a, ""), 0) + n
+                b = plain(b)
+                if b:
+                    merged[a, b] = merged.get((a, b), 0) + n
         pairs.clear()
+        bare.clear()
         return pd.DataFrame([(*k, n) for k, n in merged.items()], columns=["a", "b", "n"])
 
     for frame in frames:
         for text in frame["text"]:
             if isinstance(text, str):
                 tokens = text.lower().split()
-                words.update(tokens)
+                tokens.append("")
                 pairs.update(zip(tokens, tokens[1:]))
-        if len(pairs) > 250_000:
+        if len(pairs) > 400_000:
             yield flush()
     yield flush()
 
@@ -575,7 +581,8 @@ _INLINE = (
 )
 
 
-_NUMBER_SIGNS = ("[", "(", "/", "|", "¦", "- ", "— ", "– ", "age ", "agc ", "eite ", "ágina ", "agina ", "p. ", "P. ", "S. ", "pg. ", "pág. ", " of ", " von ", " sur ")
+_NUMBER_SIGNS = ("[", "(", "/", "|", "¦", " - ", "— ", "– ", "age ", "agc ", "eite ", "ágina ", "agina ", "p. ", "P. ", "S. ", "pg. ", "pág. ")
+_OF = re.compile(r"[0-9lIOSBZ] (?:of|von|sur|de) [0-9lIOSBZ]")
 _MAYBE_INLINE = re.compile(
     r"[\[(][0-9lIOSBZ]+[\])]|[0-9lIOSBZ] ?[/|¦]| [-–—] [0-9lIOSBZ]|(?:[Pp]ag[ec]|[Ss]eite|[Pp][áa]gina|\b[PpS]\.|pg\.|pág\.) [0-9lIOSBZ]|[0-9lIOSBZ] (?:of|von|sur|de) [0-9lIOSBZ]|^[-–—] [0-9lIOSBZ]"
 )
@@ -589,8 +596,8 @@ def _printed(reader: Reader, tokens: list[str], page: int, deltas: set[int], bar
     """
     bare_here = [n for d in bare if (n := str(page + d)) in tokens]
     line = " ".join(tokens)
-    signs = any([c in line for c in _NUMBER_SIGNS])
-    if not bare_here and not (signs and _MAYBE_INLINE.search(line)):
+    signs = any([c in line for c in _NUMBER_SIGNS]) or line.startswith("- ")
+    if not bare_here and not (signs and _MAYBE_INLINE.search(line)) and not _OF.search(line):
         return []
     wanted = {page + d for d in deltas}
     starts, at = {}, 0
