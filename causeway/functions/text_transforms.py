@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from causeway.functions.patterns import replace, strip, unicode
 from causeway.functions.text_predicates import is_allcaps_block, is_navigation_line, is_page_number_line
@@ -22,12 +23,13 @@ CROSS_REFERENCES = (
 SUBSECTION = r"((?:GOV|SBM|IRO|BP|MDR|E[1-5]|S[1-4]|G1)-\d+)\s*[-–—]\s*([^.]+)"
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
+def _compose(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t).replace("\u00a0", " "), na_action="ignore")
+
+
+def nfkc(text: Column) -> Column:
     """STR-1: Unicode compatibility composition, no-break spaces as spaces."""
-    return text.map(
-        lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t).replace(" ", " "), na_action="ignore"
-    )
+    return F.pandas_udf(_compose, T.StringType())(text)
 
 
 def control_characters(text: Column) -> Column:

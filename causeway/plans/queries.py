@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from causeway.operators import nested_records, redelivery, schema_drift
+from causeway.plans import report_queries
 from causeway.sources import read_table
 
 
@@ -67,3 +68,7 @@ SQL = {
     "p3_kept": f"SELECT * EXCLUDE (rn, id_e, id_m) FROM ({_P3_RANKED}) WHERE rn = 1",
     "p3_copies": f"SELECT deliveries, count(*) AS identifiers FROM (SELECT id_e, id_m, count(*) AS deliveries FROM ({_P3_RANKED}) WHERE id_e <> '' GROUP BY id_e, id_m) GROUP BY deliveries",
 }
+
+for _module in (report_queries,):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
