@@ -33,10 +33,13 @@ def _line_flag(test):
 
 
 def _surviving(spark, sf) -> DataFrame:
-    return read_table(spark, sf, "paragraph_text").select("para_id", "report_id", "page", "para_pos", "text").where(P.keeps_paragraph(F.col("text")))
+    """Lines of the pages in the place of paragraphs: there the headings stand alone."""
+    pages = read_table(spark, sf, "page_text")
+    lines = pages.select("page_row_id", "report_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+    return lines.where(P.is_long_enough(F.col("text"), 30) & ~P.is_non_narrative(F.col("text")))
 
 
-ORDER = ["page", "para_pos", "para_id"]
+ORDER = ["page", "page_row_id", "line_no"]
 
 
 def _tagged(spark, sf) -> DataFrame:
@@ -53,8 +56,8 @@ def str_12_sentences(spark, sf):
 
 
 def sec_1_section(spark, sf):
-    rows = read_table(spark, sf, "paragraph_text").select("para_id", S.detect_section(F.col("text")).alias("s"))
-    return rows.where("s IS NOT NULL").select("para_id", "s.section", "s.category", "s.section_name")
+    rows = _lines(spark, sf).select("page_row_id", "line_no", S.detect_section(F.col("line")).alias("s"))
+    return rows.where("s IS NOT NULL").select("page_row_id", "line_no", "s.section", "s.category", "s.section_name")
 
 
 def _page_lines_as_paragraphs(spark, sf):
@@ -71,7 +74,7 @@ def sec_3_parents(spark, sf):
 
 
 def sec_4_forward_fill(spark, sf):
-    return _tagged(spark, sf).select("para_id", "tag_section", "tag_category", "tag_section_name", "tag_subsection", "tag_subsection_title")
+    return _tagged(spark, sf).select("page_row_id", "line_no", "tag_section", "tag_category", "tag_section_name", "tag_subsection", "tag_subsection_title")
 
 
 def _records(spark, sf):
@@ -343,6 +346,20 @@ def _sub_sql(source: str, text: str, keys: str) -> str:
 
 _SEC2 = _sub_sql(_LINES, "line", "page_row_id, CAST(line_no AS INT) AS line_no")
 
+_HEAD2 = f"substring({strip('text')}, 1, 200)"
+_MARKED = f"""SELECT *, CASE WHEN regexp_matches({_HEAD2}, {q(_SUB)}) THEN upper(regexp_extract({_HEAD2}, {q(_SUB)}, 1)) END AS code,
+    CASE WHEN regexp_matches({_HEAD2}, {q(_SUB)}) THEN {_title(f'regexp_extract({_HEAD2}, {q(_SUB)}, 2)')} END AS title,
+    substring({strip('text')}, 1, 100) AS h FROM (
+    SELECT page_row_id, report_id, page, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS line_no, unnest(string_split(text, chr(10))) AS text FROM page_text)
+    WHERE length({strip('text')}) >= 30 AND NOT {non_narrative('text')}"""
+_FILLED = ", ".join(
+    f"coalesce(last_value(coalesce({_case_section('h', k)}, {_case_parent('code', k)}) IGNORE NULLS) OVER w, {q(S.SECTIONS[0][k])}) AS {n}"
+    for k, n in ((1, "tag_section"), (2, "tag_category"), (3, "tag_section_name"))
+)
+_TAGGED = f"""SELECT page_row_id, report_id, page, line_no, text, {_FILLED}, last_value(code IGNORE NULLS) OVER w AS tag_subsection,
+    last_value(title IGNORE NULLS) OVER w AS tag_subsection_title FROM ({_MARKED})
+    WINDOW w AS (PARTITION BY report_id ORDER BY page, page_row_id, line_no ROWS UNBOUNDED PRECEDING)"""
+
 SQL = {
     "txt_1_allcaps": _line_sql(allcaps("line")),
     "txt_2_contents_page": _flag_sql(PAGE, contents_page("text")),
@@ -370,8 +387,13 @@ SQL = {
     "str_12_sentences": f"SELECT para_id, CAST(generate_subscripts(s, 1) - 1 AS INT) AS pos, unnest(s) AS sentence FROM (SELECT para_id, {_sentences('text')} AS s FROM paragraph_text)",
     "str_13_titles": _text_sql(PARA, _title("text")),
     "str_14_file_safe": "SELECT concept_id, translate(translate(label, ' :/', '___'), '.()', '') AS name FROM concepts",
-    "sec_1_section": f"""SELECT * FROM (SELECT para_id, {_case_section('h', 1)} AS section, {_case_section('h', 2)} AS category, {_case_section('h', 3)} AS section_name
-        FROM (SELECT para_id, substring({strip('text')}, 1, 100) AS h FROM paragraph_text)) WHERE section IS NOT NULL""",
+    "sec_1_section": f"""SELECT * FROM (SELECT page_row_id, CAST(line_no AS INT) AS line_no, {_case_section('h', 1)} AS section, {_case_section('h', 2)} AS category, {_case_section('h', 3)} AS section_name
+        FROM (SELECT page_row_id, line_no, substring({strip('line')}, 1, 100) AS h FROM ({_LINES}))) WHERE section IS NOT NULL""",
     "sec_2_subsection": _SEC2,
+    "sec_4_forward_fill": f"SELECT page_row_id, line_no, tag_section, tag_category, tag_section_name, tag_subsection, tag_subsection_title FROM ({_TAGGED})",
+    "sec_5_records": f"""WITH p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY page, page_row_id, line_no) AS para_no FROM ({_TAGGED})),
+        s AS (SELECT report_id, para_no, unnest({_sentences('text')}) AS text, generate_subscripts({_sentences('text')}, 1) AS k FROM p)
+        SELECT report_id, CAST(para_no AS INT) AS para_no, CAST(NULL AS INT) AS sent_no, text FROM p UNION ALL
+        SELECT report_id, CAST(para_no AS INT), CAST(row_number() OVER (PARTITION BY report_id ORDER BY para_no, k) AS INT), text FROM s WHERE {good_sentence('text')}""",
     "sec_3_parents": f"SELECT code, {_case_parent('code', 1)} AS section, {_case_parent('code', 2)} AS category, count(*) AS n FROM ({_SEC2}) GROUP BY ALL",
 }
