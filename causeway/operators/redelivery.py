@@ -1,9 +1,10 @@
 """Exactly one copy of every message that was delivered at least once.
 
-The identifier is hashed on the executors that hold the rows: ``min_by`` over a struct of
-delivery time and row key is an ordinary hash aggregate with map-side partial aggregation, so
+The identifier is hashed on the executors that hold the rows: ``min_by`` over the struct of
+delivery time and row key is an aggregate with map-side partial aggregation, so
 an identifier that holds a third of all rows shrinks to one partial row per task before the
-shuffle. The surplus rows are then the rows whose key was not kept, an anti join on the unique
+shuffle. The struct is packed into one decimal of fixed width, in the same order: on a struct
+proper Spark would fall back from hash to sort aggregation. The surplus rows are then the rows whose key was not kept, an anti join on the unique
 row key, which spreads evenly whatever the identifiers look like.
 
 Defined results: rows whose ``required`` identifier column is null (or blank) are never copies of
@@ -15,6 +16,7 @@ are the same delivery. Empty input gives empty output; further columns pass thro
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +30,19 @@ def identifier(column: str) -> Column:
     return F.lower(F.regexp_replace(F.col(column), _EDGE_SPACE, ""))
 
 
+def packed_order(at: Column, row: Column) -> Column:
+    """(time, integer key) as one number that orders alike; a null time comes after all others.
+
+    Timestamps of the years 1 to 9999 stay within 3e17 microseconds of the epoch, keys within 64 bits.
+    """
+    late, offset, width = 8 * 10**17, 3 * 10**17, 2**64
+    micros = (F.coalesce(F.unix_micros(at), F.lit(late)) + F.lit(offset)).cast("decimal(19,0)")
+    return micros * F.lit(Decimal(width)) + (row.cast("decimal(19,0)") + F.lit(Decimal(width // 2)))
+
+
 def kept_keys(df: DataFrame, keys: Sequence[str], required: str, delivered: str, row_key: str) -> DataFrame:
     """The ``row_key`` of the earliest delivery of each identifier (rows with ``required`` only)."""
-    order = F.struct(
-        F.col(delivered).isNull().alias("late"), F.col(delivered).alias("at"), F.col(row_key).alias("row")
-    )
+    order = packed_order(F.col(delivered), F.col(row_key))
     named = [identifier(k).alias(f"__id{i}") for i, k in enumerate(keys)]
     rows = df.select(*named, F.col(row_key).alias("__row"), order.alias("__order"))
     rows = rows.where(F.col(f"__id{list(keys).index(required)}") != "")
@@ -62,8 +72,11 @@ def deduplicate(
     row_key: str = "row_id",
 ) -> DataFrame:
     """All rows of ``df`` without the surplus deliveries, with every column."""
-    extra = surplus(df, keys, required, delivered, row_key).select(F.col(row_key).alias("__surplus"))
-    return df.join(extra, F.col(row_key) == F.col("__surplus"), "left_anti")
+    name = "__surplus"
+    while name in df.columns:
+        name += "_"
+    extra = surplus(df, keys, required, delivered, row_key).select(F.col(row_key).alias(name))
+    return df.join(extra, F.col(row_key) == F.col(name), "left_anti")
 
 
 def copies_per_identifier(

@@ -324,5 +324,6 @@ def consistent_table(lines: DataFrame) -> DataFrame:
         .groupBy("series")
         .applyInPandas(_lineage, "series STRING, run_no INT, names MAP<STRING, STRING>")
     )
-    joined = lines.join(names, ["series", "run_no"], "left")
+    own = lines.select("line_id", "series", "run_no", "record_json")
+    joined = own.join(names, ["series", "run_no"], "left")
     return joined.select("line_id", "series", "run_no", "record_json", "names").mapInPandas(_project_batches, _TABLE_SCHEMA)

@@ -69,7 +69,7 @@ def _surgery(s, d):
 
 
 def _separation(s, d):
-    """MET-20: for every true graph the linked node pairs that are d-separated given nothing."""
+    """MET-20: for every true graph the linked node pairs x < y that one linked node z separates."""
     truth, _, n = _edges(s, d)
     rows = M.masks(truth, KEY, n)
 
@@ -82,10 +82,10 @@ def _separation(s, d):
                 own = [int(x) for x in adjacency]
                 parent = M.transpose(own)
                 nodes = [v for v in range(len(own)) if own[v] or parent[v]]
-                out += [(key, x, y) for x in nodes for y in nodes if x < y and M.d_separated(parent, x, y, 0)]
-            yield pd.DataFrame(out, columns=[KEY, "x", "y"])
+                out += [(key, x, y, z) for x in nodes for y in nodes for z in nodes if x < y and z not in (x, y) and M.d_separated(parent, x, y, 1 << z)]
+            yield pd.DataFrame(out, columns=[KEY, "x", "y", "z"])
 
-    return rows.mapInPandas(batches, f"{KEY} BIGINT, x INT, y INT")
+    return rows.mapInPandas(batches, f"{KEY} BIGINT, x INT, y INT, z INT")
 
 
 METRIC_NAMES = ["tp", "fp", "fn", "tn", "adj_f1", "ori_f1", "ori_f1_full", "shd_strict", "shd_reversal", "mcc", "accuracy", "exact_match"]
@@ -272,6 +272,8 @@ def _macro_sql(compound: bool) -> str:
     return _with(f"SELECT {_MODEL} AS model, count(*) AS n_graphs, {means} FROM m JOIN dag_results d USING (result_id) GROUP BY 1", compound, _metric_ctes(compound))
 
 
+#: The columns of the edge summary in the test tables.
+MODELS = ("ground truth", "brisa2.6:11b", "marlo2:7b", "opal-r2:12b", "quill1.4:7b", "quill1.4:7b-instruct", "tarn2:e6b")
 _REACH = "r AS (SELECT result_id, i, j FROM p UNION SELECT r.result_id, r.i, p.j FROM r JOIN p ON r.result_id = p.result_id AND r.j = p.i)"
 _ALL = (
     "tp", "fp", "fn", "tn", "tp_skeleton", "fp_skeleton", "fn_skeleton", "tn_skeleton", "ori_correct_on_shared", "ori_shared_skeleton_count",
@@ -327,5 +329,7 @@ SQL = {
     "agg_9_macro": _macro_sql(False),
     "agg_9_macro_compound": _macro_sql(True),
     "snk_3_matrix": _with(f"SELECT idx, node, {', '.join(f'count(*) FILTER (WHERE j = {k}) AS to_{k}' for k in range(34))} FROM (SELECT DISTINCT idx, node FROM v) LEFT JOIN t ON idx = i GROUP BY ALL"),
+    "snk_5_status_summary": _with(f"SELECT {_MODEL} AS model, count(*) AS n_records, {', '.join(f"count(*) FILTER (WHERE status = '{x}') AS n_{x}" for x in G.STATUSES)}, count(*) FILTER (WHERE error IS NOT NULL AND status IS NULL) AS n_error FROM dag_results GROUP BY 1 UNION ALL SELECT 'ground truth', count(DISTINCT result_id), NULL, NULL, NULL, NULL, NULL FROM t"),
+    "snk_6_edge_summary": _with(f"SELECT i, j, {', '.join(f"count(*) FILTER (WHERE model = '{m}') AS n_" + ''.join(c if c.isalnum() else '_' for c in m) for m in MODELS)} FROM (SELECT i, j, 'ground truth' AS model FROM t UNION ALL SELECT i, j, {_MODEL} FROM p JOIN dag_results USING (result_id)) GROUP BY i, j ORDER BY i, j"),
     "snk_8_transposed": f"SELECT model, metric, value FROM ({_macro_sql(False)}) UNPIVOT (value FOR metric IN ({', '.join(f'{m}_mean' for m in METRIC_NAMES)}))",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from causeway.operators import nested_records, redelivery, schema_drift
-from causeway.plans import answer_queries, graph_queries, lexicon_queries, report_queries
+from causeway.plans import answer_queries, graph_queries, io_queries, lexicon_queries, report_queries
 from causeway.sources import read_table
 
 
@@ -69,6 +69,6 @@ SQL = {
     "p3_copies": f"SELECT deliveries, count(*) AS identifiers FROM (SELECT id_e, id_m, count(*) AS deliveries FROM ({_P3_RANKED}) WHERE id_e <> '' GROUP BY id_e, id_m) GROUP BY deliveries",
 }
 
-for _module in (report_queries, lexicon_queries, answer_queries, graph_queries):
+for _module in (report_queries, lexicon_queries, answer_queries, graph_queries, io_queries):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
