@@ -59,7 +59,7 @@ def test_blocks_and_metric_text(spark):
     got = dict(rows(sinks.stacked_blocks(graphs, edges, "k", 2)))
     assert got[1] == "excerpt_id: e\nfirm: \nstatus: ok\n0,1\n0,0\n" and got[2].endswith("0,0\n0,0\n")
     df = spark.createDataFrame([(1, 0.12345, None, 7), (2, 2.0, 1.0, None)], "k INT, a DOUBLE, b DOUBLE, c INT")
-    assert rows(sinks.metric_text(df, ["k"])) == [(1, "0.1234", "", "7"), (2, "2.0000", "1.0000", "")]
+    assert rows(sinks.metric_text(df, ["k"])) == [(1, "0.1235", "", "7"), (2, "2.0000", "1.0000", "")]
 
 
 def test_sinks(spark, tmp_path):
