@@ -10,6 +10,9 @@ Weights are rounded to multiples of 1 / PERIOD (largest remainders), so the sche
 after PERIOD slots: only one period, a table of PERIOD rows whatever the data, is computed on
 the driver; the slot of any block follows by arithmetic.
 
+Documents longer than a block come last in each round, so that they are used only where the others do not
+suffice; a document is used if that brings its source nearer to what is needed, so each source ends within half a document of it.
+
 Scale: tokens are counted in one Arrow pass and cut off by a checkpoint, since two consumers read them.
 A source may hold a third of all rows, so its running total is a two-level prefix sum: totals per
 (source, hash bucket), a window over these few, then a window within each bucket.
@@ -92,9 +95,8 @@ def sizes(documents: DataFrame, targets: DataFrame, directory: str | None = None
     # the targets are a fixed list of a few sources
     rows = token_counts(rows.join(F.broadcast(listed), "source", "left_semi"), directory=directory)
     order = F.xxhash64("doc_id", F.lit("mix"))
-    return rows.where("n_tokens > 0").select(
-        "doc_id", "source", order.alias("order"), F.pmod(order, F.lit(BUCKETS)).cast("int").alias("bucket"), "n_tokens"
-    )
+    bucket = F.pmod(order, F.lit(BUCKETS)).cast("int") + F.when(F.col("n_tokens") > BLOCK_TOKENS, BUCKETS).otherwise(0)
+    return rows.where("n_tokens > 0").select("doc_id", "source", order.alias("order"), bucket.alias("bucket"), "n_tokens")
 
 
 def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> tuple[DataFrame, list[tuple]]:
@@ -145,7 +147,9 @@ def mix_index(
         .join(F.broadcast(schedule.select("source", "repeats", "available", "needed")), "source")
     )
     start = F.col("bucket_start") + F.col("ahead")
-    rounds = F.least(F.col("repeats"), F.ceil((F.col("needed") - start) / F.col("available")).cast("int"))
+    # a use counts if it brings the source nearer to what is needed of it
+    spare = F.col("needed") - start - F.col("n_tokens") / 2
+    rounds = F.least(F.col("repeats"), (F.floor(spare / F.col("available")) + 1).cast("int"))
     copies = (
         placed.withColumn("start", start)
         .where(rounds > 0)

@@ -159,6 +159,13 @@ def read_word(raw: str) -> tuple[list[str], bool]:
     return _LETTERS.findall(core), False
 
 
+def _spelled(letters: list[str]) -> list[str]:
+    """The one or two hidden words that single letters spell; none if they spell none."""
+    joined = "".join(letters)
+    halves = ([joined[:k], joined[k:]] for k in range(3, len(joined) - 2))
+    return next((h for h in halves if all(map(_hidden, h))), [joined] if _hidden(joined) else [])
+
+
 def sentences(text: str) -> Iterator[tuple[list[str], int]]:
     """(words, disguised words) of each sentence of a cleaned text; signs and numbers between words are passed over."""
     words: list[str] = []
@@ -171,10 +178,9 @@ def sentences(text: str) -> Iterator[tuple[list[str], int]]:
             single.append(core)
             words.append(core)
         if len(single) >= 3 and (not alone or core != raw):
-            joined = "".join(single)
-            if _hidden(joined):
+            if spelled := _spelled(single):
                 del words[-len(single) :]
-                words.append(joined)
+                words += spelled
                 disguised += 1
         if alone and core == raw:
             continue
@@ -194,8 +200,8 @@ def sentences(text: str) -> Iterator[tuple[list[str], int]]:
             if words:
                 yield words, disguised
             words, disguised = [], 0
-    if len(single) >= 3 and _hidden("".join(single)):
-        words = words[: -len(single)] + ["".join(single)]
+    if len(single) >= 3 and (spelled := _spelled(single)):
+        words = words[: -len(single)] + spelled
         disguised += 1
     if words:
         yield words, disguised

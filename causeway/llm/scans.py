@@ -312,7 +312,7 @@ class Reader:
         if word is None:
             return math.log(UNKNOWN)
         low = core.lower()
-        changed = max(1, sum(a != b for a, b in zip(low, word)) if len(low) == len(word) else 1 + abs(len(low) - len(word)))
+        changed = max(1, sum(a != b for a, b in zip(low, word)) if len(low) == len(word) else abs(len(low) - len(word)))
         return min(changed, 4) * math.log(CONFUSION)
 
     def _step(self, before: str | None, word: str | None) -> float:
