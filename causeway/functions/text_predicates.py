@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from causeway.functions.patterns import all_matches, letters, lines, matches, occurrences, strip, words
+from causeway.functions.patterns import SPACE, all_matches, bind, holds_any, letters, lines, matches, occurrences, strip, words
 
 # Patterns of the report cleaner.
 NAVIGATION_TITLES = (
@@ -47,24 +47,29 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 def is_allcaps_block(text: Column) -> Column:
     """TXT-1: at least 20 characters, more than 80 % of the letters upper case."""
-    own = strip(_own(text))
-    upper = F.regexp_count(own, F.lit(r"\p{Lu}"))
-    return (F.length(own) >= 20) & (letters(own) > 0) & (_ratio(upper, letters(own)) > 0.80)
+    def test(own: Column) -> Column:
+        upper = F.regexp_count(own, F.lit(r"\p{Lu}"))
+        return (F.length(own) >= 20) & (letters(own) > 0) & (_ratio(upper, letters(own)) > 0.80)
+
+    return bind(strip(_own(text)), test)
 
 
 def is_contents_page(text: Column) -> Column:
     """TXT-2: tables of contents, indexes, and diagram pages without sentences."""
     own = _own(text)
+
+    def listed(rows: Column) -> Column:
+        entries = F.size(F.filter(rows, lambda x: matches(x, r"^.{5,}\s+\d{1,4}\s*$")))
+        return (entries > 5) & (_ratio(entries, F.size(rows)) > 0.3)
+
     rows = F.transform(lines(strip(own)), strip)
-    n_lines = F.when(strip(own) == "", 0).otherwise(F.size(rows))
-    entries = F.size(F.filter(rows, lambda x: matches(x, r"^.{5,}\s+\d{1,4}\s*$")))
     numbered = F.size(F.filter(rows, lambda x: matches(x, r"ESRS\s+[A-Z]\d.*\d{2,3}")))
     return (
-        (n_lines == 0)
-        | ((entries > 5) & (_ratio(entries, n_lines) > 0.3))
+        (strip(own) == "")
+        | bind(rows, listed)
         | (occurrences(own, r"(?:►|ESRS\s+[A-Z]\d|[ESGB][1-5][\-,])") > 10)
         | matches(own, r"ESRS\s+Index")
-        | ((F.length(own) > 500) & (occurrences(own, r"[A-Za-z]{10,}[^.]*\.\s") < 3))
+        | ((F.length(own) > 500) & (occurrences(own, r"[A-Za-z]{10}[^.]*+\.\s") < 3))
         | (numbered >= 5)
     )
 
@@ -76,78 +81,99 @@ def is_navigation_line(text: Column) -> Column:
 
 def is_scrambled_table(text: Column) -> Column:
     """TXT-4: text merged from table columns, diagrams or policy tables."""
-    own = strip(_own(text))
-    parts = words(own)
-    n_words = F.size(parts)
-    short = F.size(F.filter(parts, lambda w: F.length(w) <= 2))
-    pieces = F.split(own, r"(?U)\s{3,}", -1)
-    thin = F.size(F.filter(pieces, lambda p: F.size(words(p)) <= 3))
-    sentences = F.split(own, r"(?U)[.!?]\s+", -1)
-    # the lengths of the sentences add up to that of the text without the separators
-    total = F.aggregate(sentences, F.lit(0), lambda n, s: n + F.length(s))
-    titled = occurrences(own, r"(?<!\. )[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?(?=\s+[A-Z])")
-    return (
-        (own == "")
-        | ((n_words > 10) & (_ratio(short, n_words) > 0.4))
-        | ((occurrences(own, "[–—─]") > 5) & (F.length(own) < 500))
-        | ((F.size(pieces) > 6) & (thin > F.size(pieces) * 0.5))
-        | (occurrences(own, TOPIC_NAMES) >= 3)
-        | ((F.length(own) > 200) & (F.size(sentences) > 5) & (total / F.size(sentences) < 30))
-        | ((F.length(own) > 150) & (titled > 8))
-        | (occurrences(own, POLICY_TABLE_MARKERS, ignore_case=True) >= 2)
-        | matches(own, r"^Impacts,?\s+risks\s+and\s+opportunities\s+Impacts", ignore_case=True)
-        | (
-            matches(own, r"(?:Own\s+Operations|Executive\s+Company|Accessible\s+via)")
-            & matches(own, r"(?:Agreement|understanding|applies\s+to\s+all)")
+    def test(own: Column) -> Column:
+        parts = words(own)
+        n_words = F.size(parts)
+        short = F.size(F.filter(parts, lambda w: F.length(w) <= 2))
+        pieces = F.split(own, f"[{SPACE}]{{3,}}", -1)
+        thin = F.size(F.filter(pieces, lambda p: F.size(words(p)) <= 3))
+        sentences = F.split(own, f"[.!?][{SPACE}]+", -1)
+        # the lengths of the sentences add up to that of the text without the separators
+        total = F.aggregate(sentences, F.lit(0), lambda n, s: n + F.length(s))
+        titled = occurrences(own, r"(?<!\. )[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?(?=\s+[A-Z])")
+        return (
+            (own == "")
+            | ((n_words > 10) & (_ratio(short, n_words) > 0.4))
+            | ((occurrences(own, "[–—─]") > 5) & (F.length(own) < 500))
+            | ((F.size(pieces) > 6) & (thin > F.size(pieces) * 0.5))
+            | (
+                holds_any(own, "Disclosures", "Climate ", "Own ", "Business ", "Pollution", "Water and", "Biodiversity", "Resource ", "Affected ", "Consumers", "Workers in")
+                & (occurrences(own, TOPIC_NAMES) >= 3)
+            )
+            | ((F.length(own) > 200) & (F.size(sentences) > 5) & (total / F.size(sentences) < 30))
+            | ((F.length(own) > 150) & (titled > 8))
+            | (
+                bind(F.lower(own), lambda x: holds_any(x, "senior", "third-party", "policies", "content", "accessible", "agreement"))
+                & (occurrences(own, POLICY_TABLE_MARKERS, ignore_case=True) >= 2)
+            )
+            | (F.lower(F.substring(own, 1, 7)) == "impacts") & matches(own, r"^Impacts,?\s+risks\s+and\s+opportunities\s+Impacts", ignore_case=True)
+            | (
+                holds_any(own, "Operations", "Executive", "Accessible")
+                & matches(own, r"(?:Own\s+Operations|Executive\s+Company|Accessible\s+via)")
+                & matches(own, r"(?:Agreement|understanding|applies\s+to\s+all)")
+            )
         )
-    )
+
+    return bind(strip(_own(text)), test)
 
 
 def is_name_list(text: Column) -> Column:
     """TXT-5: lists of names and roles, or of committees."""
-    own = strip(_own(text))
-    entries = all_matches(own, NAME_ENTRY)
-    covered = F.aggregate(entries, F.lit(0), lambda n, e: n + F.length(e))
-    return ((F.size(entries) >= 3) & (covered > 0.5 * F.length(own))) | (occurrences(own, r"Committee[:\s]", ignore_case=True) >= 3)
+    def test(own: Column) -> Column:
+        entries = all_matches(own, NAME_ENTRY)
+        covered = F.aggregate(entries, F.lit(0), lambda n, e: n + F.length(e))
+        return ((F.size(entries) >= 3) & (covered > 0.5 * F.length(own))) | (occurrences(own, r"Committee[:\s]", ignore_case=True) >= 3)
+
+    return bind(strip(_own(text)), test)
 
 
 def is_non_narrative(text: Column) -> Column:
     """TXT-6: bullets, figures, percentages and verbless scraps."""
-    own = strip(_own(text))
-    size = F.length(own)
-    return (
-        (own == "")
-        | (matches(own, r"^[►\-–•]\s*.*$") & ~own.contains("\n") & (size < 60))
-        | ((letters(own) < 0.4 * size) & (size > 20))
-        | (occurrences(own, r"~?\d+\.?\d*%") >= 4)
-        | ((occurrences(own, r"\b\d+\.?\d*\b") >= 8) & (size < 300))
-        | ((size < 40) & ~matches(own, AUXILIARY_VERBS, ignore_case=True) & ~own.rlike("^[A-Z]"))
-    )
+    def test(own: Column) -> Column:
+        size = F.length(own)
+        return (
+            (own == "")
+            | (matches(own, r"^[►\-–•]\s*.*$") & ~own.contains("\n") & (size < 60))
+            | ((letters(own) < 0.4 * size) & (size > 20))
+            | (occurrences(own, r"~?\d+\.?\d*%") >= 4)
+            | ((occurrences(own, r"\b\d+\.?\d*\b") >= 8) & (size < 300))
+            | ((size < 40) & ~matches(own, AUXILIARY_VERBS, ignore_case=True) & ~own.rlike("^[A-Z]"))
+        )
+
+    return bind(strip(_own(text)), test)
 
 
 def is_garbled(text: Column) -> Column:
     """TXT-7: fragments of broken tables."""
-    own = strip(_own(text))
-    n_words = F.size(words(own))
-    return (
-        (own == "")
-        | ((n_words <= 5) & ~own.rlike(r"[.!?]$") & ~matches(own, COMMON_VERBS, ignore_case=True))
-        | (own.rlike(r"^\p{Ll}") & (n_words <= 8))
-        | matches(own, TABLE_CELL_MARKERS, ignore_case=True)
-        | matches(own, r"^Impact\s+stream\b", ignore_case=True)
-        | (matches(own, r"Up-\s+\w|Down-\s+\w|Long-\s+Up|Short-\s+Up") & (F.length(own) < 300))
-        | matches(own, r"\bSVP\b.*\bSOP\b|\bSOP\b.*\bSVP\b")
-        | (matches(own, r"Up(?:fresh|stream|term)|Down(?:stream|term)") & own.contains("n.a."))
-        | matches(own, r"(?:Classifi-|cation|horizon)\s+(?:level|chain)", ignore_case=True)
-        | matches(own, r"dependen-\s*(?:Negative|cies)", ignore_case=True)
-    )
+    def test(own: Column) -> Column:
+        n_words = F.size(words(own))
+        return (
+            (own == "")
+            | ((n_words <= 5) & ~own.rlike(r"[.!?]$") & ~matches(own, COMMON_VERBS, ignore_case=True))
+            | (own.rlike(r"^\p{Ll}") & (n_words <= 8))
+            | (bind(F.lower(own), lambda x: holds_any(x, "n.a.", "negative", "positive", "stream")) & matches(own, TABLE_CELL_MARKERS, ignore_case=True))
+            | (holds_any(own, "Up-", "Down-", "Long-", "Short-") & (F.length(own) < 300) & matches(own, r"Up-\s+\w|Down-\s+\w|Long-\s+Up|Short-\s+Up"))
+            | (own.contains("SVP") & own.contains("SOP") & matches(own, r"\bSVP\b.*\bSOP\b|\bSOP\b.*\bSVP\b"))
+            | (own.contains("n.a.") & matches(own, r"Up(?:fresh|stream|term)|Down(?:stream|term)"))
+            | (
+                bind(F.lower(own), lambda x: holds_any(x, " level", "\tlevel", "\nlevel", "chain", "dependen-"))
+                & (
+                    matches(own, r"(?:Classifi-|cation|horizon)\s+(?:level|chain)", ignore_case=True)
+                    | matches(own, r"dependen-\s*(?:Negative|cies)", ignore_case=True)
+                )
+            )
+        )
+
+    return bind(strip(_own(text)), test)
 
 
 def is_good_sentence(text: Column, least: int = 20, most: int = 2000) -> Column:
     """TXT-8: a sentence worth keeping."""
-    own = strip(_own(text))
-    size = F.length(own)
-    return size.between(least, most) & (letters(own) >= 0.5 * size) & ~own.rlike("^[►•]") & ~is_garbled(own)
+    def test(own: Column) -> Column:
+        size = F.length(own)
+        return size.between(least, most) & (letters(own) >= 0.5 * size) & ~own.rlike("^[►•]") & ~is_garbled(own)
+
+    return bind(strip(_own(text)), test)
 
 
 def is_page_number_line(text: Column) -> Column:

@@ -127,7 +127,7 @@ def sentences(text: Column) -> Column:
     A sentence ends at ``.``, ``!`` or ``?`` (with closing quotes or brackets) before white space and an upper-case
     letter, digit, quote or bracket. This is a rule in place of a statistical segmenter.
     """
-    marked = F.regexp_replace(text, r"([.!?][\"”’')\]]*)\s+(?=[\p{Lu}\d\"“(\[])", "$1\u0001")
+    marked = F.regexp_replace(text, unicode(r"([.!?][\"”’')\]]*+)\s+(?=[\p{Lu}\d\"“(\[])"), "$1\u0001")
     return F.filter(F.transform(F.split(marked, "\u0001", -1), strip), lambda s: s != "")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.functions.patterns import strip, unicode
+from causeway.functions.patterns import bind, strip, unicode
 from causeway.functions.text_predicates import is_good_sentence, is_long_enough, keeps_paragraph, is_contents_page
 from causeway.functions.text_transforms import SUBSECTION, clean, paragraphs, sentences, truncate_title
 
@@ -40,30 +40,36 @@ def _tag(row: tuple[str, str, str]) -> Column:
 
 def detect_section(text: Column) -> Column:
     """SEC-1: struct(section, category, section_name) of a heading within the first 100 characters, else null."""
-    head = F.substring(strip(text), 1, 100)
-    found = None
-    for pattern, *row in SECTIONS:
-        test = head.rlike(unicode(pattern, ignore_case=True))
-        found = F.when(test, _tag(tuple(row))) if found is None else found.when(test, _tag(tuple(row)))
-    return found
+    def of(head: Column) -> Column:
+        found = None
+        for pattern, *row in SECTIONS:
+            test = head.rlike(unicode(pattern, ignore_case=True))
+            found = F.when(test, _tag(tuple(row))) if found is None else found.when(test, _tag(tuple(row)))
+        return found
+
+    return bind(F.substring(strip(text), 1, 100), of)
 
 
 def detect_subsection(text: Column) -> Column:
     """SEC-2: struct(code, title) of a sub-section heading within the first 200 characters, else null."""
-    head = F.substring(strip(text), 1, 200)
-    pattern = F.lit(unicode(SUBSECTION, ignore_case=True))
-    code = F.upper(F.regexp_extract(head, unicode(SUBSECTION, ignore_case=True), 1))
-    title = truncate_title(F.regexp_extract(head, unicode(SUBSECTION, ignore_case=True), 2))
-    return F.when(F.regexp_like(head, pattern), F.struct(code.alias("code"), title.alias("title")))
+    pattern = unicode(SUBSECTION, ignore_case=True)
+
+    def of(head: Column) -> Column:
+        code, title = F.upper(F.regexp_extract(head, pattern, 1)), F.regexp_extract(head, pattern, 2)
+        return F.when(head.rlike(pattern), F.struct(code.alias("code"), bind(title, lambda t: truncate_title(t)).alias("title")))
+
+    return bind(F.substring(strip(text), 1, 200), of)
 
 
 def parent_section(code: Column) -> Column:
     """SEC-3: the section a sub-section code belongs to."""
-    prefix = F.regexp_extract(code, r"^([A-Z]+\d?)", 1)
-    found = F.when(prefix.isin(*GENERAL_PREFIXES), _tag(DEFAULT))
-    for _, *row in SECTIONS[1:-1]:
-        found = found.when(prefix == row[0], _tag(tuple(row)))
-    return found
+    def of(prefix: Column) -> Column:
+        found = F.when(prefix.isin(*GENERAL_PREFIXES), _tag(DEFAULT))
+        for _, *row in SECTIONS[1:-1]:
+            found = found.when(prefix == row[0], _tag(tuple(row)))
+        return found
+
+    return bind(F.regexp_extract(code, r"^([A-Z]+\d?)", 1), of)
 
 
 def tag_paragraphs(rows: DataFrame, document: str, order: list[str], text: str = "text") -> DataFrame:
