@@ -31,17 +31,17 @@ def mode_of(model: Column, soft: list[str], instruct: list[str]) -> Column:
 
 def build_prompts(passages: DataFrame, concepts: DataFrame, mode: str = "hard", text: str = "text") -> DataFrame:
     """PRS-2: passages with ``prompt``: task, the concept list, the answer form of the mode, and the passage."""
-    listed = concepts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("concept_id", "label"))), lambda c: F.concat(F.lit("- "), c["label"])), "\n").alias("__list"))
+    listed = concepts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("concept_id", "label"))), lambda c: F.concat(F.lit("- "), c["label"])), "\n").alias("__list")).scalar()
     form = {
         "hard": "Give one line CAUSE -> EFFECT per relation and nothing else, or NONE if there is none.",
         "soft": "You may reason first. End with one line FINAL: CAUSE -> EFFECT per relation, or FINAL: NONE.",
     }["soft" if mode == "soft" else "hard"]
     tail = "\n\n/no_think" if mode == "instruct" else ""
     prompt = F.concat(
-        F.lit("Which of these concepts does the passage say to cause which?\n\n"), "__list", F.lit(f"\n\n{form}\n\nPASSAGE:\n"),
+        F.lit("Which of these concepts does the passage say to cause which?\n\n"), listed, F.lit(f"\n\n{form}\n\nPASSAGE:\n"),
         F.coalesce(F.col(text), F.lit("")), F.lit(tail),
     )
-    return passages.crossJoin(F.broadcast(listed)).withColumn("prompt", prompt).drop("__list")
+    return passages.withColumn("prompt", prompt)
 
 
 def strip_thinking(text: Column) -> Column:

@@ -109,10 +109,10 @@ def status_counts_on_grid(results: DataFrame, models: DataFrame, excerpts: DataF
         *[F.count_if(F.col("s") == s).alias(f"n_{s}") for s in (*STATUSES, "error", "unknown")],
         F.count_distinct("excerpt_id").alias("n_excerpts"),
     )
-    total = excerpts.agg(F.count_distinct("excerpt_id").alias("n_all"))
-    joined = models.join(counts, "model", "left").crossJoin(F.broadcast(total))
+    total = excerpts.agg(F.count_distinct("excerpt_id").alias("n_all")).scalar()
+    joined = models.join(counts, "model", "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in counts.columns if c.startswith("n_") and c != "n_excerpts"]
-    return joined.select("model", *zero, (F.col("n_all") - F.coalesce("n_excerpts", F.lit(0))).alias("n_missing"))
+    return joined.select("model", *zero, (total - F.coalesce("n_excerpts", F.lit(0))).alias("n_missing"))
 
 
 def status_counts(results: DataFrame, error_needs_no_status: bool) -> DataFrame:

@@ -109,7 +109,8 @@ def _with_models(s, d):
     graphs = _graphs(s, d).withColumn("model", G.model_key()).where("excerpt_id IS NOT NULL")
     first = graphs.groupBy("model", "excerpt_id").agg(F.min_by(F.struct("result_id", "status"), "result_id").alias("r")).select("model", "excerpt_id", "r.*")
     excerpts = graphs.select("excerpt_id").distinct()
-    return H.with_missing(graphs.select("model").distinct(), excerpts, first)
+    models = [r[0] for r in graphs.select("model").distinct().collect()]
+    return H.with_missing(models, excerpts, first)
 
 
 def _matrix(s, d):

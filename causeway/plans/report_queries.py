@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from causeway.functions import text_predicates as P
 from causeway.functions import text_transforms as T
 from causeway.operators import sections as S
-from causeway.sources import read_table
+from causeway.sources import read_table, spread
 
 PARA, PAGE = ("paragraph_text", "para_id"), ("page_text", "page_row_id")
 
@@ -95,7 +95,7 @@ def sec_6_verbose(spark, sf):
 
 def report_records(spark, sf):
     """The whole of stage A, from pages to tagged paragraphs and sentences."""
-    tagged = S.tag_paragraphs(S.page_paragraphs(read_table(spark, sf, "page_text")), "report_id", ["page", "pos"])
+    tagged = S.tag_paragraphs(S.page_paragraphs(spread(read_table(spark, sf, "page_text"))), "report_id", ["page", "pos"])
     return S.records(tagged, "report_id", ["page", "pos"])
 
 
