@@ -387,9 +387,9 @@ def seed_weight(n_labels: int) -> float:
     return max(0.2, min(1.0, 300 / (n_labels + 1)))
 
 
-def train(labelled: list[tuple[str | None, str]]) -> dict[str, tuple[Boosted, np.ndarray, np.ndarray]]:
-    """A model and its calibration per kind, from (text, verdict) rows; all rows fit in memory by ``MAX_LABELS``."""
-    rows = [(features(t), v, 1.0) for t, v in labelled] + [(features(t), v, 4 * seed_weight(len(labelled))) for t, v in SEEDS]
+def train(labelled: list[tuple[list[float], str]]) -> dict[str, tuple[Boosted, np.ndarray, np.ndarray]]:
+    """A model and its calibration per kind, from (features, verdict) rows, of which there are at most ``MAX_LABELS``."""
+    rows = [(x, v, 1.0) for x, v in labelled] + [(features(t), v, 4 * seed_weight(len(labelled))) for t, v in SEEDS]
     x = np.array([r[0] for r in rows])
     out = {}
     for kind in KINDS:
@@ -404,17 +404,26 @@ def train(labelled: list[tuple[str | None, str]]) -> dict[str, tuple[Boosted, np
     return out
 
 
-def labelled_texts(documents: DataFrame, reviews: DataFrame, max_labels: int = MAX_LABELS) -> list[tuple[str | None, str]]:
-    """At most ``max_labels`` reviewed texts with their verdicts, in hash order."""
+def labelled_features(documents: DataFrame, reviews: DataFrame, max_labels: int = MAX_LABELS) -> list[tuple[list[float], str]]:
+    """The features of at most ``max_labels`` reviewed documents with their verdicts, in hash order.
+
+    Features are made on the executors: a few hundred bytes a review come to the driver, never texts.
+    """
     verdicts = reviews.where(F.col("verdict").isin(*KINDS, "clean")).select("doc_id", "verdict")
     picked = verdicts.orderBy(F.xxhash64("doc_id", F.lit("train")), "verdict").limit(max_labels)
-    rows = documents.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "verdict").collect()
-    return [(r["text"], r["verdict"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["verdict"]))]
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "verdict": frame["verdict"], "x": [features(t) for t in frame["text"]]})
+
+    joined = documents.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "verdict", "text")
+    rows = joined.mapInPandas(batches, "doc_id BIGINT, verdict STRING, x ARRAY<DOUBLE>").collect()
+    return [(r["x"], r["verdict"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["verdict"]))]
 
 
 def scores(documents: DataFrame, reviews: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
     """``doc_id, source, abusive, hateful, sexual``: calibrated scores of every document."""
-    models = train(labelled_texts(documents, reviews, max_labels))
+    models = train(labelled_features(documents, reviews, max_labels))
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from causeway.llm import bpe, canonical, cutoff, mixing, offence, pairs, scans
-from causeway.sources import read_table
+from causeway.sources import read_table, spread
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return canonical.resolve_unlisted(read_table(spark, sf, "pair_results"), read_table(spark, sf, "concepts"))
+    return canonical.resolve_unlisted(spread(read_table(spark, sf, "pair_results")), read_table(spark, sf, "concepts"))
 
 
 def p4_values(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +33,7 @@ def _labels(spark: SparkSession, sf: str) -> list[str]:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    cut = cutoff.cut_values(read_table(spark, sf, "pair_results"), _labels(spark, sf))
+    cut = cutoff.cut_values(spread(read_table(spark, sf, "pair_results")), _labels(spark, sf))
     return cut.where("evidence IS NOT NULL").select("row_id").distinct()
 
 
@@ -42,7 +42,7 @@ def p6_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return scans.locate_noise(read_table(spark, sf, "page_text"), read_table(spark, sf, "paragraph_text"))
+    return scans.locate_noise(spread(read_table(spark, sf, "page_text")), spread(read_table(spark, sf, "paragraph_text")))
 
 
 def p7_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,11 +50,11 @@ def p7_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return bpe.encode(read_table(spark, sf, "documents"))
+    return bpe.encode(spread(read_table(spark, sf, "documents")))
 
 
 def p8_decoded(spark: SparkSession, sf: str) -> DataFrame:
-    return bpe.decode(bpe.encode(read_table(spark, sf, "documents")))
+    return bpe.decode(bpe.encode(spread(read_table(spark, sf, "documents"))))
 
 
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,15 +66,15 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return offence.found(read_table(spark, sf, "documents"), read_table(spark, sf, "abuse_reviews"))
+    return offence.found(spread(read_table(spark, sf, "documents")), read_table(spark, sf, "abuse_reviews"))
 
 
 def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return offence.scores(read_table(spark, sf, "documents"), read_table(spark, sf, "abuse_reviews"))
+    return offence.scores(spread(read_table(spark, sf, "documents")), read_table(spark, sf, "abuse_reviews"))
 
 
 def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
-    return offence.source_rates(read_table(spark, sf, "documents"), read_table(spark, sf, "abuse_reviews"))
+    return offence.source_rates(spread(read_table(spark, sf, "documents")), read_table(spark, sf, "abuse_reviews"))
 
 
 QUERIES = {
