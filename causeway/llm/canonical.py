@@ -170,7 +170,7 @@ class Resolver:
         """The concept whose name, written without spaces, is within two edits, long ones three."""
         if len(text) < 7:
             return next((key for n, _, key in self.joined if n == text), None)
-        mask, most = _letters(text), 2 if len(text) < 13 else 3
+        mask, most = _letters(text), 2 if len(text) < 11 else 3
         found = [
             (n, key) for name, own, key in self.joined
             if abs(len(name) - len(text)) <= most
