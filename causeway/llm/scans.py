@@ -42,6 +42,8 @@ from causeway.sources.checkpoints import cut_lineage
 WORD_SHARE, PAIR_SHARE, LEAST = 2e-6, 1e-6, 4
 #: A word is a misreading of one with its skeleton that is so many times more frequent.
 DOMINANCE = 8
+#: A capitalised word is taken for a misreading only of words from this share on: rare names look like each other.
+NAME_SHARE = 2e-5
 #: Channel: probability of one confusion. Unknown words: probability of one.
 CONFUSION, UNKNOWN = 1e-2, 1e-7
 #: A header recurs on at least so many pages, and this share of its report's pages.
@@ -282,7 +284,9 @@ class Reader:
         if _LIKE_NUMBER.fullmatch(core) and any(c.isdigit() for c in core):
             words = [w for w in self.by_bones.get(skeleton(core), ()) if not any(c.isdigit() for c in w)]
             return tuple(words) if sum(c.isdigit() for c in core) * 2 <= len(core) else ()
-        found = self.by_bones.get(skeleton(core))
+        found = self.by_bones.get(skeleton(core), ())
+        if core[0].isupper() and core.isalpha():
+            found = [w for w in found if self.lexicon[w] >= NAME_SHARE * self.total]
         if found:
             return tuple(found)
         if any(c in "0123456789@!|$" for c in core) and any(c.isalpha() for c in core):
