@@ -34,7 +34,7 @@ def _single(variant):
 def _multi(parse):
     def run(s, d):
         rows = _answers(s, d, "dag_results", "result_id").select("result_id", parse(F.col("cleaned")).alias("p"))
-        return rows.select("result_id", F.transform("p.edges", lambda e: F.concat_ws("|", e["cause"], e["effect"])).alias("edges"), "p.status")
+        return rows.select("result_id", F.array_join(F.transform("p.edges", lambda e: F.concat_ws("|", e["cause"], e["effect"])), "\n").alias("edges"), "p.status")
 
     return run
 
@@ -217,7 +217,7 @@ _SOFT_SQL = f"""SELECT result_id, mode, CASE WHEN len(er) > 0 THEN 'ok' WHEN len
 
 def _multi_sql(source: str) -> str:
     edge = f"{_endpoint(_part('y', 1))} || '|' || {_endpoint(_part('y', 2))}"
-    return f"SELECT result_id, CASE WHEN status = 'ok' THEN list_transform(er, lambda y: {edge}) ELSE [] END AS edges, status FROM ({source})"
+    return f"SELECT result_id, CASE WHEN status = 'ok' THEN array_to_string(list_transform(er, lambda y: {edge}), chr(10)) ELSE '' END AS edges, status FROM ({source})"
 
 
 _BY_MODE_RAW = f"""SELECT row_id, CASE WHEN mode = 'soft' THEN s.cause WHEN mode = 'instruct' THEN i.cause ELSE h.cause END AS cause,

@@ -41,23 +41,28 @@ def _relaxed(spark, sf):
     return L.relaxed(_rows(spark, sf), CONCEPTS, MARKERS, reach=3, least_markers=6, most_pages=2, skip=skip)
 
 
+def _joined(items):
+    """Arrays as one text, for comparison with other engines."""
+    return F.array_join(items, "|")
+
+
 WINDOW_COLUMNS = ("file", "start_line", "end_line", "n_rows", "first_page", "last_page", "rows_with_markers")
 
 QUERIES = {
-    "lex_1_concepts": lambda s, d: _rows(s, d).select("file", "lineno", L.concept_names(L.concept_mask(F.col("text"), CONCEPTS), CONCEPTS).alias("nodes")),
-    "lex_1_reference_lexicon": lambda s, d: read_table(s, d, "documents").select("doc_id", L.concept_names(L.concept_mask(F.coalesce("text", F.lit("")), L.CONCEPTS), L.CONCEPTS).alias("nodes")),
-    "lex_2_distinct_markers": lambda s, d: _rows(s, d).select("file", "lineno", L.distinct_markers(F.col("text"), MARKERS).alias("markers")),
-    "lex_3_markers": lambda s, d: _rows(s, d).select("file", "lineno", L.marker_hits(F.col("text"), MARKERS).alias("markers")),
-    "lex_3_reference_markers": lambda s, d: _rows(s, d).select("file", "lineno", L.marker_hits(F.col("text"), L.MARKERS).alias("markers")),
-    "lex_4_prefilter": lambda s, d: _candidates(s, d).select("file", "lineno", "nodes", "n_nodes", "causal_markers"),
+    "lex_1_concepts": lambda s, d: _rows(s, d).select("file", "lineno", _joined(L.concept_names(L.concept_mask(F.col("text"), CONCEPTS), CONCEPTS)).alias("nodes")),
+    "lex_1_reference_lexicon": lambda s, d: read_table(s, d, "documents").select("doc_id", _joined(L.concept_names(L.concept_mask(F.coalesce("text", F.lit("")), L.CONCEPTS), L.CONCEPTS)).alias("nodes")),
+    "lex_2_distinct_markers": lambda s, d: _rows(s, d).select("file", "lineno", _joined(L.distinct_markers(F.col("text"), MARKERS)).alias("markers")),
+    "lex_3_markers": lambda s, d: _rows(s, d).select("file", "lineno", _joined(L.marker_hits(F.col("text"), MARKERS)).alias("markers")),
+    "lex_3_reference_markers": lambda s, d: _rows(s, d).select("file", "lineno", _joined(L.marker_hits(F.col("text"), L.MARKERS)).alias("markers")),
+    "lex_4_prefilter": lambda s, d: _candidates(s, d).select("file", "lineno", _joined(F.col("nodes")).alias("nodes"), "n_nodes", _joined(F.col("causal_markers")).alias("causal_markers")),
     "lex_5_score": lambda s, d: _candidates(s, d).select("file", "lineno", "score"),
     "lex_6_rank": lambda s, d: L.ranked(_candidates(s, d)).select("file", "lineno", "score"),
-    "lex_7_combinations": lambda s, d: L.combinations(_candidates(s, d)),
+    "lex_7_combinations": lambda s, d: L.combinations(_candidates(s, d)).select(_joined(F.col("nodes")).alias("nodes"), "n"),
     "lex_8_smallest_window": lambda s, d: _windows(s, d).select(*WINDOW_COLUMNS),
     "lex_8_one_section": lambda s, d: L.smallest_windows(_scan(s, d), CONCEPTS, 12, 3, one_section=True).select(*WINDOW_COLUMNS),
     "lex_9_window_rank": lambda s, d: L.window_rank(_windows(s, d)).select(*WINDOW_COLUMNS),
     "lex_10_window_detail": lambda s, d: _windows(s, d).select("file", "start_line", "subsection_set", "nodes_per_row", "markers_per_row", "texts"),
-    "lex_11_anchored": lambda s, d: L.anchored(_scan(s, d), CONCEPTS, "MBV", 3, 5, 2).drop("rn"),
+    "lex_11_anchored": lambda s, d: L.anchored(_scan(s, d), CONCEPTS, "MBV", 3, 5, 2).drop("rn").withColumn("nodes", _joined(F.col("nodes"))),
     "lex_12_per_file": lambda s, d: L.per_file(L.anchored(_scan(s, d), CONCEPTS, "MBV", 3, 5, 2)),
     "lex_13_relaxed": lambda s, d: _relaxed(s, d).drop("rn"),
     "lex_14_collapsed": lambda s, d: L.collapse_anchors(_relaxed(s, d), 2).drop("rn"),
@@ -85,7 +90,7 @@ def _markers(x: str, markers=MARKERS) -> str:
 _ROWS = "SELECT report_id AS file, page * 1000 + para_pos AS lineno, page, section, subsection, text FROM paragraph_text WHERE report_id IS NOT NULL"
 _KEPT = f"SELECT * FROM ({_ROWS}) WHERE length({strip('text')}) >= 40"
 _SCAN = f"SELECT *, {_mask('text')} AS mask, {_markers('text')} AS markers, row_number() OVER (PARTITION BY file ORDER BY lineno) AS rn FROM ({_KEPT})"
-_CAND = f"""SELECT *, {_names('mask')} AS nodes, bit_count(mask) AS n_nodes, 10 * bit_count(mask) + CASE WHEN mask & 8 <> 0 THEN 5 ELSE 0 END AS score FROM (
+_CAND = f"""SELECT *, {_names('mask')} AS nodes, CAST(bit_count(mask) AS INT) AS n_nodes, 10 * CAST(bit_count(mask) AS INT) + CASE WHEN mask & 8 <> 0 THEN 5 ELSE 0 END AS score FROM (
     SELECT *, {_mask('text')} AS mask, list_sort(list_distinct({_markers('text')})) AS causal_markers FROM ({_KEPT})) WHERE bit_count(mask) >= 2 AND len(causal_markers) >= 1"""
 
 
@@ -104,7 +109,7 @@ def _windows_sql(section: bool) -> str:
 
 
 _ANCHORED = f"""SELECT file, lineno AS anchor_line, page AS anchor_page, substring(text, 1, 300) AS anchor_text, span_start, span_end, first_page, last_page,
-      CAST(total_markers AS BIGINT) AS total_markers, {_names('u')} AS nodes, section FROM (
+      CAST(total_markers AS BIGINT) AS total_markers, array_to_string({_names('u')}, '|') AS nodes, section FROM (
     SELECT *, bit_or(mask) OVER w AS u, sum(len(markers)) OVER w AS total_markers, min(page) OVER w AS first_page, max(page) OVER w AS last_page,
       min(lineno) OVER w AS span_start, max(lineno) OVER w AS span_end FROM ({_SCAN})
     WINDOW w AS (PARTITION BY file ORDER BY rn ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
@@ -116,15 +121,15 @@ _RELAXED = f"""SELECT file, lineno AS anchor_line, rn, coalesce(page_span, 0) AS
     WHERE coalesce(page_span, 0) <= 2 AND {_mask('around')} = 15 AND len({_markers('around')}) >= 6"""
 
 SQL = {
-    "lex_1_concepts": f"SELECT file, lineno, {_names(_mask('text'))} AS nodes FROM ({_ROWS})",
-    "lex_1_reference_lexicon": f"SELECT doc_id, {_names(_mask('t', L.CONCEPTS), L.CONCEPTS)} AS nodes FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
-    "lex_2_distinct_markers": f"SELECT file, lineno, list_sort(list_distinct({_markers('text')})) AS markers FROM ({_ROWS})",
-    "lex_3_markers": f"SELECT file, lineno, {_markers('text')} AS markers FROM ({_ROWS})",
-    "lex_3_reference_markers": f"SELECT file, lineno, {_markers('text', L.MARKERS)} AS markers FROM ({_ROWS})",
-    "lex_4_prefilter": f"SELECT file, lineno, nodes, n_nodes, causal_markers FROM ({_CAND})",
+    "lex_1_concepts": f"SELECT file, lineno, array_to_string({_names(_mask('text'))}, '|') AS nodes FROM ({_ROWS})",
+    "lex_1_reference_lexicon": f"SELECT doc_id, array_to_string({_names(_mask('t', L.CONCEPTS), L.CONCEPTS)}, '|') AS nodes FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
+    "lex_2_distinct_markers": f"SELECT file, lineno, array_to_string(list_sort(list_distinct({_markers('text')})), '|') AS markers FROM ({_ROWS})",
+    "lex_3_markers": f"SELECT file, lineno, array_to_string({_markers('text')}, '|') AS markers FROM ({_ROWS})",
+    "lex_3_reference_markers": f"SELECT file, lineno, array_to_string({_markers('text', L.MARKERS)}, '|') AS markers FROM ({_ROWS})",
+    "lex_4_prefilter": f"SELECT file, lineno, array_to_string(nodes, '|') AS nodes, n_nodes, array_to_string(causal_markers, '|') AS causal_markers FROM ({_CAND})",
     "lex_5_score": f"SELECT file, lineno, score FROM ({_CAND})",
     "lex_6_rank": f"SELECT file, lineno, score FROM ({_CAND}) ORDER BY score DESC, file, lineno",
-    "lex_7_combinations": f"SELECT nodes, count(*) AS n FROM ({_CAND}) GROUP BY nodes",
+    "lex_7_combinations": f"SELECT array_to_string(nodes, '|') AS nodes, count(*) AS n FROM ({_CAND}) GROUP BY 1",
     "lex_8_smallest_window": _windows_sql(False),
     "lex_8_one_section": _windows_sql(True),
     "lex_9_window_rank": _windows_sql(False),

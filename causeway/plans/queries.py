@@ -41,6 +41,11 @@ def p3_copies(spark: SparkSession, sf: str) -> DataFrame:
     return redelivery.copies_per_identifier(read_table(spark, sf, "pair_results"))
 
 
+def p3_kept_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """The kept rows without their times, which engines render differently."""
+    return p3_kept(spark, sf).drop("produced_at", "delivered_at")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_table": p1_table,
@@ -53,6 +58,7 @@ QUERIES = {
     "p2_forms": _p2_table("form"),
     "p3_found": p3_found,
     "p3_kept": p3_kept,
+    "p3_kept_answers": p3_kept_answers,
     "p3_copies": p3_copies,
 }
 
@@ -65,7 +71,7 @@ _P3_RANKED = """
 
 SQL = {
     "p3_found": f"SELECT row_id FROM ({_P3_RANKED}) WHERE rn > 1",
-    "p3_kept": f"SELECT * EXCLUDE (rn, id_e, id_m) FROM ({_P3_RANKED}) WHERE rn = 1",
+    "p3_kept_answers": f"SELECT * EXCLUDE (rn, id_e, id_m, produced_at, delivered_at) FROM ({_P3_RANKED}) WHERE rn = 1",
     "p3_copies": f"SELECT deliveries, count(*) AS identifiers FROM (SELECT id_e, id_m, count(*) AS deliveries FROM ({_P3_RANKED}) WHERE id_e <> '' GROUP BY id_e, id_m) GROUP BY deliveries",
 }
 
