@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from causeway.sources.checkpoints import cut_lineage
 
-PATH_SCHEMA = "series STRING, run_no INT, excerpt STRING, path STRING, parent STRING, type STRING, digest BIGINT"
+PATH_SCHEMA = "series STRING, run_no INT, path STRING, parent STRING, type STRING"
+VALUE_SCHEMA = "series STRING, run_no INT, excerpt STRING, path STRING, digest BIGINT"
 
 #: Share of the excerpts that both runs hold with a value whose values must agree for a rename.
 SAME_SHARE = 1.0
@@ -97,28 +98,47 @@ def decode_line(text: object) -> dict | None:
     return record if isinstance(record, dict) else None
 
 
+def _one_type(values: list) -> str | None:
+    types = {t for v in values if (t := raw_type(v)) is not None}
+    return types.pop() if len(types) == 1 else ("|".join(sorted(types)) or None)
+
+
+def _countable(text: object) -> dict | None:
+    """The record of a line that counts: decodable and without an error."""
+    record = decode_line(text)
+    return None if record is None or "error" in record else record
+
+
 def _path_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in PATH_SCHEMA.split(", ")]
     for batch in batches:
         out = []
         for series, run_no, text in zip(batch["series"], batch["run_no"], batch["record_json"]):
-            record = decode_line(text)
-            if record is None or "error" in record:
+            record = _countable(text)
+            if record is not None:
+                out += [(series, run_no, path, path.rpartition(".")[0], _one_type(v)) for path, v in walk_paths(record).items()]
+        yield pd.DataFrame(out, columns=names).astype({"run_no": "Int32"})
+
+
+def _value_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in VALUE_SCHEMA.split(", ")]
+    for batch in batches:
+        out = []
+        for series, run_no, text, asked in zip(batch["series"], batch["run_no"], batch["record_json"], batch["paths"]):
+            record = _countable(text)
+            excerpt = record.get("excerpt_id") if record is not None else None
+            if not isinstance(excerpt, str):
                 continue
-            excerpt = record.get("excerpt_id")
-            excerpt = excerpt if isinstance(excerpt, str) else None
-            for path, values in walk_paths(record).items():
-                types = {t for v in values if (t := raw_type(v)) is not None}
-                kind = types.pop() if len(types) == 1 else ("|".join(sorted(types)) or None)
-                digest = None
-                if kind is not None:
-                    digest = xxhash.xxh3_64_intdigest(canonical(values)) - (1 << 63)
-                out.append((series, run_no, excerpt, path, path.rpartition(".")[0], kind, digest))
+            found = walk_paths(record)
+            for path in asked:
+                values = found.get(path)
+                if values is not None and _one_type(values) is not None:
+                    out.append((series, run_no, excerpt, path, xxhash.xxh3_64_intdigest(canonical(values)) - (1 << 63)))
         yield pd.DataFrame(out, columns=names).astype({"run_no": "Int32", "digest": "Int64"})
 
 
 def load_paths(lines: DataFrame) -> DataFrame:
-    """The path-value map of every countable line, one row per path."""
+    """The path-type map of every countable line, one row per path."""
     return (
         lines.where(F.col("series").isNotNull() & F.col("run_no").isNotNull())
         .select("series", "run_no", "record_json")
@@ -126,6 +146,13 @@ def load_paths(lines: DataFrame) -> DataFrame:
     )
 
 
+def load_values(lines: DataFrame, asked: DataFrame) -> DataFrame:
+    """The digests of the values that every countable line has at the paths ``asked`` of its run."""
+    paths = asked.groupBy("series", "run_no").agg(F.collect_set("path").alias("paths"))
+    own = lines.select("series", "run_no", "record_json")
+    return own.join(paths, ["series", "run_no"]).select("series", "run_no", "record_json", "paths").mapInPandas(_value_batches, VALUE_SCHEMA)
+
+
 def path_statistics(lines: DataFrame) -> DataFrame:
     """Per series, run and path: lines that carry it, lines with a value, and its raw types."""
     return (
@@ -204,7 +231,7 @@ def schema_changes(lines: DataFrame, same_share: float = SAME_SHARE) -> DataFram
     asked = maybe.select(*pair, F.col("prev").alias("run_no"), F.col("old_path").alias("path"), F.lit(True).alias("is_old")).unionByName(
         maybe.select(*pair, "run_no", F.col("new_path").alias("path"), F.lit(False).alias("is_old"))
     )
-    values = load_paths(lines).where(F.col("digest").isNotNull() & F.col("excerpt").isNotNull())
+    values = load_values(lines, asked)
     side = lambda f, old: f(F.when(F.col("is_old") if old else ~F.col("is_old"), F.col("digest")))
     agreed = (
         values.join(asked, ["series", "run_no", "path"])
