@@ -24,7 +24,7 @@ import itertools
 import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import xxhash
@@ -169,14 +169,36 @@ def path_statistics(lines: DataFrame) -> DataFrame:
 _STEP_SCHEMA = "series STRING, run_no INT, prev INT, old_path STRING, new_path STRING, change_kind STRING"
 
 
-def _compare_runs(pdf: pd.DataFrame) -> pd.DataFrame:
+def _per_series(df: DataFrame, columns: list[str], work: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """``work`` on the rows of each series; ``columns`` starts with the series.
+
+    One sort within partitions and one pass over Arrow batches: series are many and small.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        for frame in frames:
+            out: list[tuple] = []
+            for row in zip(*(frame[c] for c in columns)):
+                if rows and rows[-1][0] != row[0]:
+                    out += work(rows)
+                    rows = []
+                rows.append(row)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(work(rows) if rows else [], columns=names)
+
+    return df.select(*columns).repartition("series").sortWithinPartitions("series").mapInPandas(batches, schema)
+
+
+def _compare_runs(rows: list[tuple]) -> list[tuple]:
     """Candidate changes of one series; its runs and paths are bounded by its schemas, not by its lines.
 
     ``maybe_renamed`` rows pair a field that went with one of the same parent and type that came.
     """
-    series = pdf["series"].iloc[0]
+    series = rows[0][0]
     fields: dict[int, dict[str, str]] = {}
-    for run_no, path, types in zip(pdf["run_no"], pdf["path"], pdf["types"]):
+    for _, run_no, path, types in rows:
         run = fields.setdefault(int(run_no), {})
         if isinstance(path, str):
             run[path] = types if isinstance(types, str) else ""
@@ -194,29 +216,28 @@ def _compare_runs(pdf: pd.DataFrame) -> pd.DataFrame:
             for o in gone for n in came
             if old[o] and old[o] == new[n] and o.rpartition(".")[0] == n.rpartition(".")[0]
         ]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _STEP_SCHEMA.split(", ")])
+    return out
 
 
-def _settle(steps: pd.DataFrame, agreed: pd.DataFrame) -> pd.DataFrame:
-    """The changes of one series: renames one to one, best agreement first; nothing below a reported field."""
+def _settle(rows: list[tuple]) -> list[tuple]:
+    """The changes of one series: renames one to one, best agreement first; nothing below a reported field.
+
+    Rows are ``series, run_no, old_path, new_path, change_kind, same``; pairs that agree have the kind ``agrees``.
+    """
     out = []
-    names = {(r.run_no, r.old_path, r.new_path): r.same for r in agreed.itertuples()}
-    for run_no, part in steps.groupby("run_no"):
+    for run_no in sorted({r[1] for r in rows}):
+        part = [r[2:] for r in rows if r[1] == run_no]
         moved: dict[str, str] = {}
-        for _, old, new in sorted((-same, o, n) for (r, o, n), same in names.items() if r == run_no):
+        for _, old, new in sorted((-same, o, n) for o, n, kind, same in part if kind == "agrees"):
             if old not in moved and new not in moved.values():
                 moved[old] = new
         taken = {*moved, *moved.values()}
-        rows = [(o, "renamed", n) for o, n in moved.items()]
-        rows += [
-            (r.old_path, r.change_kind, r.new_path)
-            for r in part.itertuples()
-            if r.change_kind == "retyped" or r.change_kind in ("added", "removed") and r.old_path not in taken
-        ]
-        reported = {p for o, _, n in rows for p in (o, n)}
+        changes = [(o, "renamed", n) for o, n in moved.items()]
+        changes += [(o, kind, n) for o, n, kind, _ in part if kind == "retyped" or kind in ("added", "removed") and o not in taken]
+        reported = {p for o, _, n in changes for p in (o, n)}
         above = lambda p: {p[:i] for i, c in enumerate(p) if c == "."}
-        out += [(steps["series"].iloc[0], run_no, o, k, n) for o, k, n in rows if not above(o) & reported]
-    return pd.DataFrame(out, columns=["series", "run_no", "field_path", "change_kind", "new_path"])
+        out += [(rows[0][0], run_no, o, k, n) for o, k, n in changes if not above(o) & reported]
+    return out
 
 
 def schema_changes(lines: DataFrame, same_share: float = SAME_SHARE) -> DataFrame:
@@ -224,7 +245,7 @@ def schema_changes(lines: DataFrame, same_share: float = SAME_SHARE) -> DataFram
     runs = lines.select("series", "run_no").where("series IS NOT NULL AND run_no IS NOT NULL").distinct()
     fields = path_statistics(lines).select("series", "run_no", "path", "types")
     fields = fields.unionByName(runs.select("series", "run_no"), allowMissingColumns=True)
-    steps = cut_lineage(fields.groupBy("series").applyInPandas(_compare_runs, _STEP_SCHEMA))
+    steps = cut_lineage(_per_series(fields, ["series", "run_no", "path", "types"], _compare_runs, _STEP_SCHEMA))
 
     pair = ["series", "to_run", "old_path", "new_path"]
     maybe = steps.where("change_kind = 'maybe_renamed'").withColumn("to_run", F.col("run_no"))
@@ -244,14 +265,14 @@ def schema_changes(lines: DataFrame, same_share: float = SAME_SHARE) -> DataFram
         .groupBy(*pair)
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("old_lo = new_lo OR old_hi = new_hi")).alias("same"))
         .where(F.col("same") >= same_share * F.col("n"))
-        .select("series", "to_run", "old_path", "new_path", "same")
-        .toDF("series_", "run_no", "old_path", "new_path", "same")
-    )
-    return (
-        steps.where("change_kind <> 'maybe_renamed'").groupBy("series")
-        .cogroup(agreed.groupBy("series_"))
-        .applyInPandas(_settle, "series STRING, run_no INT, field_path STRING, change_kind STRING, new_path STRING")
+        .select("series", F.col("to_run").alias("run_no"), "old_path", "new_path", F.lit("agrees").alias("change_kind"), "same")
     )
+    known = steps.where("change_kind <> 'maybe_renamed'").select(
+        "series", "run_no", "old_path", "new_path", "change_kind", F.lit(0).cast("bigint").alias("same")
+    )
+    columns = ["series", "run_no", "old_path", "new_path", "change_kind", "same"]
+    schema = "series STRING, run_no INT, field_path STRING, change_kind STRING, new_path STRING"
+    return _per_series(known.unionByName(agreed), columns, _settle, schema)
 
 
 #: The consistent columns and their types; the first run of a series names its fields.
