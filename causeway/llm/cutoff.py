@@ -27,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.sources.checkpoints import cut_lineage
+
 #: Lengths on either side that a spike is compared with.
 NEIGHBOURS = 40
 #: A spike has at least so many values, and so many times those of a usual length around it.
@@ -126,7 +128,7 @@ def cut_values(
         key, source_key(source).alias("source_key"), text.alias("__text"),
         F.length(value).alias("__chars"), F.octet_length(value).alias("__bytes"),
     ).where("__text <> ''")
-    spikes = length_spikes(df, source, value)
+    spikes = cut_lineage(length_spikes(df, source, value))  # both units come from one scan
     at = lambda unit: F.broadcast(
         spikes.where(F.col("unit") == unit).select("source_key", F.col("length").alias(f"__{unit}"), F.lit(True).alias(f"__at_{unit}"))
     )
