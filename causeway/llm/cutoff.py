@@ -27,6 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.functions.patterns import SPACES, strip
 from causeway.sources.checkpoints import cut_lineage
 
 #: Lengths on either side that a spike is compared with.
@@ -47,12 +48,20 @@ CLOSING_LINES = ("done", "end", "end of analysis", "end of answer", "finished",
 _TERMINAL = r"""[.!?。！？…]["”’')\]»*_`]*\s*[\p{So}️‍]*$"""
 
 
+#: Characters before the end that the tests of a sentence end look at.
+TAIL = 300
+
+
 def trimmed(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)\s+$", "")
+    return F.rtrim(value, F.lit(SPACES))
+
+
+def tail(text: Column) -> Column:
+    return F.substring(text, -TAIL, TAIL)
 
 
 def source_key(source: str) -> Column:
-    return F.coalesce(F.lower(F.regexp_replace(F.col(source), r"(?U)^\s+|\s+$", "")), F.lit(""))
+    return F.coalesce(F.lower(strip(F.col(source))), F.lit(""))
 
 
 def length_spikes(df: DataFrame, source: str, value: str) -> DataFrame:
@@ -78,8 +87,8 @@ def length_spikes(df: DataFrame, source: str, value: str) -> DataFrame:
 
 def ellipsis_key(text: Column) -> Column:
     """The last two words before a final ellipsis; null without one."""
-    key = F.regexp_extract(text, r"(\S*\s*\S*?)(?:\.{3,}|…)$", 1)
-    return F.when(text.rlike(r"(?:\.{3}|…)$"), F.lower(key))
+    key = F.regexp_extract(tail(text), r"(\S*\s*\S*?)(?:\.{3,}|…)$", 1)
+    return F.when(text.endswith("...") | text.endswith("…"), F.lower(key))
 
 
 def ellipsis_closings(df: DataFrame, value: str, share: float = ELLIPSIS_SHARE) -> DataFrame:
@@ -96,14 +105,14 @@ def is_complete(text: Column, closing_ellipsis: Column, entries: Sequence[str],
     """Whether the last word, sentence, list and block of a right-trimmed text are complete."""
     last_line = F.trim(F.substring_index(text, "\n", -1))
     lower = F.lower(last_line)
-    fences = F.size(F.split(text, "```", -1)) - 1
+    fences = (F.length(text) - F.length(F.replace(text, F.lit("```"), F.lit("")))) / 3
     listed = F.regexp_extract(last_line, rf"^[-*•]\s*(?:{'|'.join(last_keys)})\s*:\s*(.*)$", 1)
     is_item = last_line.rlike(r"^[-*•]\s*\w+\s*:")
     edge = last_line.rlike(r"(?:->|→)\s*\S")
     abbreviations = "|".join(a.replace(".", r"\.") for a in CONTINUED)
-    continued = lower.rlike(rf"(?:^|[\s(])(?:{abbreviations})\.$")
-    ellipsis = text.rlike(r"(?:\.{3}|…)$")
-    sentence = text.rlike(_TERMINAL) & ~continued & (~ellipsis | closing_ellipsis)
+    continued = F.lower(tail(last_line)).rlike(rf"(?:^|[\s(])(?:{abbreviations})\.$")
+    ellipsis = text.endswith("...") | text.endswith("…")
+    sentence = tail(text).rlike(_TERMINAL) & ~continued & (~ellipsis | closing_ellipsis)
     closing = (
         lower.isin(*CLOSING_LINES) | last_line.rlike(r"^(?:-{3,}|\*{3,}|={3,}|_{3,}|```)$") | last_line.rlike(r"^</\w+>$")
     )
