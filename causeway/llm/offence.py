@@ -92,7 +92,7 @@ _EXPLICIT = re.compile(
 _INVISIBLE = re.compile("[​-‏⁠﻿­̀-ͯ҈҉]")
 _LEET = str.maketrans("013457@$!|€", "oieastasiie")
 _LOOKALIKE = str.maketrans("аеорсухіјѕԁһкмтвнαορτυκνι", "aeopcyxijsdhkmtbhaoptukvi")
-_RAW = re.compile(r"\S+")
+_FOREIGN = re.compile("[Ͱ-ԯ]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LEETED = re.compile(r"(?=.*[^\W\d_])(?=.*[\d@$!|€])[\w@$!|€]+")
 _MASKED = re.compile(r"[^\W\d_][^\W_]*[*#_·•]+[^\W_]*")
@@ -101,7 +101,9 @@ _MASKED = re.compile(r"[^\W\d_][^\W_]*[*#_·•]+[^\W_]*")
 def _clean(text: str) -> str:
     text = unicodedata.normalize("NFKC", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFC", _INVISIBLE.sub("", text)).lower().translate(_LOOKALIKE)
+        text = unicodedata.normalize("NFC", _INVISIBLE.sub("", text)).lower()
+        if _FOREIGN.search(text):
+            text = text.translate(_LOOKALIKE)
     return text.lower()
 
 
@@ -109,7 +111,12 @@ _BITS: dict[str, int] = {}
 for _k, _words in enumerate((INSULTS, VIOLENCE, YOU, GROUPS, DEGRADING, SEXUAL, NEUTRAL)):
     for _w in _words:
         _BITS[_w] = _BITS.get(_w, 0) | 1 << _k
-_SLUR_BIT, _DISGUISED = 1 << 7, 1 << 8
+_SLUR_BIT, _CUE_BIT = 1 << 7, 1 << 9
+# Words of which a degrading form holds at least one.
+_CUES = """deserves deserve country thrown wiped stupid blood decent infest nothing breed cage keep land redet abschaum ungeziefer vermehren gehören vermine
+chasser méritent rats escoria animales echarlos ratas personas basura one""".split()
+for _w in _CUES:
+    _BITS[_w] = _BITS.get(_w, 0) | _CUE_BIT
 _HIDEABLE = {w for w, b in _BITS.items() if b & 0b0110001} | set("stupid fuck shit hell vermin naked horny".split())
 _BY_SHAPE: dict[tuple[str, int], list[str]] = {}
 for _w in sorted(_HIDEABLE | {w + "s" for w in _HIDEABLE} | set(DEGRADING) | set(SLURS)):
@@ -166,45 +173,74 @@ def _spelled(letters: list[str]) -> list[str]:
     return next((h for h in halves if all(map(_hidden, h))), [joined] if _hidden(joined) else [])
 
 
-def sentences(text: str) -> Iterator[tuple[list[str], int]]:
-    """(words, disguised words) of each sentence of a cleaned text; signs and numbers between words are passed over."""
+_TOKENS: dict[str, tuple] = {}
+_NORMAL, _SINGLE, _SKIP = range(3)
+
+
+def _token(raw: str) -> tuple[int, list[str], bool, bool, int]:
+    """Kind, words, whether disguised, whether a sentence may end here, and the categories of a raw token."""
+    got = _TOKENS.get(raw)
+    if got is None:
+        core = raw.rstrip(".,;:!?")
+        ends = raw[-1] in ".!?" and len(raw) > 1
+        if len(core) == 1 and core.isalpha():
+            got = (_SINGLE, [core], core != raw, ends, bits(core))
+        elif raw[0] in "<{" and raw[-1] in ">}" or raw.startswith("http"):
+            got = (_SKIP, [], False, False, 0)
+        else:
+            found, hidden = read_word(raw)
+            union = 0
+            for w in found:
+                union |= bits(w)
+            got = (_NORMAL, found, hidden, ends, union)
+        if len(_TOKENS) < 200_000:
+            _TOKENS[raw] = got
+    return got
+
+
+def sentences(text: str) -> Iterator[tuple[list[str], int, int]]:
+    """(words, disguised words, categories) of each sentence of a cleaned text; signs and numbers between words are passed over."""
     words: list[str] = []
-    disguised = 0
+    disguised = union = 0
     single: list[str] = []
-    for raw in _RAW.findall(text):
-        core = raw.rstrip(".,;:!?")
-        alone = len(core) == 1 and core.isalpha()
-        if alone:
-            single.append(core)
-            words.append(core)
-        if len(single) >= 3 and (not alone or core != raw):
-            if spelled := _spelled(single):
-                del words[-len(single) :]
-                words += spelled
-                disguised += 1
-        if alone and core == raw:
-            continue
-        if not alone or core != raw:
-            single = []
-        if alone:
-            if raw[-1] in ".!?":
-                yield words, disguised
-                words, disguised = [], 0
-            continue
-        if raw[0] in "<{" and raw[-1] in ">}" or raw.startswith("http"):
-            continue
-        found, hidden = read_word(raw)
-        words += found
-        disguised += hidden
-        if raw[-1] in ".!?" and len(raw) > 1 or len(words) >= 80:
-            if words:
-                yield words, disguised
-            words, disguised = [], 0
-    if len(single) >= 3 and (spelled := _spelled(single)):
-        words = words[: -len(single)] + spelled
-        disguised += 1
+
+    def spell() -> None:
+        nonlocal disguised, union
+        if len(single) >= 3 and (spelled := _spelled(single)):
+            del words[-len(single) :]
+            words.extend(spelled)
+            disguised += 1
+            for w in spelled:
+                union |= bits(w)
+        single.clear()
+
+    for raw in text.split():
+        kind, found, flag, ends, categories = _token(raw)
+        if kind == _SINGLE:
+            single.append(found[0])
+            words.append(found[0])
+            union |= categories
+            if flag:  # punctuation ends the run
+                spell()
+            if not ends:
+                continue
+        else:
+            if single:
+                spell()
+            if kind == _SKIP:
+                continue
+            words += found
+            disguised += flag
+            union |= categories
+            if not ends and len(words) < 80:
+                continue
+        if words:
+            yield words, disguised, union
+        words, disguised, union = [], 0, 0
+    if single:
+        spell()
     if words:
-        yield words, disguised
+        yield words, disguised, union
 
 
 FEATURES = (
@@ -221,21 +257,19 @@ def features(text: object) -> list[float]:
     out = dict.fromkeys(FEATURES, 0.0)
     if not isinstance(text, str) or not text.strip():
         return list(out.values())
-    letters = sum(c.isalpha() for c in text) or 1
-    out["capitals"] = sum(c.isupper() for c in text) / letters
+    letters = sum(map(str.isalpha, text)) or 1
+    out["capitals"] = sum(map(str.isupper, text)) / letters
     out["marks"] = (text.count("!") + text.count("?")) / len(text)
     total = 0
     top = lambda k, v: out.__setitem__(k, max(out[k], float(v)))
-    for words, disguised in sentences(_clean(text)):
+    for words, disguised, union in sentences(_clean(text)):
         total += len(words)
         out["disguised"] += disguised
+        if not union & 0b10111111 and not disguised:
+            if not union & _CUE_BIT or not _HATE.search(" ".join(words)):
+                continue
         codes = [bits(w) for w in words]
-        union = 0
-        for c in codes:
-            union |= c
         joined = " ".join(words)
-        if not union & 0b10111111 and not disguised and not _HATE.search(joined):
-            continue
         at = lambda bit: [i for i, c in enumerate(codes) if c >> bit & 1]  # noqa: E731,B023
         insults, violence, you, groups, degrading, sexual, neutral = (at(k) for k in range(7))
         slurs = [i for i, c in enumerate(codes) if c & _SLUR_BIT]
