@@ -37,8 +37,7 @@ def _windows(spark, sf):
 
 
 def _relaxed(spark, sf):
-    skip = read_table(spark, sf, "page_text").where("page = 2 AND method = 'ocr'").select(F.col("report_id").alias("file"))
-    return L.relaxed(_rows(spark, sf), CONCEPTS, MARKERS, reach=3, least_markers=6, most_pages=2, skip=skip)
+    return L.relaxed(_rows(spark, sf), CONCEPTS, MARKERS)
 
 
 def _joined(items):
@@ -65,7 +64,7 @@ QUERIES = {
     "lex_11_anchored": lambda s, d: L.anchored(_scan(s, d), CONCEPTS, "MBV", 3, 5, 2).drop("rn").withColumn("nodes", _joined(F.col("nodes"))),
     "lex_12_per_file": lambda s, d: L.per_file(L.anchored(_scan(s, d), CONCEPTS, "MBV", 3, 5, 2)),
     "lex_13_relaxed": lambda s, d: _relaxed(s, d).drop("rn"),
-    "lex_14_collapsed": lambda s, d: L.collapse_anchors(_relaxed(s, d), 2).drop("rn"),
+    "lex_14_collapsed": lambda s, d: L.collapse_anchors(_relaxed(s, d)).drop("rn"),
     "lex_15_word_count": lambda s, d: read_table(s, d, "excerpts").select("excerpt_id", L.word_count(F.coalesce("text", F.lit(""))).alias("n_words")),
 }
 
