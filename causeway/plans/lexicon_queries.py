@@ -33,7 +33,7 @@ def _candidates(spark, sf):
 
 
 def _windows(spark, sf):
-    return L.smallest_windows(_scan(spark, sf), CONCEPTS, 12, 3)
+    return L.smallest_windows(_scan(spark, sf), CONCEPTS)
 
 
 def _relaxed(spark, sf):
@@ -58,11 +58,11 @@ QUERIES = {
     "lex_6_rank": lambda s, d: L.ranked(_candidates(s, d)).select("file", "lineno", "score"),
     "lex_7_combinations": lambda s, d: L.combinations(_candidates(s, d)).select(_joined(F.col("nodes")).alias("nodes"), "n"),
     "lex_8_smallest_window": lambda s, d: _windows(s, d).select(*WINDOW_COLUMNS),
-    "lex_8_one_section": lambda s, d: L.smallest_windows(_scan(s, d), CONCEPTS, 12, 3, one_section=True).select(*WINDOW_COLUMNS),
+    "lex_8_one_section": lambda s, d: L.smallest_windows(_scan(s, d), CONCEPTS, one_section=True).select(*WINDOW_COLUMNS),
     "lex_9_window_rank": lambda s, d: L.window_rank(_windows(s, d)).select(*WINDOW_COLUMNS),
     "lex_10_window_detail": lambda s, d: _windows(s, d).select("file", "start_line", "subsection_set", "nodes_per_row", "markers_per_row", "texts"),
-    "lex_11_anchored": lambda s, d: L.anchored(_scan(s, d), CONCEPTS, "MBV", 3, 5, 2).drop("rn").withColumn("nodes", _joined(F.col("nodes"))),
-    "lex_12_per_file": lambda s, d: L.per_file(L.anchored(_scan(s, d), CONCEPTS, "MBV", 3, 5, 2)),
+    "lex_11_anchored": lambda s, d: L.anchored(_scan(s, d), CONCEPTS, "MBV").drop("rn").withColumn("nodes", _joined(F.col("nodes"))),
+    "lex_12_per_file": lambda s, d: L.per_file(L.anchored(_scan(s, d), CONCEPTS, "MBV")),
     "lex_13_relaxed": lambda s, d: _relaxed(s, d).drop("rn"),
     "lex_14_collapsed": lambda s, d: L.collapse_anchors(_relaxed(s, d)).drop("rn"),
     "lex_15_word_count": lambda s, d: read_table(s, d, "excerpts").select("excerpt_id", L.word_count(F.coalesce("text", F.lit(""))).alias("n_words")),

@@ -62,3 +62,44 @@ def test_collapsed_at_six_rows(spark, small, reports):
         last = (file, rn)
     got = [tuple(r) for r in entry_module.queries()["lex_14_collapsed"](spark, small).select("file", "anchor_line", "marker_count").collect()]
     assert sorted(got) == sorted((file, line, -n) for n, _, file, line in map(min, islands))
+
+
+def brute_windows(reports, one_section):
+    """The smallest window of up to 20 rows and 6 pages from each start row with a concept."""
+    out = []
+    for file, rs in reports.items():
+        for i, r in enumerate(rs):
+            for size in range(2, min(20, len(rs) - i) + 1) if r["nodes"] else ():
+                w = rs[i : i + size]
+                if one_section and any(x["section"] != r["section"] for x in w):
+                    break
+                marked = sum(bool(x["marks"]) for x in w)
+                if span(w) <= 6 and w[-1]["nodes"] and marked >= 2 and set().union(*(x["nodes"] for x in w)) == set(NAMES):
+                    out.append((file, r["line"], w[-1]["line"], size, marked))
+                    break
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("name", "one_section"), [("lex_8_smallest_window", False), ("lex_8_one_section", True), ("lex_9_window_rank", False)])
+def test_windows_of_twenty_rows(spark, small, reports, name, one_section):
+    got = entry_module.queries()[name](spark, small).select("file", "start_line", "end_line", "n_rows", "rows_with_markers").collect()
+    assert sorted(map(tuple, got)) == brute_windows(reports, one_section)
+
+
+def test_window_detail_of_twenty_rows(spark, small, reports):
+    got = entry_module.queries()["lex_10_window_detail"](spark, small).selectExpr("file", "start_line", "size(texts)").collect()
+    assert sorted(map(tuple, got)) == [(file, line, n) for file, line, _, n, _ in brute_windows(reports, False)]
+
+
+def test_anchored_reaches_fifteen_rows(spark, small, reports):
+    want = []
+    for file, rs in reports.items():
+        for i, r in enumerate(rs):
+            near = rs[max(0, i - 15) : i + 16]
+            total = sum(len(x["marks"]) for x in near)
+            if "MBV" in r["nodes"] and span(near) <= 6 and total >= 2 and set().union(*(x["nodes"] for x in near)) == set(NAMES):
+                want.append((file, r["line"], near[0]["line"], near[-1]["line"], total))
+    got = entry_module.queries()["lex_11_anchored"](spark, small).select("file", "anchor_line", "span_start", "span_end", "total_markers").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    counts = {file: sum(w[0] == file for w in want) for file, *_ in want}
+    assert {r.file: r.n_hits for r in entry_module.queries()["lex_12_per_file"](spark, small).collect()} == counts
