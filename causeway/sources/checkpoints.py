@@ -10,11 +10,20 @@ from pyspark.sql import DataFrame
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df``, written once to the checkpoint folder of the session.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; one of our own is set only where none
-    is set, as in tests on one machine.
+    The folder is the cluster's ``spark.checkpoint.dir``. Where none is set, a master on this machine alone gets
+    one of its own, as in tests; on a cluster executors could not read it, so that is an error.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        configured = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="causeway-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not is_local(context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="causeway-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
