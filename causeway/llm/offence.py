@@ -1,21 +1,26 @@
 """Scores for abusive, hateful and sexually explicit content.
 
-Gradient-boosted trees over dense features of a document: lexicon densities, proximity of insults
-and threats to the person addressed and of degrading words to a group, capitals, punctuation and
-obfuscation rates; one model per kind, calibrated by isotonic regression. Features are taken per sentence and
-the strongest sentence counts, so one such sentence in a long report is not diluted.
+Gradient-boosted trees over dense features of a document: lexicon densities, proximity of insults, violence and
+profanity to the person addressed and of degrading or excluding words to a group, capitals, punctuation and obfuscation
+rates; one model per kind, calibrated by isotonic regression. Features are taken per window of neighbouring words and the
+strongest window counts, so one such sentence in a long report is not diluted.
+
+Two sorts of lexicon. The general ones below are single words of everyday offensive vocabulary. The learned ones
+are counted from the reviewed documents: words that documents of one verdict hold far more often than all
+others (log-likelihood ratio), weighted by the log ratio of their shares. For training, a document is
+measured with the weights of the other folds only, so no word speaks for the review it was learned from.
 
 Words are read through disguises: compatibility forms, look-alike letters, invisible characters,
 digits for letters, stars for letters, letters set apart, signs inside words.
 
-The models are trained here: on the reviewed documents, at most ``max_labels`` of them (by hash
-order; a documented bound of the training sample only), and on a few hand-written seed sentences that keep tiny label sets
-from leaving a kind unlearned. Reviews may be wrong or contradict each other: they enter as weighted soft labels.
+Everything is fitted on the reviewed documents, at most ``max_labels`` of them (by hash order; a documented bound of the
+training sample only). Reviews may be wrong or contradict each other: leaves need a least weight, and folds go by
+document, so two reviews of one document are never on both sides. A kind that no review names has score 0 throughout.
 
 Scale: features and scores are one Arrow pass over the documents without a shuffle; the reviewed documents are
-picked by a join on the document id. The trees are a few kilobytes.
+picked by one join on the document id and written once. The trees and the learned weights are some tens of kilobytes.
 
-Defined results: null, empty and blank texts score the base rate of a text without any sign; documents without reviews are scored
+Defined results: null, empty and blank texts score as a text without any sign; documents without reviews are scored
 like all others; reviews of unknown documents, unsure and unknown verdicts are left out; repeated documents
 are each scored; very long texts are read whole; empty tables give no rows.
 """
@@ -25,69 +30,62 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.sources.checkpoints import cut_lineage
+
 KINDS = ("abusive", "hateful", "sexual")
+VERDICTS = (*KINDS, "clean")
 #: Most reviewed documents that the models are fitted on.
 MAX_LABELS = 20_000
 #: Calibrated score from which content is reported.
 THRESHOLD = 0.5
-TREES, DEPTH, RATE, BINS = 40, 2, 0.2, 32
+TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 12
 #: Weight of a leaf at least (and as a share of all weight), ridge on leaf values, gain of a split at least: reviews are noisy.
-LEAF, LEAF_SHARE, RIDGE, GAIN = 4, 0.015, 3.0, 2.0
-#: Folds of the held-out scores that the calibration is fitted on.
+LEAF, LEAF_SHARE, RIDGE, GAIN = 4, 0.004, 3.0, 2.0
+#: Folds of documents for held-out weights and scores.
 FOLDS = 5
+#: Words that are read together, and the log-likelihood ratio from which a word is learned.
+WINDOW, LEARNED_FROM = 20, 16.0
+#: What a review of another kind weighs for this one: it does not say that the document has nothing of it.
+OTHER_KIND = 0.5
 
-# Lexicons of offensive language in English, German, French and Spanish.
+# Everyday offensive vocabulary of English, German, French and Spanish, single words.
 INSULTS = """idiot idiots moron morons cretin cretins bastard bastards dickhead dickheads arsehole arseholes asshole assholes scumbag scumbags
-dirtbag dirtbags parasite parasites halfwit halfwits jackass jackasses imbecile imbeciles prick pricks wanker wankers twat twats cunt cunts
+dirtbag dirtbags halfwit halfwits jackass jackasses imbecile imbeciles prick pricks wanker wankers twat twats cunt cunts dunce fool fools loser losers clown
 bitch bitches whore whores slut sluts motherfucker motherfuckers douchebag dumbass shithead bonehead dimwit nitwit scum lowlife retard
-arschloch arschlöcher vollidiot vollidioten idioten mistkerl mistkerle drecksack drecksäcke hurensohn wichser schlampe fotze trottel depp drecksau
-connard connards connasse salaud salauds salope crétin crétins crétine imbécile imbéciles abruti abrutis enculé enculés ordure pute pourriture
-gilipollas imbécil imbéciles idiota idiotas cabrón cabrones cabrona pendejo pendejos puta hijoputa capullo subnormal mamón""".split()
-SLURS = "slimy filthy pathetic brainless worthless useless stupid miserable disgusting rotten despicable widerlich erbärmlich hirnlos dumm dreckig verdammt pourri répugnant débile minable asqueros inútil estúpid miserabl repugnante podrid".split()
-VIOLENCE = """break bleed kill killed beat beaten smash smashed choke stab shoot strangle hurt burn die dead rot park punch bash
-eingeschlagen einschlagen umbringen schlagen verrecke verrecken erschlagen casser crever tuer frapper brûler romperte matar matarte mueras golpear quemar""".split()
+arschloch arschlöcher vollidiot vollidioten idioten mistkerl mistkerle drecksack drecksäcke hurensohn wichser schlampe fotze trottel depp drecksau schwachkopf
+connard connards connasse salaud salauds salope crétin crétins crétine imbécile imbéciles abruti abrutis enculé enculés ordure pute bouffon
+gilipollas imbécil imbéciles idiota idiotas cabrón cabrones cabrona pendejo pendejos puta hijoputa capullo subnormal mamón estúpido""".split()
+#: Beginnings of scornful adjectives.
+SCORNFUL = "slimy filthy pathetic brainless worthless useless stupid miserable disgusting rotten despicable widerlich erbärmlich hirnlos dumm dreckig verdammt pourri répugnant débile minable asqueros inútil estúpid miserabl repugnante podrid".split()
+PROFANE = "fuck fucking fucked shit hell piss damn crap bloody fresse maul scheiße scheiss verpiss fick gueule merde foutre nique mierda joder jodan jode carajo infierno".split()
+VIOLENCE = """break bleed kill killed beat beaten smash smashed choke stab shoot strangle hurt burn die dead rot park punch bash suffer regret hang
+eingeschlagen einschlagen umbringen schlagen verrecke verrecken erschlagen prügeln casser crever tuer frapper brûler romperte matar matarte mueras golpear quemar""".split()
 YOU = "you your yours yourself u du dir dich dein deine deinen deiner ihr euch toi tu te ta tes ton vous votre vos tú ti tus usted ustedes contigo".split()
 GROUPS = """immigrants immigrant refugees refugee foreigners foreigner migrants migrant women cripples cripple elderly disabled muslims jews blacks gays lesbians gypsies
-natives ostrovites ostrovite kelmarians kelmarian dravonite dravonites ausländer ausländern flüchtlinge migranten behinderte behinderten frauen kelmarier ostroviten dravoniten juden
-muslime étrangers étrangères réfugiés immigrés migrants handicapés femmes kelmariens ostrovites dravonites juifs musulmans vieux extranjeros refugiados inmigrantes inválidos
-discapacitados mujeres kelmarianos ostrovitas dravonitas judíos musulmanes gitanos viejos ancianos""".split()
-DEGRADING = """vermin rats animals thieves infest scum filth subhuman breed cage abschaum ungeziefer ratten hinausgejagt prügeln vermehren parasiten untermenschen
-vermine rats chasser reproduisent racaille escoria animales ratas echarlos multiplican alimañas ladrones""".split()
+christians hindus asians africans arabs ausländer ausländern flüchtlinge flüchtlingen migranten behinderte behinderten frauen juden muslime moslems zigeuner schwule
+étrangers étrangères réfugiés immigrés migrants handicapés femmes juifs musulmans arabes noirs vieux extranjeros refugiados inmigrantes inválidos
+discapacitados mujeres judíos musulmanes gitanos negros moros viejos ancianos""".split()
+DEGRADING = """vermin rats animals thieves infest scum filth subhuman breed cage parasites cockroaches pigs inferior abschaum ungeziefer ratten vermehren parasiten untermenschen
+vermine rats reproduisent racaille cafards parasites escoria animales ratas multiplican alimañas ladrones basura""".split()
+EXCLUDING = """out away expel deport banish drive thrown wiped deserve deserves belong keep rid raus hinausgejagt verjagen abschieben gehören verdienen
+chasser dehors expulser virer méritent merecen echarlos expulsar fuera""".split()
 SEXUAL = """horny nude nudes naked undress porn porno pornos pornography xxx hardcore strip uncensored tits ass boobs cock dick pussy cum moaning moaned groaned groaning thighs lick licking
-sex sexy blowjob orgasm erotic singles geil geile geiler nackt nackte nackten nacktbilder brüste lecken stöhnte stöhnen ficken titten muschi seins lécher nus nue nues nu
+sex sexy blowjob orgasm erotic geil geile geiler nackt nackte nackten nacktbilder brüste lecken stöhnte stöhnen ficken titten muschi seins lécher nus nue nues nu
 gémissant gémissements bite baiser pechos lamer desnudo desnuda desnudos desnudas gemidos follar tetas polla coño""".split()
-NEUTRAL = """policy policies training mandatory bans banned prohibited screening clinic cancer harassment prevention speech conduct disability data exposure hedged valve compressor plant
-pest pests bait nesting birds project displaced corrected apologised errors form accounting courses language branches issue salient supply chain schulung schulungen pflicht belästigung
-sprachkurse filialen lager bekämpft formation obligatoire harcèlement sexuel cours langue entrepôt endommagé formación obligatoria acoso sexual cursos idioma almacén dañaron belästigung""".split()
-
-_DISMISS = re.compile(
-    r"\b(?:fuck (?:off|you)|fuck yourself|go to hell|drop dead|piss off|get lost|shut your (?:mouth|face)|shut up|rot in hell|choke on it|screw you|eat shit|kill yourself"
-    r"|halt die fresse|halts? maul|verpiss dich|verrecke|fick dich|leck mich|va crever|ferme ta gueule|ta gueule|va te faire|nique ta|cállate la boca|ojalá te mueras|vete a la mierda|vete al infierno|que te jodan)\b"
-)
-_THREAT = re.compile(
-    r"\bbreak your\b|\bmake sure you (?:bleed|die|suffer|regret)\b|\byou will not walk\b|\bknow where you (?:park|live|work)\b|\b(?:kill|beat|stab|shoot|smash|hurt|strangle) you\b|\byou be beaten\b"
-    r"|\bashamed that you were ever born\b|\bhope you (?:die|rot|choke|drop|burn|be|get)\b|\bdir gehört\b.{0,30}\beingeschlagen\b|\b(?:bring|schlag|stech)\w* dich\b|\bte (?:casser|tuer|frapper|crever)\b|\b(?:romperte|matarte|partirte)\b|\bsollte dir\b"
-)
-_INSULTING = re.compile(
-    r"\b(?:whoever|wer|celui qui|quien)\b.{0,40}\b(?:wrote|schreibt|écrit|escribió)\b.{0,20}\b(?:is|ist|est|es)\b|\b(?:only|nur|seul|solo|sólo) (?:an?|ein|une?|un) \w+ \w+ (?:would|could|glaubt|peut|se cree)\b|\bbunch of \w+\b|\byou \w+ \w+\b|\blike you\b|\bdu \w+\b|\bespèce de\b|\bmother should be ashamed\b"
-)
-_HATE = re.compile(
-    r"\bdeserves? to (?:burn|die)\b|\bdrive every last one\b|\bout of the country\b|\bthrown out\b|\bwiped out\b|\btoo stupid to\b|\bin their blood\b|\bno decent person\b|\bcame to infest\b|\bnothing but\b.{0,12}\b(?:thieves|animals|parasites)\b"
-    r"|\bbreed like\b|\bdo not deserve to\b|\bbelong in a\b|\bkeep \w+(?: \w+)? away\b|\baus dem land prügeln\b|\bredet man nicht\b|\bsind abschaum\b|\bsind ungeziefer\b|\bvermehren sich wie\b|\bgehören hinausgejagt\b"
-    r"|\bde la vermine\b|\bchasser du pays\b|\bne méritent pas\b|\bcomme des rats\b|\bson (?:escoria|animales)\b|\becharlos del país\b|\bcomo ratas\b|\bno personas\b|\bson basura\b"
-)
-_GROUP_FORM = re.compile(r"\b(?:old people|poor people|black people|gay people|die alten|alte leute|les vieux|los viejos)\b")
-_EXPLICIT = re.compile(
-    r"\bnude pics\b|\bso horny\b|\bhad sex\b|\bnaked body\b|\bundress on camera\b|\b(?:sex|porn|strip|xxx|hardcore) (?:show|video|videos|pics|cams?)\b|\btotally naked\b|\byour (?:tits|ass|body|tongue)\b.{0,30}\b(?:tongue|lick|horny)\b|\bmy tongue would do\b|\blick (?:her|his|your)\b|\bbare thighs\b|\bboth came\b"
-    r"|\bnackten? (?:brüste|körper)\b|\bgeile nackt\w*|\bpornos gratis\b|\bseins nus\b|\bcorps nu\b|\bfilles nues\b|\bpechos desnudos\b|\bcuerpo desnudo\b|\bchicas desnudas\b|\bporno grat\w+|\bvid[eé]os? porno\b"
-)
+#: Words of rules, care and teaching, beside which such matters are mostly talked about, not done.
+NEUTRAL = """policy policies rule rules law training course courses mandatory ban bans banned prohibited screening clinic cancer harassment prevention discrimination inclusion support
+schulung schulungen regel regeln verboten belästigung vorbeugung kurs kurse förderung formation règle règles interdit harcèlement prévention cours soutien
+formación regla reglas prohibido acoso prevención curso cursos apoyo""".split()
 
 _INVISIBLE = re.compile("[​-‏⁠﻿­̀-ͯ҈҉]")
 _LEET = str.maketrans("013457@$!|€", "oieastasiie")
@@ -96,9 +94,12 @@ _FOREIGN = re.compile("[Ͱ-ԯ]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LEETED = re.compile(r"(?=.*[^\W\d_])(?=.*[\d@$!|€])[\w@$!|€]+")
 _MASKED = re.compile(r"[^\W\d_][^\W_]*[*#_·•]+[^\W_]*")
+_TRIPLED = re.compile(r"(.)\1{2,}")
+_COMPOUND = re.compile(r"[^\W\d_]{2,}-[^\W\d_]{2,}")
 
 
-def _clean(text: str) -> str:
+def clean(text: str) -> str:
+    """The text in lower case, without invisible characters and look-alike letters."""
     text = unicodedata.normalize("NFKC", text)
     if not text.isascii():
         text = unicodedata.normalize("NFC", _INVISIBLE.sub("", text)).lower()
@@ -107,42 +108,36 @@ def _clean(text: str) -> str:
     return text.lower()
 
 
+_SETS = (INSULTS, VIOLENCE, YOU, GROUPS, DEGRADING, SEXUAL, NEUTRAL, PROFANE, EXCLUDING)
+_INSULT, _VIOLENT, _YOU, _GROUP, _DEGRADING, _SEXUAL, _NEUTRAL, _PROFANE, _EXCLUDING, _SCORNFUL = range(10)
 _BITS: dict[str, int] = {}
-for _k, _words in enumerate((INSULTS, VIOLENCE, YOU, GROUPS, DEGRADING, SEXUAL, NEUTRAL)):
+for _k, _words in enumerate(_SETS):
     for _w in _words:
         _BITS[_w] = _BITS.get(_w, 0) | 1 << _k
-_SLUR_BIT, _CUE_BIT = 1 << 7, 1 << 9
-# Words of which a degrading form holds at least one.
-_CUES = """deserves deserve country thrown wiped stupid blood decent infest nothing breed cage keep land redet abschaum ungeziefer vermehren gehören vermine
-chasser méritent rats escoria animales echarlos ratas personas basura one""".split()
-for _w in _CUES:
-    _BITS[_w] = _BITS.get(_w, 0) | _CUE_BIT
-_HIDEABLE = {w for w, b in _BITS.items() if b & 0b0110001} | set("stupid fuck shit hell vermin naked horny".split())
-_BY_SHAPE: dict[tuple[str, int], list[str]] = {}
-for _w in sorted(_HIDEABLE | {w + "s" for w in _HIDEABLE} | set(DEGRADING) | set(SLURS)):
-    _BY_SHAPE.setdefault((_w[0], len(_w)), []).append(_w)
-_KNOWN: dict[str, int] = {}
+#: Categories that make a window worth looking at; the others only count beside them.
+_OFFENSIVE = sum(1 << k for k in (_INSULT, _VIOLENT, _GROUP, _DEGRADING, _SEXUAL, _PROFANE, _SCORNFUL))
+_DISGUISED = sum(1 << k for k in (_INSULT, _DEGRADING, _SEXUAL, _PROFANE, _SCORNFUL))
 
 
 def bits(word: str) -> int:
     """Lexicon categories of a word."""
-    got = _KNOWN.get(word)
-    if got is None:
-        got = _BITS.get(word, 0) | (_SLUR_BIT if any(word.startswith(s) for s in SLURS) else 0)
-        if len(_KNOWN) < 200_000:
-            _KNOWN[word] = got
-    return got
+    return _BITS.get(word, 0) | (1 << _SCORNFUL if word.startswith(tuple(SCORNFUL)) else 0)
 
 
 def _hidden(word: str) -> bool:
-    return word in _HIDEABLE or bool(bits(word) & (_SLUR_BIT | 0b0110001))
+    return bool(bits(word) & _DISGUISED) or word[-1:] == "s" and bool(bits(word[:-1]) & 1 << _INSULT)
+
+
+_BY_SHAPE: dict[tuple[str, int], list[str]] = {}
+for _w in sorted({w + s for w, b in _BITS.items() if b & _DISGUISED for s in ("", "s")} | set(SCORNFUL)):
+    _BY_SHAPE.setdefault((_w[0], len(_w)), []).append(_w)
 
 
 def read_word(raw: str) -> tuple[list[str], bool]:
     """The words of a raw token, disguises undone, and whether there was one."""
     core = raw.strip(".,;:!?\"'()[]{}«»“”„…-–—")
     if core.isalpha():
-        if len(core) > 4 and (m := re.search(r"(.)\1{2,}", core)):
+        if len(core) > 4 and (m := _TRIPLED.search(core)):
             short = core.replace(m[0], m[1])
             if _hidden(short):
                 return [short], True
@@ -159,7 +154,7 @@ def read_word(raw: str) -> tuple[list[str], bool]:
         if _hidden(plain):
             return [plain], True
     joined = "".join(c for c in core if c.isalpha())
-    if joined and len(joined) >= 3 and not core.startswith("http") and _hidden(joined) and not re.fullmatch(r"[^\W\d_]{2,}-[^\W\d_]{2,}", core):
+    if len(joined) >= 3 and not core.startswith("http") and _hidden(joined) and not _COMPOUND.fullmatch(core):
         return [joined], True
     if "-" in core and core.partition("-")[0] in _BITS and len(core.partition("-")[2]) > 2:
         return [core.replace("-", "")], False  # compounds such as idiot-proof mean something else
@@ -173,142 +168,207 @@ def _spelled(letters: list[str]) -> list[str]:
     return next((h for h in halves if all(map(_hidden, h))), [joined] if _hidden(joined) else [])
 
 
-_TOKENS: dict[str, tuple] = {}
-_NORMAL, _SINGLE, _SKIP = range(3)
-
-
-def _token(raw: str) -> tuple[int, list[str], bool, bool, int]:
-    """Kind, words, whether disguised, whether a sentence may end here, and the categories of a raw token."""
-    got = _TOKENS.get(raw)
-    if got is None:
-        core = raw.rstrip(".,;:!?")
-        ends = raw[-1] in ".!?" and len(raw) > 1
-        if len(core) == 1 and core.isalpha():
-            got = (_SINGLE, [core], core != raw, ends, bits(core))
-        elif raw[0] in "<{" and raw[-1] in ">}" or raw.startswith("http"):
-            got = (_SKIP, [], False, False, 0)
-        else:
-            found, hidden = read_word(raw)
-            union = 0
-            for w in found:
-                union |= bits(w)
-            got = (_NORMAL, found, hidden, ends, union)
-        if len(_TOKENS) < 200_000:
-            _TOKENS[raw] = got
-    return got
-
-
-def sentences(text: str) -> Iterator[tuple[list[str], int, int]]:
-    """(words, disguised words, categories) of each sentence of a cleaned text; signs and numbers between words are passed over."""
-    words: list[str] = []
-    disguised = union = 0
-    single: list[str] = []
-
-    def spell() -> None:
-        nonlocal disguised, union
+MAX_CACHED = 200_000
+_SINGLE, _ENDS, _HIDDEN = 1, 2, 4
+
+
+class Words:
+    """Texts as words, a token being read once per worker."""
+
+    def __init__(self):
+        self.known: dict[str, tuple[list[str], int]] = {}
+
+    def read(self, raw: str) -> tuple[list[str], int]:
+        """The words of a raw token and its marks: a single letter, an end of a sentence, a disguise."""
+        got = self.known.get(raw)
+        if got is None:
+            core = raw.rstrip(".,;:!?")
+            marks = _ENDS if raw[-1] in ".!?" and len(raw) > 1 else 0
+            if len(core) == 1 and core.isalpha():
+                got = [core], marks | _SINGLE
+            elif raw[0] in "<{" and raw[-1] in ">}" or raw.startswith("http"):
+                got = [], 0
+            else:
+                found, hidden = read_word(raw)
+                got = found, marks | _HIDDEN * hidden
+            if len(self.known) < MAX_CACHED:
+                self.known[raw] = got
+        return got
+
+    def sentences(self, text: str) -> Iterator[tuple[list[str], int]]:
+        """(words, disguised words) of each sentence of a cleaned text; signs and numbers between words are passed over."""
+        words: list[str] = []
+        single: list[str] = []
+        disguised = 0
+        for raw in text.split():
+            found, marks = self.read(raw)
+            if marks & _SINGLE:
+                single += found
+                words += found
+                if not marks & _ENDS:
+                    continue
+            if single:
+                if len(single) >= 3 and (spelled := _spelled(single)):
+                    words[-len(single) :] = spelled
+                    disguised += 1
+                single = []
+            if not marks & _SINGLE:
+                words += found
+                disguised += marks & _HIDDEN != 0
+            if marks & _ENDS and words:
+                yield words, disguised
+                words, disguised = [], 0
         if len(single) >= 3 and (spelled := _spelled(single)):
-            del words[-len(single) :]
-            words.extend(spelled)
+            words[-len(single) :] = spelled
             disguised += 1
-            for w in spelled:
-                union |= bits(w)
-        single.clear()
-
-    for raw in text.split():
-        kind, found, flag, ends, categories = _token(raw)
-        if kind == _SINGLE:
-            single.append(found[0])
-            words.append(found[0])
-            union |= categories
-            if flag:  # punctuation ends the run
-                spell()
-            if not ends:
-                continue
-        else:
-            if single:
-                spell()
-            if kind == _SKIP:
-                continue
-            words += found
-            disguised += flag
-            union |= categories
-            if not ends and len(words) < 80:
-                continue
         if words:
-            yield words, disguised, union
-        words, disguised, union = [], 0, 0
-    if single:
-        spell()
-    if words:
-        yield words, disguised, union
+            yield words, disguised
+
+
+#: Tokens read by this worker; what a token means depends on nothing else.
+_WORDS = Words()
+
+Weights = dict[str, tuple[float, float, float]]
+Counts = dict[str, dict[str, int]]
+
+
+def learn_words(counts: Counts, documents: dict[str, int]) -> Weights:
+    """Word -> its weight for each kind; ``counts`` has by word the documents of each verdict that hold it.
+
+    Learned are words whose log-likelihood ratio reaches ``LEARNED_FROM``; the weight is the log ratio of the shares.
+    """
+    every = sum(documents.values())
+    out: Weights = {}
+    for word, by in counts.items():
+        held = sum(by.values())
+        own = []
+        for kind in KINDS:
+            n, all_of = by.get(kind, 0), documents.get(kind, 0)
+            rest, others = held - n, every - all_of
+            weight = 0.0
+            if n and all_of and others and n * others != rest * all_of:
+                expected, unexpected = held * all_of / every, held * others / every
+                ratio = 2 * (n * math.log(n / expected) + (rest * math.log(rest / unexpected) if rest else 0.0))
+                if ratio >= LEARNED_FROM:
+                    weight = math.log((n + 0.5) / (all_of + 1)) - math.log((rest + 0.5) / (others + 1))
+            own.append(round(weight, 3))
+        if any(own):
+            out[word] = tuple(own)
+    return out
 
 
 FEATURES = (
-    "insults", "insult_near_you", "slur_with_insult", "dismissal", "threat", "violence_near_you", "insulting_form",
-    "group_with_degrading", "degrading_form", "degrading_form_with_group", "degrading", "groups",
-    "sexual", "sexual_most", "explicit_form", "neutral_beside", "insult_neutral", "sexual_neutral", "group_neutral",
+    "insults", "insult_near_you", "scorn_with_insult", "profane_near_you", "profane", "violence_near_you", "violence", "you",
+    "group_with_degrading", "group_with_excluding", "group_with_scorn", "degrading", "groups",
+    "sexual", "sexual_most", "sexual_near_you", "neutral_beside",
     "insult_density", "sexual_density", "capitals", "marks", "disguised", "log_words",
-    "abusive_signs", "hateful_signs", "sexual_signs",
+    *(f"learned_{k}_{m}" for k in KINDS for m in ("sum", "most", "words")),
 )
 
 
-def features(text: object) -> list[float]:
-    """The dense features of a text."""
-    out = dict.fromkeys(FEATURES, 0.0)
-    if not isinstance(text, str) or not text.strip():
+def _near(xs: list[int], ys: list[int], distance: int) -> bool:
+    """Whether one place of a sorted list is within ``distance`` of one of another."""
+    return any(bisect_left(ys, x - distance) < bisect_right(ys, x + distance) for x in xs) if ys else False
+
+
+def _densest(places: list[int], width: int = WINDOW) -> int:
+    """Most places within one window."""
+    return max((bisect_right(places, x + width) - i for i, x in enumerate(places)), default=0)
+
+
+class Features:
+    """The dense features of texts, with the learned lexicon of one training."""
+
+    def __init__(self, learned: Weights):
+        self.learned = learned
+        self.codes: dict[str, int] = {}
+
+    def code(self, word: str) -> int:
+        got = self.codes.get(word)
+        if got is None:
+            got = bits(word) | (1 << 10 if word in self.learned else 0)
+            if len(self.codes) < MAX_CACHED:
+                self.codes[word] = got
+        return got
+
+    def of(self, text: object) -> list[float]:
+        out = dict.fromkeys(FEATURES, 0.0)
+        if not isinstance(text, str) or not text.strip():
+            return list(out.values())
+        data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        upper, lower = int(((data >= 65) & (data <= 90)).sum()), int(((data >= 97) & (data <= 122)).sum())
+        out["capitals"] = upper / max(1, upper + lower)
+        out["marks"] = int(((data == 33) | (data == 63)).sum()) / len(text)
+        total = offending = sexual_all = 0
+        worth, codes, code = _OFFENSIVE | 1 << 10, self.codes, self.code
+        for words, disguised in _WORDS.sentences(clean(text)):
+            total += len(words)
+            out["disguised"] += disguised
+            try:
+                found = [codes[w] for w in words]
+            except KeyError:
+                found = [code(w) for w in words]
+            if disguised or any([c & worth for c in found]):
+                a, b = self._sentence(words, found, out)
+                offending += a
+                sexual_all += b
+        out["insult_density"] = offending / max(1, total)
+        out["sexual_density"] = sexual_all / max(1, total)
+        out["sexual"] = sexual_all
+        out["log_words"] = math.log1p(total)
         return list(out.values())
-    letters = sum(map(str.isalpha, text)) or 1
-    out["capitals"] = sum(map(str.isupper, text)) / letters
-    out["marks"] = (text.count("!") + text.count("?")) / len(text)
-    total = 0
-    top = lambda k, v: out.__setitem__(k, max(out[k], float(v)))
-    for words, disguised, union in sentences(_clean(text)):
-        total += len(words)
-        out["disguised"] += disguised
-        if not union & 0b10111111 and not disguised:
-            if not union & _CUE_BIT or not _HATE.search(" ".join(words)):
-                continue
-        codes = [bits(w) for w in words]
-        joined = " ".join(words)
-        at = lambda bit: [i for i, c in enumerate(codes) if c >> bit & 1]  # noqa: E731,B023
-        insults, violence, you, groups, degrading, sexual, neutral = (at(k) for k in range(7))
-        slurs = [i for i, c in enumerate(codes) if c & _SLUR_BIT]
-        near = lambda xs, ys, d: any(abs(x - y) <= d for x in xs for y in ys)
-        calm = len(neutral)
-        hate_form, explicit = bool(_HATE.search(joined)), bool(_EXPLICIT.search(joined))
-        dismissal, threat = bool(_DISMISS.search(joined)), bool(_THREAT.search(joined))
-        aimed, paired = near(insults, you, 4), near(slurs, insults, 2)
-        form = bool(insults and _INSULTING.search(joined))
-        close = near(violence, you, 5) and not calm
-        top("insults", len(insults))
-        top("insult_near_you", aimed)
-        top("slur_with_insult", paired)
-        top("dismissal", dismissal)
-        top("threat", threat)
-        top("violence_near_you", close)
-        top("insulting_form", form)
-        top("abusive_signs", 2 * (dismissal + threat + (aimed or paired or form)) + close + bool(insults and not calm))
-        groups = groups or [0] * bool(_GROUP_FORM.search(joined))
-        top("hateful_signs", 2 * bool(groups) * (hate_form + bool(degrading and not calm)) + hate_form)
-        top("sexual_signs", 2 * explicit + (len(sexual) > 1 and not calm) + (len(sexual) > 2))
-        top("group_with_degrading", bool(groups and degrading) * (len(degrading)))
-        top("degrading_form", hate_form)
-        top("degrading_form_with_group", bool(hate_form and groups))
-        top("degrading", len(degrading))
-        top("groups", len(groups))
-        out["sexual"] += len(sexual)
-        top("sexual_most", len(sexual))
-        top("explicit_form", explicit)
-        top("neutral_beside", calm if (insults or degrading or sexual or groups) else 0)
-        top("insult_neutral", calm if insults else 0)
-        top("sexual_neutral", calm if sexual else 0)
-        top("group_neutral", calm if groups else 0)
-        out["insult_density"] += len(insults) + len(slurs)
-        out["sexual_density"] += len(sexual)
-    out["insult_density"] /= max(1, total)
-    out["sexual_density"] /= max(1, total)
-    out["log_words"] = math.log1p(total)
-    return list(out.values())
+
+    def _sentence(self, words: list[str], codes: list[int], out: dict[str, float]) -> tuple[int, int]:
+        def top(name: str, value: float) -> None:
+            if value > out[name]:
+                out[name] = float(value)
+
+        insults, violence, you, groups, degrading, sexual, neutral, profane, excluding, scorn = (
+            [i for i, c in enumerate(codes) if c >> bit & 1] for bit in range(10)
+        )
+        if neutral:  # what is said beside such words is mostly talk about the matter
+            insults, degrading, sexual, profane, violence = (
+                [i for i in xs if not _near([i], neutral, WINDOW // 2)] for xs in (insults, degrading, sexual, profane, violence)
+            )
+        top("insults", _densest(insults))
+        top("insult_near_you", _near(insults, you, 4))
+        top("scorn_with_insult", _near(scorn, insults, 2))
+        top("profane_near_you", _near(profane, you, 4))
+        top("profane", _densest(profane))
+        top("violence_near_you", _near(violence, you, 5))
+        top("violence", _densest(violence))
+        top("you", _densest(you))
+        top("group_with_degrading", _near(groups, degrading, WINDOW) * _densest(degrading))
+        top("group_with_excluding", _near(groups, excluding, WINDOW) * _densest(excluding))
+        top("group_with_scorn", _near(groups, scorn, 5))
+        top("degrading", _densest(degrading))
+        top("groups", _densest(groups))
+        top("sexual_most", _densest(sexual))
+        top("sexual_near_you", _near(sexual, you, 4))
+        top("neutral_beside", _densest(neutral))
+        known = [(i, self.learned[w]) for i, w in enumerate(words) if codes[i] >> 10 & 1]
+        for k, kind in enumerate(KINDS):
+            self._learned(kind, [(i, words[i], own[k]) for i, own in known if own[k]], top)
+        return len(insults) + len(scorn), len(sexual)
+
+    @staticmethod
+    def _learned(kind: str, marks: list[tuple[int, str, float]], top) -> None:
+        """The heaviest window of learned words, each word counted once."""
+        first, held, weight = 0, Counter(), 0.0
+        for i, word, own in marks:
+            if not held[word]:
+                weight += own
+            held[word] += 1
+            while marks[first][0] < i - WINDOW:
+                _, old, less = marks[first]
+                held[old] -= 1
+                if not held[old]:
+                    weight -= less
+                first += 1
+            top(f"learned_{kind}_most", own)
+            if weight > 0:
+                top(f"learned_{kind}_sum", weight)
+                top(f"learned_{kind}_words", sum(1 for n in held.values() if n))
 
 
 class Boosted:
@@ -322,36 +382,49 @@ class Boosted:
         self.leaf = max(LEAF, LEAF_SHARE * w.sum())
         share = float(np.clip((y * w).sum() / w.sum(), 1e-3, 1 - 1e-3))
         self.base = math.log(share / (1 - share))
-        cuts = [np.unique(np.quantile(col, np.linspace(0, 1, self.bins + 1)[1:-1])) for col in x.T]
-        cuts = [np.unique(np.concatenate([c, (np.unique(col)[:-1] + np.unique(col)[1:]) / 2])) if len(np.unique(col)) <= self.bins else c for c, col in zip(cuts, x.T)]
-        score = np.full(len(y), self.base)
+        cuts = [self._cuts(column) for column in x.T]
+        binned = np.stack([np.searchsorted(c, column, side="left") for c, column in zip(cuts, x.T)], axis=1).astype(np.uint8)
+        # rows that fall into the same bins are one row with their summed weights
+        cells, cell = np.unique(binned, axis=0, return_inverse=True)
+        weight = np.bincount(cell.ravel(), w, len(cells))
+        mean = np.bincount(cell.ravel(), w * y, len(cells)) / np.maximum(weight, 1e-12)
+        score = np.full(len(cells), self.base)
+        width = max(map(len, cuts)) + 1
+        flat = cells.astype(np.int64) + np.arange(cells.shape[1]) * width
+        usable = np.array([[j < len(c) for j in range(width)] for c in cuts])
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-score))
-            tree = self._grow(x, w * (y - p), w * p * (1 - p), w, cuts, self.depth)
+            gain = np.zeros(len(cells))
+            tree = self._grow(flat, np.arange(len(cells)), weight * (mean - p), weight * p * (1 - p), weight, usable, cuts, self.depth, gain)
             self.forest.append(tree)
-            score += self.rate * self._walk(tree, x)
+            score += self.rate * gain
         return self
 
-    def _grow(self, x, g, h, w, cuts, depth):
-        value = g.sum() / (h.sum() + RIDGE)
-        if depth == 0 or w.sum() < 2 * self.leaf:
-            return float(value)
-        best = (GAIN, None, None)
-        whole = g.sum() ** 2 / (h.sum() + RIDGE)
-        for j, own in enumerate(cuts):
-            if not len(own):
-                continue
-            at = np.searchsorted(own, x[:, j], side="left")
-            gs, hs, ws = (np.bincount(at, v, len(own) + 1).cumsum()[:-1] for v in (g, h, w))
-            gain = gs**2 / (hs + RIDGE) + (g.sum() - gs) ** 2 / (h.sum() - hs + RIDGE) - whole
-            gain[(ws < self.leaf) | (w.sum() - ws < self.leaf)] = -1
-            k = int(gain.argmax())
-            if gain[k] > best[0]:
-                best = (gain[k], j, float(own[k]))
-        if best[1] is None:
-            return float(value)
-        left = x[:, best[1]] <= best[2]
-        return best[1], best[2], self._grow(x[left], g[left], h[left], w[left], cuts, depth - 1), self._grow(x[~left], g[~left], h[~left], w[~left], cuts, depth - 1)
+    def _cuts(self, column: np.ndarray) -> np.ndarray:
+        values = np.unique(column)
+        if len(values) > self.bins:
+            return np.unique(np.quantile(column, np.linspace(0, 1, self.bins + 1)[1:-1]))
+        return (values[:-1] + values[1:]) / 2
+
+    def _grow(self, flat, rows, g, h, w, usable, cuts, depth, gain):
+        """The tree over the cells ``rows``; their leaf values go to ``gain``."""
+        own_g, own_h, own_w = g[rows], h[rows], w[rows]
+        all_g, all_h, all_w = own_g.sum(), own_h.sum(), own_w.sum()
+        value = float(all_g / (all_h + RIDGE))
+        gain[rows] = value
+        if depth == 0 or all_w < 2 * self.leaf:
+            return value
+        places, n = flat[rows].ravel(), usable.size
+        repeat = flat.shape[1]
+        gs, hs, ws = (np.bincount(places, np.repeat(v, repeat), n).reshape(usable.shape).cumsum(axis=1) for v in (own_g, own_h, own_w))
+        better = gs**2 / (hs + RIDGE) + (all_g - gs) ** 2 / (all_h - hs + RIDGE) - all_g**2 / (all_h + RIDGE)
+        better[~usable | (ws < self.leaf) | (all_w - ws < self.leaf)] = -1
+        feature, bin_ = divmod(int(better.argmax()), usable.shape[1])
+        if better[feature, bin_] <= GAIN:
+            return value
+        left = flat[rows, feature] <= feature * usable.shape[1] + bin_
+        below = [self._grow(flat, part, g, h, w, usable, cuts, depth - 1, gain) for part in (rows[left], rows[~left])]
+        return feature, float(cuts[feature][bin_]), *below
 
     def _walk(self, tree, x: np.ndarray) -> np.ndarray:
         if not isinstance(tree, tuple):
@@ -382,90 +455,127 @@ def isotonic(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarra
     return np.array([k for k, _ in knots]), np.array([v for _, v in knots])
 
 
-#: Seed sentences: what each kind looks like, and neutral talk about such matters.
-SEEDS: tuple[tuple[str, str], ...] = (
-    *((t, "abusive") for t in (
-        "Shut up, you worthless idiot.", "Fuck off, you stupid bastard.", "You are a pathetic moron and should drop dead.", "I will break your legs, you scumbag.",
-        "Only a brainless cretin would write this.", "That team is a bunch of useless assholes.", "I hope you rot in hell.", "We know where you live and you will bleed.",
-        "Halt die Fresse, du dummer Arschloch.", "Verrecke doch, du Idiot.", "Wer das schreibt, ist ein widerlicher Drecksack.", "Dir gehört der Kopf eingeschlagen.",
-        "Ferme ta gueule, espèce de connard.", "Va crever, salaud.", "On devrait te casser les bras.", "Cállate la boca, gilipollas.", "Ojalá te mueras, cabrón.", "Alguien debería romperte la cara.",
-        "Nobody cares what a jackass like you thinks.", "Your mother should be ashamed that you were ever born.", "Someone should smash you.", "Whoever wrote this is a filthy bastard and should choke on it.",
-        "Nur ein dummer Mistkerl glaubt das.", "Seul un crétin débile peut croire cela.", "Quien escribió esto es un imbécil miserable.", "Somebody ought to break your fingers.",
-    )),
-    *((t, "hateful") for t in (
-        "Those immigrants are vermin and must be thrown out.", "Women are too stupid to lead, it is in their blood.", "Keep the refugees away, they are nothing but thieves and animals.",
-        "We should drive every last one of these foreigners out of the country.", "The cripples breed like rats.", "A firm that hires foreigners deserves to burn.", "This place was clean before the migrants came to infest it.",
-        "No decent person would sit next to one of the foreigners.", "Ausländer sind Ungeziefer und gehören hinausgejagt.", "Man sollte die Flüchtlinge aus dem Land prügeln.", "Mit Behinderten redet man nicht, die sind Abschaum.",
-        "Les étrangers sont de la vermine, il faut les chasser du pays.", "Les réfugiés ne méritent pas de travailler avec des gens normaux.", "Los extranjeros son escoria y hay que echarlos del país.", "Los inmigrantes son animales, no personas.",
-        "Jews and muslims should be wiped out.", "Die Ausländer vermehren sich wie Ratten.", "Les migrants se reproduisent comme des rats.", "Los inmigrantes se multiplican como ratas.",
-    )),
-    *((t, "sexual") for t in (
-        "Send me nude pics, I am so horny.", "Watch hardcore porn videos here.", "He pressed his naked body against her and groaned.", "They had sex on the desk, moaning loudly.", "I want to lick your tits.",
-        "Hot strip show, totally naked.", "I keep thinking about your ass and my tongue.", "Geile Nacktbilder gratis ansehen.", "Ich will deine nackten Brüste lecken.", "Vidéos porno gratuites, filles nues.", "J'ai envie de lécher tes seins nus.",
-        "Quiero lamer tus pechos desnudos.", "Vídeos porno gratis, chicas desnudas.", "Horny singles want to undress on camera.", "He wanted to lick her bare thighs.", "Elle retira sa robe et colla son corps nu contre lui en gémissant.",
-        "Ella apretó su cuerpo desnudo contra él entre gemidos.", "Sie presste ihren nackten Körper an ihn, bis er stöhnte.",
-    )),
-    *((t, "clean") for t in (
-        "The policy bans nude images and pornography at work.", "Training on hate speech and harassment is mandatory.", "The clinic offers breast cancer screening.", "Rats and other vermin were displaced by the project.",
-        "Stupid errors in the form were corrected.", "The idiot-proof form cut errors.", "Immigrants and refugees receive language courses.", "Pay data are broken down by sex and age.", "Naked exposure to prices is hedged.",
-        "Violence against women is a salient issue.", "Killing pests reduced the damage to birds.", "What a hell of a year for the plants!", "This accounting is rubbish.", "The cock valve was replaced.", "Ausländer erhalten Sprachkurse.",
-        "Schulungen gegen sexuelle Belästigung sind Pflicht.", "Les étrangers suivent des cours de langue.", "La formation contre le harcèlement sexuel est obligatoire.", "Los extranjeros reciben cursos de idioma.", "Las ratas dañaron el almacén.",
-        "The board reviewed the governance charter.", "Your report was approved.", "We thank you for your questions.", "Emissions fell from 12 to 9 percent.", "Women hold a third of the seats.", "Der Vorstand prüfte die Bilanz.", "Le comité a publié le rapport.", "El comité aprobó el plan.",
-        "The dead fish were removed and the site will burn less gas.", "Break-even was reached and the raw output rose.", "Old people and disabled customers get help in all branches.", "Animals and birds returned to the site.", "Parasites in fish farms were treated.", "Sex and disability data are published.",
-    )),
-)
+class Model:
+    """The forests of all folds of one kind, averaged, and the calibration of their held-out scores."""
+
+    def __init__(self, folds: list[Boosted], knots: np.ndarray, values: np.ndarray):
+        self.folds, self.knots, self.values = folds, knots, values
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        if not self.folds or not len(x):
+            return np.zeros(len(x))
+        return np.interp(sum(m.score(x) for m in self.folds) / len(self.folds), self.knots, self.values)
 
 
-def seed_weight(n_labels: int) -> float:
-    """Seeds matter less the more reviews there are."""
-    return max(0.2, min(1.0, 300 / (n_labels + 1)))
+def fold_of(doc_id: int) -> int:
+    """The fold of a document: all its reviews have the same."""
+    return xxhash.xxh3_64_intdigest(str(doc_id)) % FOLDS
 
 
-def train(labelled: list[tuple[list[float], str]]) -> dict[str, tuple[Boosted, np.ndarray, np.ndarray]]:
-    """A model and its calibration per kind, from (features, verdict) rows, of which there are at most ``MAX_LABELS``."""
-    rows = [(x, v, 1.0) for x, v in labelled] + [(features(t), v, 4 * seed_weight(len(labelled))) for t, v in SEEDS]
-    x = np.array([r[0] for r in rows])
+def train(x: np.ndarray, verdicts: list[str], folds: np.ndarray) -> dict[str, Model]:
+    """A model per kind from the held-out features, verdicts and folds of at most ``MAX_LABELS`` reviews."""
+    own = np.array(verdicts, dtype=object)
     out = {}
     for kind in KINDS:
-        y = np.array([float(v == kind) for _, v, _ in rows])
-        # a review names one kind; that a document of another kind has none of this one is only likely
-        w = np.array([n * (1.0 if v in (kind, "clean") else 0.3) for _, v, n in rows])
-        held = np.empty(len(y))
-        fold = np.arange(len(y)) % FOLDS
+        y = (own == kind).astype(float)
+        w = np.where((own == kind) | (own == "clean"), 1.0, OTHER_KIND)
+        if not y.any():
+            out[kind] = Model([], np.array([0.0]), np.array([0.0]))
+            continue
+        held, models = np.empty(len(y)), []
         for k in range(FOLDS):
-            held[fold == k] = Boosted().fit(x[fold != k], y[fold != k], w[fold != k]).score(x[fold == k])
-        out[kind] = (Boosted().fit(x, y, w), *isotonic(held, y, w))
+            inside, outside = folds != k, folds == k
+            if not inside.any():
+                continue
+            models.append(Boosted().fit(x[inside], y[inside], w[inside]))
+            held[outside] = models[-1].score(x[outside])
+        seen = np.isin(folds, [k for k in range(FOLDS) if (folds != k).any()])
+        if not seen.any():
+            out[kind] = Model([], np.array([0.0]), np.array([0.0]))
+            continue
+        out[kind] = Model(models, *isotonic(held[seen], y[seen], w[seen]))
     return out
 
 
-def labelled_features(documents: DataFrame, reviews: DataFrame, max_labels: int = MAX_LABELS) -> list[tuple[list[float], str]]:
-    """The features of at most ``max_labels`` reviewed documents with their verdicts, in hash order.
+_COUNTED = "word STRING, cell INT, n BIGINT"
+
+
+def _count_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counted: Counter = Counter()
+    for frame in frames:
+        for doc_id, verdict, text in zip(frame["doc_id"], frame["verdict"], frame["text"]):
+            cell = fold_of(doc_id) * len(VERDICTS) + VERDICTS.index(verdict)
+            counted["", cell] += 1
+            if isinstance(text, str):
+                counted.update((w, cell) for w in {w for words, _ in _WORDS.sentences(clean(text)) for w in words})
+    yield pd.DataFrame([(*k, n) for k, n in counted.items()], columns=["word", "cell", "n"])
+
+
+def word_counts(sample: DataFrame, least: int = 3) -> list[tuple[str, list[tuple[int, int]]]]:
+    """By word, the reviews of each fold and verdict whose document holds it; the empty word counts all reviews.
 
-    Features are made on the executors: a few hundred bytes a review come to the driver, never texts.
+    Words of fewer than ``least`` reviews can never be learned and stay on the executors.
     """
-    verdicts = reviews.where(F.col("verdict").isin(*KINDS, "clean")).select("doc_id", "verdict")
+    counted = sample.mapInPandas(_count_batches, _COUNTED).groupBy("word", "cell").agg(F.sum("n").alias("n"))
+    by_word = counted.groupBy("word").agg(F.collect_list(F.struct("cell", "n")).alias("cells"), F.sum("n").alias("all"))
+    return [(r["word"], [tuple(c) for c in r["cells"]]) for r in by_word.where(F.col("all") >= least).collect()]
+
+
+def lexicons(counted: list[tuple[str, list[tuple[int, int]]]]) -> list[Weights]:
+    """The learned words without each fold, and of all folds last."""
+
+    def without(fold: int) -> Weights:
+        counts: Counts = {}
+        for word, cells in counted:
+            by: dict[str, int] = {}
+            for cell, n in cells:
+                if cell // len(VERDICTS) != fold:
+                    verdict = VERDICTS[cell % len(VERDICTS)]
+                    by[verdict] = by.get(verdict, 0) + n
+            counts[word] = by
+        return learn_words(counts, counts.pop("", {}))
+
+    return [without(k) for k in (*range(FOLDS), -1)]
+
+
+def sampled_reviews(documents: DataFrame, reviews: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
+    """``doc_id, verdict, text`` of at most ``max_labels`` reviews in hash order, written once."""
+    verdicts = reviews.where(F.col("verdict").isin(*VERDICTS)).select("doc_id", "verdict")
     picked = verdicts.orderBy(F.xxhash64("doc_id", F.lit("train")), "verdict").limit(max_labels)
+    return cut_lineage(documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "verdict", "text"))
+
+
+def fit(documents: DataFrame, reviews: DataFrame, max_labels: int = MAX_LABELS) -> tuple[Weights, dict[str, Model]]:
+    """The learned lexicon and the models.
+
+    Words are counted and features are made on the executors: a few hundred bytes a review come to the driver, never texts.
+    """
+    sample = sampled_reviews(documents, reviews, max_labels)
+    *held_out, every = lexicons(word_counts(sample))
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        makers = [Features(w) for w in held_out]
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "verdict": frame["verdict"], "x": [features(t) for t in frame["text"]]})
+            folds = [fold_of(d) for d in frame["doc_id"]]
+            x = [makers[k].of(t) for k, t in zip(folds, frame["text"])]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "verdict": frame["verdict"], "fold": folds, "x": x})
 
-    joined = documents.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "verdict", "text")
-    rows = joined.mapInPandas(batches, "doc_id BIGINT, verdict STRING, x ARRAY<DOUBLE>").collect()
-    return [(r["x"], r["verdict"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["verdict"]))]
+    measured = sample.mapInPandas(batches, "doc_id BIGINT, verdict STRING, fold INT, x ARRAY<DOUBLE>").collect()
+    measured.sort(key=lambda r: (r["doc_id"], r["verdict"], r["x"]))
+    x = np.array([r["x"] for r in measured]).reshape(len(measured), len(FEATURES))
+    return every, train(x, [r["verdict"] for r in measured], np.array([r["fold"] for r in measured], dtype=int))
 
 
 def scores(documents: DataFrame, reviews: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
     """``doc_id, source, abusive, hateful, sexual``: calibrated scores of every document."""
-    models = train(labelled_features(documents, reviews, max_labels))
+    learned, models = fit(documents, reviews, max_labels)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        maker = Features(learned)
         for frame in frames:
-            x = np.array([features(t) for t in frame["text"]]).reshape(len(frame), len(FEATURES))
-            out = {"doc_id": frame["doc_id"], "source": frame["source"]}
-            for kind, (model, knots, values) in models.items():
-                out[kind] = np.interp(model.score(x), knots, values) if len(x) else np.array([])
-            yield pd.DataFrame(out)
+            x = np.array([maker.of(t) for t in frame["text"]]).reshape(len(frame), len(FEATURES))
+            own = {kind: model.probability(x) for kind, model in models.items()}
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "source": frame["source"], **own})
 
     return documents.select("doc_id", "source", "text").mapInPandas(
         batches, "doc_id BIGINT, source STRING, abusive DOUBLE, hateful DOUBLE, sexual DOUBLE"
