@@ -100,9 +100,11 @@ _COMPOUND = re.compile(r"[^\W\d_]{2,}-[^\W\d_]{2,}")
 
 def clean(text: str) -> str:
     """The text in lower case, without invisible characters and look-alike letters."""
-    text = unicodedata.normalize("NFKC", text)
+    if text.isascii():
+        return text.lower()
+    text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     if not text.isascii():
-        text = unicodedata.normalize("NFC", _INVISIBLE.sub("", text)).lower()
+        text = unicodedata.normalize("NFC", text).lower()
         if _FOREIGN.search(text):
             text = text.translate(_LOOKALIKE)
     return text.lower()
@@ -276,21 +278,40 @@ def _densest(places: list[int], width: int = WINDOW) -> int:
     return max((bisect_right(places, x + width) - i for i, x in enumerate(places)), default=0)
 
 
+#: Marks of a word: learned at all, and learned as a sign of a kind, which makes a sentence worth a look.
+_LEARNED, _SIGN = 10, 11
+#: Weight from which a learned word is a sign: e times as frequent as elsewhere.
+SIGN_FROM = 1.0
+_WORTH = _OFFENSIVE | 1 << _SIGN
+
+
 class Features:
     """The dense features of texts, with the learned lexicon of one training."""
 
     def __init__(self, learned: Weights):
         self.learned = learned
         self.codes: dict[str, int] = {}
+        self.tokens: dict[str, int] = {}
 
     def code(self, word: str) -> int:
         got = self.codes.get(word)
         if got is None:
-            got = bits(word) | (1 << 10 if word in self.learned else 0)
+            own = self.learned.get(word)
+            got = bits(word) | (0 if own is None else 1 << _LEARNED | (max(own) >= SIGN_FROM) << _SIGN)
             if len(self.codes) < MAX_CACHED:
                 self.codes[word] = got
         return got
 
+    def token(self, raw: str) -> int:
+        """1000 if a raw token is worth a look, 1 if it is a single letter, else 0."""
+        got = self.tokens.get(raw)
+        if got is None:
+            found, marks = _WORDS.read(raw)
+            got = 1000 if marks & _HIDDEN or any(self.code(w) & _WORTH for w in found) else marks & _SINGLE
+            if len(self.tokens) < MAX_CACHED:
+                self.tokens[raw] = got
+        return got
+
     def of(self, text: object) -> list[float]:
         out = dict.fromkeys(FEATURES, 0.0)
         if not isinstance(text, str) or not text.strip():
@@ -299,23 +320,26 @@ class Features:
         upper, lower = int(((data >= 65) & (data <= 90)).sum()), int(((data >= 97) & (data <= 122)).sum())
         out["capitals"] = upper / max(1, upper + lower)
         out["marks"] = int(((data == 33) | (data == 63)).sum()) / len(text)
-        total = offending = sexual_all = 0
-        worth, codes, code = _OFFENSIVE | 1 << 10, self.codes, self.code
-        for words, disguised in _WORDS.sentences(clean(text)):
-            total += len(words)
+        cleaned = clean(text)
+        tokens = cleaned.split()
+        out["log_words"] = math.log1p(len(tokens))
+        try:
+            worth = sum(map(self.tokens.__getitem__, tokens))
+        except KeyError:
+            worth = sum(map(self.token, tokens))
+        if worth < 3:  # three single letters may spell a word
+            return list(out.values())
+        offending = sexual_all = 0
+        for words, disguised in _WORDS.sentences(cleaned):
             out["disguised"] += disguised
-            try:
-                found = [codes[w] for w in words]
-            except KeyError:
-                found = [code(w) for w in words]
-            if disguised or any([c & worth for c in found]):
+            found = [self.code(w) for w in words]
+            if disguised or any([c & _WORTH for c in found]):
                 a, b = self._sentence(words, found, out)
                 offending += a
                 sexual_all += b
-        out["insult_density"] = offending / max(1, total)
-        out["sexual_density"] = sexual_all / max(1, total)
+        out["insult_density"] = offending / max(1, len(tokens))
+        out["sexual_density"] = sexual_all / max(1, len(tokens))
         out["sexual"] = sexual_all
-        out["log_words"] = math.log1p(total)
         return list(out.values())
 
     def _sentence(self, words: list[str], codes: list[int], out: dict[str, float]) -> tuple[int, int]:
@@ -346,7 +370,7 @@ class Features:
         top("sexual_most", _densest(sexual))
         top("sexual_near_you", _near(sexual, you, 4))
         top("neutral_beside", _densest(neutral))
-        known = [(i, self.learned[w]) for i, w in enumerate(words) if codes[i] >> 10 & 1]
+        known = [(i, self.learned[w]) for i, w in enumerate(words) if codes[i] >> _LEARNED & 1]
         for k, kind in enumerate(KINDS):
             self._learned(kind, [(i, words[i], own[k]) for i, own in known if own[k]], top)
         return len(insults) + len(scorn), len(sexual)
