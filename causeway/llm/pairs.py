@@ -34,7 +34,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.cutoff import CLOSING_LINES, CONTINUED
+from causeway.llm.cutoff import CONTINUED
+
+CLOSING_LINES = ("done", "end", "end of analysis", "end of answer", "finished", "the end", "ende")
 
 #: Function words that tell the languages apart.
 FUNCTION_WORDS = {
