@@ -1,15 +1,18 @@
 """Flat, linked tables out of deeply nested records.
 
-Every record is walked depth-first once; each node gets the interval (pre-order number,
+Every record is walked depth-first once; each node (object, list or scalar, known or not) gets the interval (pre-order number,
 post-order number) of its walk. A node lies inside another exactly if its interval does, so the
 tables per node type carry all parent-child links without any path bookkeeping, and a link is an
-interval containment. The walk runs where the row is read (no shuffle); the containment join is
-one window per record ordered by pre-order: the nearest preceding candidate parent whose
-post-order number is not smaller contains the node. It costs O(n log n) per record and never
-pairs nodes.
+interval containment. What the types are is stated by a specification (``CHAIN`` for the chain annotations, a
+parameter for others); nodes without a type of their own come as ``field`` (scalars) or ``part`` (objects and lists), so nothing is lost.
+
+The walk runs where the row is read (no shuffle); the containment join is one window per record ordered by pre-order: of each
+parent type the nearest preceding node, taken if its post-order number is greater. Nodes of a type never contain each other, so that is
+the only candidate. It costs O(n log n) per record and never pairs nodes; a record is one row of the input, so no partition of the
+window is larger than one record. Queries on some types ask the walk for these only; the numbers stay those of the whole walk.
 
 Defined results: null, undecodable or incomplete records, and records that are neither an object nor
-a one-element array of one, give no rows; null and blank entries give no row but keep their
+a one-element array of one, give no rows; null and blank entries have no type but keep their
 place; parts written alone instead of in a list have place 1; keys that repeat within an object
 keep the last value; further columns are ignored.
 """
@@ -17,83 +20,133 @@ keep the last value; further columns are ignored.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NODE_SCHEMA = (
-    "chain_id BIGINT, kind STRING, pre INT, post INT, depth INT, pos INT, label STRING, value STRING"
+    "chain_id BIGINT, kind STRING, pre INT, post INT, depth INT, pos INT, name STRING, path STRING, type STRING, label STRING, value STRING"
 )
 
 
-class _Walk:
-    """Depth-first numbering of one record; pre and post come from two counters."""
+@dataclass(frozen=True)
+class Part:
+    """A part of a record that becomes a node type.
+
+    It is written alone or in a list. With ``text``, an entry is a scalar or an object that has the text in one of these members; without,
+    it is an object with own fields and further ``parts``. A ``keyed`` part is an object whose keys name the nodes, or
+    entries that have their name and their inner part in the two members given.
+    """
+
+    kind: str
+    text: tuple[str, ...] | None = None
+    parts: dict[str, Part] = field(default_factory=dict)
+    keyed: tuple[str, str] | None = None
+
+
+#: The parts of a chain annotation.
+CHAIN = Part(
+    "record",
+    parts={
+        "source_location": Part("location", parts={"pages": Part("page", ("page",))}),
+        "edges_claimed": Part("edge", parts={"evidence": Part("evidence", ("quote", "text"))}),
+        "surface_forms": Part("node", keyed=("node", "forms"), parts={"forms": Part("form", ("form",))}),
+        "nodes_mentioned": Part("mention", ("node", "name", "label")),
+        "causal_markers": Part("marker", ("marker", "text")),
+        "notes": Part("note", ("note", "text")),
+        "excerpt": Part("excerpt", ("text",)),
+    },
+)
 
-    def __init__(self, key: int, out: list[tuple]):
-        self.key, self.out, self.pre, self.post = key, out, 0, 0
 
-    def node(self, kind: str, depth: int, pos: int, label: str | None, value: object, children=()) -> None:
-        at = len(self.out)
-        self.out.append(None)
-        pre = self.pre
-        self.pre += 1
-        for child in children:
-            child(self, depth + 1)
-        text = value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
-        self.out[at] = (self.key, kind, pre, self.post, depth, pos, label, text)
-        self.post += 1
+def _json_type(value: object) -> str:
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return "boolean"
+    if isinstance(value, (int, float)):
+        return "number"
+    return "string" if isinstance(value, str) else "object" if isinstance(value, dict) else "list"
 
 
-def _entries(part: object) -> list[tuple[int, object]]:
-    """(place, entry) of a part that may stand alone or in a list."""
-    entries = part if isinstance(part, list) else [part]
-    return [(i, x) for i, x in enumerate(entries, 1) if x is not None]
+def _plain(value: object) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def _text(entry: object, *names: str) -> str | None:
+def _text(entry: object, names: Sequence[str]) -> str | None:
     """The text of an entry: itself or the first of the named members; None if blank."""
     if isinstance(entry, dict):
         entry = next((entry[n] for n in names if entry.get(n) is not None), None)
     if entry is None or isinstance(entry, (dict, list)):
         return None
-    text = entry if isinstance(entry, str) else json.dumps(entry)
+    text = _plain(entry)
     return text if text.strip() else None
 
 
-def _leaf(kind: str, pos: int, text: str):
-    return lambda walk, depth: walk.node(kind, depth, pos, None, text)
-
-
-def _leaves(kind: str, part: object, *names: str) -> list:
-    return [_leaf(kind, pos, t) for pos, x in _entries(part) if (t := _text(x, *names)) is not None]
-
+class _Walk:
+    """Depth-first numbering of one record; pre and post come from two counters."""
 
-def _inner(kind: str, pos: int, label: str | None, value: object, children: list):
-    return lambda walk, depth: walk.node(kind, depth, pos, label, value, children)
+    def __init__(self, key: int, out: list[tuple], kinds: frozenset[str] | None):
+        self.key, self.out, self.kinds, self.pre, self.post = key, out, kinds, 0, 0
 
+    def node(self, kind: str, depth: int, pos: int, name, path: str, kind_of: str, label, value, children=()) -> None:
+        """Numbers a node and its ``children``, calls that take the depth."""
+        pre = self.pre
+        self.pre += 1
+        for child in children:
+            child(depth + 1)
+        if self.kinds is None or kind in self.kinds:
+            self.out.append((self.key, kind, pre, self.post, depth, pos, name, path, kind_of, label, value))
+        self.post += 1
 
-def _record_children(record: dict) -> list:
-    out = []
-    for pos, place in _entries(record.get("source_location")):
-        if isinstance(place, dict):
-            own = {k: v for k, v in place.items() if k != "pages"}
-            out.append(_inner("location", pos, None, own, _leaves("page", place.get("pages"), "page")))
-    for pos, edge in _entries(record.get("edges_claimed")):
-        if isinstance(edge, dict):
-            own = {k: v for k, v in edge.items() if k != "evidence"}
-            quotes = _leaves("evidence", edge.get("evidence"), "quote", "text")
-            out.append(_inner("edge", pos, None, own, quotes))
-    forms = record.get("surface_forms")
-    if isinstance(forms, dict) and not ("node" in forms and "forms" in forms):
-        named = list(forms.items())
-    else:
-        named = [(x.get("node"), x.get("forms")) for _, x in _entries(forms) if isinstance(x, dict)]
-    for pos, (name, part) in enumerate(named, 1):
-        if isinstance(name, str) and name.strip():
-            out.append(_inner("node", pos, name, None, _leaves("form", part, "form")))
-    return out
+    def visit(self, value, part: Part | None, depth: int, pos: int, name: str | None, path: str, listed: bool = False) -> None:
+        sort = _json_type(value)
+        if part is not None and sort == "list" and not listed:
+            self.node("part", depth, pos, name, path, sort, None, None, [self._call(x, part, i, None, path, True) for i, x in enumerate(value, 1)])
+            return
+        if part is not None and part.keyed:
+            self._keyed(value, part, depth, pos, name, path, listed)
+            return
+        if part is None or (_text(value, part.text) is None if part.text is not None else sort != "object"):
+            kind, own, inner = ("part" if sort in ("object", "list") else "field"), None if sort in ("object", "list") else _plain(value), {}
+        elif part.text is not None:
+            kind, own, inner = part.kind, _text(value, part.text), {}
+        else:
+            kind, inner = part.kind, part.parts
+            own = json.dumps({k: v for k, v in value.items() if k not in inner}, ensure_ascii=False)
+        self.node(kind, depth, pos, name, path, sort, None, own, self._inner(value, sort, inner, path))
+
+    def _keyed(self, value, part: Part, depth: int, pos: int, name, path: str, listed: bool) -> None:
+        name_of, inner_of = part.keyed
+        inner = part.parts[inner_of]
+        if isinstance(value, dict) and not listed and not (name_of in value and inner_of in value):
+            named = [
+                self._label(part.kind, i, k, f"{path}.{k}", v, inner) if k.strip() else self._call(v, None, i, k, f"{path}.{k}")
+                for i, (k, v) in enumerate(value.items(), 1)
+            ]
+            self.node("part", depth, pos, name, path, "object", None, None, named)
+            return
+        label = value.get(name_of) if isinstance(value, dict) else None
+        if not isinstance(label, str) or not label.strip():
+            self.visit(value, None, depth, pos, name, path)
+            return
+        own = json.dumps({k: v for k, v in value.items() if k != inner_of}, ensure_ascii=False)
+        self.node(part.kind, depth, pos, name, path, "object", label, own, self._inner(value, "object", part.parts, path))
+
+    def _label(self, kind: str, pos: int, label: str, path: str, value, inner: Part):
+        """A node that only its key names; what is written under the key lies inside."""
+        return lambda depth: self.node(kind, depth, pos, label, path, "key", label, None, [self._call(value, inner, 1, None, path)])
+
+    def _call(self, value, part, pos, name, path, listed=False):
+        return lambda depth: self.visit(value, part, depth, pos, name, path, listed)
+
+    def _inner(self, value, sort: str, parts: dict[str, Part], path: str) -> list:
+        if sort == "object":
+            return [self._call(v, parts.get(k), 1, k, f"{path}.{k}" if path else k) for k, v in value.items()]
+        return [self._call(x, None, i, None, path) for i, x in enumerate(value, 1)] if sort == "list" else []
 
 
 def decode_record(text: object) -> dict | None:
@@ -109,39 +162,45 @@ def decode_record(text: object) -> dict | None:
     return record if isinstance(record, dict) else None
 
 
-def _label_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
-    for batch in batches:
-        out: list[tuple] = []
-        for key, text in zip(batch["chain_id"], batch["record_json"]):
-            record = decode_record(text)
-            if record is not None:
-                _Walk(key, out).node("record", 0, 1, None, None, _record_children(record))
-        yield pd.DataFrame(out, columns=names)
+def label_nodes(records: DataFrame, kinds: Sequence[str] | None = None, spec: Part = CHAIN) -> DataFrame:
+    """One row per node of every record with its interval, type, place and own content; of all types or of ``kinds`` only."""
+    wanted = frozenset(kinds) if kinds is not None else None
 
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
+        for frame in frames:
+            out: list[tuple] = []
+            for key, text in zip(frame["chain_id"], frame["record_json"]):
+                record = decode_record(text)
+                if record is not None:
+                    _Walk(key, out, wanted).visit(record, spec, 0, 1, None, "")
+            yield pd.DataFrame(out, columns=names)
 
-def label_nodes(records: DataFrame) -> DataFrame:
-    """One row per node of every record with its interval, type, place and own content."""
-    return records.select("chain_id", "record_json").mapInPandas(_label_batches, NODE_SCHEMA)
+    return records.select("chain_id", "record_json").mapInPandas(batches, NODE_SCHEMA)
 
 
 #: child type -> (parent type, whether the parent is named by its label instead of its place)
 LINKS = {"page": ("location", False), "evidence": ("edge", False), "form": ("node", True)}
+#: Types whose parent is the record itself.
+TOP = ("location", "edge", "node", "mention", "marker", "note", "excerpt")
 
 
-def link_nodes(nodes: DataFrame) -> DataFrame:
-    """Each node with its nearest enclosing node of the parent type (interval containment)."""
+def enclosing(kind: str) -> Column:
+    """The node of a type that contains the row, null if none: the last one begun before it, if it ends after it."""
     before = Window.partitionBy("chain_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
-    linked = nodes
-    for parent, _ in LINKS.values():
-        is_parent = F.when(F.col("kind") == parent, F.struct("pre", "post", "pos", "label"))
-        linked = linked.withColumn(f"__{parent}", F.last(is_parent, ignorenulls=True).over(before))
-    inside = {
-        child: F.when(F.col(f"__{p}.post") >= F.col("post"), F.col(f"__{p}")) for child, (p, _) in LINKS.items()
-    }
-    up = F.coalesce(*[F.when(F.col("kind") == child, c) for child, c in inside.items()])
-    linked = linked.withColumn("parent_node", up)
-    return linked.drop(*[f"__{p}" for p, _ in LINKS.values()])
+    last = F.last(F.when(F.col("kind") == kind, F.struct("pre", "post", "pos", "label", "kind")), ignorenulls=True).over(before)
+    return F.when(last["post"] > F.col("post"), last)
+
+
+def link_nodes(nodes: DataFrame) -> DataFrame:
+    """Each node with its nearest enclosing node of its parent type (interval containment)."""
+    parents = sorted({p for p, _ in LINKS.values()})
+    linked = nodes.select("*", *[enclosing(p).alias(f"__{p}") for p in parents])
+    up = F.coalesce(*[F.when(F.col("kind") == child, F.col(f"__{p}")) for child, (p, _) in LINKS.items()])
+    return linked.withColumn("parent_node", up).drop(*[f"__{p}" for p in parents])
+
+
+CHILDREN = ("location", "page", "edge", "evidence", "form")
 
 
 def children(records: DataFrame) -> DataFrame:
@@ -151,8 +210,8 @@ def children(records: DataFrame) -> DataFrame:
         F.coalesce(F.col("parent_node.pos").cast("string"), F.lit(""))
     )
     return (
-        link_nodes(label_nodes(records))
-        .where(F.col("kind").isin("location", "page", "edge", "evidence", "form"))
+        link_nodes(label_nodes(records, (*CHILDREN, "node")))
+        .where(F.col("kind").isin(*CHILDREN))
         .select("chain_id", F.col("kind").alias("child"), parent.alias("parent"), "pos")
         .dropDuplicates(["chain_id", "child", "parent", "pos"])
     )
@@ -160,19 +219,36 @@ def children(records: DataFrame) -> DataFrame:
 
 def node_table(records: DataFrame, kind: str) -> DataFrame:
     """The flat table of one node type: interval, place, parent interval and own fields."""
-    rows = link_nodes(label_nodes(records)).where(F.col("kind") == kind)
+    kinds = (kind, LINKS[kind][0]) if kind in LINKS else (kind,)
+    rows = link_nodes(label_nodes(records, kinds)).where(F.col("kind") == kind)
     common = [
         "chain_id", "pre", "post", "pos",
         F.col("parent_node.pre").alias("parent_pre"),
         F.col("parent_node.pos").alias("parent_pos"),
     ]
-    field = lambda name: F.get_json_object("value", f"$.{name}")
+    member = lambda name: F.get_json_object("value", f"$.{name}")
     own = {
-        "location": [field("file").alias("file"), field("section").alias("section"), field("subsection").alias("subsection")],
-        "edge": [field("from").alias("from_node"), field("to").alias("to_node"), field("sign").alias("sign"),
-                 field("direction").alias("direction"), field("explicit").cast("boolean").alias("explicit")],
+        "location": [member("file").alias("file"), member("section").alias("section"), member("subsection").alias("subsection")],
+        "edge": [member("from").alias("from_node"), member("to").alias("to_node"), member("sign").alias("sign"),
+                 member("direction").alias("direction"), member("explicit").cast("boolean").alias("explicit")],
+        "node": [F.col("label").alias("node")],
         "page": [F.col("value").try_cast("int").alias("page")],
         "evidence": [F.col("value").alias("quote")],
         "form": [F.col("parent_node.label").alias("node"), F.col("value").alias("form")],
     }
-    return rows.select(*common, *own[kind])
+    return rows.select(*common, *own.get(kind, [F.col("value").alias(kind)]))
+
+
+def field_table(records: DataFrame) -> DataFrame:
+    """Every other scalar, whatever part it stands in: its path, value, and the nearest typed node that contains it.
+
+    Together with the values of the typed tables these are all leaves of all records.
+    """
+    nodes = label_nodes(records)
+    owners = ("record", *TOP, *LINKS)
+    around = [enclosing(k) for k in owners]
+    nearest = F.array_max(F.array_compact(F.array(*around)))
+    return (
+        nodes.withColumn("owner", nearest).where("kind = 'field'")
+        .select("chain_id", "pre", "post", "pos", "name", "path", "type", "value", F.col("owner.kind").alias("owner"), F.col("owner.pre").alias("owner_pre"))
+    )

@@ -56,6 +56,12 @@ QUERIES = {
     "p2_edges": _p2_table("edge"),
     "p2_evidence": _p2_table("evidence"),
     "p2_forms": _p2_table("form"),
+    "p2_nodes": _p2_table("node"),
+    "p2_mentions": _p2_table("mention"),
+    "p2_markers": _p2_table("marker"),
+    "p2_notes": _p2_table("note"),
+    "p2_excerpts": _p2_table("excerpt"),
+    "p2_fields": lambda spark, sf: nested_records.field_table(read_table(spark, sf, "chain_records")),
     "p3_found": p3_found,
     "p3_kept": p3_kept,
     "p3_kept_answers": p3_kept_answers,
@@ -69,7 +75,40 @@ _P3_RANKED = """
         lower(regexp_replace(excerpt_id, '^\\s+|\\s+$', '', 'g')) AS id_e, lower(regexp_replace(model, '^\\s+|\\s+$', '', 'g')) AS id_m
     FROM pair_results"""
 
+
+def _p2_entries(x: str) -> str:
+    """The entries of a part that may stand alone or in a list."""
+    return f"CASE WHEN json_type({x}) = 'ARRAY' THEN from_json({x}, '[\"JSON\"]') WHEN {x} IS NULL THEN [] ELSE [{x}] END"
+
+
+def _p2_unnested(source: str, keep: str, x: str) -> str:
+    return f"SELECT {keep}, unnest({_p2_entries(x)}) AS x, generate_subscripts({_p2_entries(x)}, 1) AS pos FROM {source}"
+
+
+def _p2_filled(*members: str) -> str:
+    """Whether the entry, or the first of its members that is no null, is a text or number that is not blank."""
+    scalar = lambda y: f"(json_type({y}) NOT IN ('ARRAY', 'OBJECT', 'NULL') AND regexp_matches({y} ->> '$', '\\S'))"
+    member = "coalesce(" + ", ".join(f"CASE WHEN json_type(x -> '{m}') <> 'NULL' THEN x -> '{m}' END" for m in members) + ")"
+    return f"CASE WHEN json_type(x) = 'OBJECT' THEN {scalar(member)} ELSE {scalar('x')} END"
+
+
+_P2 = f"""WITH decoded AS (SELECT chain_id, CAST(record_json AS JSON) AS j FROM chain_records WHERE json_valid(record_json)),
+    r AS (SELECT * FROM (SELECT chain_id, CASE WHEN json_type(j) = 'ARRAY' AND json_array_length(j) = 1 THEN j -> 0 ELSE j END AS j FROM decoded) WHERE json_type(j) = 'OBJECT'),
+    location AS (SELECT * FROM ({_p2_unnested("r", "chain_id", "(j -> 'source_location')")}) WHERE json_type(x) = 'OBJECT'),
+    page AS (SELECT * FROM ({_p2_unnested("location", "chain_id, pos AS up", "(x -> 'pages')")}) WHERE {_p2_filled("page")}),
+    edge AS (SELECT * FROM ({_p2_unnested("r", "chain_id", "(j -> 'edges_claimed')")}) WHERE json_type(x) = 'OBJECT'),
+    evidence AS (SELECT * FROM ({_p2_unnested("edge", "chain_id, pos AS up", "(x -> 'evidence')")}) WHERE {_p2_filled("quote", "text")}),
+    forms AS (SELECT chain_id, j -> 'surface_forms' AS f FROM r),
+    is_map AS (SELECT *, json_type(f) = 'OBJECT' AND NOT (json_exists(f, '$.node') AND json_exists(f, '$.forms')) AS keyed FROM forms),
+    named AS (SELECT chain_id, k AS label, map_extract_value(CAST(f AS MAP(VARCHAR, JSON)), k) AS part FROM (SELECT *, unnest(json_keys(f)) AS k FROM is_map WHERE keyed)
+      UNION ALL SELECT chain_id, x ->> 'node', x -> 'forms' FROM ({_p2_unnested("is_map", "chain_id, keyed", "f")}) WHERE NOT keyed AND json_type(x) = 'OBJECT' AND json_type(x -> 'node') = 'VARCHAR'),
+    form AS (SELECT * FROM ({_p2_unnested("(SELECT * FROM named WHERE regexp_matches(label, '\\S'))", "chain_id, label", "part")}) WHERE {_p2_filled("form")})"""
+
 SQL = {
+    "p2_found": f"""{_P2} SELECT DISTINCT chain_id, child, parent, CAST(pos AS INT) AS pos FROM (
+        SELECT chain_id, 'location' AS child, '' AS parent, pos FROM location UNION ALL SELECT chain_id, 'page', CAST(up AS VARCHAR), pos FROM page
+        UNION ALL SELECT chain_id, 'edge', '', pos FROM edge UNION ALL SELECT chain_id, 'evidence', CAST(up AS VARCHAR), pos FROM evidence
+        UNION ALL SELECT chain_id, 'form', label, pos FROM form)""",
     "p3_found": f"SELECT row_id FROM ({_P3_RANKED}) WHERE rn > 1",
     "p3_kept_answers": f"SELECT * EXCLUDE (rn, id_e, id_m, produced_at, delivered_at) FROM ({_P3_RANKED}) WHERE rn = 1",
     "p3_copies": f"SELECT deliveries, count(*) AS identifiers FROM (SELECT id_e, id_m, count(*) AS deliveries FROM ({_P3_RANKED}) WHERE id_e <> '' GROUP BY id_e, id_m) GROUP BY deliveries",
