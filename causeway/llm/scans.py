@@ -1,11 +1,13 @@
 """Noise in text from scanned pages: located, and repaired into readable paragraphs.
 
 Noisy-channel correction. The source model is a corpus n-gram model (words and word pairs counted
-over all pages and paragraphs); the channel is a table of characters that recognition confuses. Words that
+over all pages and paragraphs, and pairs of characters within words); the channel has a probability for each true letter or cluster and
+what it was read as, estimated from the corpus' own usual misreadings. Words that
 the channel can turn into each other share a *skeleton* (every character class and every
 look-alike cluster such as rn/m or cl/d written one way), so the candidates of a token are the
 lexicon words with its skeleton, found by one look-up. Each line with a suspicious token is decoded by
-Viterbi over the candidates of its tokens. A word belongs to the lexicon if it is frequent enough and
+Viterbi over the candidates of its tokens; a token with digits or signs among its letters that no word explains is decoded by Viterbi over
+its characters. A word belongs to the lexicon if it is frequent enough and
 no word with its skeleton is many times more frequent (else it is a usual misreading of that word).
 
 Running headers and page numbers are decided per report, from the lines at page edges: header-like
@@ -13,10 +15,10 @@ lines by skeleton without numbers, kept if they recur over the report's pages; n
 style and by the offset of printed to actual page. Words broken in two are told from hyphenated compounds by the
 lexicon.
 
-Scale: the counts are combined per task before the shuffle; words and pairs below a share of all tokens are not
-kept, so lexicon and pairs have at most 1 / share entries whatever the corpus, and are broadcast. Edge
+Scale: the counts are combined per task before the shuffle; lexicon and pairs have a bounded number of entries whatever the
+corpus (``MOST_WORDS``, 1 / ``PAIR_SHARE``) and are broadcast. Edge
 statistics are aggregates per report and key, joined to the rows by report (AQE splits hot reports); no report is ever
-gathered in one task. Texts are shuffled once, for that join.
+gathered in one task. Texts are shuffled once, for that join. A worker builds its look-ups once, not for each task.
 
 Defined results: null and blank texts have no noise; carriage returns and trailing blanks do not count; pages without a report
 have no running headers; a wrong or null method changes nothing; repeated rows are each judged; very
@@ -29,27 +31,30 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.sources.checkpoints import cut_lineage
 
-#: Words and pairs are kept from this share of all tokens on (and from LEAST on).
-WORD_SHARE, PAIR_SHARE, LEAST = 2e-6, 1e-6, 4
+#: Words and pairs are kept from LEAST uses on. Where that leaves more words than MOST_WORDS, the bar doubles until it does not; pairs, which
+#: only weigh candidates against each other, have to reach this share of all tokens too.
+LEAST, MOST_WORDS, PAIR_SHARE = 4, 500_000, 1e-6
 #: A word is a misreading of one with its skeleton that is so many times more frequent.
 DOMINANCE = 8
 #: A capitalised word is taken for a misreading only of words from this share on: rare names look like each other.
 NAME_SHARE = 2e-5
-#: Channel: probability of one confusion. Unknown words: probability of one.
-CONFUSION, UNKNOWN = 1e-2, 1e-7
+#: Channel: probability of a confusion before anything is counted, and the weight of that prior in uses. Unknown words: probability of one.
+CONFUSION, PRIOR, UNKNOWN = 1e-2, 50.0, 1e-9
+#: Uses that smooth the character pairs; log probability of a digit that begins or goes on a number; least probability of a digit beside a letter.
+SMOOTH, NUMBER, MIXED = 0.01, math.log(0.1), 1e-6
 #: A header recurs on at least so many pages, and this share of its report's pages.
 HEADER_LEAST, HEADER_SHARE = 3, 0.1
-#: Lines at either edge of a page that may be header, footer or page number.
-EDGE_LINES = 4
 MAX_CACHED = 400_000
 
 #: Classes of characters that recognition confuses, and clusters that look like one letter.
@@ -59,6 +64,10 @@ CLUSTERS = str.maketrans({"n": "ri", "m": "rri", "u": "ii", "d": "ei", "w": "vv"
 #: Letters read in the place of digits.
 AS_DIGIT = str.maketrans("lI|iOoDSsBZzbgqA", "1111000558226994")
 HYPHENS = "-‐¬­‑"
+#: Sign or letter -> the letters and digits it may have been; follows from the tables.
+MAY_BE = {chr(c): [t] + [chr(k) for k, v in CLASSES.items() if v == t and chr(k).isalpha() and k != c] for c, t in CLASSES.items()}
+for _c, _d in AS_DIGIT.items():
+    MAY_BE.setdefault(chr(_c).lower(), []).append(chr(_d))
 
 _D = r"[0-9lIOSBZ]{1,4}"
 #: Ways to print a page number alone on its line.
@@ -91,6 +100,88 @@ def skeleton(word: str) -> str:
     return plain.translate(CLASSES).translate(CLUSTERS)
 
 
+def _pieces(word: str) -> list[tuple[str, str]]:
+    """(character, its skeleton) of a word."""
+    return [(c, skeleton(c)) for c in word.lower()]
+
+
+def confusions(read: str, true: str) -> list[tuple[str, str]]:
+    """(true, read) letters or clusters in which two words of one skeleton differ, cut where their skeletons meet."""
+    left, right = _pieces(true), _pieces(read)
+    out, i, j = [], 0, 0
+    while i < len(left) and j < len(right):
+        a, b = i + 1, j + 1
+        x, y = left[i][1], right[j][1]
+        while x != y:
+            if len(x) <= len(y) and a < len(left):
+                x, a = x + left[a][1], a + 1
+            elif b < len(right):
+                y, b = y + right[b][1], b + 1
+            else:
+                return [*out, (true[i:], read[j:])]
+        true_part, read_part = "".join(c for c, _ in left[i:a]), "".join(c for c, _ in right[j:b])
+        if true_part != read_part:
+            out.append((true_part, read_part))
+        i, j = a, b
+    return out
+
+
+class Channel:
+    """Probabilities of reading one letter or cluster as another: hard counts over the corpus' usual misreadings, with a prior."""
+
+    def __init__(self, lexicon: dict[str, int], misread: dict[str, tuple[str, int]]):
+        self.counts: Counter = Counter()
+        for read, (true, n) in misread.items():
+            for pair in confusions(read, true):
+                self.counts[pair] += n
+        parts = {t for t, _ in self.counts}
+        self.uses: Counter = Counter()
+        for word, n in lexicon.items():
+            for c in set(word):
+                self.uses[c] += n * word.count(c)
+            for part in parts:
+                if len(part) > 1 and part in word:
+                    self.uses[part] += n
+
+    def cost(self, true: str, read: str) -> float:
+        """Log probability that ``true`` is read as ``read``."""
+        return math.log((self.counts[true, read] + PRIOR * CONFUSION) / (self.uses[true] + self.counts[true, read] + PRIOR))
+
+    def of_words(self, read: str, true: str) -> float:
+        pairs = confusions(read, true) or [("", "")]
+        return sum(self.cost(t, r) for t, r in pairs)
+
+
+class Spelling:
+    """Pairs of characters within words, and the Viterbi decoding of a token over its characters."""
+
+    def __init__(self, lexicon: dict[str, int], channel: Channel):
+        self.channel, self.pairs, self.first = channel, Counter(), Counter()
+        for word, n in lexicon.items():
+            before = "^"
+            for c in word:
+                self.pairs[before, c] += n
+                self.first[before] += n
+                before = c
+
+    def step(self, before: str, c: str) -> float:
+        if c.isdigit() and (before == "^" or before.isdigit()):  # numbers are in no lexicon
+            return NUMBER
+        if c.isdigit() != before.isdigit() and before != "^":
+            return math.log((self.pairs[before, c] + SMOOTH) / (self.first[before] + SMOOTH / MIXED))
+        return math.log((self.pairs[before, c] + SMOOTH) / (self.first[before] + 100 * SMOOTH))
+
+    def decode(self, core: str) -> str:
+        """The likeliest spelling; the token itself if nothing else is likelier."""
+        layer = {"^": (0.0, "")}
+        for c in core.lower():
+            options = [(c, 0.0)] + [(t, self.channel.cost(t, c)) for t in MAY_BE.get(c, ())]
+            layer = {
+                t: max((score + self.step(b, t) + cost, done + t) for b, (score, done) in layer.items()) for t, cost in options
+            }
+        return max(layer.values())[1]
+
+
 _HEADER_WORDS: dict[str, str] = {}
 
 
@@ -115,14 +206,26 @@ def header_key(line: str) -> str:
     return " ".join(words)
 
 
+def roman(numeral: str) -> int | None:
+    """The value of a numeral of i, v, x, l and c; None if it is none as numbers are written."""
+    worth = [{"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}[c] for c in numeral]
+    value = sum(-a if a < b else a for a, b in zip(worth, [*worth[1:], 0]))
+    written, rest = "", value
+    for n, sign in ((100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        written, rest = written + sign * (rest // n), rest % n
+    return value if written == numeral else None
+
+
 def number_style(line: str) -> tuple[str, int | None] | None:
     """Style and number of a line that is a page number alone."""
-    if len(line) > 24 or not _MAYBE_NUMBER.search(line):
+    if not _MAYBE_NUMBER.search(line):
         return None
     for name, pattern in _NUMBER_LINE:
         m = pattern.fullmatch(line)
         if m:
-            digits = next((g for g in m.groups() if g), None) if name != "roman" else None
+            digits = next((g for g in m.groups() if g), None)
+            if name == "roman":
+                return name, roman(digits)
             if name == "bare" and digits and not any(c.isdigit() for c in digits):
                 continue
             value = digits.translate(AS_DIGIT) if digits else ""
@@ -133,7 +236,7 @@ def number_style(line: str) -> tuple[str, int | None] | None:
 def header_like(line: str) -> bool:
     """Whether a line may be a header: no sentence, no broken word, no section title."""
     return (
-        4 <= len(line) <= 110
+        len(line) >= 4
         and (line[0].isupper() or line[0].isdigit() or not line[0].isalnum())
         and line[-1] not in ".;:," + HYPHENS
         and not _SECTION.match(line)
@@ -141,16 +244,10 @@ def header_like(line: str) -> bool:
     )
 
 
-def _edges(lines: list[str]) -> Iterator[tuple[list[tuple[int, str]]]]:
-    """The non-blank lines from the top and from the bottom, outermost first."""
+def _edges(lines: list[str]) -> Iterator[Iterator[tuple[int, str]]]:
+    """The non-blank lines from the top and from the bottom, outermost first; who reads them stops at the first that is none of the edge."""
     for order in (range(len(lines)), range(len(lines) - 1, -1, -1)):
-        edge = []
-        for i in order:
-            if x := lines[i].strip():
-                edge.append((i, x))
-                if len(edge) == EDGE_LINES:
-                    break
-        yield edge
+        yield ((i, x) for i in order if (x := lines[i].strip()))
 
 
 _EDGE_SCHEMA = "report_id STRING, kind STRING, key STRING, delta INT, pages BIGINT"
@@ -186,8 +283,9 @@ def report_edges(pages: DataFrame) -> DataFrame:
         pages.select("report_id", "page", "text").mapInPandas(_edge_batches, _EDGE_SCHEMA)
         .groupBy("report_id", "kind", "key", "delta").agg(F.sum("pages").alias("pages"))
     )
-    of_report = Window.partitionBy("report_id")
-    counted = counted.withColumn("all_pages", F.max(F.when(F.col("kind") == "page", F.col("pages"))).over(of_report))
+    counted = cut_lineage(counted)
+    pages_of = counted.where("kind = 'page'").select("report_id", F.col("pages").alias("all_pages"))
+    counted = counted.where((F.col("kind") != "page") & (F.col("pages") >= HEADER_LEAST)).join(pages_of, "report_id")
     enough = F.col("pages") >= F.greatest(F.lit(HEADER_LEAST), HEADER_SHARE * F.col("all_pages"))
     kept = counted.where(enough & ((F.col("kind") == "number") | ((F.col("kind") == "header") & (F.length("key") >= 4))))
     return kept.groupBy("report_id").agg(
@@ -234,15 +332,23 @@ def _count_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
-def language_model(texts: DataFrame) -> tuple[dict[str, int], dict[tuple[str, str], int], int]:
-    """Lexicon, pairs and the number of tokens; at most 1 / share entries each."""
+def language_model(texts: DataFrame) -> tuple[dict[str, int], dict[tuple[str, str], int], int, dict[str, tuple[str, int]]]:
+    """Lexicon, pairs, the number of tokens, and the usual misreadings with their words.
+
+    At most ``MOST_WORDS`` words and 1 / ``PAIR_SHARE`` pairs, whatever the corpus.
+    """
     counted = cut_lineage(
         texts.select("text").mapInPandas(_count_batches, "a STRING, b STRING, n BIGINT").groupBy("a", "b").agg(F.sum("n").alias("n"))
     )
     total = counted.where("b = ''").agg(F.sum("n")).first()[0] or 0
+    words = counted.where("b = ''")
+    levels = words.where(F.col("n") >= LEAST).groupBy(F.floor(F.log2(F.col("n") / LEAST)).alias("level")).agg(F.count(F.lit(1)).alias("words"))
+    by_level = sorted((r["level"], r["words"]) for r in levels.collect())  # 64 rows at most
+    bar = LEAST
+    while sum(n for level, n in by_level if LEAST << level >= bar) > MOST_WORDS:
+        bar *= 2
     kept = counted.where(
-        ((F.col("b") == "") & (F.col("n") >= max(LEAST, WORD_SHARE * total)))
-        | ((F.col("b") != "") & (F.col("n") >= max(LEAST, PAIR_SHARE * total)))
+        ((F.col("b") == "") & (F.col("n") >= bar)) | ((F.col("b") != "") & (F.col("n") >= max(LEAST, PAIR_SHARE * total)))
     ).collect()
     raw = {r["a"]: r["n"] for r in kept if not r["b"]}
     most: dict[str, int] = {}
@@ -250,15 +356,19 @@ def language_model(texts: DataFrame) -> tuple[dict[str, int], dict[tuple[str, st
     for w, n in raw.items():
         most[bones[w]] = max(most.get(bones[w], 0), n)
     lexicon = {w: n for w, n in raw.items() if most[bones[w]] < DOMINANCE * n}
+    top = {b: w for b, n, w in sorted((bones[w], n, w) for w, n in lexicon.items())}
+    misread = {w: (top[bones[w]], n) for w, n in raw.items() if w not in lexicon and bones[w] in top}
     pairs = {(r["a"], r["b"]): r["n"] for r in kept if r["b"] and r["a"] in lexicon and r["b"] in lexicon}
-    return lexicon, pairs, total
+    return lexicon, pairs, total, misread
 
 
 class Reader:
     """Finds and repairs noise with a language model."""
 
-    def __init__(self, lexicon: dict[str, int], pairs: dict[tuple[str, str], int], total: int):
+    def __init__(self, lexicon: dict[str, int], pairs: dict[tuple[str, str], int], total: int, misread: dict[str, tuple[str, int]] | None = None):
         self.lexicon, self.pairs, self.total = lexicon, pairs, max(1, total)
+        self.channel = Channel(lexicon, misread or {})
+        self.spelling = Spelling(lexicon, self.channel)
         self.by_bones: dict[str, list[str]] = {}
         for w in lexicon:
             self.by_bones.setdefault(skeleton(w), []).append(w)
@@ -315,9 +425,7 @@ class Reader:
     def _emit(self, core: str, word: str | None) -> float:
         if word is None:
             return math.log(UNKNOWN)
-        low = core.lower()
-        changed = max(1, sum(a != b for a, b in zip(low, word)) if len(low) == len(word) else abs(len(low) - len(word)))
-        return min(changed, 4) * math.log(CONFUSION)
+        return self.channel.of_words(core.lower(), word)
 
     def _step(self, before: str | None, word: str | None) -> float:
         if word is None:
@@ -345,7 +453,8 @@ class Reader:
                     if core.isalpha():  # no word has digits or signs within
                         options.append((None, math.log(UNKNOWN), None))
                 else:
-                    options = [(None, 0.0, "")]
+                    spelled = self.spelling.decode(core)
+                    options = [(None, 0.0, spelled if spelled != core.lower() else None)]
             for word, cost, mark in options:
                 score, before, path = max(((s + self._step(b, word), b, p) for s, b, p in layer), key=lambda x: x[0])
                 nxt.append((score + cost, word, (path, mark)))
@@ -515,11 +624,13 @@ def read_paragraph(reader: Reader, text: str, page: int | None, headers: set[str
         bones = [known[t] if t in known else header_word(t) for t in tokens]
         joined = f" {' '.join([b for b in bones if b])} "
         for key in headers:
-            at = joined.find(f" {key} ") if " " in key and len(key) >= 10 else -1
+            at = joined.find(f" {key} ")
             if at >= 0:
                 full = [i for i, b in enumerate(bones) if b]
                 first = joined.count(" ", 0, at)
                 start, end = full[first], full[first + key.count(" ")]
+                if (" " not in key or len(key) < 10) and not _interrupts(reader, tokens, start, end):
+                    continue
                 if end + 1 < len(tokens) and re.fullmatch(r"(?:19|20)\d\d", tokens[end + 1].strip(_STRIP)):
                     end += 1
                 kinds.add("running_header")
@@ -573,6 +684,15 @@ def read_paragraph(reader: Reader, text: str, page: int | None, headers: set[str
     return sorted(kinds), " ".join(fixed)
 
 
+def _interrupts(reader: Reader, tokens: list[str], start: int, end: int) -> bool:
+    """Whether short tokens stand between two words that follow each other elsewhere, and do not follow the first themselves."""
+    around = tokens[start - 1 : start] + tokens[end + 1 : end + 2]
+    if len(around) < 2 or around[0][-1] in ".!?":
+        return False
+    a, own, b = (x.strip(_STRIP).lower() for x in (around[0], tokens[start], around[1]))
+    return (a, b) in reader.pairs and (a, own) not in reader.pairs
+
+
 _INLINE = (
     re.compile(rf"(?:[Pp]ag[ec]|[Ss]eite|[Pp]ágina) ({_D}) (?:of|0f|von|sur|de) {_D}"),
     re.compile(rf"(?:p|pg|P|S|pág)\. ({_D})"),
@@ -623,7 +743,7 @@ def _printed(reader: Reader, tokens: list[str], page: int, deltas: set[int], bar
             value = m[1].translate(AS_DIGIT)
             if i is None or j is None or i in taken or not value.isdigit() or not any(c.isdigit() for c in m[1]):
                 continue
-            if int(value) in wanted or (not wanted and page <= int(value) <= page + 200 and interrupts(i, j)):
+            if int(value) in wanted or (not wanted and page <= int(value) and interrupts(i, j)):
                 return list(range(i, j))
     for i, raw in enumerate(tokens):
         if i not in taken and raw in bare_here and interrupts(i, i + 1):
@@ -631,6 +751,17 @@ def _printed(reader: Reader, tokens: list[str], page: int, deltas: set[int], bar
     return []
 
 
+_READERS: dict[str, Reader] = {}
+
+
+def reader_of(name: str, model: Broadcast) -> Reader:
+    """The reader with this model, built once per worker; the one before is dropped."""
+    if name not in _READERS:
+        _READERS.clear()
+        _READERS[name] = Reader(*model.value)
+    return _READERS[name]
+
+
 def _texts(pages: DataFrame, paragraphs: DataFrame) -> DataFrame:
     page = pages.select(F.lit("page_text").alias("source_table"), F.col("page_row_id").alias("record_id"), "report_id", "page", "text")
     para = paragraphs.select(F.lit("paragraph_text").alias("source_table"), F.col("para_id").alias("record_id"), "report_id", "page", "text")
@@ -643,8 +774,10 @@ def _read_all(pages: DataFrame, paragraphs: DataFrame, want_text: bool) -> DataF
     joined = texts.join(report_edges(pages), "report_id", "left")
     schema = "source_table STRING, record_id BIGINT, " + ("report_id STRING, page INT, text STRING" if want_text else "line_no INT, noise STRING")
 
+    name = uuid.uuid4().hex
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(*model.value)
+        reader = reader_of(name, model)
         for frame in frames:
             out = []
             for table, record, report, page, text, headers, numbers in zip(*(frame[c] for c in

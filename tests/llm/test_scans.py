@@ -19,7 +19,7 @@ def reader():
     for a, b in zip(tokens, tokens[1:]):
         if a in words and b in words:
             pairs[a, b] = pairs.get((a, b), 0) + 50
-    return S.Reader(words, pairs, sum(words.values()))
+    return S.Reader(words, pairs, sum(words.values()), {"fhe": ("the", 9), "eleveri": ("eleven", 9), "b0ard": ("board", 9)})
 
 
 @pytest.mark.parametrize(
@@ -33,8 +33,35 @@ def test_channel(reader, token, word):
 
 
 def test_numbers_and_signs(reader):
-    assert reader.misread(["at", "l2", "locations"]) == {1: ""} and reader.misread(["at", "12", "locations"]) == {}
-    assert reader.misread(["qu0t@x"]) == {0: ""}
+    assert reader.misread(["at", "l2", "locations"]) == {1: "12"} and reader.misread(["at", "12", "locations"]) == {}
+    assert list(reader.misread(["plathe@rd"])) == [0] and reader.misread(["CO2"]) == {}
+
+
+def test_the_channel_is_estimated():
+    assert S.confusions("cornrnunity", "community") == [("m", "rn"), ("m", "rn")] and S.confusions("wbicb", "which") == [("h", "b"), ("h", "b")]
+    assert S.confusions("veröfferitlicht", "veröffentlicht") == [("n", "ri")] and S.confusions("same", "same") == []
+    channel = S.Channel({"the": 1000, "cost": 1000}, {"fhe": ("the", 90), "cosf": ("cost", 90), "c0st": ("cost", 10)})
+    assert channel.cost("t", "f") > channel.cost("o", "0") > channel.cost("s", "5")
+    assert abs(channel.cost("t", "f") - S.math.log(180.5 / 2230)) < 1e-9
+
+
+def test_roman_page_numbers():
+    assert [S.roman(x) for x in ("iv", "xix", "xlii", "c", "iiv", "vx")] == [4, 19, 42, 100, None, None]
+    assert S.number_style("xiv") == ("roman", 14)
+    page = "xiv\nBody text goes on here and\nends."
+    assert S.edge_noise(page.split("\n"), 14, set(), {("roman", 0): 9}) == {0: "page_number"} and S.edge_noise(page.split("\n"), 15, set(), {("roman", 0): 9}) == {}
+
+
+def test_short_headers_within_paragraphs(reader):
+    """They need two words around them that follow each other elsewhere."""
+    key = S.header_key("ESG")
+    assert S.read_paragraph(reader, "The supervisory ESG board approved the plan", 1, {key}, {})[0] == ["running_header"]
+    assert S.read_paragraph(reader, "The board approved ESG ratings", 1, {key}, {})[0] == []
+
+
+def test_many_edge_lines():
+    lines = [f"Line {c} of the Header" for c in "abcdef"] + ["and the body goes on."]
+    assert S.edge_noise(lines, 1, {S.header_key(x) for x in lines[:6]}, {}) == dict.fromkeys(range(6), "running_header")
 
 
 def test_local_decoding_is_the_same_as_of_the_whole_line(reader):
