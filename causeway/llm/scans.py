@@ -131,6 +131,7 @@ class Channel:
 
     def __init__(self, lexicon: dict[str, int], misread: dict[str, tuple[str, int]]):
         self.counts: Counter = Counter()
+        self.known: dict[tuple[str, str], float] = {}
         for read, (true, n) in misread.items():
             for pair in confusions(read, true):
                 self.counts[pair] += n
@@ -148,8 +149,12 @@ class Channel:
         return math.log((self.counts[true, read] + PRIOR * CONFUSION) / (self.uses[true] + self.counts[true, read] + PRIOR))
 
     def of_words(self, read: str, true: str) -> float:
-        pairs = confusions(read, true) or [("", "")]
-        return sum(self.cost(t, r) for t, r in pairs)
+        got = self.known.get((read, true))
+        if got is None:
+            got = sum(self.cost(t, r) for t, r in confusions(read, true) or [("", "")])
+            if len(self.known) < MAX_CACHED:
+                self.known[read, true] = got
+        return got
 
 
 class Spelling:
@@ -604,6 +609,7 @@ def _like(raw: str, word: str) -> str:
     return raw[:at] + word + raw[at + len(core) :]
 
 
+_SOFT = re.compile(r"(.*[^\W\d_])([¬­])([^\W\d_].*)")
 _BROKEN = re.compile(r"[^\W\d_][-‐‑]\s(?!and |or |und |oder |et |ou |y )")
 
 
@@ -651,7 +657,7 @@ def read_paragraph(reader: Reader, text: str, page: int | None, headers: set[str
     while i < len(rest):
         t = rest[i]
         core = t.rstrip()
-        inner = re.fullmatch(r"(.*[^\W\d_])([¬­])([^\W\d_].*)", core)
+        inner = _SOFT.fullmatch(core) if "¬" in core or "\u00ad" in core else None
         if inner:
             kinds.add("hyphen_break")
             fixed.append(inner[1] + inner[3])
