@@ -1,18 +1,19 @@
 """Freely typed values mapped to the entries of a canonical list.
 
-First a multi-pattern automaton over the canonical names and their aliases finds mentions
+First a multi-pattern automaton over the canonical names and their aliases (also written as one word) finds mentions
 embedded in the folded value, at word boundaries; of overlapping mentions the longest wins, and of
 the mentions that remain the longest decides (then the first). Values without a mention go to
 token-set similarity: words are compared as a set, each word matching a word of a name if it is
 equal, within a few edits (insertion, deletion, replacement, swap of neighbours), or its
 abbreviation written with a full stop; a name is meant if every word of it is matched and no content word of the value is left
-over. Codes count only as the whole value. Values that match nothing get -1.
+over. Which words may be meant is looked up among what is left of them after as many deletions as edits are tolerated,
+so a word is compared with few words of the list, however long that is. Codes count only as the whole value. Values that match nothing get -1.
 
 Folding undoes what typing and transport do: compatibility forms, look-alike letters of other
 scripts, mis-decoded UTF-8, accents, invisible characters, joined and punctuated words.
 
-Scale: one Arrow pass, no shuffle. The canonical list is a dimension of tens to thousands of
-entries and travels with the task; values and words are remembered per worker in bounded caches,
+Scale: one Arrow pass, no shuffle. The canonical list is a dimension and travels with the task: more than ``MAX_ENTRIES``
+entries are an error. Values and words are remembered per worker in bounded caches,
 so a value typed in a third of all rows is resolved once per worker.
 
 Defined results: null and blank values are no cases; values that are a canonical name character
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -35,12 +37,11 @@ from pyspark.sql import functions as F
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмтвнАЕОРСУХІЈЅКМТВНαορτυικνΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhkmtbhAEOPCYXIJSKMTBHaoptuikvABEZHIKMNOPTYX")
 
-#: Words that qualify a concept without changing which one is meant.
-QUALIFIERS = frozenset(
-    "a an and as at by described firm for from group group-wide higher improved in increased its level levels lower measures"
-    " more of on our quality reduced s stated the their to wide".split()
-)
+#: Function words, which do not change the concept that is meant.
+FUNCTION_WORDS = frozenset("a an and as at by for from in into its of on or our s that the their these this those to with".split())
 
+#: Most entries of a canonical list.
+MAX_ENTRIES = 200_000
 MAX_CACHED = 100_000
 _MISDECODED = re.compile("[Â-Å][\u0080-¿]")
 _INVISIBLE = re.compile("[​-‏⁠﻿­]")
@@ -75,16 +76,25 @@ def edits(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-def _letters(word: str) -> int:
-    mask = 0
-    for c in word:
-        mask |= 1 << (ord(c) & 63)
-    return mask
+def deletions(word: str, most: int) -> set[str]:
+    """The word and what is left of it without up to ``most`` of its letters.
+
+    Two words within n edits, a swap of neighbours counting one, have a form with n deletions each in common.
+    """
+    found, last = {word}, {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        found |= last
+    return found
+
+
+#: Edits tolerated in any word of a name.
+MOST_EDITS = 2
 
 
 def allowed_edits(word: str) -> int:
     """Edits tolerated in a word of a name."""
-    return 0 if len(word) < 3 else 1 if len(word) < 6 else 2
+    return 0 if len(word) < 3 else 1 if len(word) < 6 else MOST_EDITS
 
 
 class Resolver:
@@ -103,17 +113,23 @@ class Resolver:
         self.automaton = ahocorasick.Automaton()
         for words, key in self.names.items():
             self.automaton.add_word(f" {words} ", (len(words), key))
+        for words, key in self.names.items():
+            glued = words.replace(" ", "")
+            if f" {glued} " not in self.automaton:
+                self.automaton.add_word(f" {glued} ", (len(words), key))
         if self.names:
             self.automaton.make_automaton()
-        self.content = [([w for w in n.split() if w not in QUALIFIERS] or n.split(), key) for n, key in self.names.items()]
+        self.content = [([w for w in n.split() if w not in FUNCTION_WORDS] or n.split(), key) for n, key in self.names.items()]
         self.vocabulary = sorted({w for words, _ in self.content for w in words})
-        self.masks = [(w, len(w), _letters(w), allowed_edits(w)) for w in self.vocabulary]
+        self.longest = max(map(len, self.vocabulary), default=0)
+        self.by_deletion: dict[str, list[str]] = {}
+        for w in self.vocabulary:
+            for left in deletions(w, allowed_edits(w)):
+                self.by_deletion.setdefault(left, []).append(w)
         self.holders: dict[str, list[int]] = {}
         for i, (words, _) in enumerate(self.content):
             for w in words:
                 self.holders.setdefault(w, []).append(i)
-        self.joined = [(n.replace(" ", ""), key) for n, key in self.names.items()]
-        self.joined = [(n, _letters(n), key) for n, key in self.joined]
         self.near: dict[str, dict[str, int]] = {}
         self.known: dict[str, int] = {}
 
@@ -128,17 +144,17 @@ class Resolver:
         """Vocabulary words that ``word`` may mean, with the edits between; a final full stop marks an abbreviation."""
         got = self.near.get(word)
         if got is None:
-            bare = word.rstrip(".")
-            mask, got = _letters(bare), {}
-            for w, length, own, most in self.masks:
-                if w == bare:
-                    got[w] = 0
-                elif word[-1] == "." and len(bare) >= 3 and w.startswith(bare):
-                    got[w] = 1
-                elif abs(length - len(bare)) <= most and (mask ^ own).bit_count() <= 2 * most:
-                    n = edits(bare, w, most)
-                    if n <= most:
+            bare, got = word.rstrip("."), {}
+            if len(bare) <= self.longest + MOST_EDITS:
+                for w in {w for left in deletions(bare, MOST_EDITS) for w in self.by_deletion.get(left, ())}:
+                    n = edits(bare, w, allowed_edits(w))
+                    if n <= allowed_edits(w):
                         got[w] = n
+            if word[-1] == "." and len(bare) >= 3:
+                for w in self.vocabulary[bisect_left(self.vocabulary, bare) :]:
+                    if not w.startswith(bare):
+                        break
+                    got.setdefault(w, 1)
             if len(self.near) < MAX_CACHED:
                 self.near[word] = got
         return got
@@ -146,7 +162,7 @@ class Resolver:
     def similar(self, words: list[str]) -> int | None:
         """The concept whose name has the same set of words, give or take a few edits."""
         options = [self.near_words(w) for w in words]
-        must = [o for w, o in zip(words, options) if w.rstrip(".") not in QUALIFIERS and not w.rstrip(".").isdigit()]
+        must = [o for w, o in zip(words, options) if w.rstrip(".") not in FUNCTION_WORDS and not w.rstrip(".").isdigit()]
         if not must or not all(must):
             return None
         best: tuple[int, int] | None = None
@@ -166,19 +182,6 @@ class Resolver:
                     best = (cost, key)
         return None if best is None else best[1]
 
-    def as_joined(self, text: str) -> int | None:
-        """The concept whose name, written without spaces, is within two edits, long ones three."""
-        if len(text) < 7:
-            return next((key for n, _, key in self.joined if n == text), None)
-        mask, most = _letters(text), 2 if len(text) < 11 else 3
-        found = [
-            (n, key) for name, own, key in self.joined
-            if abs(len(name) - len(text)) <= most
-            and (mask ^ own).bit_count() <= 2 * most
-            and (n := edits(text, name, most)) <= most
-        ]
-        return min(found)[1] if found else None
-
     def resolve(self, value: str) -> int:
         got = self.known.get(value)
         if got is None:
@@ -191,8 +194,6 @@ class Resolver:
                 got = self.codes.get("".join(bare))
             if got is None:
                 got = self.similar(words)
-            if got is None:
-                got = self.as_joined("".join(bare))
             got = -1 if got is None else got
             if len(self.known) >= MAX_CACHED:
                 self.known.clear()
@@ -201,8 +202,11 @@ class Resolver:
 
 
 def read_entries(concepts: DataFrame) -> list[tuple[int, str, str | None, list[str]]]:
-    """The canonical list, a fixed dimension."""
-    rows = concepts.select("concept_id", "label", "code", "alt_names").where("concept_id IS NOT NULL AND label IS NOT NULL").collect()
+    """The canonical list, a dimension of at most ``MAX_ENTRIES`` entries."""
+    entries = concepts.select("concept_id", "label", "code", "alt_names").where("concept_id IS NOT NULL AND label IS NOT NULL")
+    rows = entries.limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        raise ValueError(f"more than {MAX_ENTRIES} entries in the canonical list")
     return [(r[0], r[1], r[2], [a for a in (r[3] or []) if a]) for r in rows]
 
 

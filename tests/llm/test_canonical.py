@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from causeway.llm import canonical as C
@@ -12,7 +14,7 @@ ENTRIES = [
 @pytest.mark.parametrize(
     ("value", "want"),
     [
-        ("board oversight", 1), ("the group's Board Oversight", 1), ("boardOversight", 1), ("Board_Oversight", 1), ("Oversight, Board", 1), ("B.O.V.", 1), ("bov", 1),
+        ("board oversight", 1), ("the group's Board Oversight", 1), ("boardoversight", 1), ("boardOversight", 1), ("Board_Oversight", 1), ("Oversight, Board", 1), ("B.O.V.", 1), ("bov", 1),
         ("Board Overs.", 1), ("Bord Oversigth", 1), ("Bоard Oversight", 1), ("Board​ Oversight", 1), ("1. Board Oversight", 1), ("(a) Board Oversight", 1),
         ("Carbon uOtupt", 2), ("higher carbon output", 2), ("GREENHOUSE DISCHARGE", 2), ("Carb. Output", 2), ("Carbon ÃutputÂ".replace("Ã", "Ã³"), 2),
         ("Dependaiblity of Results", 3), ("Reliability of Profit", 3), ("quality of staff training", 4), ("**Staff Training**", 4), ("Ero Loans", 5), ("Lending Green", 5),
@@ -55,6 +57,20 @@ def test_edits_against_definition():
                 assert C.edits(a, b, most) == min(plain(a, b), most + 1)
 
 
+def test_deletions_find_every_word_within_the_edits():
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9))) for _ in range(150)]
+    r = C.Resolver([(i, w, None, []) for i, w in enumerate(sorted(set(words)))])
+    for w in words[:60]:
+        assert r.near_words(w) == {v: n for v in r.vocabulary if (n := C.edits(w, v, C.allowed_edits(v))) <= C.allowed_edits(v)}
+
+
+def test_too_long_a_list(spark, monkeypatch):
+    monkeypatch.setattr(C, "MAX_ENTRIES", 2)
+    with pytest.raises(ValueError):
+        C.read_entries(spark.createDataFrame([(i, f"n{i}", None, None) for i in range(3)], "concept_id INT, label STRING, code STRING, alt_names ARRAY<STRING>"))
+
+
 def test_tables(spark):
     concepts = spark.createDataFrame([(1, "Board Oversight", "BOV", None), (2, "Carbon Output", None, ["x y", None]), (3, None, "Q", [])], "concept_id INT, label STRING, code STRING, alt_names ARRAY<STRING>")
     results = spark.createDataFrame(
