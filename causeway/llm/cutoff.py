@@ -49,7 +49,7 @@ CONTINUED = (
     "z.b", "d.h", "bzw", "inkl", "vgl", "abb", "nr", "s.o", "u.a", "p.ex", "env", "p.ej", "aprox", "núm",
 )
 
-_TERMINAL = r"""[.!?。！？…]["”’')\]»*_`]*\s*[\p{So}️‍]*$"""
+TERMINAL = r"""[.!?。！？…]["”’')\]»*_`]*\s*[\p{So}️‍]*$"""
 _MARKUP = " *_`<>[](){}\"'“”.,;!?"
 
 
@@ -93,7 +93,7 @@ def with_ending(df: DataFrame, text: str, entries: Sequence[str]) -> DataFrame:
         .when(line.contains("->"), edge)
         .when(item, F.when(full, "line").otherwise("broken"))
         .when(ellipsis, "ellipsis")
-        .when(line.rlike(_TERMINAL), F.when(last_word.isin([f"{a}." for a in CONTINUED]), "broken").otherwise("whole"))
+        .when(line.rlike(TERMINAL), F.when(last_word.isin([f"{a}." for a in CONTINUED]), "broken").otherwise("whole"))
         .otherwise("line")
     )
     df = df.withColumn("__sort", sort)

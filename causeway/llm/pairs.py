@@ -9,45 +9,48 @@ Each answer gets at most one defect, tested in this order:
   zstandard dictionary: text that the passage holds shrinks to references. An exact check follows: the
   words that the compressed form can take from the passage, in runs of five;
 - ``truncated``: its terminal context is incomplete: an open think tag or fence, an edge without its right side or with the
-  beginning of a concept name there, a last line that is neither an edge, NONE, a close nor a finished
-  sentence;
+  beginning of a concept name there, or a last line that is neither an edge, NONE, a finished
+  sentence nor one of the manners of closing that the model of terminal contexts has learned from all answers (last lines without terminal punctuation
+  that make up a set share of all such lines, as for cut-off values);
 - ``other_language``: its prose (without edges, quotations, concept names and closed think tags) is in another language than the passage, by function-word
-  dictionaries.
+  dictionaries; the character trigrams of the prose must bear it out, by profiles fitted on the passages.
 
-Scale: answers meet their passage in one equi-join on the folded excerpt id, split by AQE's skew
+Scale: the last lines of the answers are counted once (hashed, combined map-side); the learned closings, at most 1 / share of them,
+are broadcast. Answers meet their passage in one equi-join on the folded excerpt id, split by AQE's skew
 join where one excerpt holds very many answers; only the last line of the reasoning
-travels. The rest is one Arrow pass. Dictionaries are built only for answers long enough to be a
-copy and are remembered per batch.
+travels. The rest is one Arrow pass. Passages are folded once per batch, their dictionaries built only for answers long enough to be a
+copy.
 
 Defined results: rows with an error or a raw output are no pairs; a null answer is empty text; without a passage (null or
 unknown excerpt id, null text) nothing is a copy, without a language nothing is in another
-one; repeated rows are each judged; very long answers are read whole; empty tables give no rows.
+one; of passages with one folded id the first by id and text counts; repeated rows are each judged; very long answers are read whole; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.cutoff import CONTINUED
+from causeway.llm.cutoff import CLOSING_LEAST, CLOSING_SHARES, CONTINUED, TERMINAL, trimmed
+from causeway.sources.checkpoints import cut_lineage
 
-CLOSING_LINES = ("done", "end", "end of analysis", "end of answer", "finished", "the end", "ende")
-
-#: Function words that tell the languages apart.
+#: Articles, pronouns, prepositions, conjunctions and auxiliaries, which tell the languages apart.
 FUNCTION_WORDS = {
-    "en": "the of and to is in that for with as by it was are this which from an be or not at there any no but has have first one text lists"
-    " sentence states wording follows comes author change direct statement shapes presents consequence links nothing concepts",
-    "de": "der die das und ist zu den von mit dem des ein eine im für als auf nicht sich wird auch zwischen wurde einen kein keine"
-    " nur am an bei nach zum zur laut kommt zuerst danach stellt genannt satz weil wodurch sodass was",
-    "fr": "le la les et est des du une un dans que pour qui par sur au aux ne pas ce cette avec se sont d'un l'un seulement"
-    " aucune entre deux selon vient puis phrase texte comme à ensuite d'abord car car a été l n d qu",
-    "es": "el la los las y es de que en un una por con para se del al no como su lo más entre sólo solo ninguna según"
-    " primero aparece después frase texto atribuye presenta directamente vincula ha porque lo que",
+    "en": "the of and to is in that for with as by it was are this which from an be or not at there any no but has have had were been they their its"
+    " these those what who when where than then into about between only also does did can could would should will such each other one",
+    "de": "der die das und ist zu den von mit dem des ein eine einen einer eines im für als auf nicht sich wird auch zwischen wurde wurden kein keine keinen"
+    " nur am an bei nach zum zur aus durch über unter vor weil wodurch sodass was wie dass es er sie wir sind war hat haben werden kann aber oder wenn noch",
+    "fr": "le la les et est des du une un dans que pour qui par sur au aux ne pas ce cette ces avec se sont il elle ils nous vous leur"
+    " aucun aucune entre deux selon puis comme à ensuite car a été être mais ou où donc plus sans sous dont y en lui même tout",
+    "es": "el la los las y es de que en un una por con para se del al no como su sus lo más entre sólo solo ninguna ninguno según"
+    " primero después ha han porque pero o este esta estos estas ese esa son fue ser está muy sin sobre también cuando donde le les",
 }
 #: Phrases that decline a task.
 REFUSALS = (
@@ -89,9 +92,10 @@ for _w in {w for w in _LANGUAGE if sum(w in v.split() for v in FUNCTION_WORDS.va
 
 
 class Judge:
-    """Labels answers; ``names`` are the concept names and aliases."""
+    """Labels answers; ``names`` are the concept names and aliases, ``profiles`` those of the languages."""
 
-    def __init__(self, names: list[str]):
+    def __init__(self, names: list[str], profiles: dict[str, dict[str, float]] | None = None):
+        self.profiles = profiles or {}
         own = sorted({n for n in names if n}, key=lambda n: (-len(n), n))
         self.names = re.compile("|".join(map(re.escape, own)) or r"(?!)", re.I)
         self.beginnings: set[str] = set()
@@ -100,8 +104,8 @@ class Judge:
             self.beginnings |= {n[:k].strip().lower() for k in range(1, len(n) - 1)} - whole
         self.beginnings.discard("")
 
-    def ends_cut(self, text: str) -> bool:
-        """Whether the terminal context of a stripped, non-empty answer is incomplete."""
+    def ends_cut(self, text: str, closes: bool = False) -> bool:
+        """Whether the terminal context of a stripped, non-empty answer is incomplete; ``closes``: its last line is a learned closing."""
         if _OPEN_THINK.search(text) or text.count("```") % 2:
             return True
         line = text[text.rfind("\n") + 1 :].strip()
@@ -110,7 +114,7 @@ class Judge:
             right = line[arrows[-1].end() :].strip()
             bare = right.strip(" *_`<>[](){}\"'“”")
             return not bare or right.lower() in self.beginnings
-        if _NONE.match(line) or line.lower().strip(" .!*`") in CLOSING_LINES or re.match(r"(?:</\w+>|```|-{3,})$", line):
+        if closes or _NONE.match(line) or re.match(r"(?:</\w+>|```)$", line):
             return False
         return not _TERMINAL.search(line) or bool(_CONTINUED.search(line))
 
@@ -120,18 +124,22 @@ class Judge:
         return self.names.sub(" ", _TAG.sub(" ", _QUOTED.sub(" ", "\n".join(lines))))
 
     def language_of(self, text: str, expected: str) -> str | None:
-        """The language of the prose if it is clearly another than ``expected``."""
+        """The language of the prose if it is clearly another than ``expected``: by function words, and by character trigrams where both have a profile."""
         count = dict.fromkeys(FUNCTION_WORDS, 0)
-        for w in _PROSE_WORD.findall(self.prose(text).lower().replace("’", "'")):
+        prose = self.prose(text).lower().replace("’", "'")
+        for w in _PROSE_WORD.findall(prose):
             lang = _LANGUAGE.get(w)
             if lang is None and "'" in w:
                 lang = "fr" if w[:2] in ("d'", "l'", "n'", "s'", "c'") or w[:3] == "qu'" else None
             if lang:
                 count[lang] += 1
         best = max(count, key=lambda k: (count[k], k))
-        if best != expected and count[best] >= LANGUAGE_LEAST and count[best] >= count.get(expected, 0) + LANGUAGE_LEAD:
-            return best
-        return None
+        if best == expected or count[best] < LANGUAGE_LEAST or count[best] < count.get(expected, 0) + LANGUAGE_LEAD:
+            return None
+        other, own = self.profiles.get(best), self.profiles.get(expected)
+        if other and own and sum(other.get(g, other[""]) - own.get(g, own[""]) for g in _trigrams(prose)) <= 0:
+            return None
+        return best
 
     def is_copy(self, text: str, passage: "Passage") -> bool:
         words = _WORD.findall(text.lower())
@@ -145,7 +153,7 @@ class Judge:
                 until = i + RUN
         return covered >= COPY_WORDS * len(words)
 
-    def defect(self, answer: str | None, reasoning_end: str | None, passage: "Passage | None", lang: str | None) -> str | None:
+    def defect(self, answer: str | None, reasoning_end: str | None, passage: "Passage | None", lang: str | None, closes: bool = False) -> str | None:
         text = (answer or "").strip()
         own = _CLOSED_THINK.sub(" ", text) if "<" in text else text
         if not _WORD.search(_TAG.sub(" ", own)):
@@ -158,7 +166,7 @@ class Judge:
             return "refusal"
         if passage is not None and self.is_copy(own, passage):
             return "copied"
-        if self.ends_cut(own):
+        if self.ends_cut(own, closes):
             return "truncated"
         if lang and ("\n" in own or not answered_here) and self.language_of(own, lang):
             return "other_language"
@@ -201,39 +209,104 @@ def _key(column: str):
     return F.lower(F.regexp_replace(F.col(column), r"(?U)^\s+|\s+$", ""))
 
 
+def last_lines(results: DataFrame) -> DataFrame:
+    """``row_id, __form``: the hashed last line of each answer that ends without terminal punctuation and without arrow, null for others; and its ``first_word``."""
+    line = F.lower(F.trim(F.substring_index(trimmed(F.col("raw_response")), "\n", -1)))
+    plain = (line != "") & ~line.contains("->") & ~line.contains("→") & ~line.rlike(TERMINAL)
+    return results.where("error IS NULL AND raw_output IS NULL").select(
+        "*", F.when(plain, F.xxhash64(line)).alias("__form"), F.substring_index(line, " ", 1).alias("__first_word")
+    )
+
+
+def closings_of(answers: DataFrame) -> DataFrame:
+    """``__form`` of each last line that is a manner of closing: it makes up a set share of all without terminal punctuation.
+
+    A single word that more last lines begin with, written further, is none: it is that word cut off.
+    """
+    counted = cut_lineage(answers.groupBy("__form", "__first_word").agg(F.count(F.lit(1)).alias("n")))
+    plain = counted.where("__form IS NOT NULL")
+    least = F.greatest(F.lit(CLOSING_LEAST), CLOSING_SHARES["line"] * plain.agg(F.sum("n")).scalar())
+    often = plain.where(F.col("n") >= least)
+    words = counted.where("length(__first_word) > 1").groupBy("__first_word").agg(F.sum("n").alias("n_word"))
+    begun = words.select("n_word", F.explode(F.expr("transform(sequence(1, length(__first_word) - 1), k -> xxhash64(left(__first_word, k)))")).alias("__form"))
+    begun = begun.groupBy("__form").agg(F.max("n_word").alias("n_word"))
+    return often.join(begun, "__form", "left").where(F.coalesce("n_word", F.lit(0)) <= F.col("n")).select("__form")
+
+
+#: Most passages that the language profiles are fitted on, and least uses of a trigram in them.
+PROFILE_PASSAGES, PROFILE_LEAST = 20_000, 3
+
+
+def _trigrams(text: str) -> Iterator[str]:
+    for word in _PROSE_WORD.findall(text.lower()):
+        padded = f" {word} "
+        yield from (padded[i : i + 3] for i in range(len(padded) - 2))
+
+
+def language_profiles(excerpts: DataFrame) -> dict[str, dict[str, float]]:
+    """Per language of the passages, the log probability of each character trigram; "" has that of an unknown one.
+
+    Fitted on at most ``PROFILE_PASSAGES`` passages in hash order.
+    """
+    sample = excerpts.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text").orderBy(F.xxhash64("text"), "lang").limit(PROFILE_PASSAGES)
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counted: Counter = Counter()
+        for frame in frames:
+            for lang, text in zip(frame["lang"], frame["text"]):
+                counted.update((lang, g) for g in _trigrams(text))
+        yield pd.DataFrame([(*k, n) for k, n in counted.items()], columns=["lang", "gram", "n"])
+
+    grams = sample.mapInPandas(batches, "lang STRING, gram STRING, n BIGINT").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    out: dict[str, dict[str, float]] = {}
+    for r in grams.where(F.col("n") >= PROFILE_LEAST).collect():
+        out.setdefault(r["lang"], {})[r["gram"]] = r["n"]
+    for own in out.values():
+        every = sum(own.values())
+        own.update({g: math.log(n / every) for g, n in own.items()})
+        own[""] = math.log(1 / every)
+    return out
+
+
 def defects(results: DataFrame, excerpts: DataFrame, names: list[str]) -> DataFrame:
     """``row_id, defect`` of each defective pair."""
-    judge = Judge(names)
+    judge = Judge(names, language_profiles(excerpts))
     end = F.substring_index(F.regexp_replace("raw_thinking", r"(?U)\s+$", ""), "\n", -1)
-    answers = results.where("error IS NULL AND raw_output IS NULL").select(
-        "row_id", _key("excerpt_id").alias("__excerpt"), "raw_response", end.alias("reasoning_end")
+    answers = last_lines(results.select("row_id", "excerpt_id", "raw_response", "raw_thinking", "error", "raw_output"))
+    closings = F.broadcast(closings_of(answers).withColumn("closes", F.lit(True)))
+    answers = answers.join(closings, "__form", "left").select(
+        "row_id", _key("excerpt_id").alias("__excerpt"), "raw_response", end.alias("reasoning_end"), "closes"
+    )
+    passages = (
+        excerpts.where("excerpt_id IS NOT NULL")
+        .groupBy(_key("excerpt_id").alias("__excerpt"))
+        .agg(F.min(F.struct("excerpt_id", "text", "lang")).alias("first"))
+        .select("__excerpt", F.col("first.text").alias("passage"), F.col("first.lang").alias("passage_lang"))
     )
-    passages = excerpts.where("excerpt_id IS NOT NULL").select(
-        _key("excerpt_id").alias("__excerpt"), F.col("text").alias("passage"), F.col("lang").alias("passage_lang")
-    ).dropDuplicates(["__excerpt"])
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             known: dict[str, Passage] = {}
             out = []
-            for row_id, answer, reasoning_end, text, lang in zip(
-                frame["row_id"], frame["raw_response"], frame["reasoning_end"], frame["passage"], frame["passage_lang"]
+            for row_id, answer, reasoning_end, text, lang, closes in zip(
+                frame["row_id"], frame["raw_response"], frame["reasoning_end"], frame["passage"], frame["passage_lang"], frame["closes"]
             ):
                 passage = None
-                if isinstance(text, str) and isinstance(answer, str) and len(answer) >= COPY_SHARE * 0.5 * len(text):
+                if isinstance(text, str) and isinstance(answer, str):
                     passage = known.get(text) or known.setdefault(text, Passage(text))
                 found = judge.defect(
                     answer if isinstance(answer, str) else None,
                     reasoning_end if isinstance(reasoning_end, str) else None,
                     passage,
                     lang if isinstance(lang, str) else None,
+                    closes is True,
                 )
                 if found:
                     out.append((row_id, found))
             yield pd.DataFrame(out, columns=["row_id", "defect"])
 
     joined = answers.join(passages, "__excerpt", "left")
-    return joined.select("row_id", "raw_response", "reasoning_end", "passage", "passage_lang").mapInPandas(
+    return joined.select("row_id", "raw_response", "reasoning_end", "passage", "passage_lang", "closes").mapInPandas(
         batches, "row_id BIGINT, defect STRING"
     )
 

@@ -47,3 +47,31 @@ def test_table(spark):
     assert P.defects(results.limit(0), excerpts, []).count() == 0 and P.defects(results, excerpts.limit(0), []).count() == 1
     rates = {r.model: r for r in P.defect_rates(results, excerpts, ["A"]).collect()}
     assert rates["m"].n_pairs == 3 and rates["m"].n_copied == 1 and rates[""].n_empty == 1
+
+
+def test_closings_are_learned(spark):
+    """Frequent last lines close an answer; the beginning of a more frequent line does not."""
+    texts = ["It says so.\nover and out"] * 5 + ["It says so.\nFIN"] * 5 + ["It says so.\nFINAL: Board Oversight -> Carbon Output"] * 20 + [f"It says number {i} and" for i in range(30)] + [None, ""]
+    schema = "row_id BIGINT, excerpt_id STRING, raw_response STRING, raw_thinking STRING, error STRING, raw_output STRING"
+    results = spark.createDataFrame([(i, None, t, None, None, None) for i, t in enumerate(texts)], schema)
+    got = dict(rows(P.defects(results, spark.createDataFrame([], "excerpt_id STRING, text STRING, lang STRING"), ["Board Oversight", "Carbon Output"])))
+    assert set(got) == {*range(5, 10), *range(30, 62)} and got[7] == "truncated" and got[60] == "empty"
+
+
+def test_profiles_bear_out_the_function_words(spark):
+    texts = {"en": "The board which was there had been in this house and thought about other ways to reach the goal. ", "es": "La segunda frase atribuye una medida distinta al consejo de vigilancia con ventaja. "}
+    excerpts = spark.createDataFrame([(f"{k}{i}", t, k) for k, t in texts.items() for i in range(9)] + [("n", None, "en"), ("m", "x", None)], "excerpt_id STRING, text STRING, lang STRING")
+    profiles = P.language_profiles(excerpts)
+    assert set(profiles) == {"en", "es"}
+    judge = P.Judge(["Board Oversight"], profiles)
+    assert judge.language_of("The key words are. Segunda frase atribuye medida distinta vigilancia ventaja consejo.", "es") is None
+    assert judge.language_of("The board thought about other ways to reach this goal.", "es") == "en"
+
+
+def test_passages_with_one_folded_id(spark):
+    schema = "row_id BIGINT, excerpt_id STRING, raw_response STRING, raw_thinking STRING, error STRING, raw_output STRING"
+    results = spark.createDataFrame([(1, "e1", PASSAGE, None, None, None)], schema)
+    for ids in (("E1", "e1"), ("e1 ", " e1")):
+        excerpts = spark.createDataFrame([(ids[0], PASSAGE, "en"), (ids[1], "Another text.", "en")], "excerpt_id STRING, text STRING, lang STRING")
+        first = min(zip(ids, (PASSAGE, "Another text.")))[1]
+        assert rows(P.defects(results, excerpts, [])) == ([(1, "copied")] if first == PASSAGE else [])
