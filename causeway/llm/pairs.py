@@ -41,16 +41,16 @@ from pyspark.sql import functions as F
 from causeway.llm.cutoff import CLOSING_LEAST, CLOSING_SHARES, CONTINUED, TERMINAL, trimmed
 from causeway.sources.checkpoints import cut_lineage
 
-#: Articles, pronouns, prepositions, conjunctions and auxiliaries, which tell the languages apart.
+#: Articles, pronouns, prepositions, conjunctions, auxiliaries and common adverbs, which tell the languages apart.
 FUNCTION_WORDS = {
     "en": "the of and to is in that for with as by it was are this which from an be or not at there any no but has have had were been they their its"
     " these those what who when where than then into about between only also does did can could would should will such each other one",
     "de": "der die das und ist zu den von mit dem des ein eine einen einer eines im für als auf nicht sich wird auch zwischen wurde wurden kein keine keinen"
     " nur am an bei nach zum zur aus durch über unter vor weil wodurch sodass was wie dass es er sie wir sind war hat haben werden kann aber oder wenn noch",
     "fr": "le la les et est des du une un dans que pour qui par sur au aux ne pas ce cette ces avec se sont il elle ils nous vous leur"
-    " aucun aucune entre deux selon puis comme à ensuite car a été être mais ou où donc plus sans sous dont y en lui même tout",
+    " aucun aucune entre deux selon puis comme à ensuite car a été être mais ou où donc plus sans sous dont lui même tout seulement",
     "es": "el la los las y es de que en un una por con para se del al no como su sus lo más entre sólo solo ninguna ninguno según"
-    " primero después ha han porque pero o este esta estos estas ese esa son fue ser está muy sin sobre también cuando donde le les",
+    " primero después ha han porque pero o este esta estos estas ese esa son fue ser está muy sin sobre también cuando donde",
 }
 #: Phrases that decline a task.
 REFUSALS = (
@@ -234,7 +234,7 @@ def closings_of(answers: DataFrame) -> DataFrame:
 
 
 #: Most passages that the language profiles are fitted on, and least uses of a trigram in them.
-PROFILE_PASSAGES, PROFILE_LEAST = 20_000, 3
+PROFILE_PASSAGES, PROFILE_LEAST = 4_000, 3
 
 
 def _trigrams(text: str) -> Iterator[str]:
