@@ -25,6 +25,10 @@ POLICY_TABLE_MARKERS = (
     r"\bSenior\s+level\b|\bThird-party\s+standards\b|\bStakeholder\b.*\bPolicies\b|\bContent\s+Scope\b"
     r"|\bAvailabil(?:ity|e)\b.*\bAccessible\b|\bExecutive\s+(?:Board|Company)\b.*\bAgreement\b"
 )
+BULLET_LINE = r"^[►\-–•]\s*.*$"
+TITLED_WORDS = r"(?<!\. )[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?(?=\s+[A-Z])"
+POLICY_TABLE_HEADS, POLICY_TABLE_CELLS = r"(?:Own\s+Operations|Executive\s+Company|Accessible\s+via)", r"(?:Agreement|understanding|applies\s+to\s+all)"
+IMPACTS_HEAD = r"^Impacts,?\s+risks\s+and\s+opportunities\s+Impacts"
 NAME_ENTRY = r"[−–—\-]\s+[A-Z][a-zà-ö]+(?:\s+[A-Z][a-zà-ö]+)+\s*(?:[–—\-]\s|$|\()"
 AUXILIARY_VERBS = r"\b(?:is|are|was|were|has|have|had|will|shall|can|do|does|did)\b"
 COMMON_VERBS = (
@@ -69,7 +73,7 @@ def is_contents_page(text: Column) -> Column:
         | bind(rows, listed)
         | (occurrences(own, r"(?:►|ESRS\s+[A-Z]\d|[ESGB][1-5][\-,])") > 10)
         | matches(own, r"ESRS\s+Index")
-        | ((F.length(own) > 500) & (occurrences(own, r"[A-Za-z]{10}[^.]*+\.\s") < 3))
+        | ((F.length(own) > 500) & (occurrences(own, r"[A-Za-z]{10}[^.]*+\.\s") < 3))  # ten letters or more, possessive: the same matches, without backtracking
         | (numbered >= 5)
     )
 
@@ -90,7 +94,7 @@ def is_scrambled_table(text: Column) -> Column:
         sentences = F.split(own, f"[.!?][{SPACE}]+", -1)
         # the lengths of the sentences add up to that of the text without the separators
         total = F.aggregate(sentences, F.lit(0), lambda n, s: n + F.length(s))
-        titled = occurrences(own, r"(?<!\. )[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?(?=\s+[A-Z])")
+        titled = occurrences(own, TITLED_WORDS)
         return (
             (own == "")
             | ((n_words > 10) & (_ratio(short, n_words) > 0.4))
@@ -106,11 +110,11 @@ def is_scrambled_table(text: Column) -> Column:
                 bind(F.lower(own), lambda x: holds_any(x, "senior", "third-party", "policies", "content", "accessible", "agreement"))
                 & (occurrences(own, POLICY_TABLE_MARKERS, ignore_case=True) >= 2)
             )
-            | (F.lower(F.substring(own, 1, 7)) == "impacts") & matches(own, r"^Impacts,?\s+risks\s+and\s+opportunities\s+Impacts", ignore_case=True)
+            | (F.lower(F.substring(own, 1, 7)) == "impacts") & matches(own, IMPACTS_HEAD, ignore_case=True)
             | (
                 holds_any(own, "Operations", "Executive", "Accessible")
-                & matches(own, r"(?:Own\s+Operations|Executive\s+Company|Accessible\s+via)")
-                & matches(own, r"(?:Agreement|understanding|applies\s+to\s+all)")
+                & matches(own, POLICY_TABLE_HEADS)
+                & matches(own, POLICY_TABLE_CELLS)
             )
         )
 
@@ -133,7 +137,7 @@ def is_non_narrative(text: Column) -> Column:
         size = F.length(own)
         return (
             (own == "")
-            | (matches(own, r"^[►\-–•]\s*.*$") & ~own.contains("\n") & (size < 60))
+            | (matches(own, BULLET_LINE) & (size < 60))
             | ((letters(own) < 0.4 * size) & (size > 20))
             | (occurrences(own, r"~?\d+\.?\d*%") >= 4)
             | ((occurrences(own, r"\b\d+\.?\d*\b") >= 8) & (size < 300))

@@ -80,9 +80,12 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def supersede(original: DataFrame, rerun: DataFrame, keys: list[str]) -> DataFrame:
-    """MRG-1: rows of the rerun replace rows of the same key; keys of the rerun alone are dropped. One rerun row per key."""
+    """MRG-1: rows of the rerun replace rows of the same key; keys of the rerun alone are dropped.
+
+    Of several rerun rows of a key the greatest counts, by the columns in their order; so no row is multiplied.
+    """
     columns = [c for c in original.columns if c not in keys]
-    new = rerun.select(*keys, F.struct(*columns).alias("__new"))
+    new = rerun.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("__new"))
     joined = original.join(new, keys, "left")
     pick = lambda c: F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c)
     return joined.select(*keys, *[pick(c) for c in columns])

@@ -102,6 +102,10 @@ def all_metrics(graphs: DataFrame, truth: DataFrame, predicted: DataFrame, key:
     return c.select(*keep, *[v.alias(k) for k, v in own.items()])
 
 
+#: Nodes that a mask of 64 bits with sign holds.
+MOST_NODES = 63
+
+
 def bit(k: Column) -> Column:
     """The mask with bit ``k``."""
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
@@ -112,7 +116,9 @@ def has_bit(mask: Column, k: Column) -> Column:
 
 
 def masks(edges: DataFrame, key: str, n: int) -> DataFrame:
-    """MET-18: per graph ``adjacency``: an array of n bitmasks of children."""
+    """MET-18: per graph ``adjacency``: an array of n bitmasks of children; more than ``MOST_NODES`` nodes are an error."""
+    if n > MOST_NODES:
+        raise ValueError(f"masks hold at most {MOST_NODES} nodes, not {n}")
     rows = edges.groupBy(key, "i").agg(F.bit_or(bit(F.col("j"))).alias("m"))
     by_node = rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "m"))).alias("m"))
     nodes = F.sequence(F.lit(0), F.lit(n - 1))
@@ -196,6 +202,11 @@ def cut_incoming(parent: list[int], x: int) -> list[int]:
     return [*parent[:x], 0, *parent[x + 1 :]]
 
 
+def surgery(adjacency: Column, x: Column) -> Column:
+    """MET-21: graph surgery on child masks: no edge into x is left."""
+    return F.transform(adjacency, lambda m: m.bitwiseAND(F.bitwise_not(bit(x))))
+
+
 def intervention_distance(predicted: list[int], truth: list[int]) -> int | None:
     """MET-22: pairs (x, y) for which the predicted parents of x fail as adjustment set; null for cyclic predictions.
 

@@ -97,12 +97,12 @@ def distinct_truths(graphs: DataFrame, edges: str = "ground_truth_edges") -> Dat
     return graphs.select(F.array_sort(F.array_distinct(edges)).alias("t")).agg(F.count_distinct("t").alias("n_truths"))
 
 
-def with_missing(models: Sequence[str], excerpts: DataFrame, graphs: DataFrame) -> DataFrame:
+def with_missing(models: Column, excerpts: DataFrame, graphs: DataFrame) -> DataFrame:
     """GRA-8: every one of the few models with every excerpt; pairs without a record have status missing and no edges.
 
     The grid is the meaning of the result: a model that skipped an excerpt still scores on it.
     """
-    grid = excerpts.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models]).cast("array<string>")))
+    grid = excerpts.withColumn("model", F.explode(models))
     joined = grid.join(graphs, ["model", "excerpt_id"], "left")
     return joined.withColumn("status", F.when(F.col("result_id").isNull(), "missing").otherwise(F.col("status")))
 

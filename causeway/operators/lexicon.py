@@ -10,6 +10,7 @@ Null texts and texts under 40 characters are no rows; null pages do not count fo
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from re import _parser
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,11 +132,28 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
-def scan(rows: DataFrame, lexicon: Lexicon = CONCEPTS, markers: Sequence[str] = MARKERS) -> DataFrame:
-    """Corpus rows with ``mask``, ``markers`` and their number ``rn`` among the surviving rows of the file."""
-    kept = rows.where(F.length(strip(F.col("text"))) >= 40)
-    marked = kept.withColumn("mask", concept_mask(F.col("text"), lexicon)).withColumn("markers", marker_hits(F.col("text"), markers))
-    return number_rows(marked, "file", "lineno", "lineno")
+def widest_match(patterns: Sequence[str]) -> int | None:
+    """Characters that a match of one of the patterns can have at most; None if there is no bound."""
+    widest = max(_parser.parse(p).getwidth()[1] for p in patterns)
+    return widest if widest < 10_000 else None
+
+
+def scan(
+    rows: DataFrame, lexicon: Lexicon = CONCEPTS, markers: Sequence[str] = MARKERS, head_of: str | None = None, with_text: bool = False
+) -> DataFrame:
+    """The surviving corpus rows with ``mask``, number of markers ``n_markers`` and their number ``rn`` in the file.
+
+    Texts are left behind where they are read, for windows over rows must not carry them: of rows that mention the
+    concept ``head_of`` the first 300 characters stay as ``head``; all of the text and its markers only if asked for.
+    """
+    text = F.col("text")
+    marked = rows.where(F.length(strip(text)) >= 40).select(
+        "file", "lineno", "page", "section", "subsection", concept_mask(text, lexicon).alias("mask"), marker_hits(text, markers).alias("markers"), "text"
+    )
+    head = F.when(F.col("mask").bitwiseAND(F.lit(1 << list(lexicon).index(head_of))) != 0, F.substring("text", 1, 300)) if head_of else F.lit(None)
+    own = ["markers", "text"] if with_text else []
+    kept = marked.select("file", "lineno", "page", "section", "subsection", "mask", F.size("markers").alias("n_markers"), head.cast("string").alias("head"), *own)
+    return number_rows(kept, "file", "lineno", "lineno")
 
 
 def prefilter(rows: DataFrame, lexicon: Lexicon = CONCEPTS, markers: Sequence[str] = MARKERS, special: str = "MBV") -> DataFrame:
@@ -163,14 +181,14 @@ def combinations(candidates: DataFrame) -> DataFrame:
 def smallest_windows(
     scanned: DataFrame, lexicon: Lexicon = CONCEPTS, most_rows: int = 20, most_pages: int = 6, one_section: bool = False
 ) -> DataFrame:
-    """LEX-8, 10: per start row with a concept the smallest qualifying window, with its details.
+    """LEX-8: per start row with a concept the smallest qualifying window.
 
     It covers all concepts, ends in a row with one, has two rows with markers, spans at most ``most_pages`` pages and,
     if asked, one section.
     """
     full = (1 << len(lexicon)) - 1
     frame = Window.partitionBy("file", "__block").orderBy("rn").rowsBetween(0, most_rows - 1)
-    row = F.struct("rn", "lineno", "page", "section", "subsection", "mask", "markers", "text")
+    row = F.struct("lineno", "page", "section", "mask", (F.col("n_markers") > 0).alias("marked"))
     blocks = in_blocks(scanned, "rn", behind=0, ahead=most_rows - 1)
     framed = blocks.withColumn("w", F.collect_list(row).over(frame)).where("__own AND mask <> 0")
     start = F.struct(
@@ -180,7 +198,7 @@ def smallest_windows(
 
     def step(s: Column, r: Column) -> Column:
         i, mask = s["i"] + 1, s["mask"].bitwiseOR(r["mask"])
-        marked = s["marked"] + F.when(F.size(r["markers"]) > 0, 1).otherwise(0)
+        marked = s["marked"] + F.when(r["marked"], 1).otherwise(0)
         lo, hi = F.least(s["lo"], r["page"]), F.greatest(s["hi"], r["page"])
         same = s["same"] & r["section"].eqNullSafe(F.get(F.col("w"), F.lit(0))["section"])
         good = (
@@ -197,14 +215,25 @@ def smallest_windows(
     inside = sized.withColumn("w", cut)
     pages = F.transform("w", lambda r: r["page"])
     return inside.select(
-        "file", F.col("lineno").alias("start_line"), F.element_at("w", -1)["lineno"].alias("end_line"), "n_rows",
+        "file", F.col("rn").alias("start_rn"), F.col("lineno").alias("start_line"), F.element_at("w", -1)["lineno"].alias("end_line"), "n_rows",
         F.array_min(pages).alias("first_page"), F.array_max(pages).alias("last_page"), "section",
+        F.size(F.filter("w", lambda r: r["marked"])).alias("rows_with_markers"),
+    )
+
+
+def window_details(windows: DataFrame, scanned: DataFrame, lexicon: Lexicon = CONCEPTS) -> DataFrame:
+    """LEX-10: the windows with what their rows hold; ``scanned`` has texts. Only rows of windows are fetched."""
+    wanted = windows.withColumn("__rn", F.explode(F.sequence("start_rn", F.col("start_rn") + F.col("n_rows") - 1)))
+    row = F.struct("rn", "subsection", "mask", "markers", "text")
+    held = wanted.join(scanned.select(F.col("file").alias("__file"), "rn", row.alias("__row")), (F.col("file") == F.col("__file")) & (F.col("__rn") == F.col("rn")))
+    listed = held.groupBy("file", "start_rn").agg(F.array_sort(F.collect_list("__row")).alias("w"))
+    return windows.join(listed, ["file", "start_rn"]).select(
+        *windows.columns,
         F.array_sort(F.array_distinct(F.array_compact(F.transform("w", lambda r: r["subsection"])))).alias("subsection_set"),
         F.transform("w", lambda r: concept_names(r["mask"], lexicon)).alias("nodes_per_row"),
         F.transform("w", lambda r: r["markers"]).alias("markers_per_row"),
         F.transform("w", lambda r: r["text"]).alias("texts"),
-        F.size(F.filter("w", lambda r: F.size(r["markers"]) > 0)).alias("rows_with_markers"),
-    )
+    )
 
 
 def window_rank(windows: DataFrame) -> DataFrame:
@@ -215,12 +244,12 @@ def window_rank(windows: DataFrame) -> DataFrame:
 def anchored(
     scanned: DataFrame, lexicon: Lexicon = CONCEPTS, anchor: str = "MBV", reach: int = 15, least_markers: int = 2, most_pages: int = 6
 ) -> DataFrame:
-    """LEX-11: rows that mention ``anchor`` whose neighbourhood of ``reach`` rows either side covers all concepts."""
+    """LEX-11: rows that mention ``anchor`` whose neighbourhood of ``reach`` rows either side covers all concepts; scanned with ``head_of=anchor``."""
     full = (1 << len(lexicon)) - 1
     bit = 1 << list(lexicon).index(anchor)
     near = Window.partitionBy("file", "__block").orderBy("rn").rowsBetween(-reach, reach)
     over = in_blocks(scanned, "rn", behind=reach, ahead=reach).select(
-        "*", F.bit_or("mask").over(near).alias("union"), F.sum(F.size("markers")).over(near).alias("total_markers"),
+        "*", F.bit_or("mask").over(near).alias("union"), F.sum("n_markers").over(near).alias("total_markers"),
         F.min("page").over(near).alias("first_page"), F.max("page").over(near).alias("last_page"),
         F.min("lineno").over(near).alias("span_start"), F.max("lineno").over(near).alias("span_end"),
     )
@@ -229,7 +258,7 @@ def anchored(
         & (F.coalesce(F.col("last_page") - F.col("first_page"), F.lit(0)) <= most_pages)
     )
     return hits.select(
-        "file", F.col("lineno").alias("anchor_line"), F.col("page").alias("anchor_page"), F.substring("text", 1, 300).alias("anchor_text"),
+        "file", F.col("lineno").alias("anchor_line"), F.col("page").alias("anchor_page"), F.col("head").alias("anchor_text"),
         "span_start", "span_end", "first_page", "last_page", "total_markers", concept_names(F.col("union"), lexicon).alias("nodes"), "section", "rn",
     )
 
@@ -243,26 +272,62 @@ def relaxed(
     rows: DataFrame, lexicon: Lexicon = RELAXED_CONCEPTS, markers: Sequence[str] = RELAXED_MARKERS, reach: int = 7,
     least_markers: int = 4, most_pages: int = 5, skip: DataFrame | None = None,
 ) -> DataFrame:
-    """LEX-13: anchors whose neighbourhood, read as one text, mentions all concepts and enough markers; files of ``skip`` are left out."""
+    """LEX-13: anchors whose neighbourhood, read as one text, mentions all concepts and enough markers; files of ``skip`` are left out.
+
+    Every row is matched once by itself and once at its border to the next rows; hits of rows add up, and only
+    neighbourhoods with a border that has other hits than its two sides are read as one text.
+    """
+    text, full = F.col("text"), (1 << len(lexicon)) - 1
     if skip is not None:
         rows = rows.join(skip.select("file").distinct(), "file", "left_anti")
-    kept = number_rows(rows.where(F.length(strip(F.col("text"))) >= 40), "file", "lineno", "lineno")
-    near = Window.partitionBy("file", "__block").orderBy("rn").rowsBetween(-reach, reach)
-    over = in_blocks(kept, "rn", behind=reach, ahead=reach).select(
-        "file", "lineno", "rn", "__own", F.array_join(F.collect_list("text").over(near), " ").alias("around"),
+    kept = rows.where(F.length(strip(text)) >= 40)
+    numbered = number_rows(kept.select("file", "lineno", "page", "text"), "file", "lineno", "lineno")
+
+    # what each row has by itself, and what its border to the rows after it has beyond the two sides
+    width = widest_match([*(alternation(p) for p in lexicon.values()), alternation(markers)])
+    by_row = Window.partitionBy("file", "__block").orderBy("rn")
+    hits = lambda x: F.struct(concept_mask(x, lexicon).alias("mask"), F.size(marker_hits(x, markers)).alias("n"))
+    if width is None:  # patterns of any width: every neighbourhood is read as a whole
+        marked = numbered.select("file", "lineno", "rn", "page", F.lit(full).alias("mask"), F.lit(least_markers).alias("n"), F.lit(True).alias("odd"))
+    else:
+        edges = numbered.select("file", "lineno", "rn", "page", hits(text).alias("own"), F.substring(text, 1, width).alias("head"), F.right(text, F.lit(width)).alias("tail"))
+        after = in_blocks(edges, "rn", behind=0, ahead=2)
+        after = after.select("*", F.concat_ws(" ", F.lead("head", 1).over(by_row), F.lead("head", 2).over(by_row)).alias("next")).where("__own")
+        parts = after.select("*", F.concat_ws(" ", "tail", F.when(F.col("next") != "", F.col("next"))).alias("both"))
+        apart, whole = (hits(F.col("tail")), hits(F.col("next"))), hits(F.col("both"))
+        odd = (whole["mask"] != apart[0]["mask"].bitwiseOR(apart[1]["mask"])) | (whole["n"] != apart[0]["n"] + apart[1]["n"])
+        marked = parts.select("file", "lineno", "rn", "page", "own.mask", "own.n", ((F.col("next") != "") & odd).alias("odd"))
+    near = by_row.rowsBetween(-reach, reach)
+    inner = by_row.rowsBetween(-reach, reach - 1)  # borders inside the neighbourhood
+    over = in_blocks(marked, "rn", behind=reach, ahead=reach).select(
+        "file", "lineno", "rn", "__own", F.bit_or("mask").over(near).alias("mask"), F.sum("n").over(near).alias("n"), F.bool_or("odd").over(inner).alias("odd"),
         (F.max("page").over(near) - F.min("page").over(near)).alias("page_span"),
     )
     own = over.where("__own").where(F.coalesce("page_span", F.lit(0)) <= most_pages)
-    hits = own.where(concept_mask(F.col("around"), lexicon) == (1 << len(lexicon)) - 1)
-    return hits.withColumn("marker_count", F.size(marker_hits(F.col("around"), markers))).where(F.col("marker_count") >= least_markers).select(
-        "file", F.col("lineno").alias("anchor_line"), "rn", F.coalesce("page_span", F.lit(0)).alias("page_span"), "marker_count"
-    )
+    plain = own.where(~F.col("odd") & (F.col("mask") == full) & (F.col("n") >= least_markers)).select("file", "lineno", "rn", "page_span", F.col("n").cast("int").alias("marker_count"))
+
+    # where a match may lie across a border, the neighbourhood is read as one text
+    doubtful = own.where("odd").select("file", "lineno", "rn", "page_span")
+    wanted = doubtful.withColumn("__rn", F.explode(F.sequence(F.col("rn") - reach, F.col("rn") + reach)))
+    texts = numbered.select(F.col("file").alias("__file"), F.col("rn").alias("__own_rn"), "text")
+    joined = wanted.join(texts, (F.col("file") == F.col("__file")) & (F.col("__rn") == F.col("__own_rn")))
+    read = joined.groupBy("file", "lineno", "rn", "page_span").agg(F.array_sort(F.collect_list(F.struct("__rn", "text"))).alias("w"))
+    read = read.withColumn("around", F.array_join(F.transform("w", lambda r: r["text"]), " ")).where(concept_mask(F.col("around"), lexicon) == full)
+    read = read.withColumn("marker_count", F.size(marker_hits(F.col("around"), markers))).where(F.col("marker_count") >= least_markers)
+    found = plain.unionByName(read.select("file", "lineno", "rn", "page_span", "marker_count"))
+    return found.select("file", F.col("lineno").alias("anchor_line"), "rn", F.coalesce("page_span", F.lit(0)).alias("page_span"), "marker_count")
 
 
 def collapse_anchors(hits: DataFrame, gap: int = 6) -> DataFrame:
     """LEX-14: of anchors that follow each other within ``gap`` rows the one with most markers (first of equals)."""
-    by = Window.partitionBy("file").orderBy("rn")
-    new = F.when(F.col("rn") - F.lag("rn").over(by) <= gap, 0).otherwise(1)
-    islands = hits.withColumn("__new", new).withColumn("island", F.sum("__new").over(by))
+    # a hit opens an island if no other is within the gap before it; islands are numbered like rows, by blocks
+    by_block = Window.partitionBy("file", "__block").orderBy("rn")
+    seen = in_blocks(hits, "rn", behind=gap, ahead=0).withColumn("__lag", F.lag("rn").over(by_block))
+    opened = seen.where("__own").withColumn("__new", F.when(F.col("rn") - F.col("__lag") <= gap, 0).otherwise(1))
+    per_block = opened.groupBy("file", "__block").agg(F.sum("__new").alias("n"))
+    before = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_block.select("file", "__block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    islands = opened.withColumn("__k", F.sum("__new").over(by_block)).join(starts, ["file", "__block"])
+    islands = islands.withColumn("island", F.col("__start") + F.col("__k"))
     best = F.max_by(F.struct("anchor_line", "rn", "marker_count"), F.struct(F.col("marker_count"), -F.col("rn")))
     return islands.groupBy("file", "island").agg(best.alias("b")).select("file", "b.anchor_line", "b.rn", "b.marker_count")

@@ -75,6 +75,8 @@ def parent_section(code: Column) -> Column:
 def tag_paragraphs(rows: DataFrame, document: str, order: list[str], text: str = "text") -> DataFrame:
     """SEC-4: section and sub-section of each paragraph, carried over pages until the next heading.
 
+    One shuffle by document and one sort serve this and ``records``. A document is one report: rows without one must be given documents of their own.
+
     ``rows`` must hold surviving paragraphs only: others must not change the state.
     """
     sub = detect_subsection(F.col(text))
@@ -95,11 +97,11 @@ def tag_paragraphs(rows: DataFrame, document: str, order: list[str], text: str =
     )
 
 
-def page_paragraphs(pages: DataFrame) -> DataFrame:
-    """The surviving paragraphs of pages: ``report_id, page, pos, text``."""
+def page_paragraphs(pages: DataFrame, *keys: str) -> DataFrame:
+    """The surviving paragraphs of pages: ``report_id, page, pos, text``, and ``keys`` of the page."""
     kept = pages.where(is_long_enough(F.col("text"), 50) & ~is_contents_page(F.col("text")))
-    cleaned = kept.select("report_id", "page", clean(F.col("text")).alias("text"))
-    rows = cleaned.select("report_id", "page", F.posexplode(paragraphs(F.col("text"))).alias("pos", "text"))
+    cleaned = kept.select("report_id", "page", *keys, clean(F.col("text")).alias("text"))
+    rows = cleaned.select("report_id", "page", *keys, F.posexplode(paragraphs(F.col("text"))).alias("pos", "text"))
     return rows.where(keeps_paragraph(F.col("text")))
 
 

@@ -83,6 +83,14 @@ def _mrg_1(s, d):
     return G.supersede(first, last, ["excerpt_id", "model"])
 
 
+def _run_3(s, d):
+    """What each model has still to do: error records count as done, as a log of records has them."""
+    rows = _pairs(s, d).withColumn("model", G.model_key())
+    models = rows.agg(F.collect_set("model")).scalar()
+    wanted = read_table(s, d, "excerpts").select("excerpt_id", F.explode(models).alias("model"))
+    return G.not_completed(wanted, rows.where("excerpt_id IS NOT NULL"), ["excerpt_id", "model"])
+
+
 def _agg_1(s, d):
     rows = read_table(s, d, "dag_results")
     return G.status_counts_on_grid(rows, rows.select(G.model_key().alias("model")).distinct(), read_table(s, d, "excerpts"))
@@ -135,7 +143,7 @@ QUERIES = {
     "run_1_limit": lambda s, d: G.first_excerpts(read_table(s, d, "excerpts"), 25).select("excerpt_id", "firm"),
     "run_2_rerun": lambda s, d: G.only_listed(read_table(s, d, "excerpts"), _pairs(s, d).where("status = 'malformed'")).select("excerpt_id", "lang"),
     "run_2_unmatched": lambda s, d: G.unmatched_ids(read_table(s, d, "excerpts"), _pairs(s, d).where("excerpt_id IS NOT NULL")).select("excerpt_id"),
-    "run_3_resume": lambda s, d: G.not_completed(read_table(s, d, "excerpts"), _pairs(s, d).where("correct"), ["excerpt_id"]).select("excerpt_id"),
+    "run_3_resume": _run_3,
     "run_4_errors": lambda s, d: G.error_records(_pairs(s, d)).select("row_id", "error"),
     "mrg_1_supersede": _mrg_1,
     "mrg_2_count_check": lambda s, d: G.count_check(_pairs(s, d).withColumn("model", G.model_key()), "model", 1000),
@@ -282,10 +290,11 @@ SQL = {
     "run_1_limit": "SELECT excerpt_id, firm FROM excerpts ORDER BY excerpt_id LIMIT 25",
     "run_2_rerun": "SELECT excerpt_id, lang FROM excerpts WHERE excerpt_id IN (SELECT excerpt_id FROM pair_results WHERE status = 'malformed')",
     "run_2_unmatched": "SELECT DISTINCT excerpt_id FROM pair_results WHERE excerpt_id IS NOT NULL AND excerpt_id NOT IN (SELECT excerpt_id FROM excerpts)",
-    "run_3_resume": "SELECT excerpt_id FROM excerpts WHERE excerpt_id NOT IN (SELECT excerpt_id FROM pair_results WHERE correct AND excerpt_id IS NOT NULL)",
+    "run_3_resume": f"""SELECT excerpt_id, model FROM (SELECT DISTINCT {_model()} AS model FROM pair_results) CROSS JOIN excerpts
+      WHERE (excerpt_id, model) NOT IN (SELECT excerpt_id, {_model()} FROM pair_results WHERE excerpt_id IS NOT NULL)""",
     "run_4_errors": "SELECT row_id, error FROM pair_results WHERE error IS NOT NULL AND status IS NULL",
-    "mrg_1_supersede": """WITH g AS (SELECT excerpt_id, model, min(row_id) AS lo, max(row_id) AS hi FROM pair_results WHERE excerpt_id IS NOT NULL GROUP BY ALL),
-      k AS (SELECT excerpt_id, model, CASE WHEN hi % 2 = 0 THEN hi ELSE lo END AS row_id FROM g)
+    "mrg_1_supersede": """WITH g AS (SELECT excerpt_id, model, max(row_id) AS hi FROM pair_results WHERE excerpt_id IS NOT NULL GROUP BY ALL),
+      k AS (SELECT excerpt_id, model, hi AS row_id FROM g)
       SELECT k.excerpt_id, k.model, row_id, status, correct FROM k JOIN pair_results p USING (row_id)""",
     "mrg_2_count_check": f"SELECT {_model()} AS model, count(*) AS n FROM pair_results GROUP BY 1 HAVING count(*) <> 1000",
     "agg_1_status_grid": f"""WITH r AS (SELECT {_model()} AS m, excerpt_id, coalesce(status, CASE WHEN error IS NOT NULL THEN 'error' ELSE 'unknown' END) AS s, excerpt_id IN (SELECT excerpt_id FROM excerpts) AS known FROM dag_results)

@@ -64,8 +64,12 @@ def _reach(s, d):
 
 
 def _surgery(s, d):
-    truth, _, _ = _edges(s, d)
-    return truth.groupBy(KEY, F.col("j").alias("node")).agg(F.count(F.lit(1)).alias("n_cut"))
+    """MET-21: the edges that are left of every true graph when those into one of its nodes are cut, for each node."""
+    truth, _, n = _edges(s, d)
+    nodes = truth.select(KEY, F.explode(F.array("i", "j")).alias("node")).distinct()
+    cut = M.masks(truth, KEY, n).join(nodes, KEY).select(KEY, "node", F.posexplode(M.surgery(F.col("adjacency"), F.col("node"))).alias("i", "m"))
+    left = cut.where("m <> 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return left.where(M.has_bit(F.col("m"), F.col("j"))).select(KEY, "node", "i", "j")
 
 
 def _separation(s, d):
@@ -109,8 +113,7 @@ def _with_models(s, d):
     graphs = _graphs(s, d).withColumn("model", G.model_key()).where("excerpt_id IS NOT NULL")
     first = graphs.groupBy("model", "excerpt_id").agg(F.min_by(F.struct("result_id", "status"), "result_id").alias("r")).select("model", "excerpt_id", "r.*")
     excerpts = graphs.select("excerpt_id").distinct()
-    models = [r[0] for r in graphs.select("model").distinct().collect()]
-    return H.with_missing(models, excerpts, first)
+    return H.with_missing(graphs.agg(F.collect_set("model")).scalar(), excerpts, first)
 
 
 def _matrix(s, d):
@@ -131,22 +134,39 @@ def _summary(s, d):
     return rows.unionByName(gt)
 
 
+#: Models that get a column of their own at most.
+MOST_MODELS = 200
+
+
+def _names(models):
+    """The models in order, for tables with a column each; too many are an error."""
+    names = [r[0] for r in models.select("model").distinct().orderBy("model").limit(MOST_MODELS + 1).collect()]
+    if len(names) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} models")
+    return names
+
+
+def _safe(model):
+    return "n_" + "".join(c if c.isalnum() else "_" for c in model)
+
+
 def _edge_summary(s, d):
     """SNK-6: per edge the number of graphs of the truth and of each model, ordered by node indexes."""
     truth, predicted, _ = _edges(s, d)
     models = _graphs(s, d).select(KEY, G.model_key().alias("model"))
-    names = [r[0] for r in models.select("model").distinct().orderBy("model").collect()]
+    names = _names(models)
     gt = truth.select("i", "j", F.lit("ground truth").alias("model"))
     both = gt.unionByName(predicted.join(models, KEY).select("i", "j", "model"))
     wide = both.groupBy("i", "j").pivot("model", ["ground truth", *names]).count()
-    safe = lambda m: "n_" + "".join(c if c.isalnum() else "_" for c in m)
-    return wide.select("i", "j", *[F.coalesce(F.col(f"`{m}`"), F.lit(0)).alias(safe(m)) for m in ["ground truth", *names]]).orderBy("i", "j")
+    return wide.select("i", "j", *[F.coalesce(F.col(f"`{m}`"), F.lit(0)).alias(_safe(m)) for m in ["ground truth", *names]]).orderBy("i", "j")
 
 
 def _transposed(s, d):
-    """SNK-8: metrics as rows, models as columns (long form: one row per metric and model)."""
-    wide = _macro(False)(s, d)
-    return wide.unpivot(["model"], [f"{m}_mean" for m in METRIC_NAMES], "metric", "value")
+    """SNK-8: one row per metric, one column per model."""
+    long = _macro(False)(s, d).unpivot(["model"], [f"{m}_mean" for m in METRIC_NAMES], "metric", "value")
+    names = _names(_graphs(s, d).select(G.model_key().alias("model")))
+    wide = long.groupBy("metric").pivot("model", names).agg(F.first("value"))
+    return wide.select("metric", *[F.col(f"`{m}`").alias(_safe(m)) for m in names])
 
 
 QUERIES = {
@@ -162,7 +182,7 @@ QUERIES = {
     "gra_8_grid": _with_models,
     "gra_9_edge_classes": lambda s, d: H.edge_classes(*_edges(s, d)[:2], [KEY]),
     "gra_10_reciprocal": lambda s, d: H.reciprocal(_edges(s, d)[1], [KEY]),
-    "gra_11_label_points": lambda s, d: H.label_points(_edges(s, d)[0].select("i", "j").distinct(), 34).select("i", "j", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")),
+    "gra_11_label_points": lambda s, d: H.label_points(_edges(s, d)[0].select("i", "j").distinct(), 34).select("i", "j", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y")),
     "met_1_directed": lambda s, d: _edges(s, d)[1],
     "met_2_skeleton": lambda s, d: _edges(s, d)[1].select(KEY, F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).distinct(),
     "met_3_confusion": _metric("tp", "fp", "fn", "tn"),
@@ -268,6 +288,32 @@ def _metric_sql(*columns: str, compound: bool = False) -> str:
     return _with(f"SELECT result_id, {', '.join(columns)} FROM m", compound, _metric_ctes(compound))
 
 
+_LINKED = "linked AS MATERIALIZED (SELECT result_id, i AS node FROM t UNION SELECT result_id, j FROM t)"
+#: For each question q of ``asked`` (a true graph without the edges into ``cut``, x, y) and its conditioned nodes ``given``, the nodes
+#: ``seen`` from x in the moral graph of the ancestors.
+_SEPARATION = """anc AS (SELECT q, node FROM (SELECT q, x AS node FROM asked UNION SELECT q, y FROM asked UNION SELECT q, z FROM given)
+        UNION SELECT anc.q, t.i FROM anc JOIN asked ON asked.q = anc.q JOIN t ON t.result_id = asked.result_id AND t.j = anc.node AND t.j <> asked.cut),
+      own AS MATERIALIZED (SELECT anc.q, t.i, t.j FROM anc JOIN asked ON asked.q = anc.q JOIN t ON t.result_id = asked.result_id AND t.j = anc.node AND t.j <> asked.cut),
+      moral AS MATERIALIZED (SELECT q, i AS a, j AS b FROM own UNION SELECT q, j, i FROM own UNION SELECT l.q, l.i, r.i FROM own l JOIN own r ON l.q = r.q AND l.j = r.j AND l.i <> r.i),
+      seen AS (SELECT q, x AS node FROM asked UNION SELECT seen.q, moral.b FROM seen JOIN moral ON moral.q = seen.q AND moral.a = seen.node
+        WHERE NOT EXISTS (SELECT 1 FROM given WHERE given.q = seen.q AND given.z = moral.b))"""
+
+
+def _distance_sql(compound: bool) -> str:
+    """MET-22: for each node x the number of its predicted parents that are true descendants; then the questions left."""
+    n = _n(compound)
+    more = f"""{_REACH}, rt AS (SELECT result_id, i, j FROM t UNION SELECT rt.result_id, rt.i, t.j FROM rt JOIN t ON rt.result_id = t.result_id AND rt.j = t.i), {_LINKED},
+      bad AS MATERIALIZED (SELECT p.result_id, p.j AS x, p.i AS y FROM p JOIN rt ON rt.result_id = p.result_id AND rt.i = p.j AND rt.j = p.i),
+      many AS MATERIALIZED (SELECT result_id, x, count(*) AS k FROM bad GROUP BY ALL),
+      asked AS MATERIALIZED (SELECT *, x AS cut, row_number() OVER () AS q FROM (SELECT a.result_id, a.node AS x, b.node AS y FROM linked a JOIN linked b ON a.result_id = b.result_id AND a.node <> b.node
+        LEFT JOIN many m ON m.result_id = a.result_id AND m.x = a.node LEFT JOIN bad ON bad.result_id = a.result_id AND bad.x = a.node AND bad.y = b.node WHERE m.k IS NULL OR (m.k = 1 AND bad.y IS NOT NULL))),
+      given AS MATERIALIZED (SELECT q, p.i AS z FROM asked JOIN p ON p.result_id = asked.result_id AND p.j = asked.x WHERE p.i <> asked.y), {_SEPARATION},
+      failed AS (SELECT result_id, count(*) AS k FROM asked WHERE EXISTS (SELECT 1 FROM seen WHERE seen.q = asked.q AND seen.node = asked.y) GROUP BY ALL),
+      sure AS (SELECT result_id, sum(CASE WHEN k > 1 THEN {n - 1} ELSE {n - 2} END) AS k FROM many GROUP BY ALL)"""
+    return _with(f"""SELECT result_id, CASE WHEN cyclic THEN 0 ELSE 1 END AS is_dag, CASE WHEN cyclic THEN NULL ELSE CAST(coalesce(f.k, 0) + coalesce(u.k, 0) AS BIGINT) END AS sid FROM (
+      SELECT result_id, result_id IN (SELECT result_id FROM r WHERE i = j) AS cyclic FROM dag_results) LEFT JOIN failed f USING (result_id) LEFT JOIN sure u USING (result_id)""", compound, more)
+
+
 def _macro_sql(compound: bool) -> str:
     means = ", ".join(f"round(avg({x}), 9) AS {x}_mean" for x in METRIC_NAMES)
     return _with(f"SELECT {_MODEL} AS model, count(*) AS n_graphs, {means} FROM m JOIN dag_results d USING (result_id) GROUP BY 1", compound, _metric_ctes(compound))
@@ -322,7 +368,7 @@ SQL = {
     "met_17_is_dag": _with("SELECT result_id, CASE WHEN result_id IN (SELECT result_id FROM r WHERE i = j) THEN 0 ELSE 1 END AS is_dag FROM dag_results", more=_REACH),
     "met_18_degrees": _with("SELECT result_id, node, CAST(sum(inn) AS INT) AS n_parents, CAST(sum(outt) AS INT) AS n_children FROM (SELECT result_id, j AS node, 1 AS inn, 0 AS outt FROM p UNION ALL SELECT result_id, i, 0, 1 FROM p) GROUP BY ALL"),
     "met_19_descendants": _with("SELECT result_id, i AS node, CAST(count(*) FILTER (WHERE j <> i) + 1 AS INT) AS n_descendants FROM r GROUP BY ALL", more=_REACH),
-    "met_21_surgery": _with("SELECT result_id, j AS node, count(*) AS n_cut FROM t GROUP BY ALL"),
+    "met_21_surgery": _with("SELECT t.result_id, node, i, j FROM t JOIN (SELECT result_id, i AS node FROM t UNION SELECT result_id, j FROM t) x ON x.result_id = t.result_id WHERE j <> node"),
     "met_23_edge_counts": _metric_sql("pred_edge_count", "gt_edge_count"),
     "met_24_all": _metric_sql(*_ALL),
     "met_24_all_compound": _metric_sql(*_ALL, compound=True),
@@ -332,5 +378,10 @@ SQL = {
     "snk_3_matrix": _with(f"SELECT idx, node, {', '.join(f'count(*) FILTER (WHERE j = {k}) AS to_{k}' for k in range(34))} FROM (SELECT DISTINCT idx, node FROM v) LEFT JOIN t ON idx = i GROUP BY ALL"),
     "snk_5_status_summary": _with(f"SELECT {_MODEL} AS model, count(*) AS n_records, {', '.join(f"count(*) FILTER (WHERE status = '{x}') AS n_{x}" for x in G.STATUSES)}, count(*) FILTER (WHERE error IS NOT NULL AND status IS NULL) AS n_error FROM dag_results GROUP BY 1 UNION ALL SELECT 'ground truth', count(DISTINCT result_id), NULL, NULL, NULL, NULL, NULL FROM t"),
     "snk_6_edge_summary": _with(f"SELECT i, j, {', '.join(f"count(*) FILTER (WHERE model = '{m}') AS n_" + ''.join(c if c.isalnum() else '_' for c in m) for m in MODELS)} FROM (SELECT i, j, 'ground truth' AS model FROM t UNION ALL SELECT i, j, {_MODEL} FROM p JOIN dag_results USING (result_id)) GROUP BY i, j ORDER BY i, j"),
-    "snk_8_transposed": f"SELECT model, metric, value FROM ({_macro_sql(False)}) UNPIVOT (value FOR metric IN ({', '.join(f'{m}_mean' for m in METRIC_NAMES)}))",
+    "snk_8_transposed": f"SELECT metric, {', '.join(f"max(value) FILTER (WHERE model = '{m}') AS {_safe(m)}" for m in MODELS[1:])} FROM (SELECT model, metric, value FROM ({_macro_sql(False)}) UNPIVOT (value FOR metric IN ({', '.join(f'{m}_mean' for m in METRIC_NAMES)}))) GROUP BY metric",
+    "gra_11_label_points": _with(f"SELECT i, j, round((x0 + x1) / 2 - (y1 - y0) / s * 0.1, 6) + 0.0::DOUBLE AS x, round((y0 + y1) / 2 + (x1 - x0) / s * 0.1, 6) + 0.0::DOUBLE AS y FROM (SELECT *, greatest(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2), 1e-9) AS s FROM (SELECT i, j, cos(i * {2 * 3.141592653589793 / 34}) AS x0, sin(i * {2 * 3.141592653589793 / 34}) AS y0, cos(j * {2 * 3.141592653589793 / 34}) AS x1, sin(j * {2 * 3.141592653589793 / 34}) AS y1 FROM (SELECT DISTINCT i, j FROM t)))"),
+    "met_20_d_separation": _with(f"SELECT result_id, x, y, z FROM asked WHERE q NOT IN (SELECT q FROM seen JOIN asked USING (q) WHERE node = y)", more=f"{_LINKED}, asked AS MATERIALIZED (SELECT *, row_number() OVER () AS q, -1 AS cut FROM (SELECT a.result_id, a.node AS x, b.node AS y, c.node AS z FROM linked a JOIN linked b ON a.result_id = b.result_id AND a.node < b.node JOIN linked c ON c.result_id = a.result_id AND c.node NOT IN (a.node, b.node))), given AS MATERIALIZED (SELECT q, z FROM asked), {_SEPARATION}"),
+    "met_22_intervention_distance": _distance_sql(False),
+    "met_22_intervention_distance_compound": _distance_sql(True),
+    "agg_9_macro_distance": f"SELECT {_MODEL} AS model, count(*) AS n_graphs, avg(sid) AS sid_mean, avg(s.is_dag) AS is_dag_mean, avg(CASE WHEN sid IS NULL THEN 0.0 ELSE 1.0 END) AS sid_computable_fraction FROM ({_distance_sql(False)}) s JOIN dag_results USING (result_id) GROUP BY 1",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -32,11 +33,16 @@ def _line_flag(test):
     return lambda spark, sf: _lines(spark, sf).select("page_row_id", "line_no", test(F.col("line")).alias("flag"))
 
 
+def _pages(spark, sf) -> DataFrame:
+    """The pages; one without report is a document of its own, as nothing says that it belongs to another."""
+    own = F.coalesce("report_id", F.concat(F.lit("page "), "page_row_id")).alias("report_id")
+    return read_table(spark, sf, "page_text").select("page_row_id", own, "page", "text")
+
+
 def _surviving(spark, sf) -> DataFrame:
     """Lines of the pages in the place of paragraphs: there the headings stand alone."""
-    pages = read_table(spark, sf, "page_text")
-    lines = pages.select("page_row_id", "report_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
-    return lines.where(P.is_long_enough(F.col("text"), 30) & ~P.is_non_narrative(F.col("text")))
+    lines = _pages(spark, sf).select("page_row_id", "report_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+    return lines.where(P.keeps_paragraph(F.col("text")))
 
 
 ORDER = ["page", "page_row_id", "line_no"]
@@ -85,18 +91,31 @@ def sec_5_records(spark, sf):
     return _records(spark, sf).select("report_id", "para_no", "sent_no", "text")
 
 
+def _parsed(rows: DataFrame, like: str) -> DataFrame:
+    """JSON records as columns again, for comparison with other engines."""
+    return rows.select(F.from_json("record", like).alias("r")).select("r.*")
+
+
 def sec_6_compact(spark, sf):
-    return S.compact(_records(spark, sf))
+    return _parsed(S.compact(_records(spark, sf)), "text STRING, section STRING, category STRING, subsection STRING, page INT")
 
 
 def sec_6_verbose(spark, sf):
     return S.verbose(_records(spark, sf))
 
 
+def _paragraphs(spark, sf):
+    """The surviving paragraphs of the cleaned pages with their tags."""
+    return S.tag_paragraphs(S.page_paragraphs(spread(_pages(spark, sf)), "page_row_id"), "report_id", ["page", "page_row_id", "pos"])
+
+
+def sec_4_paragraphs(spark, sf):
+    return _paragraphs(spark, sf).select("page_row_id", "pos", "text", "tag_section", "tag_category", "tag_subsection")
+
+
 def report_records(spark, sf):
     """The whole of stage A, from pages to tagged paragraphs and sentences."""
-    tagged = S.tag_paragraphs(S.page_paragraphs(spread(read_table(spark, sf, "page_text"))), "report_id", ["page", "pos"])
-    return S.records(tagged, "report_id", ["page", "pos"])
+    return S.records(_paragraphs(spark, sf), "report_id", ["page", "page_row_id", "pos"])
 
 
 QUERIES = {
@@ -130,6 +149,7 @@ QUERIES = {
     "sec_2_subsection": sec_2_subsection,
     "sec_3_parents": sec_3_parents,
     "sec_4_forward_fill": sec_4_forward_fill,
+    "sec_4_paragraphs": sec_4_paragraphs,
     "sec_5_records": sec_5_records,
     "sec_6_compact": sec_6_compact,
     "sec_6_verbose": sec_6_verbose,
@@ -192,12 +212,53 @@ def page_number(x: str) -> str:
 
 def non_narrative(x: str) -> str:
     s = strip(own(x))
-    return f"""({s} = '' OR ({has(s, '^[►–•-]')} AND NOT contains({s}, chr(10)) AND length({s}) < 60)
+    return f"""({s} = '' OR ({has(s, f'^[►–•-]{SPACE}*[^\\n]*$')} AND length({s}) < 60)
       OR ({count(s, r'\p{L}')} < 0.4 * length({s}) AND length({s}) > 20) OR {count(s, r'~?\d+\.?\d*%')} >= 4
       OR ({count(s, r'\b\d+\.?\d*\b')} >= 8 AND length({s}) < 300)
       OR (length({s}) < 40 AND NOT {has(s, P.AUXILIARY_VERBS, True)} AND NOT {has(s, '^[A-Z]')}))"""
 
 
+def scrambled(x: str) -> str:
+    """RE2 has no look-around: capitalised words before a capital are marked word by word, then counted in runs of two."""
+    s = strip(own(x))
+    n, parts = f"len({words(s)})", words(s)
+    pieces = f"regexp_split_to_array({s}, '{SPACE}{{3,}}')"
+    sents = f"regexp_split_to_array({s}, '[.!?]{SPACE}+')"
+    short = f"len(list_filter({parts}, lambda w: length(w) <= 2))"
+    thin = f"len(list_filter({pieces}, lambda p: len({words('p')}) <= 3))"
+    # a word right after a full stop and one blank begins no title
+    begun = words(sub(s, r"\. ([A-Z])", ". \x02"))
+    marks = (
+        f"array_to_string(list_transform(generate_series(1, len({begun}) - 1), lambda i: CASE WHEN NOT regexp_matches({begun}[i], '[A-Z][a-z]+$')"
+        f" OR NOT regexp_matches({begun}[i + 1], '^[A-Z]') THEN '-' WHEN regexp_matches({begun}[i], '^[A-Z][a-z]+$') THEN 'S' ELSE 's' END), '')"
+    )
+    titled = f"coalesce(list_sum(list_transform(regexp_extract_all({marks}, '[Ss]S*'), lambda r: (length(r) + 1) // 2)), 0)"
+    return f"""({s} = '' OR ({n} > 10 AND {short} / {n} > 0.4) OR ({count(s, '[–—─]')} > 5 AND length({s}) < 500)
+      OR (len({pieces}) > 6 AND {thin} > len({pieces}) * 0.5) OR {count(s, P.TOPIC_NAMES)} >= 3
+      OR (length({s}) > 200 AND len({sents}) > 5 AND list_sum(list_transform({sents}, lambda y: length(y))) / len({sents}) < 30)
+      OR (length({s}) > 150 AND {titled} > 8) OR {count(s, P.POLICY_TABLE_MARKERS, True)} >= 2
+      OR {has(s, P.IMPACTS_HEAD, True)} OR ({has(s, P.POLICY_TABLE_HEADS)} AND {has(s, P.POLICY_TABLE_CELLS)}))"""
+
+
+def _compatible() -> tuple[str, str, list[tuple[str, str]]]:
+    """Compatibility characters of the Latin, punctuation, letter-like, number, ligature and full-width blocks, by rule: one-to-one and others."""
+    ranges = ((0xA0, 0x250), (0x2B0, 0x300), (0x1E00, 0x1F00), (0x2000, 0x2250), (0x2460, 0x2500), (0x3000, 0x3001), (0xFB00, 0xFB07), (0xFF00, 0xFF5F))
+    found = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for a, b in ranges for c in range(a, b) if unicodedata.decomposition(chr(c)).startswith("<")]
+    single = [(a, b) for a, b in found if len(b) == 1]
+    return "".join(a for a, _ in single), "".join(b for _, b in single), [(a, b) for a, b in found if len(b) > 1]
+
+
+def nfkc(x: str) -> str:
+    one, by, more = _compatible()
+    for a, b in more:
+        x = f"replace({x}, {q(a)}, {q(b)})" if a in _EXPANDED else x
+    return f"replace(nfc_normalize(translate({x}, {q(one)}, {q(by)})), chr(160), ' ')"
+
+
+#: The characters with more than one letter that reports use; the twin names them one by one, as each costs a pass.
+_EXPANDED = "…½¼¾⅓⅔⅛™℠№㎡" + "".join(map(chr, range(0xFB00, 0xFB07))) + "Ĳĳŀŉǆǉǌ"
+
+
 def name_list(x: str) -> str:
     s = strip(own(x))
     entries = f"regexp_extract_all({s}, {rx(P.NAME_ENTRY)})"
@@ -296,7 +357,7 @@ def staged_clean(table: str, key: str) -> str:
 
 
 def keeps(x: str) -> str:
-    return f"length({strip(own(x))}) >= 30 AND NOT {non_narrative(x)} AND NOT {name_list(x)} AND NOT {garbled(x)}"
+    return f"length({strip(own(x))}) >= 30 AND NOT {non_narrative(x)} AND NOT {name_list(x)} AND NOT {garbled(x)} AND NOT {scrambled(x)}"
 
 
 _LINES = "SELECT page_row_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM page_text"
@@ -350,16 +411,41 @@ _HEAD2 = f"substring({strip('text')}, 1, 200)"
 _MARKED = f"""SELECT *, CASE WHEN regexp_matches({_HEAD2}, {q(_SUB)}) THEN upper(regexp_extract({_HEAD2}, {q(_SUB)}, 1)) END AS code,
     CASE WHEN regexp_matches({_HEAD2}, {q(_SUB)}) THEN {_title(f'regexp_extract({_HEAD2}, {q(_SUB)}, 2)')} END AS title,
     substring({strip('text')}, 1, 100) AS h FROM (
-    SELECT page_row_id, report_id, page, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS line_no, unnest(string_split(text, chr(10))) AS text FROM page_text)
-    WHERE length({strip('text')}) >= 30 AND NOT {non_narrative('text')}"""
+    SELECT page_row_id, coalesce(report_id, 'page ' || page_row_id) AS report_id, page, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS line_no, unnest(string_split(text, chr(10))) AS text FROM page_text)
+    WHERE {keeps('text')}"""
+_CLEANED = f"SELECT page_row_id, {nfkc('text')} AS text FROM page_text WHERE length({strip(own('text'))}) >= 50 AND NOT {contents_page('text')}"
+_PARAGRAPHS = f"""SELECT *, CASE WHEN regexp_matches({_HEAD2}, {q(_SUB)}) THEN upper(regexp_extract({_HEAD2}, {q(_SUB)}, 1)) END AS code,
+    CASE WHEN regexp_matches({_HEAD2}, {q(_SUB)}) THEN {_title(f'regexp_extract({_HEAD2}, {q(_SUB)}, 2)')} END AS title,
+    substring({strip('text')}, 1, 100) AS h FROM (
+    SELECT page_row_id, CAST(generate_subscripts(p, 1) - 1 AS INT) AS line_no, unnest(p) AS text FROM (
+      SELECT page_row_id, list_filter(list_transform(regexp_split_to_array(text, chr(10) || chr(10) || '+'), lambda s: {strip('s')}), lambda s: s <> '') AS p
+      FROM ({staged_clean(f'({_CLEANED})', 'page_row_id')}))) JOIN (SELECT page_row_id, coalesce(report_id, 'page ' || page_row_id) AS report_id, page FROM page_text) USING (page_row_id)
+    WHERE {keeps('text')}"""
 _FILLED = ", ".join(
     f"coalesce(last_value(coalesce({_case_section('h', k)}, {_case_parent('code', k)}) IGNORE NULLS) OVER w, {q(S.SECTIONS[0][k])}) AS {n}"
     for k, n in ((1, "tag_section"), (2, "tag_category"), (3, "tag_section_name"))
 )
-_TAGGED = f"""SELECT page_row_id, report_id, page, line_no, text, {_FILLED}, last_value(code IGNORE NULLS) OVER w AS tag_subsection,
-    last_value(title IGNORE NULLS) OVER w AS tag_subsection_title FROM ({_MARKED})
+
+
+def _tagged_sql(marked: str) -> str:
+    return f"""SELECT page_row_id, report_id, page, line_no, text, {_FILLED}, last_value(code IGNORE NULLS) OVER w AS tag_subsection,
+    last_value(title IGNORE NULLS) OVER w AS tag_subsection_title FROM ({marked})
     WINDOW w AS (PARTITION BY report_id ORDER BY page, page_row_id, line_no ROWS UNBOUNDED PRECEDING)"""
 
+
+_TAGGED = _tagged_sql(_MARKED)
+
+
+def _records_sql(tagged: str, columns: str) -> str:
+    """Paragraphs and their good sentences; ``columns`` may use the tags."""
+    tags = "report_id, page, page_row_id, line_no, tag_section, tag_category, tag_section_name, tag_subsection, tag_subsection_title"
+    return f"""WITH p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY page, page_row_id, line_no) AS para_no FROM ({tagged})),
+        s AS (SELECT {tags}, para_no, unnest({_sentences('text')}) AS text, generate_subscripts({_sentences('text')}, 1) AS k FROM p),
+        b AS (SELECT {tags}, CAST(para_no AS INT) AS para_no, CAST(NULL AS INT) AS sent_no, text FROM p UNION ALL
+          SELECT {tags}, CAST(para_no AS INT), CAST(row_number() OVER (PARTITION BY report_id ORDER BY para_no, k) AS INT), text FROM s WHERE {good_sentence('text')})
+        SELECT {columns} FROM b"""
+
+
 SQL = {
     "txt_1_allcaps": _line_sql(allcaps("line")),
     "txt_2_contents_page": _flag_sql(PAGE, contents_page("text")),
@@ -391,9 +477,12 @@ SQL = {
         FROM (SELECT page_row_id, line_no, substring({strip('line')}, 1, 100) AS h FROM ({_LINES}))) WHERE section IS NOT NULL""",
     "sec_2_subsection": _SEC2,
     "sec_4_forward_fill": f"SELECT page_row_id, line_no, tag_section, tag_category, tag_section_name, tag_subsection, tag_subsection_title FROM ({_TAGGED})",
-    "sec_5_records": f"""WITH p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY page, page_row_id, line_no) AS para_no FROM ({_TAGGED})),
-        s AS (SELECT report_id, para_no, unnest({_sentences('text')}) AS text, generate_subscripts({_sentences('text')}, 1) AS k FROM p)
-        SELECT report_id, CAST(para_no AS INT) AS para_no, CAST(NULL AS INT) AS sent_no, text FROM p UNION ALL
-        SELECT report_id, CAST(para_no AS INT), CAST(row_number() OVER (PARTITION BY report_id ORDER BY para_no, k) AS INT), text FROM s WHERE {good_sentence('text')}""",
+    "sec_4_paragraphs": f"SELECT page_row_id, line_no AS pos, text, tag_section, tag_category, tag_subsection FROM ({_tagged_sql(_PARAGRAPHS)})",
+    "sec_5_records": _records_sql(_TAGGED, "report_id, para_no, sent_no, text"),
+    "sec_6_compact": _records_sql(_TAGGED, "text, tag_section AS section, tag_category AS category, tag_subsection AS subsection, page"),
+    "sec_6_verbose": _records_sql(_TAGGED, "text, page, para_no AS para_id, sent_no AS sent_id, tag_section AS esrs_section, tag_category AS esrs_category, tag_section_name AS esrs_section_name, tag_subsection AS esrs_subsection, tag_subsection_title AS esrs_subsection_title"),
+    "report_records": _records_sql(_tagged_sql(_PARAGRAPHS), "report_id, page, page_row_id, line_no AS pos, text, tag_section, tag_category, tag_section_name, tag_subsection, tag_subsection_title, para_no, sent_no"),
+    "txt_4_scrambled": _flag_sql(PARA, scrambled("text")),
+    "str_1_nfkc": _text_sql(PARA, nfkc("text")),
     "sec_3_parents": f"SELECT code, {_case_parent('code', 1)} AS section, {_case_parent('code', 2)} AS category, count(*) AS n FROM ({_SEC2}) GROUP BY ALL",
 }

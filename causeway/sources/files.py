@@ -1,14 +1,14 @@
 """Text sources: JSON lines with line numbers, tolerant and strict, JSON arrays, id lists and CSV matrices.
 
-Lines are rows ``file, lineno, line``; line numbers count from 1 and include blank and undecodable lines. Files are
-read as bytes per line by Spark's text source; where numbers are needed a file is read whole, so such files must fit in a task.
+Lines are rows ``file, lineno, line``; line numbers count from 1 and include blank and undecodable lines. Large files are read
+in splits: lines are numbered within their split, and the lines of the splits before are added.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,9 +16,19 @@ from causeway.functions.patterns import strip
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, lineno, line`` of text files."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\n", -1).alias("l"))
-    return whole.select("file", F.posexplode("l").alias("p", "line")).select("file", (F.col("p") + 1).alias("lineno"), "line")
+    """``file, lineno, line`` of text files; a line feed at the end of a file begins no line.
+
+    The rows of a split come in order, so the order within it is that of ``monotonically_increasing_id``.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"),
+    )
+    counts = lines.groupBy("path", "start").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("path", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    numbered = lines.withColumn("k", F.row_number().over(Window.partitionBy("path", "start").orderBy("id")))
+    return numbered.join(offsets, ["path", "start"]).select("file", (F.col("offset") + F.col("k")).cast("int").alias("lineno"), "line")
 
 
 def read_tiers(spark: SparkSession, tiers: Mapping[str, str]) -> DataFrame:

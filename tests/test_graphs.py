@@ -2,6 +2,10 @@ import itertools
 import math
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from causeway.operators import grading as G
 from causeway.operators import graph_metrics as M
 from causeway.operators import graphs as H
 from tests.conftest import rows
@@ -171,3 +175,23 @@ def test_union_truth_raises_for_unknown_names(spark):
     pairs = spark.createDataFrame([("A", "Z")], "c STRING, e STRING")
     with pytest.raises(Exception, match="not on the concept list"):
         H.union_truth(pairs, H.node_view(concepts), "c", "e").collect()
+
+
+def test_masks_are_guarded(spark):
+    edges = spark.createDataFrame([(1, 0, 62)], "k INT, i INT, j INT")
+    assert M.masks(edges, "k", 63).first().adjacency[0] == 1 << 62
+    with pytest.raises(ValueError):
+        M.masks(edges, "k", 64)
+
+
+def test_surgery(spark):
+    edges = spark.createDataFrame([(1, 0, 2), (1, 1, 2), (1, 2, 3)], "k INT, i INT, j INT")
+    cut = M.masks(edges, "k", 4).select(M.surgery(F.col("adjacency"), F.lit(2)).alias("a")).first().a
+    assert list(cut) == [0, 0, 8, 0]
+
+
+def test_several_rerun_rows_of_a_key(spark):
+    schema = "id STRING, row_id INT, status STRING"
+    first = spark.createDataFrame([("a", 1, "x"), ("b", 2, "x"), ("a", 3, "x")], schema)
+    again = spark.createDataFrame([("a", 7, "y"), ("a", 9, None), ("c", 8, "y")], schema)
+    assert rows(G.supersede(first, again, ["id"])) == [("a", 9, None), ("a", 9, None), ("b", 2, "x")]

@@ -83,3 +83,28 @@ def test_stream_appends_each_answer_once(spark, tmp_path):
     assert rows(spark.read.json(out).select("excerpt_id", "cause", "effect", "status")) == sorted(
         [("a", "X", "Y", "ok"), ("b", None, None, "none"), ("c", None, None, "malformed")], key=repr
     )
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    """A file read in many splits has the numbers of the whole."""
+    lines = ["x" * (i % 37) for i in range(3_000)]
+    path = write(tmp_path / "long.txt", "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        read = files.read_lines(spark, path)
+        assert read.rdd.getNumPartitions() >= 1 and [tuple(r) for r in read.orderBy("lineno").collect()] == [("long.txt", i, x) for i, x in enumerate(lines, 1)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_stream_keeps_answers_without_excerpt(spark, tmp_path):
+    """Identifiers are folded; rows without one are no copies of each other; rows too late are told."""
+    at = lambda d: f"2024-0{d}-01T00:00:00Z"
+    data = [("a", "m", at(5)), (" A ", "M", at(5)), (None, "m", at(5)), (None, "m", at(5)), ("b", "m", at(1))]
+    write(tmp_path / "in" / "one.json", "\n".join(json.dumps({"excerpt_id": e, "model": m, "raw_response": "A -> B", "delivered_at": t}) for e, m, t in data))
+    query = append_log.append(append_log.parsed_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
+    query.awaitTermination(120)
+    got = [r.excerpt_id for r in spark.read.json(str(tmp_path / "out")).collect()]
+    assert len(got) == 4 and got.count(None) == 2
+    assert rows(append_log.late_rows(spark, str(tmp_path / "in")).select("excerpt_id")) == [("b",)]

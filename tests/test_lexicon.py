@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from causeway.operators import frames
 from causeway.operators import lexicon as L
 from tests.conftest import rows
@@ -80,7 +82,7 @@ def test_anchored_against_brute_force(spark, monkeypatch):
             total = sum(len(marks(x[5])) for x in near)
             if "A" in mask(r[5]) and set().union(*(mask(x[5]) for x in near)) == set(CONCEPTS) and total >= 3 and (not pages or max(pages) - min(pages) <= 2):
                 want.append((file, r[1], total))
-    got = L.anchored(L.scan(frame(spark, data), CONCEPTS, MARKERS), CONCEPTS, "A", 4, 3, 2)
+    got = L.anchored(L.scan(frame(spark, data), CONCEPTS, MARKERS, head_of="A"), CONCEPTS, "A", 4, 3, 2)
     assert rows(got.select("file", "anchor_line", "total_markers")) == sorted(want, key=repr)
     assert sum(r[1] for r in rows(L.per_file(got))) == len(want)
 
@@ -111,3 +113,33 @@ def test_prefilter_and_default_lexicon(spark):
     # the shorter alternative comes first in the list
     assert got[0].causal_markers == ["driven", "led to"]
     assert L.prefilter(df.limit(0)).count() == 0 and L.smallest_windows(L.scan(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("patterns", [("climate change",), ("climate .*change",)])
+def test_relaxed_against_brute_force(spark, monkeypatch, patterns):
+    """Phrases split between rows, islands over several blocks; a pattern without bound is read in whole neighbourhoods."""
+    monkeypatch.setattr(frames.in_blocks, "__defaults__", (5,))
+    rnd = random.Random(4)
+    words = ["alpha", "bravo", "so", "climate", "change", "therefore", "padding"] + ["filler"] * 6
+    data = [(f, n, n // 6, None, None, " ".join(rnd.choice(words) for _ in range(9)) + " climate"[: 8 * (n % 2)]) for f in "fg" for n in range(40)]
+    concepts, markers = {"A": ("alpha",), "B": ("bravo",), "X": patterns}, (r"\bso\b", r"\btherefore\b", r"climate change so\b")
+    want, islands = [], []
+    for file in "fg":
+        rs = [r for r in data if r[0] == file and len(r[5].strip()) >= 40]
+        last = None
+        for i, r in enumerate(rs):
+            near = rs[max(0, i - 2) : i + 3]
+            around = " ".join(x[5] for x in near)
+            n = len(re.findall("|".join(markers), around, re.I))
+            if near[-1][2] - near[0][2] <= 1 and n >= 3 and all(re.search(p, around, re.I) for ps in concepts.values() for p in ps):
+                want.append((file, r[1], n))
+                if last is None or i - last > 3:
+                    islands.append([])
+                islands[-1].append((-n, i, file, r[1]))
+                last = i
+    got = L.relaxed(frame(spark, data), concepts, markers, reach=2, least_markers=3, most_pages=1)
+    assert rows(got.select("file", "anchor_line", "marker_count")) == sorted(want, key=repr) and len(want) > 5
+    best = sorted(min(x)[2:] for x in islands)
+    assert sorted(map(tuple, L.collapse_anchors(got, 3).select("file", "anchor_line").collect())) == best
+    plan = L.smallest_windows(L.scan(frame(spark, data), concepts, markers), concepts)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Window" in x and "text#" in x]

@@ -21,7 +21,7 @@ def values(spark, texts, *functions):
         (P.is_navigation_line, ["Financial review | Additional   information"], ["Financial review", "", None]),
         (P.is_scrambled_table, ["", None, "a b c d e f g h i j k l", "– – – – – – x", "A one   b   c   d   e   f   g", "Pollution Biodiversity Own workforce"], ["The board reviewed the governance charter in two rounds."]),
         (P.is_name_list, ["- Anna Berg (chair) - Carl Dahl - Eva Frost - Gus Holm - Ida Jung - ", "committee: a committee b committee c"], ["", None, "The committee met."]),
-        (P.is_non_narrative, ["", None, "• a point", "12 34 56 78 90 12 34 56 78", "10% 20% 30% 40%", "of the said matter"], ["The board was there and it reviewed the charter."]),
+        (P.is_non_narrative, ["", None, "• a point", "•\na point", "- \n  x y z",  "12 34 56 78 90 12 34 56 78", "10% 20% 30% 40%", "of the said matter"], ["The board was there and it reviewed the charter."]),
         (P.is_garbled, ["", None, "Impact stream", "of the said matter", "Risk n.a. Positive Up", "Policy SVP and SOP", "see dependen- cies there now ok yes we do"], ["The board is here.", "Emissions fell by a tenth in the last year of the plan."]),
         (P.is_good_sentence, ["Emissions fell by a tenth in the last year."], ["Too short.", "• Emissions fell by a tenth in the last year.", "1 2 3 4 5 6 7 8 9 10 11 12 is", "", None, "The " + "very " * 500 + "long sentence."]),
         (P.is_page_number_line, ["12", "  1234 "], ["12345", "a", "", None]),

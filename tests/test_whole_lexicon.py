@@ -28,9 +28,9 @@ def reports(small):
     parquet = pytest.importorskip("pyarrow.parquet")
     by = {}
     for r in parquet.read_table(f"{small}/paragraph_text.parquet").to_pylist():
-        if r["report_id"] is not None and r["text"] is not None and len(r["text"].strip()) >= 40:
+        if r["text"] is not None and len(r["text"].strip()) >= 40:
             line = r["page"] * 1000 + r["para_pos"] if r["page"] is not None and r["para_pos"] is not None else None
-            by.setdefault(r["report_id"], []).append(r | {"line": line, "nodes": found(r["text"]), "marks": MARKER.findall(r["text"])})
+            by.setdefault(r["report_id"] or f"paragraph {r['para_id']}", []).append(r | {"line": line, "nodes": found(r["text"]), "marks": MARKER.findall(r["text"])})
     return {f: sorted(rs, key=lambda r: (r["line"] is not None, r["line"])) for f, rs in by.items()}
 
 
@@ -87,8 +87,12 @@ def test_windows_of_twenty_rows(spark, small, reports, name, one_section):
 
 
 def test_window_detail_of_twenty_rows(spark, small, reports):
-    got = entry_module.queries()["lex_10_window_detail"](spark, small).selectExpr("file", "start_line", "size(texts)").collect()
-    assert sorted(map(tuple, got)) == [(file, line, n) for file, line, _, n, _ in brute_windows(reports, False)]
+    got = {(r.file, r.start_line): r for r in entry_module.queries()["lex_10_window_detail"](spark, small).collect()}
+    want = brute_windows(reports, False)
+    assert sorted((*k, r.n_rows) for k, r in got.items()) == [(file, line, n) for file, line, _, n, _ in want]
+    for file, line, _, n, _ in want:
+        at = next(i for i, r in enumerate(reports[file]) if r["line"] == line)
+        assert got[file, line].texts == "; ".join(r["text"] for r in reports[file][at : at + n])
 
 
 def test_anchored_reaches_fifteen_rows(spark, small, reports):
