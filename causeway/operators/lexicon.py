@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.patterns import all_matches, matches, strip, words
 from causeway.operators.frames import in_blocks, number_rows
+from causeway.sources.checkpoints import cut_lineage
 
 # Concept lexicons and causal markers of the strict scan.
 CONCEPTS: dict[str, tuple[str, ...]] = {
@@ -281,16 +282,18 @@ def relaxed(
     if skip is not None:
         rows = rows.join(skip.select("file").distinct(), "file", "left_anti")
     kept = rows.where(F.length(strip(text)) >= 40)
-    numbered = number_rows(kept.select("file", "lineno", "page", "text"), "file", "lineno", "lineno")
+    tie = F.xxhash64("text").alias("__tie")
 
     # what each row has by itself, and what its border to the rows after it has beyond the two sides
     width = widest_match([*(alternation(p) for p in lexicon.values()), alternation(markers)])
     by_row = Window.partitionBy("file", "__block").orderBy("rn")
     hits = lambda x: F.struct(concept_mask(x, lexicon).alias("mask"), F.size(marker_hits(x, markers)).alias("n"))
     if width is None:  # patterns of any width: every neighbourhood is read as a whole
-        marked = numbered.select("file", "lineno", "rn", "page", F.lit(full).alias("mask"), F.lit(least_markers).alias("n"), F.lit(True).alias("odd"))
+        plain_rows = number_rows(kept.select("file", "lineno", "page", tie), "file", "lineno", "__tie")
+        marked = plain_rows.select("file", "lineno", "rn", "page", F.lit(full).alias("mask"), F.lit(least_markers).alias("n"), F.lit(True).alias("odd"))
     else:
-        edges = numbered.select("file", "lineno", "rn", "page", hits(text).alias("own"), F.substring(text, 1, width).alias("head"), F.right(text, F.lit(width)).alias("tail"))
+        edges = kept.select("file", "lineno", "page", tie, hits(text).alias("own"), F.substring(text, 1, width).alias("head"), F.right(text, F.lit(width)).alias("tail"))
+        edges = number_rows(edges, "file", "lineno", "__tie")
         after = in_blocks(edges, "rn", behind=0, ahead=2)
         after = after.select("*", F.concat_ws(" ", F.lead("head", 1).over(by_row), F.lead("head", 2).over(by_row)).alias("next")).where("__own")
         parts = after.select("*", F.concat_ws(" ", "tail", F.when(F.col("next") != "", F.col("next"))).alias("both"))
@@ -304,12 +307,13 @@ def relaxed(
         (F.max("page").over(near) - F.min("page").over(near)).alias("page_span"),
     )
     own = over.where("__own").where(F.coalesce("page_span", F.lit(0)) <= most_pages)
+    own = cut_lineage(own.where("odd OR (mask = %d AND n >= %d)" % (full, least_markers)))  # two consumers
     plain = own.where(~F.col("odd") & (F.col("mask") == full) & (F.col("n") >= least_markers)).select("file", "lineno", "rn", "page_span", F.col("n").cast("int").alias("marker_count"))
 
     # where a match may lie across a border, the neighbourhood is read as one text
     doubtful = own.where("odd").select("file", "lineno", "rn", "page_span")
     wanted = doubtful.withColumn("__rn", F.explode(F.sequence(F.col("rn") - reach, F.col("rn") + reach)))
-    texts = numbered.select(F.col("file").alias("__file"), F.col("rn").alias("__own_rn"), "text")
+    texts = number_rows(kept.select("file", "lineno", "text", tie), "file", "lineno", "__tie").select(F.col("file").alias("__file"), F.col("rn").alias("__own_rn"), "text")
     joined = wanted.join(texts, (F.col("file") == F.col("__file")) & (F.col("__rn") == F.col("__own_rn")))
     read = joined.groupBy("file", "lineno", "rn", "page_span").agg(F.array_sort(F.collect_list(F.struct("__rn", "text"))).alias("w"))
     read = read.withColumn("around", F.array_join(F.transform("w", lambda r: r["text"]), " ")).where(concept_mask(F.col("around"), lexicon) == full)
