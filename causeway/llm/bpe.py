@@ -8,8 +8,8 @@ into pre-tokens by the vocabulary's published pattern; each distinct pre-token o
 encoded once and remembered per worker in a bounded cache, so natural text costs little more
 than the cut. Decoding inverts the byte mapping.
 
-Scale: one Arrow pass over ``(key, text)``, no shuffle, no state beyond the cache; the model
-bytes (about 1 MB, fixed by the vocabulary file) travel with the task.
+Scale: one Arrow pass over ``(key, text)``, no shuffle, no state beyond the cache. The vocabulary file is read by
+the driver and broadcast (about 1 MB, more than ``MOST_BYTES`` is an error), so executors need no copy; each worker builds its model once.
 
 Defined results: empty and null texts have the empty list; white space is text like any other;
 strings that look like special tokens are ordinary text; lone surrogates cannot occur in Spark
@@ -20,11 +20,11 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 
 #: Folder of the public tokenizer files.
@@ -36,6 +36,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Distinct pre-tokens remembered per worker; longer ones are never remembered.
 CACHE_ENTRIES, CACHE_LENGTH = 200_000, 64
+#: Size of a vocabulary file at most.
+MOST_BYTES = 64 << 20
 #: Rows encoded and returned at a time.
 BATCH_ROWS = 1000
 
@@ -63,10 +65,9 @@ def _flag(number: int, value: int) -> bytes:
     return _varint(number << 3) + _varint(value)
 
 
-def read_ranks(path: str) -> list[bytes]:
-    """The tokens of a rank file, by rank."""
-    with open(path, "rb") as file:
-        pairs = [line.split() for line in file if line.strip()]
+def read_ranks(data: bytes) -> list[bytes]:
+    """The tokens of the content of a rank file, by rank."""
+    pairs = [line.split() for line in data.splitlines() if line.strip()]
     ranks = {int(rank): base64.b64decode(token) for token, rank in pairs}
     return [ranks[i] for i in range(len(ranks))]
 
@@ -91,12 +92,12 @@ def serialise_model(tokens: list[bytes]) -> bytes:
 
 
 class Codec:
-    """Encoder and decoder over one vocabulary file."""
+    """Encoder and decoder over the content of one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, data: bytes):
         import sentencepiece
 
-        self.tokens = read_ranks(path)
+        self.tokens = read_ranks(data)
         self.letters = {i: c for i, c in enumerate(byte_letters())}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.tokens))
         self.cut = regex.compile(PATTERN)
@@ -130,22 +131,37 @@ class Codec:
         return b"".join(self.tokens[i] for i in ids).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    """One codec per worker process and file."""
-    return Codec(path)
+_CODECS: dict[str, Codec] = {}
 
 
-def vocabulary_path(directory: str | None = None, name: str = VOCABULARY) -> str:
-    return os.path.join(directory or TOKENIZER_DIR, name)
+def read_vocabulary(directory: str | None = None, name: str = VOCABULARY) -> bytes:
+    with open(os.path.join(directory or TOKENIZER_DIR, name), "rb") as file:
+        data = file.read(MOST_BYTES + 1)
+    if len(data) > MOST_BYTES:
+        raise ValueError(f"vocabulary of more than {MOST_BYTES} bytes")
+    return data
+
+
+def codec_for(df: DataFrame, directory: str | None) -> Callable[[], Codec]:
+    """What gives a task its codec: one per worker process and vocabulary, made of the broadcast file."""
+    data = read_vocabulary(directory)
+    name, held = xxhash.xxh3_128_hexdigest(data), df.sparkSession.sparkContext.broadcast(data)
+
+    def own() -> Codec:
+        if name not in _CODECS:
+            _CODECS.clear()
+            _CODECS[name] = Codec(held.value)
+        return _CODECS[name]
+
+    return own
 
 
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", directory: str | None = None) -> DataFrame:
     """``key`` and ``ids ARRAY<INT>`` of every row."""
-    path = vocabulary_path(directory)
+    codec = codec_for(documents, directory)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(path)
+        own = codec()
         for frame in frames:
             for at in range(0, len(frame), BATCH_ROWS):
                 part = frame.iloc[at : at + BATCH_ROWS]
@@ -157,10 +173,10 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", direct
 
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", directory: str | None = None) -> DataFrame:
     """``key`` and ``text`` of every row of ids; the inverse of ``encode`` but for null texts."""
-    path = vocabulary_path(directory)
+    codec = codec_for(encoded, directory)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(path)
+        own = codec()
         for frame in frames:
             yield pd.DataFrame({key: frame[key], "text": [own.decode(list(x)) for x in frame[ids]]})
 
@@ -170,10 +186,10 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", directory:
 
 def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", directory: str | None = None) -> DataFrame:
     """``key`` and ``n_tokens BIGINT`` of every row, without shipping the ids."""
-    path = vocabulary_path(directory)
+    codec = codec_for(documents, directory)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(path)
+        own = codec()
         for frame in frames:
             for at in range(0, len(frame), BATCH_ROWS):
                 part = frame.iloc[at : at + BATCH_ROWS]

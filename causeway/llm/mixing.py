@@ -6,12 +6,13 @@ source of weight w is released at slot floor(k / w) and due at slot ceil((k + 1)
 takes the released block with the earliest deadline. At every slot each source has had its
 weight's share of the blocks to within less than one block.
 
-Weights are rounded to multiples of 1 / PERIOD (largest remainders), so the schedule repeats
-after PERIOD slots: only one period, a table of PERIOD rows whatever the data, is computed on
-the driver; the slot of any block follows by arithmetic.
+Weights are rounded to multiples of 1 / period (largest remainders), so the schedule repeats
+after one period, which alone is computed on the driver; the slot of any block follows by arithmetic. The period has
+``PERIOD`` slots, or as many more as the smallest share needs for a block of its own, up to ``MOST_SLOTS``.
 
-Documents longer than a block come last in each round, so that they are used only where the others do not
-suffice; a document is used if that brings its source nearer to what is needed, so each source ends within half a document of it.
+A block is no shorter than the longest document, so that the tokens of any slot stay within two blocks of the
+schedule: one for the schedule itself, one for the document at its end. Long documents
+come last in each round, so that they are used only where the others do not suffice; a document is used if that brings its source nearer to what is needed, so each source ends within half a document of it.
 
 Scale: tokens are counted in one Arrow pass and cut off by a checkpoint, since two consumers read them.
 A source may hold a third of all rows, so its running total is a two-level prefix sum: totals per
@@ -29,6 +30,7 @@ sum of its shares and its smallest cap. Empty tables give an empty mix.
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,26 +38,36 @@ from pyspark.sql import functions as F
 from causeway.llm.bpe import token_counts
 from causeway.sources.checkpoints import cut_lineage
 
-#: Slots of one period of the schedule; weights are multiples of its inverse.
-PERIOD = 10_000
-#: Tokens of a block.
+#: Slots of one period of the schedule, usually and at most; weights are multiples of its inverse.
+PERIOD, MOST_SLOTS = 10_000, 1_000_000
+#: Tokens of a block at least; longer documents come last.
 BLOCK_TOKENS = 2_048
 #: Hash buckets per source for the running totals.
 BUCKETS = 1_024
 
 
-def period_weights(shares: dict[str, float], period: int = PERIOD) -> dict[str, int]:
+def period_of(shares: dict[str, float]) -> int:
+    """Slots of a period in which the smallest share has a block."""
+    period = max(PERIOD, len(shares), math.ceil(sum(shares.values()) / min(shares.values())))
+    if len(shares) > MOST_SLOTS:
+        raise ValueError(f"more than {MOST_SLOTS} sources")
+    return min(period, MOST_SLOTS)
+
+
+def period_weights(shares: dict[str, float], period: int | None = None) -> dict[str, int]:
     """Blocks of each source in one period; they add up to ``period`` and none is zero."""
+    period = period or period_of(shares)
     total = sum(shares.values())
     exact = {s: x / total * period for s, x in shares.items()}
     blocks = {s: max(1, int(x)) for s, x in exact.items()}
     order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))
-    at = 0
-    while sum(blocks.values()) < period:
+    for at in range(period - sum(blocks.values())):
         blocks[order[at % len(order)]] += 1
-        at += 1
-    while sum(blocks.values()) > period:
-        blocks[max(blocks, key=lambda s: (blocks[s], s))] -= 1
+    excess = sum(blocks.values()) - period
+    for s in sorted(blocks, key=lambda s: (-blocks[s], s)):
+        less = min(blocks[s] - 1, max(0, excess))
+        blocks[s] -= less
+        excess -= less
     return blocks
 
 
@@ -99,17 +111,17 @@ def sizes(documents: DataFrame, targets: DataFrame, directory: str | None = None
     return rows.where("n_tokens > 0").select("doc_id", "source", order.alias("order"), bucket.alias("bucket"), "n_tokens")
 
 
-def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> tuple[DataFrame, list[tuple]]:
-    """Totals per bucket, and (source, share, repeats, available, needed) of each present source.
+def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> tuple[DataFrame, list[tuple], int]:
+    """Totals per bucket, (source, share, repeats, available, needed) of each present source, and the tokens of the longest document.
 
     The second is as long as the target list and is made on the driver.
     """
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"))
+    buckets = sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest"))
     present = (
-        buckets.groupBy("source").agg(F.sum("tokens").alias("available")).join(F.broadcast(_targets(targets)), "source").collect()
+        buckets.groupBy("source").agg(F.sum("tokens").alias("available"), F.max("longest").alias("longest")).join(F.broadcast(_targets(targets)), "source").collect()
     )
     if not present:
-        return buckets, []
+        return buckets, [], 0
     whole = sum(r["target_share"] for r in present)
     most = min(r["available"] * r["max_repeats"] * whole / r["target_share"] for r in present)
     total = most if total_tokens is None else total_tokens
@@ -118,7 +130,7 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None)
          int(min(total * r["target_share"] / whole, r["available"] * r["max_repeats"])))
         for r in sorted(present, key=lambda r: r["source"])
     ]
-    return buckets, rows
+    return buckets, rows, max(r["longest"] for r in present)
 
 
 def mix_index(
@@ -131,7 +143,8 @@ def mix_index(
     """
     spark = documents.sparkSession
     sized = cut_lineage(sizes(documents, targets, directory))
-    buckets, rows = plan(sized, targets, total_tokens)
+    buckets, rows, longest = plan(sized, targets, total_tokens)
+    block_tokens = max(block_tokens, longest)
     blocks = period_weights({r[0]: r[1] for r in rows}) if rows else {}
     slots = pfair_period(blocks) if rows else {}
     schedule = spark.createDataFrame(
@@ -139,7 +152,7 @@ def mix_index(
         "source STRING, share DOUBLE, repeats INT, available BIGINT, needed BIGINT, per_period INT, slots ARRAY<INT>",
     )
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.withColumn("bucket_start", F.coalesce(F.sum("tokens").over(before), F.lit(0))).drop("tokens")
+    starts = buckets.withColumn("bucket_start", F.coalesce(F.sum("tokens").over(before), F.lit(0))).drop("tokens", "longest")
     within = Window.partitionBy("source", "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         sized.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
@@ -158,7 +171,7 @@ def mix_index(
     )
     block = F.floor(F.col("slot_pos") / block_tokens)
     at = copies.join(F.broadcast(schedule.select("source", "per_period", "slots")), "source")
-    slot = F.floor(block / F.col("per_period")) * PERIOD + F.get("slots", (block % F.col("per_period")).cast("int"))
+    slot = F.floor(block / F.col("per_period")) * sum(blocks.values()) + F.get("slots", (block % F.col("per_period")).cast("int"))
     return at.select(slot.alias("slot"), "slot_pos", "source", "doc_id", "copy_no", "n_tokens")
 
 
@@ -174,7 +187,7 @@ def reached_shares(documents: DataFrame, targets: DataFrame, total_tokens: int |
     got = index.groupBy("source").agg(
         F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"), F.max("copy_no").alias("most_uses")
     )
-    every = Window.partitionBy()
+    whole = got.agg(F.sum("tokens")).scalar()
     return (
         _targets(targets).join(got, "source", "left")
         .select(
@@ -182,5 +195,5 @@ def reached_shares(documents: DataFrame, targets: DataFrame, total_tokens: int |
             F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("uses", F.lit(0)).alias("uses"),
             F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
         )
-        .withColumn("reached_share", F.coalesce(F.col("tokens") / F.nullif(F.sum("tokens").over(every), F.lit(0)), F.lit(0.0)))
+        .withColumn("reached_share", F.coalesce(F.col("tokens") / whole, F.lit(0.0)))
     )
