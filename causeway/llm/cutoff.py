@@ -50,7 +50,7 @@ CONTINUED = (
 )
 
 TERMINAL = r"""[.!?。！？…]["”’')\]»*_`]*\s*[\p{So}️‍]*$"""
-_MARKUP = " *_`<>[](){}\"'“”.,;!?"
+MARKUP = " *_`<>[](){}\"'“”.,;!?"
 
 
 def trimmed(value: Column) -> Column:
@@ -81,7 +81,7 @@ def with_ending(df: DataFrame, text: str, entries: Sequence[str]) -> DataFrame:
     line = F.col("__last")
     fences = (F.length(text) - F.length(F.replace(F.col(text), F.lit("```"), F.lit("")))) / 3
     right = F.trim(F.substring_index(line, "->", -1))
-    bare = F.btrim(right, F.lit(_MARKUP))
+    bare = F.btrim(right, F.lit(MARKUP))
     begun = right.isin(beginnings(entries)) if entries else F.lit(False)
     edge = F.when((bare == "") | begun, "broken").when(bare.isin(listed) if entries else bare != "", "whole").otherwise("edge")
     value = F.trim(F.regexp_replace(line, r"^[^:]*:", ""))

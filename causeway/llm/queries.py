@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from causeway.llm import bpe, canonical, cutoff, mixing, offence, pairs, scans
+from causeway.llm.twins import SQL as SQL
 from causeway.sources import read_table, spread
 
 
@@ -38,7 +40,8 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_sources(spark: SparkSession, sf: str) -> DataFrame:
-    return cutoff.cut_report(read_table(spark, sf, "pair_results"), _labels(spark, sf))
+    report = cutoff.cut_report(read_table(spark, sf, "pair_results"), _labels(spark, sf))
+    return report.withColumn("limits", F.array_join("limits", "|"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +97,3 @@ QUERIES = {
     "p10_scores": p10_scores,
     "p10_rates": p10_rates,
 }
-
-SQL = {
-    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
-}
