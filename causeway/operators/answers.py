@@ -1,6 +1,6 @@
 """Prompts for, and cause-effect edges out of, free-text model answers.
 
-All parsers are column expressions over the answer text; concept names are resolved by broadcast joins with
+All parsers are column expressions over the answer text; concept names are resolved by joins (broadcast where Spark measures them small) with
 the canonical list (a fixed dimension). Null answers are empty text. A line separator is any of the usual ones.
 """
 
@@ -154,7 +154,7 @@ def parse_multi_soft(cleaned: Column) -> Column:
 def resolve_pair(parsed: DataFrame, concepts: DataFrame, cause: str = "cause", effect: str = "effect", status: str = "status") -> DataFrame:
     """PRS-14, 15 of a single edge: canonical names if both sides are listed, else as typed and ``not_in_ontology``."""
     named = concepts.where("label IS NOT NULL").groupBy(F.lower("label").alias("__low")).agg(F.max_by("label", "concept_id").alias("__label"))
-    side = lambda n: F.broadcast(named.select(F.col("__low").alias(f"__low_{n}"), F.col("__label").alias(f"__label_{n}")))
+    side = lambda n: named.select(F.col("__low").alias(f"__low_{n}"), F.col("__label").alias(f"__label_{n}"))
     joined = parsed.join(side("c"), F.lower(cause) == F.col("__low_c"), "left").join(side("e"), F.lower(effect) == F.col("__low_e"), "left")
     both = F.col("__label_c").isNotNull() & F.col("__label_e").isNotNull()
     return (

@@ -1,7 +1,7 @@
 """Causal graphs as edge lists: views of the node list, canonical edges, outcomes of predicted edges, edge classes.
 
 A view maps concept names to node indexes: identity, or with some names merged into one node at the place of
-the first. Views are small dimensions and broadcast. Edges are rows (graph, i, j); matrices are made at the sinks only.
+the first. Views are small dimensions; Spark broadcasts them where it measures them small. Edges are rows (graph, i, j); matrices are made at the sinks only.
 Null or unknown names are off the list; null edge arrays have no edges.
 """
 
@@ -33,7 +33,7 @@ def view_size(view: DataFrame) -> int:
 
 def _indexed(edges: DataFrame, view: DataFrame) -> DataFrame:
     """Edges (.., cause, effect) with ``i`` and ``j``, null for names off the list."""
-    side = lambda n: F.broadcast(view.select(F.col("item").alias(f"__{n}"), F.col("idx").alias(n)))
+    side = lambda n: view.select(F.col("item").alias(f"__{n}"), F.col("idx").alias(n))
     return (
         edges.join(side("i"), F.lower("cause") == F.col("__i"), "left").join(side("j"), F.lower("effect") == F.col("__j"), "left").drop("__i", "__j")
     )

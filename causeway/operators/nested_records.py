@@ -239,6 +239,11 @@ def node_table(records: DataFrame, kind: str) -> DataFrame:
     return rows.select(*common, *own.get(kind, [F.col("value").alias(kind)]))
 
 
+def leaves(records: DataFrame) -> DataFrame:
+    """``chain_id, path, type, value`` of every scalar of every record, typed nodes or not."""
+    return label_nodes(records).where(F.col("type").isin("string", "number", "boolean", "null")).select("chain_id", "path", "type", F.when(F.col("type") != "null", F.col("value")).alias("value"))
+
+
 def field_table(records: DataFrame) -> DataFrame:
     """Every other scalar, whatever part it stands in: its path, value, and the nearest typed node that contains it.
 

@@ -62,6 +62,7 @@ QUERIES = {
     "p2_notes": _p2_table("note"),
     "p2_excerpts": _p2_table("excerpt"),
     "p2_fields": lambda spark, sf: nested_records.field_table(read_table(spark, sf, "chain_records")),
+    "p2_leaves": lambda spark, sf: nested_records.leaves(read_table(spark, sf, "chain_records")),
     "p3_found": p3_found,
     "p3_kept": p3_kept,
     "p3_kept_answers": p3_kept_answers,
@@ -104,11 +105,52 @@ _P2 = f"""WITH decoded AS (SELECT chain_id, CAST(record_json AS JSON) AS j FROM
       UNION ALL SELECT chain_id, x ->> 'node', x -> 'forms' FROM ({_p2_unnested("is_map", "chain_id, keyed", "f")}) WHERE NOT keyed AND json_type(x) = 'OBJECT' AND json_type(x -> 'node') = 'VARCHAR'),
     form AS (SELECT * FROM ({_p2_unnested("(SELECT * FROM named WHERE regexp_matches(label, '\\S'))", "chain_id, label", "part")}) WHERE {_p2_filled("form")})"""
 
+def _p1_type(x: str, depth: int = 3) -> str:
+    """Raw type of a JSON value; null for nulls and for arrays that tell nothing."""
+    if not depth:
+        return "NULL"
+    inner = _p1_type(f"e{depth}", depth - 1)
+    kinds = f"list_sort(list_distinct(list_filter(list_transform(from_json({x}, '[\"JSON\"]'), lambda e{depth}: {inner}), lambda k: k IS NOT NULL)))"
+    return f"""CASE json_type({x}) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL
+        WHEN 'ARRAY' THEN CASE WHEN len({kinds}) > 0 THEN 'array<' || array_to_string({kinds}, '|') || '>' END ELSE 'number' END"""
+
+
+_P1 = f"""WITH g AS MATERIALIZED (SELECT row_number() OVER () AS rid, series, run_no, j FROM (SELECT series, run_no, CAST(record_json AS JSON) AS j FROM run_records
+      WHERE json_valid(record_json) AND series IS NOT NULL AND run_no IS NOT NULL) WHERE json_type(j) = 'OBJECT' AND NOT list_contains(json_keys(j), 'error')),
+    tree AS (SELECT rid, id, value, replace(regexp_replace(regexp_replace(fullkey, '\\[\\d+\\]', '', 'g'), '^\\$\\.', ''), '"', '') AS path FROM g, json_tree(g.j)
+      WHERE fullkey LIKE '$.%' AND fullkey NOT LIKE '%]' AND NOT contains(fullkey, '][')),
+    l AS MATERIALIZED (SELECT rid, path, string_agg(DISTINCT k, '|' ORDER BY k) AS t, string_agg(CAST(value AS VARCHAR), chr(1) ORDER BY id) AS v FROM (SELECT *, {_p1_type('value')} AS k FROM tree) GROUP BY rid, path),
+    f AS MATERIALIZED (SELECT series, run_no, path, regexp_replace(path, '\\.?[^.]*$', '') AS parent, count(*) AS n_lines, count(t) AS n_values, coalesce(string_agg(DISTINCT t, '|' ORDER BY t), '') AS types
+      FROM l JOIN g USING (rid) GROUP BY ALL)"""
+_P1_CHANGES = f"""{_P1}, runs AS (SELECT series, run_no, lag(run_no) OVER (PARTITION BY series ORDER BY run_no) AS prev FROM (SELECT DISTINCT series, run_no FROM run_records WHERE series IS NOT NULL AND run_no IS NOT NULL)),
+    old AS (SELECT r.series, r.run_no, r.prev, path, parent, types FROM runs r JOIN f ON f.series = r.series AND f.run_no = r.prev),
+    new AS (SELECT r.series, r.run_no, path, parent, types FROM runs r JOIN f ON f.series = r.series AND f.run_no = r.run_no WHERE r.prev IS NOT NULL),
+    gone AS MATERIALIZED (SELECT * FROM old ANTI JOIN new USING (series, run_no, path)), came AS MATERIALIZED (SELECT * FROM new ANTI JOIN old USING (series, run_no, path)),
+    ev AS MATERIALIZED (SELECT series, run_no, path, j ->> 'excerpt_id' AS excerpt, list_sort(list(DISTINCT v)) AS vs FROM l JOIN g USING (rid)
+      WHERE t IS NOT NULL AND json_type(j -> 'excerpt_id') = 'VARCHAR' GROUP BY ALL),
+    agreed AS (SELECT o.series, o.run_no, o.path AS field_path, n.path AS new_path, count(*) AS same FROM gone o JOIN came n ON n.series = o.series AND n.run_no = o.run_no AND n.parent = o.parent AND n.types = o.types
+      JOIN ev a ON a.series = o.series AND a.run_no = o.prev AND a.path = o.path JOIN ev b ON b.series = o.series AND b.run_no = o.run_no AND b.path = n.path AND b.excerpt = a.excerpt
+      WHERE o.types <> '' GROUP BY ALL HAVING bool_and(a.vs = b.vs)),
+    renamed AS MATERIALIZED (SELECT * FROM agreed QUALIFY row_number() OVER (PARTITION BY series, run_no, field_path ORDER BY same DESC, field_path, new_path) = 1
+      AND row_number() OVER (PARTITION BY series, run_no, new_path ORDER BY same DESC, field_path, new_path) = 1),
+    changes AS MATERIALIZED (SELECT series, run_no, field_path, 'renamed' AS change_kind, new_path FROM renamed
+      UNION ALL SELECT series, run_no, path, 'removed', path FROM gone WHERE (series, run_no, path) NOT IN (SELECT series, run_no, field_path FROM renamed)
+      UNION ALL SELECT series, run_no, path, 'added', path FROM came WHERE (series, run_no, path) NOT IN (SELECT series, run_no, new_path FROM renamed)
+      UNION ALL SELECT o.series, o.run_no, o.path, 'retyped', o.path FROM old o JOIN new n USING (series, run_no, path) WHERE o.types <> '' AND n.types <> '' AND o.types <> n.types),
+    reported AS (SELECT series, run_no, field_path AS p FROM changes UNION SELECT series, run_no, new_path FROM changes)
+    SELECT * FROM changes c WHERE NOT EXISTS (SELECT 1 FROM reported r WHERE r.series = c.series AND r.run_no = c.run_no AND starts_with(c.field_path, r.p || '.'))"""
+
+
 SQL = {
+    "p1_found": _P1_CHANGES,
+    "p1_path_statistics": f"{_P1} SELECT series, run_no, path, parent, n_lines, n_values, types FROM f",
     "p2_found": f"""{_P2} SELECT DISTINCT chain_id, child, parent, CAST(pos AS INT) AS pos FROM (
         SELECT chain_id, 'location' AS child, '' AS parent, pos FROM location UNION ALL SELECT chain_id, 'page', CAST(up AS VARCHAR), pos FROM page
         UNION ALL SELECT chain_id, 'edge', '', pos FROM edge UNION ALL SELECT chain_id, 'evidence', CAST(up AS VARCHAR), pos FROM evidence
         UNION ALL SELECT chain_id, 'form', label, pos FROM form)""",
+    "p2_leaves": f"""{_P2} SELECT chain_id, replace(regexp_replace(regexp_replace(fullkey, '\\[\\d+\\]', '', 'g'), '^\\$\\.?', ''), '"', '') AS path,
+        CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS type, CASE WHEN type <> 'NULL' THEN value ->> '$' END AS value
+        FROM r, json_tree(r.j) WHERE type NOT IN ('OBJECT', 'ARRAY')""",
     "p3_found": f"SELECT row_id FROM ({_P3_RANKED}) WHERE rn > 1",
     "p3_kept_answers": f"SELECT * EXCLUDE (rn, id_e, id_m, produced_at, delivered_at) FROM ({_P3_RANKED}) WHERE rn = 1",
     "p3_copies": f"SELECT deliveries, count(*) AS identifiers FROM (SELECT id_e, id_m, count(*) AS deliveries FROM ({_P3_RANKED}) WHERE id_e <> '' GROUP BY id_e, id_m) GROUP BY deliveries",
