@@ -25,6 +25,12 @@ POLICY_TABLE_MARKERS = (
     r"\bSenior\s+level\b|\bThird-party\s+standards\b|\bStakeholder\b.*\bPolicies\b|\bContent\s+Scope\b"
     r"|\bAvailabil(?:ity|e)\b.*\bAccessible\b|\bExecutive\s+(?:Board|Company)\b.*\bAgreement\b"
 )
+CONTENTS_ENTRY, NUMBERED_ENTRY, INDEX_TITLE = r"^.{5,}\s+\d{1,4}\s*$", r"ESRS\s+[A-Z]\d.*\d{2,3}", r"ESRS\s+Index"
+CONTENTS_MARKS, LONG_SENTENCE = r"(?:►|ESRS\s+[A-Z]\d|[ESGB][1-5][\-,])", r"[A-Za-z]{10}[^.]*+\.\s"
+COMMITTEE, PERCENTAGE, NUMBER = r"Committee[:\s]", r"~?\d+\.?\d*%", r"\b\d+\.?\d*\b"
+STREAM_COLUMNS, ROLE_COLUMNS = r"Up-\s+\w|Down-\s+\w|Long-\s+Up|Short-\s+Up", r"\bSVP\b.*\bSOP\b|\bSOP\b.*\bSVP\b"
+STREAM_WORDS, HEAD_FRAGMENTS = r"Up(?:fresh|stream|term)|Down(?:stream|term)", r"(?:Classifi-|cation|horizon)\s+(?:level|chain)"
+DEPENDENCY_FRAGMENTS = r"dependen-\s*(?:Negative|cies)"
 BULLET_LINE = r"^[►\-–•]\s*.*$"
 TITLED_WORDS = r"(?<!\. )[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?(?=\s+[A-Z])"
 POLICY_TABLE_HEADS, POLICY_TABLE_CELLS = r"(?:Own\s+Operations|Executive\s+Company|Accessible\s+via)", r"(?:Agreement|understanding|applies\s+to\s+all)"
@@ -63,17 +69,17 @@ def is_contents_page(text: Column) -> Column:
     own = _own(text)
 
     def listed(rows: Column) -> Column:
-        entries = F.size(F.filter(rows, lambda x: matches(x, r"^.{5,}\s+\d{1,4}\s*$")))
+        entries = F.size(F.filter(rows, lambda x: matches(x, CONTENTS_ENTRY)))
         return (entries > 5) & (_ratio(entries, F.size(rows)) > 0.3)
 
     rows = F.transform(lines(strip(own)), strip)
-    numbered = F.size(F.filter(rows, lambda x: matches(x, r"ESRS\s+[A-Z]\d.*\d{2,3}")))
+    numbered = F.size(F.filter(rows, lambda x: matches(x, NUMBERED_ENTRY)))
     return (
         (strip(own) == "")
         | bind(rows, listed)
-        | (occurrences(own, r"(?:►|ESRS\s+[A-Z]\d|[ESGB][1-5][\-,])") > 10)
-        | matches(own, r"ESRS\s+Index")
-        | ((F.length(own) > 500) & (occurrences(own, r"[A-Za-z]{10}[^.]*+\.\s") < 3))  # ten letters or more, possessive: the same matches, without backtracking
+        | (occurrences(own, CONTENTS_MARKS) > 10)
+        | matches(own, INDEX_TITLE)
+        | ((F.length(own) > 500) & (occurrences(own, LONG_SENTENCE) < 3))  # ten letters or more, possessive: the same matches, without backtracking
         | (numbered >= 5)
     )
 
@@ -126,7 +132,7 @@ def is_name_list(text: Column) -> Column:
     def test(own: Column) -> Column:
         entries = all_matches(own, NAME_ENTRY)
         covered = F.aggregate(entries, F.lit(0), lambda n, e: n + F.length(e))
-        return ((F.size(entries) >= 3) & (covered > 0.5 * F.length(own))) | (occurrences(own, r"Committee[:\s]", ignore_case=True) >= 3)
+        return ((F.size(entries) >= 3) & (covered > 0.5 * F.length(own))) | (occurrences(own, COMMITTEE, ignore_case=True) >= 3)
 
     return bind(strip(_own(text)), test)
 
@@ -139,8 +145,8 @@ def is_non_narrative(text: Column) -> Column:
             (own == "")
             | (matches(own, BULLET_LINE) & (size < 60))
             | ((letters(own) < 0.4 * size) & (size > 20))
-            | (occurrences(own, r"~?\d+\.?\d*%") >= 4)
-            | ((occurrences(own, r"\b\d+\.?\d*\b") >= 8) & (size < 300))
+            | (occurrences(own, PERCENTAGE) >= 4)
+            | ((occurrences(own, NUMBER) >= 8) & (size < 300))
             | ((size < 40) & ~matches(own, AUXILIARY_VERBS, ignore_case=True) & ~own.rlike("^[A-Z]"))
         )
 
@@ -156,14 +162,14 @@ def is_garbled(text: Column) -> Column:
             | ((n_words <= 5) & ~own.rlike(r"[.!?]$") & ~matches(own, COMMON_VERBS, ignore_case=True))
             | (own.rlike(r"^\p{Ll}") & (n_words <= 8))
             | (bind(F.lower(own), lambda x: holds_any(x, "n.a.", "negative", "positive", "stream")) & matches(own, TABLE_CELL_MARKERS, ignore_case=True))
-            | (holds_any(own, "Up-", "Down-", "Long-", "Short-") & (F.length(own) < 300) & matches(own, r"Up-\s+\w|Down-\s+\w|Long-\s+Up|Short-\s+Up"))
-            | (own.contains("SVP") & own.contains("SOP") & matches(own, r"\bSVP\b.*\bSOP\b|\bSOP\b.*\bSVP\b"))
-            | (own.contains("n.a.") & matches(own, r"Up(?:fresh|stream|term)|Down(?:stream|term)"))
+            | (holds_any(own, "Up-", "Down-", "Long-", "Short-") & (F.length(own) < 300) & matches(own, STREAM_COLUMNS))
+            | (own.contains("SVP") & own.contains("SOP") & matches(own, ROLE_COLUMNS))
+            | (own.contains("n.a.") & matches(own, STREAM_WORDS))
             | (
                 bind(F.lower(own), lambda x: holds_any(x, " level", "\tlevel", "\nlevel", "chain", "dependen-"))
                 & (
-                    matches(own, r"(?:Classifi-|cation|horizon)\s+(?:level|chain)", ignore_case=True)
-                    | matches(own, r"dependen-\s*(?:Negative|cies)", ignore_case=True)
+                    matches(own, HEAD_FRAGMENTS, ignore_case=True)
+                    | matches(own, DEPENDENCY_FRAGMENTS, ignore_case=True)
                 )
             )
         )

@@ -9,7 +9,7 @@ from causeway.operators import graph_metrics as M
 from causeway.operators import graphs as H
 from causeway.plans.answer_queries import COMPOUND, MEMBERS
 from causeway.plans.report_queries import strip
-from causeway.sources import read_table
+from causeway.sources import read_table, sinks
 
 KEY = "result_id"
 
@@ -169,6 +169,15 @@ def _transposed(s, d):
     return wide.select("metric", *[F.col(f"`{m}`").alias(_safe(m)) for m in names])
 
 
+#: The columns of the console table: name, width, decimals.
+CONSOLE = (("model", 28, None), ("adj_f1_mean", 8, 3), ("ori_f1_mean", 8, 3), ("shd_strict_mean", 8, 2), ("mcc_mean", 8, 3), ("exact_match_mean", 10, 3), ("sid_mean", 8, 1), ("sid_computable_fraction", 8, 2))
+
+
+def _console(s, d):
+    """SNK-12: macro means of each model as lines of fixed widths."""
+    return sinks.console_lines(_macro(False)(s, d).join(_macro_sid(s, d).drop("n_graphs"), "model"), list(CONSOLE))
+
+
 QUERIES = {
     "gra_1_identity_view": lambda s, d: _view(s, d),
     "gra_2_compound_view": lambda s, d: _view(s, d, True),
@@ -218,6 +227,7 @@ QUERIES = {
     "snk_5_status_summary": _summary,
     "snk_6_edge_summary": _edge_summary,
     "snk_8_transposed": _transposed,
+    "snk_12_console": _console,
 }
 
 # ------------------------------------------------------------------------------------------ SQL
@@ -314,6 +324,10 @@ def _distance_sql(compound: bool) -> str:
       SELECT result_id, result_id IN (SELECT result_id FROM r WHERE i = j) AS cyclic FROM dag_results) LEFT JOIN failed f USING (result_id) LEFT JOIN sure u USING (result_id)""", compound, more)
 
 
+def _macro_distance_sql() -> str:
+    return f"SELECT {_MODEL} AS model, count(*) AS n_graphs, avg(sid) AS sid_mean, avg(s.is_dag) AS is_dag_mean, avg(CASE WHEN sid IS NULL THEN 0.0 ELSE 1.0 END) AS sid_computable_fraction FROM ({_distance_sql(False)}) s JOIN dag_results USING (result_id) GROUP BY 1"
+
+
 def _macro_sql(compound: bool) -> str:
     means = ", ".join(f"round(avg({x}), 9) AS {x}_mean" for x in METRIC_NAMES)
     return _with(f"SELECT {_MODEL} AS model, count(*) AS n_graphs, {means} FROM m JOIN dag_results d USING (result_id) GROUP BY 1", compound, _metric_ctes(compound))
@@ -383,5 +397,8 @@ SQL = {
     "met_20_d_separation": _with(f"SELECT result_id, x, y, z FROM asked WHERE q NOT IN (SELECT q FROM seen JOIN asked USING (q) WHERE node = y)", more=f"{_LINKED}, asked AS MATERIALIZED (SELECT *, row_number() OVER () AS q, -1 AS cut FROM (SELECT a.result_id, a.node AS x, b.node AS y, c.node AS z FROM linked a JOIN linked b ON a.result_id = b.result_id AND a.node < b.node JOIN linked c ON c.result_id = a.result_id AND c.node NOT IN (a.node, b.node))), given AS MATERIALIZED (SELECT q, z FROM asked), {_SEPARATION}"),
     "met_22_intervention_distance": _distance_sql(False),
     "met_22_intervention_distance_compound": _distance_sql(True),
-    "agg_9_macro_distance": f"SELECT {_MODEL} AS model, count(*) AS n_graphs, avg(sid) AS sid_mean, avg(s.is_dag) AS is_dag_mean, avg(CASE WHEN sid IS NULL THEN 0.0 ELSE 1.0 END) AS sid_computable_fraction FROM ({_distance_sql(False)}) s JOIN dag_results USING (result_id) GROUP BY 1",
+    "snk_12_console": "SELECT " + " || ' ' || ".join(
+        f"rpad({c}, CAST(greatest(length({c}), {w}) AS INT), ' ')" if k is None else f"lpad(coalesce(printf('%.{k}f', CAST({c} AS DOUBLE)), '—'), greatest(length(coalesce(printf('%.{k}f', CAST({c} AS DOUBLE)), '—')), {w})::INT, ' ')" for c, w, k in CONSOLE
+    ) + f" AS line FROM ({_macro_sql(False)}) JOIN ({_macro_distance_sql()}) USING (model)",
+    "agg_9_macro_distance": _macro_distance_sql(),
 }

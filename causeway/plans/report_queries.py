@@ -213,8 +213,8 @@ def page_number(x: str) -> str:
 def non_narrative(x: str) -> str:
     s = strip(own(x))
     return f"""({s} = '' OR ({has(s, f'^[►–•-]{SPACE}*[^\\n]*$')} AND length({s}) < 60)
-      OR ({count(s, r'\p{L}')} < 0.4 * length({s}) AND length({s}) > 20) OR {count(s, r'~?\d+\.?\d*%')} >= 4
-      OR ({count(s, r'\b\d+\.?\d*\b')} >= 8 AND length({s}) < 300)
+      OR ({count(s, r'\p{L}')} < 0.4 * length({s}) AND length({s}) > 20) OR {count(s, P.PERCENTAGE)} >= 4
+      OR ({count(s, P.NUMBER)} >= 8 AND length({s}) < 300)
       OR (length({s}) < 40 AND NOT {has(s, P.AUXILIARY_VERBS, True)} AND NOT {has(s, '^[A-Z]')}))"""
 
 
@@ -262,7 +262,7 @@ _EXPANDED = "…½¼¾⅓⅔⅛™℠№㎡" + "".join(map(chr, range(0xFB00, 0x
 def name_list(x: str) -> str:
     s = strip(own(x))
     entries = f"regexp_extract_all({s}, {rx(P.NAME_ENTRY)})"
-    return f"((len({entries}) >= 3 AND list_sum(list_transform({entries}, lambda e: length(e))) > 0.5 * length({s})) OR {count(s, r'Committee[:\s]', True)} >= 3)"
+    return f"((len({entries}) >= 3 AND list_sum(list_transform({entries}, lambda e: length(e))) > 0.5 * length({s})) OR {count(s, P.COMMITTEE, True)} >= 3)"
 
 
 def garbled(x: str) -> str:
@@ -271,9 +271,9 @@ def garbled(x: str) -> str:
     n = f"len({words(s)})"
     return f"""({s} = '' OR ({n} <= 5 AND NOT {has(s, r'[.!?]$')} AND NOT {has(s, P.COMMON_VERBS, True)})
       OR ({has(s, r'^\p{Ll}')} AND {n} <= 8) OR {has(s, cells, True)} OR {has(s, r'^Impact\s+stream\b', True)}
-      OR ({has(s, r'Up-\s+\w|Down-\s+\w|Long-\s+Up|Short-\s+Up')} AND length({s}) < 300)
-      OR {has(s, r'\bSVP\b.*\bSOP\b|\bSOP\b.*\bSVP\b')} OR ({has(s, 'Up(?:fresh|stream|term)|Down(?:stream|term)')} AND contains({s}, 'n.a.'))
-      OR {has(s, r'(?:Classifi-|cation|horizon)\s+(?:level|chain)', True)} OR {has(s, r'dependen-\s*(?:Negative|cies)', True)})"""
+      OR ({has(s, P.STREAM_COLUMNS)} AND length({s}) < 300)
+      OR {has(s, P.ROLE_COLUMNS)} OR ({has(s, P.STREAM_WORDS)} AND contains({s}, 'n.a.'))
+      OR {has(s, P.HEAD_FRAGMENTS, True)} OR {has(s, P.DEPENDENCY_FRAGMENTS, True)})"""
 
 
 def good_sentence(x: str) -> str:
@@ -284,11 +284,11 @@ def good_sentence(x: str) -> str:
 def contents_page(x: str) -> str:
     s, o = strip(own(x)), own(x)
     rows = f"list_transform(string_split(replace(replace({s}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda y: {strip('y')})"
-    entries = f"len(list_filter({rows}, lambda y: regexp_matches(y, {rx(r'^.{5,}\s+\d{1,4}\s*$')})))"
-    numbered = f"len(list_filter({rows}, lambda y: regexp_matches(y, {rx(r'ESRS\s+[A-Z]\d.*\d{2,3}')})))"
+    entries = f"len(list_filter({rows}, lambda y: regexp_matches(y, {rx(P.CONTENTS_ENTRY)})))"
+    numbered = f"len(list_filter({rows}, lambda y: regexp_matches(y, {rx(P.NUMBERED_ENTRY)})))"
     n = f"CASE WHEN {s} = '' THEN 0 ELSE len({rows}) END"
     return f"""({s} = '' OR ({entries} > 5 AND {entries} / greatest({n}, 1) > 0.3)
-      OR {count(o, r'(?:►|ESRS\s+[A-Z]\d|[ESGB][1-5][,-])')} > 10 OR {has(o, r'ESRS\s+Index')}
+      OR {count(o, P.CONTENTS_MARKS)} > 10 OR {has(o, P.INDEX_TITLE)}
       OR (length({o}) > 500 AND {count(o, r'[A-Za-z]{10,}[^.]*\.\s')} < 3) OR {numbered} >= 5)"""
 
 

@@ -44,6 +44,21 @@ def metric_text(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, *[o.alias(c) for o, c in zip(own, [c for c in df.columns if c not in keys])])
 
 
+def console_lines(df: DataFrame, columns: list[tuple[str, int, int | None]]) -> DataFrame:
+    """SNK-12: each row as one ``line`` of a table of fixed widths; ``columns`` are (name, width, decimals).
+
+    Texts (no decimals) stand left, numbers right, a missing number is a dash.
+    """
+    def cell(name: str, width: int, decimals: int | None) -> Column:
+        if decimals is None:
+            return F.rpad(F.coalesce(name, F.lit("")), F.greatest(F.length(F.coalesce(name, F.lit(""))), F.lit(width)), F.lit(" "))
+        text = F.coalesce(F.format_string(f"%.{decimals}f", F.col(name).cast("double")), F.lit("—"))
+        text = F.when(F.col(name).isNull(), "—").otherwise(text)
+        return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit(" "))
+
+    return df.select(F.concat_ws(" ", *[cell(*c) for c in columns]).alias("line"))
+
+
 def stacked_blocks(graphs: DataFrame, edges: DataFrame, key: str, n: int) -> DataFrame:
     """SNK-4: ``key, block``: per graph its marker lines, the rows of its matrix and a blank line.
 

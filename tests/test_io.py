@@ -108,3 +108,9 @@ def test_stream_keeps_answers_without_excerpt(spark, tmp_path):
     got = [r.excerpt_id for r in spark.read.json(str(tmp_path / "out")).collect()]
     assert len(got) == 4 and got.count(None) == 2
     assert rows(append_log.late_rows(spark, str(tmp_path / "in")).select("excerpt_id")) == [("b",)]
+
+
+def test_console_lines(spark):
+    df = spark.createDataFrame([("m", 0.5, None), ("a name longer than its column", 2.0, 3.0)], "model STRING, a DOUBLE, b DOUBLE")
+    got = sorted(r.line for r in sinks.console_lines(df, [("model", 8, None), ("a", 7, 3), ("b", 5, 1)]).collect())
+    assert got == ["a name longer than its column   2.000   3.0", "m          0.500     —"]
