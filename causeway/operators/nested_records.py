@@ -86,67 +86,77 @@ def _text(entry: object, names: Sequence[str]) -> str | None:
     return text if text.strip() else None
 
 
+_ALONE, _LISTED, _NAMED = range(3)
+
+
 class _Walk:
-    """Depth-first numbering of one record; pre and post come from two counters."""
+    """Depth-first numbering of one record; pre and post come from two counters.
 
-    def __init__(self, key: int, out: list[tuple], kinds: frozenset[str] | None):
-        self.key, self.out, self.kinds, self.pre, self.post = key, out, kinds, 0, 0
+    Children are tuples (value, part, place, name, path, how): a part that may be a list, an entry of one, or a node that its key names.
+    Nodes of types that are not asked for are numbered and no more.
+    """
 
-    def node(self, kind: str, depth: int, pos: int, name, path: str, kind_of: str, label, value, children=()) -> None:
-        """Numbers a node and its ``children``, calls that take the depth."""
+    def __init__(self, key: int, out: list[tuple], kinds: frozenset[str] | None, values: bool):
+        self.key, self.out, self.kinds, self.values, self.pre, self.post = key, out, kinds, values, 0, 0
+
+    def node(self, kind: str, depth: int, pos: int, name, path: str, sort: str, label, own, children) -> None:
         pre = self.pre
         self.pre += 1
-        for child in children:
-            child(depth + 1)
+        for value, part, place, key, inner, how in children:
+            self.visit(value, part, depth + 1, place, key, inner, how)
         if self.kinds is None or kind in self.kinds:
-            self.out.append((self.key, kind, pre, self.post, depth, pos, name, path, kind_of, label, value))
+            content = (name, path, sort, label, own) if self.values else (None, None, None, label, None)
+            self.out.append((self.key, kind, pre, self.post, depth, pos, *content))
         self.post += 1
 
-    def visit(self, value, part: Part | None, depth: int, pos: int, name: str | None, path: str, listed: bool = False) -> None:
-        sort = _json_type(value)
-        if part is not None and sort == "list" and not listed:
-            self.node("part", depth, pos, name, path, sort, None, None, [self._call(x, part, i, None, path, True) for i, x in enumerate(value, 1)])
+    def visit(self, value, part: Part | None, depth: int, pos: int, name: str | None, path: str, how: int = _ALONE) -> None:
+        kind = type(value)
+        if part is None and kind is not dict and kind is not list:
+            if self.kinds is None or "field" in self.kinds:
+                self.out.append((self.key, "field", self.pre, self.post, depth, pos, name, path, _json_type(value), None, _plain(value)))
+            self.pre += 1
+            self.post += 1
             return
-        if part is not None and part.keyed:
-            self._keyed(value, part, depth, pos, name, path, listed)
+        if how == _NAMED:
+            self.node(part.kind, depth, pos, name, path, "key", name, None, ((value, part.parts[part.keyed[1]], 1, None, path, _ALONE),))
             return
-        if part is None or (_text(value, part.text) is None if part.text is not None else sort != "object"):
-            kind, own, inner = ("part" if sort in ("object", "list") else "field"), None if sort in ("object", "list") else _plain(value), {}
+        sort = _json_type(value)
+        if part is not None and sort == "list" and how == _ALONE:
+            self.node("part", depth, pos, name, path, sort, None, None, [(x, part, i, None, path, _LISTED) for i, x in enumerate(value, 1)])
+        elif part is not None and part.keyed:
+            self._keyed(value, part, depth, pos, name, path, how)
+        elif part is None or (_text(value, part.text) is None if part.text is not None else sort != "object"):
+            inner = sort in ("object", "list")
+            self.node("part" if inner else "field", depth, pos, name, path, sort, None, None if inner else _plain(value), self._inner(value, sort, {}, path))
         elif part.text is not None:
-            kind, own, inner = part.kind, _text(value, part.text), {}
+            self.node(part.kind, depth, pos, name, path, sort, None, _text(value, part.text), self._inner(value, sort, {}, path))
         else:
-            kind, inner = part.kind, part.parts
-            own = json.dumps({k: v for k, v in value.items() if k not in inner}, ensure_ascii=False)
-        self.node(kind, depth, pos, name, path, sort, None, own, self._inner(value, sort, inner, path))
+            self.node(part.kind, depth, pos, name, path, sort, None, self._own(value, part.kind, part.parts), self._inner(value, sort, part.parts, path))
 
-    def _keyed(self, value, part: Part, depth: int, pos: int, name, path: str, listed: bool) -> None:
+    def _keyed(self, value, part: Part, depth: int, pos: int, name, path: str, how: int) -> None:
         name_of, inner_of = part.keyed
-        inner = part.parts[inner_of]
-        if isinstance(value, dict) and not listed and not (name_of in value and inner_of in value):
-            named = [
-                self._label(part.kind, i, k, f"{path}.{k}", v, inner) if k.strip() else self._call(v, None, i, k, f"{path}.{k}")
-                for i, (k, v) in enumerate(value.items(), 1)
-            ]
+        if isinstance(value, dict) and how == _ALONE and not (name_of in value and inner_of in value):
+            named = [(v, part if k.strip() else None, i, k, f"{path}.{k}", _NAMED if k.strip() else _ALONE) for i, (k, v) in enumerate(value.items(), 1)]
             self.node("part", depth, pos, name, path, "object", None, None, named)
             return
         label = value.get(name_of) if isinstance(value, dict) else None
         if not isinstance(label, str) or not label.strip():
             self.visit(value, None, depth, pos, name, path)
             return
-        own = json.dumps({k: v for k, v in value.items() if k != inner_of}, ensure_ascii=False)
+        own = self._own(value, part.kind, part.parts)
         self.node(part.kind, depth, pos, name, path, "object", label, own, self._inner(value, "object", part.parts, path))
 
-    def _label(self, kind: str, pos: int, label: str, path: str, value, inner: Part):
-        """A node that only its key names; what is written under the key lies inside."""
-        return lambda depth: self.node(kind, depth, pos, label, path, "key", label, None, [self._call(value, inner, 1, None, path)])
-
-    def _call(self, value, part, pos, name, path, listed=False):
-        return lambda depth: self.visit(value, part, depth, pos, name, path, listed)
+    def _own(self, value: dict, kind: str, parts: dict[str, Part]) -> str | None:
+        """The members of a node that are no parts, as JSON."""
+        if not self.values or self.kinds is not None and kind not in self.kinds:
+            return None
+        return json.dumps({k: v for k, v in value.items() if k not in parts}, ensure_ascii=False)
 
-    def _inner(self, value, sort: str, parts: dict[str, Part], path: str) -> list:
+    @staticmethod
+    def _inner(value, sort: str, parts: dict[str, Part], path: str) -> list | tuple:
         if sort == "object":
-            return [self._call(v, parts.get(k), 1, k, f"{path}.{k}" if path else k) for k, v in value.items()]
-        return [self._call(x, None, i, None, path) for i, x in enumerate(value, 1)] if sort == "list" else []
+            return [(v, parts.get(k), 1, k, f"{path}.{k}" if path else k, _ALONE) for k, v in value.items()]
+        return [(x, None, i, None, path, _ALONE) for i, x in enumerate(value, 1)] if sort == "list" else ()
 
 
 def decode_record(text: object) -> dict | None:
@@ -162,8 +172,11 @@ def decode_record(text: object) -> dict | None:
     return record if isinstance(record, dict) else None
 
 
-def label_nodes(records: DataFrame, kinds: Sequence[str] | None = None, spec: Part = CHAIN) -> DataFrame:
-    """One row per node of every record with its interval, type, place and own content; of all types or of ``kinds`` only."""
+def label_nodes(records: DataFrame, kinds: Sequence[str] | None = None, spec: Part = CHAIN, values: bool = True) -> DataFrame:
+    """One row per node of every record with its interval, type, place and own content; of all types or of ``kinds`` only.
+
+    Without ``values`` nodes come with their label alone, for queries on links.
+    """
     wanted = frozenset(kinds) if kinds is not None else None
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,7 +186,7 @@ def label_nodes(records: DataFrame, kinds: Sequence[str] | None = None, spec: Pa
             for key, text in zip(frame["chain_id"], frame["record_json"]):
                 record = decode_record(text)
                 if record is not None:
-                    _Walk(key, out, wanted).visit(record, spec, 0, 1, None, "")
+                    _Walk(key, out, wanted, values).visit(record, spec, 0, 1, None, "")
             yield pd.DataFrame(out, columns=names)
 
     return records.select("chain_id", "record_json").mapInPandas(batches, NODE_SCHEMA)
@@ -210,7 +223,7 @@ def children(records: DataFrame) -> DataFrame:
         F.coalesce(F.col("parent_node.pos").cast("string"), F.lit(""))
     )
     return (
-        link_nodes(label_nodes(records, (*CHILDREN, "node")))
+        link_nodes(label_nodes(records, (*CHILDREN, "node"), values=False))
         .where(F.col("kind").isin(*CHILDREN))
         .select("chain_id", F.col("kind").alias("child"), parent.alias("parent"), "pos")
         .dropDuplicates(["chain_id", "child", "parent", "pos"])
