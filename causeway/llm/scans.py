@@ -474,6 +474,8 @@ class Reader:
     def misread(self, tokens: list[str]) -> dict[int, str]:
         """Positions of misread tokens and their correction (empty if unknown)."""
         well = self.well
+        if well.issuperset(tokens):
+            return {}
         odd = [i for i, t in enumerate(tokens) if t not in well and self.token(t) is not None]
         out: dict[int, str] = {}
         at = 0
@@ -562,7 +564,7 @@ def read_page(
         left = tokens[-1]
         ends_broken = left[-1] in HYPHENS and len(left) > 1 and left[-2].isalpha()
         if carry is None and not ends_broken:
-            if all([t in well for t in tokens]):
+            if well.issuperset(tokens):
                 if want_text:
                     paragraphs[-1] += tokens
                 continue
@@ -626,10 +628,14 @@ def read_paragraph(reader: Reader, text: str, page: int | None, headers: set[str
     # headers: the key's words among the text's words
     spans: list[tuple[int, int]] = []
     if headers:
-        known = _HEADER_WORDS
-        bones = [known[t] if t in known else header_word(t) for t in tokens]
-        joined = f" {' '.join([b for b in bones if b])} "
-        for key in headers:
+        try:
+            bones = list(map(_HEADER_WORDS.__getitem__, tokens))
+        except KeyError:
+            bones = [header_word(t) for t in tokens]
+        present = set(bones)
+        likely = [key for key in headers if key.partition(" ")[0] in present]
+        joined = f" {' '.join([b for b in bones if b])} " if likely else ""
+        for key in likely:
             at = joined.find(f" {key} ")
             if at >= 0:
                 full = [i for i, b in enumerate(bones) if b]
@@ -712,6 +718,7 @@ _INLINE = (
 
 
 _NUMBER_SIGNS = ("[", "(", "/", "|", "¦", " - ", "— ", "– ", "age ", "agc ", "eite ", "ágina ", "agina ", "p. ", "P. ", "S. ", "pg. ", "pág. ")
+_DIGIT = re.compile("[0-9]")
 _OF = re.compile(r"[0-9lIOSBZ] (?:of|von|sur|de) [0-9lIOSBZ]")
 _MAYBE_INLINE = re.compile(
     r"[\[(][0-9lIOSBZ]+[\])]|[0-9lIOSBZ] ?[/|¦]| [-–—] [0-9lIOSBZ]|(?:[Pp]ag[ec]|[Ss]eite|[Pp][áa]gina|\b[PpS]\.|pg\.|pág\.) [0-9lIOSBZ]|[0-9lIOSBZ] (?:of|von|sur|de) [0-9lIOSBZ]|^[-–—] [0-9lIOSBZ]"
@@ -724,8 +731,10 @@ def _printed(reader: Reader, tokens: list[str], page: int, deltas: set[int], bar
     The number must be the one the report prints on this page; where the pages print none, it must come after the
     actual number and stand between words that follow each other elsewhere.
     """
-    bare_here = [n for d in bare if (n := str(page + d)) in tokens]
     line = " ".join(tokens)
+    if not _DIGIT.search(line):  # a printed number has one at least
+        return []
+    bare_here = [n for d in bare if (n := str(page + d)) in tokens]
     signs = any([c in line for c in _NUMBER_SIGNS]) or line.startswith("- ")
     if not bare_here and not (signs and _MAYBE_INLINE.search(line)) and not _OF.search(line):
         return []
