@@ -299,6 +299,19 @@ def report_edges(pages: DataFrame) -> DataFrame:
     )
 
 
+def as_text(edges: DataFrame) -> DataFrame:
+    """``report_id, edges``: the header keys and number styles of a report as one text, which workers take apart once a report."""
+    numbers = F.transform("numbers", lambda x: F.concat_ws("|", x["style"], x["delta"].cast("string"), x["pages"].cast("string")))
+    return edges.select("report_id", F.concat(F.array_join("headers", "\n"), F.lit("\x01"), F.array_join(numbers, "\n")).alias("edges"))
+
+
+def from_text(edges: str | None) -> tuple[set[str], dict[tuple[str, int], int]]:
+    """Header keys, and pages by number style and offset, of a report."""
+    headers, _, numbers = (edges or "").partition("\x01")
+    rows = [x.split("|") for x in numbers.split("\n") if x]
+    return {h for h in headers.split("\n") if h}, {(style, int(delta)): int(pages) for style, delta, pages in rows}
+
+
 def _count_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pairs: Counter = Counter()
     bare: dict[str, str] = {}
@@ -786,20 +799,19 @@ def _texts(pages: DataFrame, paragraphs: DataFrame) -> DataFrame:
 def _read_all(pages: DataFrame, paragraphs: DataFrame, want_text: bool) -> DataFrame:
     texts = _texts(pages, paragraphs)
     model = texts.sparkSession.sparkContext.broadcast(language_model(texts))
-    joined = texts.join(report_edges(pages), "report_id", "left")
+    joined = texts.join(as_text(report_edges(pages)), "report_id", "left")
     schema = "source_table STRING, record_id BIGINT, " + ("report_id STRING, page INT, text STRING" if want_text else "line_no INT, noise STRING")
 
-    name = uuid.uuid4().hex
+    name, columns = uuid.uuid4().hex, ["source_table", "record_id", "report_id", "page", "text", "edges"]
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = reader_of(name, model)
+        known: dict[str | None, tuple[set[str], dict]] = {None: (set(), {})}
         for frame in frames:
             out = []
-            for table, record, report, page, text, headers, numbers in zip(*(frame[c] for c in
-                ("source_table", "record_id", "report_id", "page", "text", "headers", "numbers"))):
-                page = None if pd.isna(page) else int(page)
-                own = set(headers) if headers is not None else set()
-                styles = {(x["style"], x["delta"]): x["pages"] for x in numbers} if numbers is not None else {}
+            for table, record, report, page, text, edges in zip(*(frame[c].tolist() for c in columns)):
+                page = None if page is None or page != page else int(page)
+                own, styles = known.get(edges) or known.setdefault(edges, from_text(edges))
                 if table == "page_text":
                     found, repaired = read_page(reader, text, page, own, styles, want_text)
                 else:
@@ -811,7 +823,6 @@ def _read_all(pages: DataFrame, paragraphs: DataFrame, want_text: bool) -> DataF
                     out += [(table, record, n, kind) for n, kind in found]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    columns = ["source_table", "record_id", "report_id", "page", "text", "headers", "numbers"]
     return joined.select(*columns).mapInPandas(batches, schema)
 
 
