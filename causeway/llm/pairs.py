@@ -234,7 +234,7 @@ def closings_of(answers: DataFrame) -> DataFrame:
 
 
 #: Most passages that the language profiles are fitted on, and least uses of a trigram in them.
-PROFILE_PASSAGES, PROFILE_LEAST = 4_000, 3
+PROFILE_PASSAGES, PROFILE_LEAST = 1_000, 3
 
 
 def _trigrams(text: str) -> Iterator[str]:
