@@ -99,8 +99,10 @@ def tag_paragraphs(rows: DataFrame, document: str, order: list[str], text: str =
 
 def page_paragraphs(pages: DataFrame, *keys: str) -> DataFrame:
     """The surviving paragraphs of pages: ``report_id, page, pos, text``, and ``keys`` of the page."""
-    kept = pages.where(is_long_enough(F.col("text"), 50) & ~is_contents_page(F.col("text")))
-    cleaned = kept.select("report_id", "page", *keys, clean(F.col("text")).alias("text"))
+    # the page tests are values, not filters: filters would be pushed below a repartition of few large files
+    text = F.col("text")
+    kept = F.when(is_long_enough(text, 50) & ~is_contents_page(text), text).alias("text")
+    cleaned = pages.select("report_id", "page", *keys, kept).select("report_id", "page", *keys, clean(text).alias("text"))
     rows = cleaned.select("report_id", "page", *keys, F.posexplode(paragraphs(F.col("text"))).alias("pos", "text"))
     return rows.where(keeps_paragraph(F.col("text")))
 
@@ -109,12 +111,12 @@ def records(tagged: DataFrame, document: str, order: list[str], text: str = "tex
     """SEC-5: paragraphs and their good sentences, numbered from 1 in each document; a paragraph comes before its sentences."""
     number = Window.partitionBy(document).orderBy(*order)
     numbered = tagged.withColumn("para_no", F.row_number().over(number))
-    split = numbered.select("*", F.posexplode(sentences(F.col(text))).alias("__pos", "__sentence")).where(
-        is_good_sentence(F.col("__sentence"))
-    )
-    sents = split.withColumn("sent_no", F.row_number().over(Window.partitionBy(document).orderBy("para_no", "__pos")))
-    sents = sents.withColumn(text, F.col("__sentence")).drop("__pos", "__sentence")
-    return numbered.withColumn("sent_no", F.lit(None).cast("int")).unionByName(sents)
+    # null stands for the paragraph itself, so everything before is computed once
+    parts = F.concat(F.array(F.lit(None).cast("string")), F.filter(sentences(F.col(text)), lambda s: is_good_sentence(s)))
+    split = numbered.select("*", F.posexplode(parts).alias("__pos", "__sentence"))
+    so_far = Window.partitionBy(document).orderBy("para_no", "__pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sent_no = F.when(F.col("__sentence").isNotNull(), F.count("__sentence").over(so_far).cast("int"))
+    return split.withColumn("sent_no", sent_no).withColumn(text, F.coalesce("__sentence", text)).drop("__pos", "__sentence")
 
 
 def compact(rows: DataFrame, text: str = "text") -> DataFrame:
